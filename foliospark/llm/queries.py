@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import license_scan, pii, url_filter, warc
+from foliospark.llm import ann, decontaminate, license_scan, minhash, pieces, pii, repeats, toxicity, url_filter, warc
 from foliospark.llm.common import table
 
 #: The rules of query op3.
@@ -28,6 +29,33 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES).drop("url")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "toxicity_.*")
+
+
+def op5_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "first_word")
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(ann.build_index(vectors, k=20), vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
     return found.select(
@@ -43,7 +71,8 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_warc": op2_warc, "op3_url_filter": op3_url_filter, "op7_license_scan": op7_license_scan}
+    found = (op1_pii, op2_warc, op3_url_filter, op4_toxicity, op5_probminhash, op6_ann, op7_license_scan, op8_sentencepiece, op9_decontamination, op10_repeats)
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def _term_sql(terms: tuple[str, ...]) -> str:
