@@ -1,7 +1,7 @@
 """Toxicity: a cumulative-link ordinal regression over sparse text features.
 
 P(grade <= k) = logistic(theta_k - w.x): one weight vector is shared by all grades, whose thresholds are ordered.
-Features are the words of a text and the five-letter starts of its longer words, each once. The vocabulary holds those
+Features are the words of a text and the starts of three to five letters of its longer words, each once. The vocabulary holds those
 that differ most between toxic and clean training texts.
 
 Training rows are a bounded sample of labelled documents: at most MAX_TOXIC toxic and MAX_CLEAN clean ones, those
@@ -32,14 +32,15 @@ MAX_TOXIC, MAX_CLEAN = 4000, 12000
 VOCABULARY = 2048
 MIN_COUNT = 4
 GRADES = 4
-START = 5
+#: Lengths of the word starts that are features.
+STARTS = (3, 4, 5)
 #: A text is rejected if a grade above 0 is at least this likely.
-REJECT = 0.5
+REJECT = 0.3
 
 
 def features(text: str | None) -> set[str]:
     words = set(WORD.findall(text.lower())) if text else set()
-    return words | {"^" + w[:START] for w in words if len(w) > START}
+    return words | {"^" + w[:n] for w in words for n in STARTS if len(w) > n}
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +83,7 @@ class Model:
         return above.sum(1), p.argmax(1), above[:, 0]
 
 
-def fit_weights(rows: list[np.ndarray], grades: np.ndarray, size: int, penalty: float = 2.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_weights(rows: list[np.ndarray], grades: np.ndarray, size: int, penalty: float = 0.5, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by gradient ascent (Adam) on the penalised likelihood."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
