@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -141,3 +141,10 @@ def to_markdown(segments: Column) -> Column:
     rule = lambda cells: row(F.transform(cells, lambda _: F.lit("---")))
     table = lambda s: F.array_join(F.concat(F.array(row(s["headers"]), rule(s["headers"])), F.transform(s["rows"], row)), "\n")
     return F.array_join(F.transform(segments, lambda s: F.when(s["type"] == "text", s["content"]).otherwise(table(s))), "\n\n")
+
+
+def markdown_cells(rows: DataFrame, text: str, *keys: str) -> DataFrame:
+    """keys, segment, row, cell, value: the cells of every table; row 0 holds the headers."""
+    segments = rows.select(*keys, F.posexplode(parse_markdown(F.col(text))).alias("segment", "s")).filter("s.type = 'table'")
+    lines = segments.select(*keys, "segment", F.posexplode(F.concat(F.array("s.headers"), "s.rows")).alias("row", "cells"))
+    return lines.select(*keys, "segment", "row", F.posexplode("cells").alias("cell", "value"))

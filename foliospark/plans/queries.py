@@ -290,6 +290,13 @@ def parse_markdown(spark, sf):
     return rows.select("conv_id", "turn", F.size("segments").alias("n_segments"), cells.alias("n_cells"), T.to_markdown(F.col("segments")).alias("markdown"))
 
 
+@query(f"SELECT conv_id, turn, count(*) AS n_rows, 4 AS n_cells, '1' || ',' || turn AS last_row FROM ({TABLES}) WHERE turn % 2 = 0 GROUP BY conv_id, turn")
+def markdown_cells(spark, sf):
+    cells = T.markdown_cells(_tables(spark, sf), "s", "conv_id", "turn")
+    last = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("row") == 1, F.struct("cell", "value")))), lambda c: c["value"]), ",")
+    return cells.groupBy("conv_id", "turn").agg(F.countDistinct("segment").alias("n_rows"), F.count(F.lit(1)).cast("int").alias("n_cells"), last.alias("last_row"))
+
+
 # --- boxes and items ---------------------------------------------------------------------------------------------
 
 HITS = BOXES + ", hits AS (SELECT i.*, ord, x1, y1, x2, y2 FROM items i JOIN boxes b USING (file_id, page) WHERE norm_x < x2 AND norm_x + norm_w > x1 AND norm_y < y2 AND norm_baseline > y1)"
