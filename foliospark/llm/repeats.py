@@ -6,15 +6,18 @@ doubling too, but drops what is unique as early as it can:
 * Inside a task, names of 2, 4, ... 128 bytes are made for all positions of a text, each from the pair of names at a
   position and at an offset of half the length. A string of LENGTH bytes has the pair of two overlapping names.
 * Each window of LENGTH bytes picks the smallest of its GRAM-byte names, the leftmost of equals; the choice depends on
-  its bytes alone, so equal windows pick the same place. Windows next to each other mostly pick the same position: some
-  LENGTH/2 of them make one run.
-* Round 1: Spark sorts runs by the name of the gram they picked; runs with a unique gram are done, as none of their
-  windows can repeat. Round 2: runs are ranked by the name of their whole context (the bytes of all their windows):
-  runs with equal contexts repeat as a whole, and one stands for all. Round 3, past the threshold: the windows of
-  each different context that is left are ranked by their name of LENGTH bytes.
+  its bytes alone, so equal windows pick the same place. Windows next to each other mostly pick the same position: they
+  make one run, which is cut once more where the place is HALF bytes into the window. All windows of a run
+  share a core of at least 115 bytes around the place that they picked.
+* Round 1: Spark counts the names of cores; runs with a unique core are done, as none of their windows can
+  repeat. Round 2: the runs that are left are ranked by the name of their whole context (the bytes of all their
+  windows): runs with equal contexts repeat as a whole, and one stands for all. Round 3, past the threshold: where a
+  core has different contexts, their windows of LENGTH bytes are named and counted.
 
 Every round counts before it joins; a text or line that stands in a third of the documents is one context with a
-large count. Nothing is collected but a bit table of fixed size. Names of windows and contexts have 128 bits.
+large count. In round 3 the contexts of a core meet in one task; of cores with more than HOT_CORE contexts the windows are
+dealt out one by one, counted before they are shuffled, and joined. Nothing is collected but bit tables of fixed size.
+Names are of 64 bits; contexts are compared only where cores are equal, and windows only where cores are.
 
 Null and empty texts, and those shorter than LENGTH bytes, keep everything. Rows with equal doc_id and text repeat
 each other as any two documents would. Columns other than doc_id and text are not read by the search.
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import keyed, scratch, small_batches
@@ -36,6 +39,10 @@ from foliospark.llm.shingles import mix
 LENGTH = 200
 GRAM = 32
 GRAMS = LENGTH - GRAM + 1
+#: Runs are cut where the place that their windows picked is this far into the window.
+HALF = 85
+#: A core with more contexts is dealt out over tasks.
+HOT_CORE = 2000
 #: Window starts that are looked at together; longer texts are taken in parts.
 PART = 1 << 18
 #: Bits of the table that tells most documents without candidates from the others.
@@ -55,14 +62,6 @@ def names(data: np.ndarray) -> dict[int, np.ndarray]:
     return out
 
 
-def window_names(n: dict[int, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each window of LENGTH bytes that starts at `at`."""
-    rest = LENGTH - 128
-    one = mix(n[128][at] * _A ^ n[128][at + rest])
-    two = mix(mix(n[64][at] * _B ^ n[64][at + 64]) * _B ^ mix(n[64][at + 128] * _A ^ n[64][at + LENGTH - 64]))
-    return one, two
-
-
 def picked(grams: np.ndarray, width: int = GRAMS) -> np.ndarray:
     """For each window of `width` grams the position of its smallest, the leftmost of equals."""
     # the name's upper bits, then the place: smaller means smaller name, then further left
@@ -77,24 +76,34 @@ def picked(grams: np.ndarray, width: int = GRAMS) -> np.ndarray:
 
 
 def runs(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(start, number of windows, gram name, context name) of all runs, a part of the text at a time."""
+    """(start, number of windows, core name, context name) of all runs, a part of the text at a time."""
     for first in range(0, len(data) - LENGTH + 1, PART):
         part = data[first : first + PART + LENGTH - 1]
         n = names(part)
         place = picked(n[GRAM])
-        cut = np.flatnonzero(np.diff(place)) + 1
+        into = place - np.arange(len(place))
+        right = into < HALF
+        cut = np.flatnonzero((np.diff(place) != 0) | (right[1:] != right[:-1])) + 1
         start = np.concatenate([[0], cut])
         stop = np.concatenate([cut, [len(place)]])
+        at, right = place[start], right[start]
+        # all windows that pick a place less than HALF into them hold the LENGTH - HALF + 1 bytes from it on; the
+        # others hold those from HALF before it to its gram's end
+        width = LENGTH - HALF + 1
+        ahead = n[64][at[right]] * _A ^ n[64][at[right] + width - 64]
+        back = n[64][at[~right] - HALF] * _B ^ n[64][at[~right] + GRAM - 64]
+        core = np.empty(len(at), np.uint64)
+        core[right], core[~right] = mix(ahead), mix(back)
         size = stop - start - 1 + LENGTH  # bytes of the context, less than 2 * LENGTH
         last = start + size - 128
         context = mix(n[128][start] * _A ^ n[128][np.minimum(start + 128, last)])
         context = mix(context * _B ^ n[128][last])
-        context = mix(context * _A ^ (size.astype(np.uint64) << np.uint64(20)) ^ (place[start] - start).astype(np.uint64))
-        yield start + first, stop - start, n[GRAM][place[start]], context
+        context = mix(context * _A ^ (size.astype(np.uint64) << np.uint64(20)) ^ (at - start).astype(np.uint64))
+        yield start + first, stop - start, core, context
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"start": np.int32, "n": np.int32, "gram": np.int64, "context": np.int64}
+    kinds = {"start": np.int32, "n": np.int32, "core": np.int64, "context": np.int64}
     for b in batches:
         rows, parts = [], []
         with np.errstate(over="ignore"):
@@ -111,40 +120,39 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows, parts = [], []
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names_ = ("core", "context", "copies", "n", "hot", "bytes")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
     for b in batches:
-        with np.errstate(over="ignore"):
-            for text, found in zip(b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True):
-                data = np.frombuffer(text.encode(), np.uint8)
-                out: list[list[np.ndarray]] = [[] for _ in range(6)]
-                for x in found:
-                    n = names(data[x["start"] : x["start"] + x["n"] - 1 + LENGTH])
-                    at = np.arange(x["n"])
-                    one, two = window_names(n, at)
-                    for o, v in zip(out, (np.full(len(at), x["gram"]), np.full(len(at), x["context"]), at, one.view(np.int64), two.view(np.int64), np.full(len(at), x["copies"])), strict=True):
-                        o.append(v)
-                if found:
-                    kinds = (np.int64, np.int64, np.int32, np.int64, np.int64, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(k)) for o, k in zip(out, kinds, strict=True)], names=["gram", "context", "at", "one", "two", "copies"])
-
-
-def only_likely(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of docs whose text_hash may be among keys': a bit table of fixed size (1 MB) stands for the keys. Rows that
-    it lets through by chance cost time only; a join decides afterwards."""
-    bit = F.pmod("text_hash", F.lit(TABLE_BITS))
-    words = keys.select(F.shiftright(bit, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(text_hash, {TABLE_BITS}) % 64 as int))").alias("bits"))
+        for text, found in zip(b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True):
+            data = text.encode()
+            rows = [(x["core"], x["context"], x["copies"], x["n"], x["hot"], data[x["start"] : x["start"] + x["n"] - 1 + LENGTH]) for x in found]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names_)
+
+
+def _windows(contexts: DataFrame) -> DataFrame:
+    each = contexts.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return each.select("core", "context", "copies", "at", F.expr(f"xxhash64(substring(bytes, at + 1, {LENGTH}))").alias("window"))
+
+
+def only_likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key (a 64-bit hash) may be among keys': a bit table of fixed size (1 MB) stands for these. Rows that it
+    lets through by chance cost time only; a join decides afterwards."""
+    bit = F.pmod(key, F.lit(TABLE_BITS))
+    words = keys.select(F.shiftright(bit, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({key}, {TABLE_BITS}) % 64 as int))").alias("bits"))
     table = np.zeros(TABLE_BITS // 64, np.uint64)
     for r in words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
         table[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    sent = rows.sparkSession.sparkContext.broadcast(table)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = np.mod(b.column("text_hash").to_numpy(), TABLE_BITS)
+            h = np.mod(b.column(key).to_numpy(), TABLE_BITS)
             hit = (sent.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1)
             yield b.filter(pa.array(hit.astype(bool)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return rows.mapInArrow(keep, rows.schema)
 
 
 def _key_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
@@ -156,29 +164,35 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, spans (start, stop of windows next to each other that repeat), one row per document with any."""
     spark = docs.sparkSession
     small_batches(spark)
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, start int, n int, gram long, context long"
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, start int, n int, core long, context long"
     every = scratch(keyed(docs).filter(F.octet_length("text") >= LENGTH).mapInArrow(_runs, schema), "runs")
-    # round 1: grams
-    grams = scratch(every.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram"), "grams")
-    left = scratch(every.join(grams, "gram"), "left")
+    # round 1: cores
+    cores = scratch(every.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core"), "cores")
+    left = scratch(only_likely(every, cores, "core").join(cores, "core"), "left")
     # round 2: contexts; the first run of each stands for all
     one = F.min(F.struct("doc_id", "text_hash", "start", "n")).alias("one")
-    contexts = scratch(left.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("copies"), one), "contexts")
-    # a gram all of whose runs have one context is settled, as every window of it repeats with the context; others are open
-    open_grams = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
-    asked = contexts.join(open_grams, "gram")
-    held = asked.select(F.col("one.doc_id").alias("id_"), F.col("one.text_hash").alias("hash_"), F.struct("gram", "context", "copies", "one.start", "one.n").alias("x"))
+    contexts = scratch(left.groupBy("core", "context").agg(F.count(F.lit(1)).alias("copies"), one), "contexts")
+    # a core all of whose runs have one context is settled, as every window of it repeats with the context; others are open
+    several = contexts.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core", (F.col("c") > HOT_CORE).alias("hot"))
+    asked = contexts.join(several, "core")
+    held = asked.select(F.col("one.doc_id").alias("id_"), F.col("one.text_hash").alias("hash_"), F.struct("core", "context", "copies", "one.start", "one.n", "hot").alias("x"))
     held = scratch(held.groupBy("id_", "hash_").agg(F.collect_list("x").alias("found")), "held")
-    text = only_likely(keyed(docs), held.select(F.col("hash_").alias("text_hash")))
-    # equal rows carry equal windows; one of them is asked
+    text = only_likely(keyed(docs), held.select(F.col("hash_").alias("text_hash")), "text_hash")
+    # equal rows have equal contexts; one of them is asked
     asked_text = _key_join(text, held).select("id_", "hash_", "text", "found").dropDuplicates(["id_", "hash_"])
+    held_bytes = asked_text.select("text", "found").mapInArrow(_contexts, "core long, context long, copies long, n int, hot boolean, bytes binary")
+    held_bytes = scratch(held_bytes, "context-bytes")
     # round 3: windows
-    windows = scratch(asked_text.select("text", "found").mapInArrow(_windows, "gram long, context long, at int, one long, two long, copies long"), "windows")
-    again = scratch(windows.groupBy("one", "two").agg(F.sum("copies").alias("c")).filter("c > 1").select("one", "two"), "again")
-    single = windows.filter("copies = 1").join(again, ["one", "two"]).groupBy("gram", "context").agg(F.array_sort(F.collect_list("at")).alias("ats"))
-    many = contexts.filter("copies > 1").select("gram", "context", F.expr("cast(null as array<int>)").alias("ats"))
-    repeated = scratch(single.select("gram", "context", "ats").unionByName(many), "repeated")
-    hit = left.join(repeated, ["gram", "context"])
+    together = _windows(held_bytes.filter("not hot").repartition("core"))
+    total = F.sum("copies").over(Window.partitionBy("core", "window"))
+    again = together.withColumn("c", total).filter("c > 1 and copies = 1").groupBy("core", "context").agg(F.array_sort(F.collect_list("at")).alias("ats"))
+    apart = _windows(held_bytes.filter("hot"))
+    counted = scratch(apart.groupBy("core", "window").agg(F.sum("copies").alias("c")).filter("c > 1").select("core", "window"), "hot-windows")
+    also = apart.filter("copies = 1").join(counted, ["core", "window"]).groupBy("core", "context").agg(F.array_sort(F.collect_list("at")).alias("ats"))
+    single = again.unionByName(also)
+    many = contexts.filter("copies > 1").select("core", "context", F.expr("cast(null as array<int>)").alias("ats"))
+    repeated = scratch(single.select("core", "context", "ats").unionByName(many), "repeated")
+    hit = left.join(repeated, ["core", "context"])
     offsets = F.coalesce("ats", F.sequence(F.lit(0), F.col("n") - 1))
     whole = F.array(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop")))
     each = F.transform(offsets, lambda k: F.struct((F.col("start") + k).alias("start"), (F.col("start") + k + LENGTH).alias("stop")))
@@ -222,7 +236,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_removed, n_spans, kept_sha256, kept (bytes): the documents that lose any, once for each
     doc_id and text."""
     spans = repeated_windows(docs)
-    text = only_likely(keyed(docs), spans.select("text_hash"))
+    text = only_likely(keyed(docs), spans.select("text_hash"), "text_hash")
     keys = spans.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "spans")
     joined = _key_join(text, keys).select("doc_id", "text_hash", "text", "spans").dropDuplicates(["doc_id", "text_hash"])
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n_removed long, n_spans long, kept_sha256 string, kept binary"
