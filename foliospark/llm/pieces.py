@@ -8,7 +8,7 @@ backward sampling walks from the end and picks each edge in proportion to its sh
 drawn exactly in proportion to their weights. Draws come from a counter hash of the row key, the chunk's place and
 the step, so a row's pieces do not depend on partitions, batches or retries.
 
-Sums of a chunk are made once and remembered by the worker. Decoding joins the bytes of the pieces; a literal U+2581 is
+Texts are coded in groups; the sums of each different chunk of a group are made once, for all chunks together. Decoding joins the bytes of the pieces; a literal U+2581 is
 always coded as bytes, so decoding gives the text back, byte for byte. Null texts have null pieces, empty ones none.
 Equal rows (id and text) are drawn alike. Columns other than doc_id and text are not read. Rows are coded one by
 one, so no key is hot.
@@ -16,9 +16,9 @@ one, so no key is hot.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import small_batches
 from foliospark.llm.shingles import mix
 
-CHUNK = re.compile(r" ?\w+| ?[^\w\s]+| +|\s")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+#: Chunks are cut at so many characters, as sums of longer ones would leave the range of doubles.
+CHUNK_CHARS = 48
+CHUNK = re.compile(rf" ?\w{{1,{CHUNK_CHARS}}}| ?[^\w\s]{{1,{CHUNK_CHARS}}}| {{1,16}}|\s")
 RANK0 = 20.0
 ALPHA = 1.0
-#: Chunks whose sums a worker remembers; longer chunks than LONG characters are not kept from batch to batch.
-REMEMBER = 120_000
 #: Texts of a batch are coded in groups of about so many characters.
-GROUP_CHARS = 1_500_000
+GROUP_CHARS = 3_000_000
 
 
 def default_model() -> str:
@@ -70,123 +72,155 @@ class Vocabulary:
         return b"".join(map(self.raw.__getitem__, ids)).decode()
 
 
-class Lattices:
-    """Chunks' lattices in flat arrays. A state is a chunk and a position; its edges lie together, and key holds
-    state + share of the edges so far, so that one search finds the edge for state + u."""
+class Sampler:
+    """Draws segmentations of many texts at once. The lattices of all different chunks are laid out in flat arrays: a
+    state is a chunk and a position after its start, edges are sorted by the state where they end."""
 
     def __init__(self, vocabulary: Vocabulary, alpha: float):
-        self.v, self.alpha = vocabulary, alpha
-        self.forget()
-
-    def forget(self) -> None:
-        self.state: dict[str, int] = {}
-        self.size = 1  # state 0 ends a walk
-        self.keys, self.codes, self.back = [np.array([1.0])], [np.array([0], np.int32)], [np.array([0], np.int32)]
+        self.v = vocabulary
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        lengths = np.array([len(t) for t in vocabulary.pieces])
+        texts = list(vocabulary.pieces)
+        with np.errstate(over="ignore"):
+            for n in range(1, min(vocabulary.longest, CHUNK_CHARS + 1) + 1):
+                some = np.flatnonzero(lengths == n)
+                if len(some):
+                    points = _points("".join(texts[k] for k in some)).reshape(-1, n)
+                    h = np.zeros(len(some), np.uint64)
+                    for k in range(n):
+                        h = h * _BASE + points[:, k]
+                    order = np.argsort(h)
+                    ids = np.array([vocabulary.pieces[texts[some[k]]][0] for k in order], np.int32)
+                    rank = np.array([vocabulary.pieces[texts[some[k]]][1] for k in order])
+                    self.by_length[n] = (h[order], ids, (RANK0 + rank) ** -alpha)
+        self.byte_weight = (RANK0 + 40_000.0) ** -alpha
         self.runs: list[tuple[int, ...]] = []  # codes from len(raw) on: several byte pieces
-        self.run_code: dict[str, int] = {}
-        self.new: tuple[list[float], list[int], list[int]] = ([], [], [])
-
-    def add(self, chunk: str) -> None:
-        pieces, longest, alpha = self.v.pieces, self.v.longest, self.alpha
-        n, base = len(chunk), self.size - 1  # position j is state base + j; position 0 is state 0
-        log = [0.0] + [-math.inf] * n
-        keys, codes, back = self.new
-        for j in range(1, n + 1):
-            edges = []
-            for i in range(max(0, j - longest), j):
-                hit = pieces.get(chunk[i:j])
-                if hit is not None:
-                    edges.append((log[i] - alpha * math.log(RANK0 + hit[1]), hit[0], i))
-            c = chunk[j - 1]
-            if c not in pieces:
-                edges.append((log[j - 1] - alpha * math.log(RANK0 + 40_000.0), self.byte_code(c), j - 1))
-            top = max(e[0] for e in edges)
-            shares = [math.exp(e[0] - top) for e in edges]
-            total = sum(shares)
-            log[j] = top + math.log(total)
-            at = 0.0
-            for k, (_, code, i) in enumerate(edges):
-                at += shares[k] / total
-                keys.append(base + j + (at if k < len(edges) - 1 else 1.0))
-                codes.append(code)
-                back.append(base + i if i else 0)
-        self.size += n
-        self.state[chunk] = base + n
-
-    def byte_code(self, c: str) -> int:
-        raw = c.encode()
+        self.run_code: dict[int, int] = {}
+
+    def byte_code(self, point: int) -> int:
+        raw = chr(point).encode()
         if len(raw) == 1:
             return self.v.of_byte[raw[0]]
-        if c not in self.run_code:
-            self.run_code[c] = len(self.v.raw) + len(self.runs)
+        if point not in self.run_code:
+            self.run_code[point] = len(self.v.raw) + len(self.runs)
             self.runs.append(tuple(self.v.of_byte[x] for x in raw))
-        return self.run_code[c]
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self.new[0]:
-            for all_, part, kind in zip((self.keys, self.codes, self.back), self.new, (np.float64, np.int32, np.int32), strict=True):
-                all_[:] = [np.concatenate([*all_, np.array(part, kind)])]
-                part.clear()
-        return self.keys[0], self.codes[0], self.back[0]
+        return self.run_code[point]
+
+    def lattices(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
+        """keys, codes and states of origin of all edges, and the last state of each chunk. key is the rank of the state
+        where the edge ends plus the share of that state's edges up to it."""
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        points = _points("".join(chunks))
+        last = np.cumsum(size) - 1
+        offset = np.arange(len(points)) - np.repeat(last + 1 - size, size)  # from the chunk's start
+        left = np.repeat(size, size) - offset
+        start, stop, code, weight = [], [], [], []
+        h = np.zeros(len(points), np.uint64)
+        at = np.arange(len(points))
+        for n in range(1, int(min(self.v.longest, size.max(initial=0))) + 1):
+            fit = left[at] >= n
+            at, h = at[fit], h[fit]
+            h = h * _BASE + points[at + n - 1]
+            if n in self.by_length:
+                table, ids, weights = self.by_length[n]
+                found = np.minimum(np.searchsorted(table, h), len(table) - 1)
+                hit = table[found] == h
+                start.append(at[hit])
+                stop.append(at[hit] + n - 1)
+                code.append(ids[found[hit]])
+                weight.append(weights[found[hit]])
+            if n == 1:
+                lone = at[~hit] if n in self.by_length else at
+                start.append(lone)
+                stop.append(lone)
+                code.append(np.array([self.byte_code(p - 1) for p in points[lone].tolist()], np.int32))
+                weight.append(np.full(len(lone), self.byte_weight))
+        start, stop, code, weight = map(np.concatenate, (start, stop, code, weight))
+        # forward filtering, all chunks together: ways to a position, in order of its distance from the chunk's start
+        order = np.argsort(offset[stop], kind="stable")
+        cuts = np.searchsorted(offset[stop][order], np.arange(int(size.max(initial=0)) + 1))
+        ways = np.zeros(len(points) + 1)
+        first = offset[start] == 0
+        origin = np.where(first, len(points), start - 1)
+        ways[-1] = 1.0
+        value = np.empty(len(start))
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            e = order[a:z]
+            value[e] = ways[origin[e]] * weight[e]
+            np.add.at(ways, stop[e], value[e])
+        order = np.argsort(stop, kind="stable")
+        stop = stop[order]
+        share = value[order] / ways[stop]
+        sums = np.cumsum(share)
+        begins = np.flatnonzero(np.diff(stop, prepend=-1))
+        key = stop + sums - np.repeat(sums[begins] - share[begins], np.diff(np.append(begins, len(stop))))
+        ends = np.append(begins[1:], len(stop)) - 1
+        key[ends] = stop[ends] + 1.0
+        return key, code[order], np.where(first, -1, start - 1)[order], last
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts together, and how many each has. seeds: uint64, one a text."""
-        if len(self.state) > REMEMBER:
-            self.forget()
-        chunks = [CHUNK.findall(t) for t in texts]
-        every = [c for cs in chunks for c in cs]
-        for c in set(every).difference(self.state):
-            self.add(c)
-        key, code, back = self.arrays()
+        found = [CHUNK.findall(t) for t in texts]
+        count = np.array([len(c) for c in found], np.int64)
+        every = list(chain.from_iterable(found))
+        del found
+        number = {c: k for k, c in enumerate(dict.fromkeys(every))}
         n = len(every)
-        state = np.fromiter(map(self.state.__getitem__, every), np.int64, n)
-        count = np.array([len(c) for c in chunks], np.int64)
-        del every, chunks
+        if not n:
+            return np.zeros(0, np.int32), count
+        chunk = np.fromiter(map(number.__getitem__, every), np.int64, n)
+        del every
         text = np.repeat(np.arange(len(count)), count)
         place = (np.arange(n) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
         with np.errstate(over="ignore"):
+            key, code, back, last = self.lattices(list(number))
+            state = last[chunk]
             seed = mix(seeds[text] + (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
             who, steps = np.arange(n), []
             while len(who):
                 u = (mix(seed + np.uint64(len(steps)) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(12)).astype(np.float64) / 2.0**52
                 edge = np.searchsorted(key, state + u, side="right")
                 steps.append((who, code[edge]))
-                state = back[edge].astype(np.int64)
-                go = state > 0
+                state = back[edge]
+                go = state >= 0
                 who, state, seed = who[go], state[go], seed[go]
         made = np.zeros(n, np.int64)
         for w, _ in steps:
             made[w] += 1
         end = np.cumsum(made)
-        out = np.zeros(int(end[-1]) if n else 0, np.int32)
+        out = np.zeros(int(end[-1]), np.int32)
         for k, (w, c) in enumerate(steps):
             out[end[w] - 1 - k] = c
         per_text = np.bincount(text, made, len(count)).astype(np.int64)
-        if n and out.max(initial=0) >= len(self.v.raw):
+        if out.max() >= len(self.v.raw):
             wide = np.ones(len(self.v.raw) + len(self.runs), np.int64)
             wide[len(self.v.raw) :] = [len(r) for r in self.runs]
             size = wide[out]
             of = np.repeat(np.arange(len(per_text)), per_text)
             per_text = np.bincount(of, size, len(per_text)).astype(np.int64)
-            first = np.cumsum(size) - size
+            begin = np.cumsum(size) - size
             full = np.repeat(out, size)
             for at in np.flatnonzero(size > 1):
-                full[first[at] : first[at] + size[at]] = self.runs[out[at] - len(self.v.raw)]
+                full[begin[at] : begin[at] + size[at]] = self.runs[out[at] - len(self.v.raw)]
             out = full
         return out, per_text
 
 
-_kept: dict[tuple[int, float], Lattices] = {}
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+_kept: dict[tuple[int, float], Sampler] = {}
 
 
 def _encoder(sent, alpha: float):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (sent.value.longest * 1_000_003 + len(sent.value.pieces), alpha)
-        lattices = _kept.get(key)
-        if lattices is None:
+        sampler = _kept.get(key)
+        if sampler is None:
             _kept.clear()
-            lattices = _kept[key] = Lattices(sent.value, alpha)
-        raw = lattices.v.raw
+            sampler = _kept[key] = Sampler(sent.value, alpha)
+        raw = sampler.v.raw
         for b in batches:
             texts, seeds = b.column("text").to_pylist(), b.column("seed").to_numpy().view(np.uint64)
             at = 0
@@ -196,7 +230,7 @@ def _encoder(sent, alpha: float):
                     chars += len(texts[z] or "")
                     z += 1
                 part = [t or "" for t in texts[at:z]]
-                ids, counts = lattices.sample(part, seeds[at:z])
+                ids, counts = sampler.sample(part, seeds[at:z])
                 ends = np.cumsum(counts)
                 listed = ids.tolist()
                 lossless = [b"".join(map(raw.__getitem__, listed[e - c : e])).decode() == t for t, e, c in zip(part, ends.tolist(), counts.tolist(), strict=True)]
