@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-#: White space as scripts of the web trim it; Spark's trim strips blanks only.
-SPACE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+#: White space as scripts of the web trim it; Spark's trim strips blanks only unless it is told.
+SPACE = " \t\n\v\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 #: Symbols of private-use characters; others become ●.
 PUA_MAP = {
@@ -30,7 +30,7 @@ SEGMENTS = ArrayType(StructType([
 
 
 def trim_text(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def is_symbol_font(name: Column) -> Column:
@@ -68,7 +68,7 @@ def is_garbled(text: Column) -> Column:
 def strip_code_fence(text: Column) -> Column:
     """The first fenced block anywhere, trimmed; else the whole text, trimmed."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.when(text.rlike(r"(?s)```(?:json)?\s*.*?```"), trim_text(fenced)).otherwise(trim_text(text))
+    return trim_text(F.when(text.rlike(r"(?s)```.*?```"), fenced).otherwise(text))
 
 
 def strip_markdown_fence(text: Column) -> Column:

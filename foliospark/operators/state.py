@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,8 +60,8 @@ def page_plan_diff(plans: DataFrame) -> DataFrame:
 def parse_responses(responses: DataFrame, stock_as_code: bool = False) -> DataFrame:
     """responses (file_id, page, attempt, response_text) with has_analysis, date, code, report, regions (id, bbox, label)
     and error. Text that is no JSON object is an error row. stock_as_code: take stock where there is no code."""
-    parsed = responses.withColumn("json", F.from_json(T.strip_code_fence(F.col("response_text")), RESPONSE, {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"}))
-    bad = F.col("json").isNull() | ~T.strip_code_fence(F.col("response_text")).startswith("{")
+    parsed = responses.withColumn("body", T.strip_code_fence(F.col("response_text"))).withColumn("json", F.from_json("body", RESPONSE, {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"}))
+    bad = F.col("json").isNull() | ~F.col("body").startswith("{")
     zero = F.array(*[F.lit(0.0)] * 4)
     region = lambda r, i: F.struct(F.coalesce(r["id"], i + 1).alias("id"), B.swap_axes(F.coalesce(r["bbox"], zero)).alias("bbox"), F.coalesce(r["label"], F.concat(F.lit("區域 "), (i + 1).cast("string"))).alias("label"))
     none = F.expr("cast(array() as array<struct<id:int,bbox:array<double>,label:string>>)")
@@ -80,23 +80,27 @@ def resolve_attempts(parsed: DataFrame, portrait: Column, malformed_tries: int =
     rows = parsed.filter(F.col("error").isNull())
     if not check_boxes:
         return rows.withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k", "error")
-    malformed = F.exists("regions", lambda r: B.is_malformed(r["bbox"], portrait))
-    broken = ~malformed & F.exists("regions", lambda r: B.not_finite(r["bbox"]))
-    rows = rows.withColumn("malformed", malformed).withColumn("broken", broken)
+    rows = rows.withColumn("regions", F.transform("regions", lambda r: r.withField("malformed", B.is_malformed(r["bbox"], portrait)).withField("broken", B.not_finite(r["bbox"]))))
+    malformed = F.exists("regions", lambda r: r["malformed"])
+    rows = rows.withColumn("malformed", malformed).withColumn("broken", ~malformed & F.exists("regions", lambda r: r["broken"]))
     rows = rows.withColumn("n_malformed", F.count_if(F.col("malformed")).over(past)).withColumn("n_broken", F.count_if(F.col("broken")).over(past)).withColumn("last", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("attempt"))) == 1)
     done = (~F.col("malformed") & ~F.col("broken")) | (F.col("malformed") & (F.col("n_malformed") > malformed_tries)) | (F.col("broken") & (F.col("n_broken") > not_finite_tries)) | F.col("last")
     first = rows.filter(done).withColumn("k", F.row_number().over(order)).filter("k = 1")
-    kept = drop_bad_regions(first, portrait)
+    kept = _without(first, lambda r: r["malformed"] | r["broken"]).withColumn("regions", F.transform("regions", lambda r: r.dropFields("malformed", "broken")))
     return kept.select(*PAGE, "attempt", "has_analysis", "date", "code", "report", "regions")
 
 
-def drop_bad_regions(results: DataFrame, portrait: Column) -> DataFrame:
-    sound = F.filter(F.filter("regions", lambda r: ~B.is_malformed(r["bbox"], portrait)), lambda r: ~B.not_finite(r["bbox"]))
-    out = results.withColumn("n_before", F.size("regions")).withColumn("regions", sound)
+def _without(results: DataFrame, bad: Callable[[Column], Column]) -> DataFrame:
+    """Results without bad regions; a page that loses all of its regions has no analysis."""
+    out = results.withColumn("n_before", F.size("regions")).withColumn("regions", F.filter("regions", lambda r: ~bad(r)))
     emptied = (F.col("n_before") > 0) & (F.size("regions") == 0)
     return out.withColumn("has_analysis", F.col("has_analysis") & ~emptied).drop("n_before")
 
 
+def drop_bad_regions(results: DataFrame, portrait: Column) -> DataFrame:
+    return _without(results, lambda r: B.is_malformed(r["bbox"], portrait) | B.not_finite(r["bbox"]))
+
+
 def accept_ai_metadata(results: DataFrame) -> DataFrame:
     """Dates only if complete, brokers only if named, codes as they are."""
     return results.withColumn("date", F.when(M.is_complete_date(F.col("date")), F.col("date"))).withColumn("report", F.when(~M.should_ignore_broker(F.col("report")), F.col("report")))
