@@ -10,7 +10,9 @@ a candidate of a pair at similarity 0.8 with probability 0.9998.
 A candidate is verified by the exact Jaccard similarity of the shingle sets. Not all pairs of a bucket are tried:
 texts with equal words are one text from the start; in each round every bucket that still holds texts of more than
 one class picks a leader, and the texts of other classes are verified against it. After LEADER_ROUNDS rounds, the
-pairs across classes that are left and were not yet tried are tried all, so no link within a bucket is lost.
+pairs across classes that are left and were not yet tried are tried all, so no link within a bucket is lost; of
+these only such pairs are left out as cannot be similar, because too many shingles of one of them occur in no other text
+or leave a mark that the other text lacks.
 
 Null and empty texts, and those without a word, are classes of their own. Equal rows are of one class. Ties: a
 class is named by its smallest doc_id (null only if it has no other). Columns other than doc_id and text are not read.
@@ -33,6 +35,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 LEADER_ROUNDS = 3
+#: Marks of a text: bits of its shingles' residues, in so many 64-bit words.
+WORDS = 16
+MARKS = [f"mark{w}" for w in range(WORDS)]
 #: Texts of a batch are hashed in groups of about so many words.
 GROUP_WORDS = 200_000
 
@@ -104,7 +109,12 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             sets = [np.unique(grams(hash_words(words_of(t)), SHINGLE)).view(np.int64) for t in b.column("text").to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("tid"), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["tid", "shingles"])
+        marks = np.zeros((len(sets), 64 * WORDS), np.uint8)
+        for k, s in enumerate(sets):
+            marks[k, s & (64 * WORDS - 1)] = 1
+        words = np.packbits(marks, axis=1).view(np.int64)
+        columns = [b.column("tid"), pa.ListArray.from_arrays(pa.array(offsets), values), *(pa.array(np.ascontiguousarray(words[:, w])) for w in range(WORDS))]
+        yield pa.RecordBatch.from_arrays(columns, names=["tid", "shingles", *MARKS])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -137,6 +147,15 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
+def _most_shared(tids: DataFrame, sets: DataFrame) -> DataFrame:
+    """tid, n, most and the marks: a text's shingles, and how many of them any other of these texts has as well."""
+    own = sets.join(tids, "tid", "left_semi")
+    lone = own.select("tid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("tid").alias("tid")).filter("c = 1")
+    count = lone.groupBy("tid").agg(F.count(F.lit(1)).alias("lone"))
+    sizes = own.select("tid", F.size("shingles").alias("n"), *MARKS)
+    return sizes.join(count, "tid", "left").select("tid", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("most"), *MARKS)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, class_id: one row for each row of docs; copies and near copies share a class_id."""
     spark = docs.sparkSession
@@ -160,8 +179,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         else:
             mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("band")
             rest = rooted.join(mixed, "band")
-            other = rest.select("band", F.col("tid").alias("y"), F.col("root").alias("root_y"))
-            pairs = rest.join(other, "band").filter((F.col("tid") < F.col("y")) & (F.col("root") != F.col("root_y"))).select(F.col("tid").alias("x"), "y")
+            most = scratch(_most_shared(rest.select("tid").distinct(), sets), "most-shared")
+            rest = rest.join(most, "tid")
+            other = rest.select("band", F.col("tid").alias("y"), F.col("root").alias("root_y"), F.col("n").alias("n_y"), F.col("most").alias("most_y"), *[F.col(m).alias(f"{m}_y") for m in MARKS])
+            # a pair shares no more than either has in common with any, and at least one shingle of a text for each of
+            # its marks that the other lacks is not shared; below this no pair reaches SIMILARITY
+            lacks = lambda one, two: sum((F.bit_count(F.col(m + one).bitwiseAND(F.bitwise_not(F.col(m + two)))) for m in MARKS), F.lit(0))
+            bound = F.least(F.col("most"), F.col("most_y"), F.col("n") - lacks("", "_y"), F.col("n_y") - lacks("_y", ""))
+            enough = bound * (1 + SIMILARITY) >= SIMILARITY * (F.col("n") + F.col("n_y"))
+            pairs = rest.join(other, (rest["band"] == other["band"]) & (F.col("tid") < F.col("y")) & (F.col("root") != F.col("root_y")) & enough).select(F.col("tid").alias("x"), "y")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -176,7 +202,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             rows = rows.select("tid", F.col("k.doc_id").alias("id_"), F.col("k.text_hash").alias("hash_"))
             text = keyed(docs)
             found = text.join(rows, text["doc_id"].eqNullSafe(F.col("id_")) & (text["text_hash"] == F.col("hash_"))).select("tid", "text")
-            sets = scratch(found.mapInArrow(_shingle_sets, "tid binary, shingles array<long>").dropDuplicates(["tid"]), "shingles")
+            sets = scratch(found.mapInArrow(_shingle_sets, "tid binary, shingles array<long>, " + ", ".join(f"{m} long" for m in MARKS)).dropDuplicates(["tid"]), "shingles")
         good = scratch(_verify(pairs, sets), "links")
         edges = good if edges is None else edges.unionByName(good)
         if not good.isEmpty():
