@@ -36,7 +36,7 @@ CHUNK = re.compile(rf" ?\w{{1,{CHUNK_CHARS}}}| ?[^\w\s]{{1,{CHUNK_CHARS}}}| {{1,
 RANK0 = 20.0
 ALPHA = 1.0
 #: Texts of a batch are coded in groups of about so many characters.
-GROUP_CHARS = 3_000_000
+GROUP_CHARS = 500_000
 
 
 def default_model() -> str:
