@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds propose passages, Smith-Waterman scores them.
+"""Benchmark decontamination: n-gram seeds propose passages, Smith-Waterman scores them.
 
 Words are runs of letters and digits, lower-cased. Every run of SEED words of a test item is a seed. A document's
 seeds place passages as long as the item, with a margin, around where the item would stand; overlapping ones are
-joined. Document frequencies of all seeds are counted over the corpus: a seed is rare if at most RARE_SHARE of the
-documents hold it, or if it is among the rarest quarter of its item, so that items which leaked very often keep seeds.
-Passages without a rare seed go; the others are aligned with the item word by word (match 2, mismatch and gap -1).
-The score is the best local alignment over that of the whole item; from THRESHOLD on it is a leak.
+joined. Every passage is aligned with the item word by word (match 2, mismatch and gap -1), however many documents
+hold it; equal ones that meet in a task are aligned once. The score is the best local alignment over that of the
+whole item; from THRESHOLD on it is a leak.
 
 Seeds are sent to the tasks in blocks of at most BLOCK_SEEDS, one pass over the documents for each block, however
 many items there are. Null and empty texts have no passages; items with fewer than SEED words cannot be told from
@@ -26,7 +25,6 @@ from foliospark.llm.common import keyed, scratch, small_batches
 from foliospark.llm.shingles import grams, hash_words, words_of
 
 SEED = 4
-RARE_SHARE = 0.01
 THRESHOLD = 0.5
 MARGIN = 6
 BLOCK_SEEDS = 1_000_000
@@ -56,29 +54,28 @@ class SeedTable:
         self.bits = np.zeros(self.BITS, bool)
         self.bits[h % np.uint64(self.BITS)] = True
 
-    def passages(self, g: np.ndarray, n_words: int) -> list[tuple[int, int, int, list[int]]]:
-        """(item, first word, stop, seeds) for the n-grams of one document."""
+    def passages(self, g: np.ndarray, n_words: int) -> list[tuple[int, int, int]]:
+        """(item, first word, stop) for the n-grams of one document."""
         maybe = np.flatnonzero(self.bits[g % np.uint64(self.BITS)])
         if not len(maybe):
             return []
         lo = np.searchsorted(self.h, g[maybe], "left")
         hi = np.searchsorted(self.h, g[maybe], "right")
-        by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for p, a, z in zip(maybe.tolist(), lo.tolist(), hi.tolist(), strict=True):
             for k in range(a, z):
                 i, start = int(self.item[k]), p - int(self.place[k])
-                by_item[i].append((max(0, start - MARGIN), min(n_words, start + int(self.length[i]) + MARGIN), p))
+                by_item[i].append((max(0, start - MARGIN), min(n_words, start + int(self.length[i]) + MARGIN)))
         out = []
         for i, spans in by_item.items():
             spans.sort()
-            first, stop, seeds = spans[0][0], spans[0][1], set()
-            for a, z, p in spans:
+            first, stop = spans[0]
+            for a, z in spans:
                 if a > stop:
-                    out.append((i, first, stop, sorted(seeds)))
-                    first, stop, seeds = a, z, set()
+                    out.append((i, first, stop))
+                    first, stop = a, z
                 stop = max(stop, z)
-                seeds.add(int(g[p].view(np.int64)))
-            out.append((i, first, stop, sorted(seeds)))
+            out.append((i, first, stop))
         return out
 
 
@@ -92,10 +89,10 @@ def _finder(sent):
                 if len(words) >= SEED:
                     with np.errstate(over="ignore"):
                         g = grams(hash_words(words), SEED)
-                    rows += [(doc_id, h, t.ids[i], a, " ".join(words[a:z]), seeds) for i, a, z, seeds in t.passages(g, len(words))]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "text_hash", "item_id", "first_word", "passage", "seeds"])
+                    rows += [(doc_id, h, t.ids[i], a, " ".join(words[a:z])) for i, a, z in t.passages(g, len(words))]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = [b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "text_hash", "item_id", "first_word", "passage"])
 
     return find
 
@@ -127,11 +124,14 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n = b.num_rows
+        asked = list(zip(b.column("words").to_pylist(), b.column("passage").to_pylist(), strict=True))
+        place = {pair: k for k, pair in enumerate(dict.fromkeys(asked))}
+        row = np.array([place[pair] for pair in asked], np.int64)
+        n = len(place)
         number: dict[str, int] = {}
         code = lambda t: np.array([number.setdefault(w, len(number) + 1) for w in t.split(" ")], np.int64)
-        items = [code(t) for t in b.column("words").to_pylist()]
-        passages = [code(t) for t in b.column("passage").to_pylist()]
+        items = [code(t) for t, _ in place]
+        passages = [code(t) for _, t in place]
         scores, ends = np.zeros(n), np.zeros(n, np.int32)
         order = sorted(range(n), key=lambda k: (len(passages[k]), len(items[k])))
         at = 0
@@ -144,15 +144,15 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scores[part] = best / np.array([2 * len(items[k]) for k in part])
             ends[part] = end
             at = z
-        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "text_hash", "item_id", "first_word")] + [pa.array(scores), pa.array(ends)], names=["doc_id", "text_hash", "item_id", "first_word", "score", "length"])
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "text_hash", "item_id", "first_word")] + [pa.array(scores[row]), pa.array(ends[row])], names=["doc_id", "text_hash", "item_id", "first_word", "score", "length"])
 
 
 def passages(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, text_hash, item_id, first_word, passage, seeds: all passages that any seed proposes."""
+    """doc_id, text_hash, item_id, first_word, passage: all passages that any seed proposes."""
     spark = docs.sparkSession
     total = items.select(F.sum(F.size("seeds"))).first()[0] or 0
     blocks = max(1, -(-total // (BLOCK_SEEDS // 2)))
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, item_id long, first_word int, passage string, seeds array<long>"
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, item_id long, first_word int, passage string"
     found = None
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == k).select("item_id", "seeds").collect()
@@ -169,14 +169,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     items = scratch(texts.mapInArrow(_items, "item_id long, words string, seeds array<long>").filter(F.size("seeds") > 0), "items")
     found = passages(docs, items)
-    total = keyed(docs).count()
-    held = found.select("doc_id", "text_hash", F.explode("seeds").alias("seed")).distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("df"))
-    known = items.select("item_id", "words", F.explode(F.array_distinct("seeds")).alias("seed")).join(held, "seed")
-    ranked = known.groupBy("item_id", "words").agg(F.array_sort(F.collect_list(F.struct("df", "seed"))).alias("by_df"))
-    quarter = F.ceil(F.size("by_df") / 4)
-    rare = F.transform(F.filter("by_df", lambda x, i: (x["df"] <= RARE_SHARE * total) | (i < quarter)), lambda x: x["seed"])
-    rare_items = scratch(ranked.select(F.col("item_id").alias("of_item"), "words", rare.alias("rare")), "rare-items")
-    tried = found.join(rare_items, F.col("item_id").eqNullSafe(F.col("of_item"))).filter(F.arrays_overlap("seeds", "rare"))
+    of_item = items.select(F.col("item_id").alias("of_item"), "words")
+    tried = found.join(of_item, F.col("item_id").eqNullSafe(F.col("of_item")))
     scored = tried.select("doc_id", "text_hash", "item_id", "first_word", "passage", "words").mapInArrow(
         _score, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, item_id long, first_word int, score double, length int"
     )

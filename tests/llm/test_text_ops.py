@@ -113,6 +113,17 @@ def test_contamination(spark, prose, odd):
     assert decontaminate.contamination(odd.limit(0), bench).count() == 0
 
 
+def test_contamination_by_a_frequent_part(spark, prose):
+    item = prose(900, 40)
+    part = " ".join(item.split()[:24])
+    texts = [prose(k, 30) for k in range(100)]
+    texts[7] = texts[7] + " " + item
+    for k in range(20, 60):  # far over 1 % of the documents
+        texts[k] = f"{texts[k]} {part} {prose(200 + k, 20)}"
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contamination(make_docs(spark, texts), bench).collect()} == {7, *range(20, 60)}
+
+
 def test_contamination_in_blocks(spark, prose, monkeypatch):
     items = [prose(900 + k, 40) for k in range(8)]
     docs = make_docs(spark, [prose(k, 50) + " " + items[k] for k in range(8)])
