@@ -21,6 +21,7 @@ class is named by its smallest doc_id (null only if it has no other). Columns ot
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from foliospark.llm.shingles import grams, hash_words, mix, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: The same as a ratio of integers: at the limit itself doubles would refuse some pairs.
+PART, WHOLE = Fraction(str(SIMILARITY)).as_integer_ratio()
 BANDS, ROWS = 16, 4
 LEADER_ROUNDS = 3
 #: Marks of a text: bits of its shingles' residues, in so many 64-bit words.
@@ -143,7 +146,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     # the size of each set bounds the similarity, so most failing pairs are left before their sets meet
     both = F.size(F.array_intersect("of_a", "of_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), F.size("of_a").alias("na"), F.size("of_b").alias("nb")).filter(
-        F.col("both") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("both"))
+        WHOLE * F.col("both") >= PART * (F.col("na") + F.col("nb") - F.col("both"))
     ).select("a", "b")
 
 
@@ -166,7 +169,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = banded.groupBy("band").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).filter("lo != hi").select("band")
     buckets = scratch(banded.join(shared, "band"), "buckets")
     edges, roots, tried = None, None, None
-    sets = None
+    # of all texts in shared buckets; each text once, from the row with its smallest key
+    wanted = buckets.select("tid").distinct()
+    rows = members.join(wanted, "tid", "left_semi").groupBy("tid").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    rows = rows.select("tid", F.col("k.doc_id").alias("id_"), F.col("k.text_hash").alias("hash_"))
+    text = keyed(docs)
+    found = text.join(rows, text["doc_id"].eqNullSafe(F.col("id_")) & (text["text_hash"] == F.col("hash_"))).select("tid", "text")
+    sets = scratch(found.mapInArrow(_shingle_sets, "tid binary, shingles array<long>, " + ", ".join(f"{m} long" for m in MARKS)).dropDuplicates(["tid"]), "shingles")
     for turn in range(LEADER_ROUNDS + 1):
         rooted = buckets.withColumn("root", F.col("tid"))
         if roots is not None:
@@ -186,7 +195,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             # its marks that the other lacks is not shared; below this no pair reaches SIMILARITY
             lacks = lambda one, two: sum((F.bit_count(F.col(m + one).bitwiseAND(F.bitwise_not(F.col(m + two)))) for m in MARKS), F.lit(0))
             bound = F.least(F.col("most"), F.col("most_y"), F.col("n") - lacks("", "_y"), F.col("n_y") - lacks("_y", ""))
-            enough = bound * (1 + SIMILARITY) >= SIMILARITY * (F.col("n") + F.col("n_y"))
+            enough = bound * (PART + WHOLE) >= PART * (F.col("n") + F.col("n_y"))
             pairs = rest.join(other, (rest["band"] == other["band"]) & (F.col("tid") < F.col("y")) & (F.col("root") != F.col("root_y")) & enough).select(F.col("tid").alias("x"), "y")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
@@ -195,14 +204,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if sets is None:
-            # of all texts in shared buckets; each text once, from the row with its smallest key
-            wanted = buckets.select("tid").distinct()
-            rows = members.join(wanted, "tid", "left_semi").groupBy("tid").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-            rows = rows.select("tid", F.col("k.doc_id").alias("id_"), F.col("k.text_hash").alias("hash_"))
-            text = keyed(docs)
-            found = text.join(rows, text["doc_id"].eqNullSafe(F.col("id_")) & (text["text_hash"] == F.col("hash_"))).select("tid", "text")
-            sets = scratch(found.mapInArrow(_shingle_sets, "tid binary, shingles array<long>, " + ", ".join(f"{m} long" for m in MARKS)).dropDuplicates(["tid"]), "shingles")
         good = scratch(_verify(pairs, sets), "links")
         edges = good if edges is None else edges.unionByName(good)
         if not good.isEmpty():

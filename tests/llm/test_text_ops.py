@@ -54,6 +54,17 @@ def test_near_duplicates(spark, prose):
     assert [got[k] for k in range(len(texts))] == want
 
 
+def test_pairs_at_the_limit_in_the_last_round(spark, prose, monkeypatch):
+    # 28 shingles, and the same with 7 more: exactly 0.8
+    texts = []
+    for k in range(40):
+        w = prose(1000 + k, 41).split()
+        texts += [" ".join(w[:32]), " ".join(w[:39])]
+    monkeypatch.setattr(minhash, "LEADER_ROUNDS", 0)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(make_docs(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == [k - k % 2 for k in range(len(texts))]
+
+
 def test_deduplicate(spark, prose, odd):
     texts = [prose(1, 60), prose(2, 60), prose(1, 60) + " more", None, ""]
     docs = make_docs(spark, texts)
