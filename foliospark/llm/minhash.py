@@ -4,8 +4,10 @@ A text's words are its runs of letters and digits, lower-cased; its shingles are
 together, if fewer), weighted by 1 + log2 of their number in the text. Each shingle is a Poisson process whose rate
 is its weight; an arrival goes to one of M components, which keeps the earliest shingle. All shingles of a batch
 take their next arrival at once, and a shingle drops out when its arrival comes later than every component's
-earliest. Two texts agree on a component with the probability Jaccard of their weighted shingles. 16 bands of 4 make
-a candidate of a pair at similarity 0.8 with probability 0.9998.
+earliest. Two texts agree on a component with the probability Jaccard of their weighted shingles. Links are defined
+by plain sets, so a text that repeats shingles has bands by unit weights as well (in others both are the same): there
+two texts agree with the Jaccard similarity of their sets, and 16 bands of 4 make a candidate of a pair at similarity
+0.8 with probability 0.9998, however often lines repeat in either.
 
 A candidate is verified by the exact Jaccard similarity of the shingle sets. Not all pairs of a bucket are tried:
 texts with equal words are one text from the start; in each round every bucket that still holds texts of more than
@@ -84,25 +86,23 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column("text").to_pylist()
         tids: list[bytes | None] = [None] * len(texts)
-        keys = np.zeros((len(texts), BANDS), np.uint64)
-        group, elements, weights, size = [], [], [], 0
+        keys, rows = [np.zeros((0, BANDS), np.uint64)], np.zeros(len(texts), np.int64)
+        elements, weights, size = [], [], 0
         for i, text in enumerate(texts):
             if words := words_of(text):
                 tids[i] = xxhash.xxh3_128_digest(" ".join(words))
                 with np.errstate(over="ignore"):
                     values, counts = np.unique(grams(hash_words(words), SHINGLE), return_counts=True)
-                group.append(i)
-                elements.append(values)
-                weights.append(1 + np.log2(counts))
+                for w in [1 + np.log2(counts)] + [np.ones(len(counts))] * bool(counts.max() > 1):
+                    elements.append(values)
+                    weights.append(w)
+                    rows[i] += 1
                 size += len(words)
-            if group and (size > GROUP_WORDS or i == len(texts) - 1):
-                keys[group] = band_keys(prob_minhash(elements, weights))
-                group, elements, weights, size = [], [], [], 0
-        if group:
-            keys[group] = band_keys(prob_minhash(elements, weights))
-        has = np.array([t is not None for t in tids])
-        offsets = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
-        bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[has].reshape(-1).view(np.int64)))
+            if elements and (size > GROUP_WORDS or i == len(texts) - 1):
+                keys.append(band_keys(prob_minhash(elements, weights)))
+                elements, weights, size = [], [], 0
+        offsets = np.concatenate([[0], np.cumsum(rows * BANDS)]).astype(np.int32)
+        bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).reshape(-1).view(np.int64)))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(tids, pa.binary()), bands], names=["doc_id", "text_hash", "tid", "bands"])
 
 

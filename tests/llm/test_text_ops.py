@@ -54,6 +54,15 @@ def test_near_duplicates(spark, prose):
     assert [got[k] for k in range(len(texts))] == want
 
 
+def test_near_duplicates_with_repeated_lines(spark, prose):
+    texts = []
+    for k in range(12):
+        line = prose(1200 + k, 24)
+        texts += [f"{prose(1100 + k, 80)} {' '.join([line] * n)}" for n in (2, 400)]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(make_docs(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_classes(texts) == [k - k % 2 for k in range(len(texts))]
+
+
 def test_pairs_at_the_limit_in_the_last_round(spark, prose, monkeypatch):
     # 28 shingles, and the same with 7 more: exactly 0.8
     texts = []
