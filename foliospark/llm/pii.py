@@ -1,15 +1,15 @@
 r"""PII: patterns find personal data; corpus co-occurrence finds the terms that would give it away.
 
-An entity is the value of an email, ip, card or phone match. A term is a word of at least MIN_TERM letters within
-WINDOW words of an entity, outside all matches. Over the whole corpus, with N documents, n(t) holding the term,
-n(e) the entity and n(t, e) both near each other, the term's disclosure of e is
+An entity is the value of an email, ip, card or phone match. A term is a word of at least MIN_TERM letters outside all
+matches, anywhere in a document that holds the entity. Over the whole corpus, with N documents, n(t) holding the term,
+n(e) the entity and n(t, e) both, the term's disclosure of e is
 
     log2(N n(t, e) / (n(t) n(e))) / log2(N / n(e)),
 
 pointwise mutual information over the entity's information content: 1 if the term stands only where the entity
 does. Pairs seen in at least MIN_DOCS documents count. From GENERALISE on the term is replaced by a class
-([TERM]), from REMOVE on it is removed, in each document that holds the entity: elsewhere there is nothing of e
-to protect.
+([TERM]), from REMOVE on it is removed, wherever it stands in each document that holds the entity: elsewhere there is
+nothing of e to protect.
 
 Null and empty texts have no spans. Repeated rows count as so many documents and get equal results. Columns other
 than doc_id and text are not read by the search; `redact` carries them along. In an empty table nothing is found.
@@ -34,12 +34,11 @@ from foliospark.llm.common import keyed, scratch, small_batches
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "generalised", "removed")
 
-WINDOW = 6
 MIN_TERM = 3
 MIN_DOCS = 3
 GENERALISE = 0.8
 REMOVE = 0.95
-#: Up to so many candidate terms (some MB) are sent along with the counting tasks; beyond, all words are counted.
+#: Up to so many candidate terms or entities (some MB) are sent along with the counting tasks; beyond, all are counted.
 MAX_SENT_TERMS = 200_000
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -51,7 +50,7 @@ _DIGIT = re.compile(r"[0-9]")
 _TERM = re.compile(r"[^\W\d_]+")
 
 _SPANS = "array<struct<start:int,kind:int,stop:int>>"
-_NEAR = "array<struct<term:string,entity:string,start:int,stop:int>>"
+_TERMS = "array<struct<term:string,disclosure:double>>"
 
 
 def luhn(digits: str) -> bool:
@@ -89,37 +88,77 @@ def find_base(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(term, entity, start, stop) for the words around each span; words that touch any match are left out."""
-    out = []
-    for start, kind, stop in spans:
-        value = text[start:stop]
-        entity = f"{KINDS[kind]}:" + (value.lower() if kind < 2 else "".join(c for c in value if c.isdigit()))
-        # words before and after, in steps of a bounded stretch; a word cut by its edge is left out
-        lo, hi = max(0, start - 40 * WINDOW), min(len(text), stop + 40 * WINDOW)
-        before = [m for m in _TERM.finditer(text, lo, start) if lo == 0 or m.start() > lo][-WINDOW:]
-        after = [m for m in _TERM.finditer(text, stop, hi) if hi == len(text) or m.end() < hi][:WINDOW]
-        for m in before + after:
-            if m.end() - m.start() >= MIN_TERM and not any(a < m.end() and m.start() < b for a, _, b in spans if abs(a - m.start()) < 1000):
-                out.append((m[0].lower(), entity, m.start(), m.end()))
-    return out
+def entity_of(value: str, kind: int) -> str:
+    return f"{KINDS[kind]}:" + (value.lower() if kind < 2 else "".join(c for c in value if c.isdigit()))
+
+
+def outside_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, stop) for the words of a text; words that touch any of the sorted spans are left out."""
+    k, reach = 0, 0  # reach: how far the spans that start before the word's end go
+    for m in _TERM.finditer(text):
+        start, stop = m.span()
+        while k < len(spans) and spans[k][0] < stop:
+            reach = max(reach, spans[k][2])
+            k += 1
+        if start >= reach and stop - start >= MIN_TERM:
+            yield m[0].lower(), start, stop
+
+
+def _triples(base: list[dict]) -> list[tuple[int, int, int]]:
+    return [(x["start"], x["kind"], x["stop"]) for x in base]
 
 
 def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())])
-    nears = pa.struct([("term", pa.string()), ("entity", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
     for b in batches:
-        base, near = [], []
+        base, entities, kept = [], [], []
         for text in b.column("text").to_pylist():
             spans = find_base(text)
             base.append([{"start": s, "kind": k, "stop": e} for s, k, e in spans])
-            near.append([{"term": t, "entity": n, "start": s, "stop": e} for t, n, s, e in near_terms(text, spans)] if spans else [])
+            entities.append(sorted({entity_of(text[s:e], k) for s, k, e in spans}))
+            kept.append(text if spans else None)
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("text_hash"), pa.array(base, pa.list_(kinds)), pa.array(near, pa.list_(nears))],
-            names=["doc_id", "text_hash", "base", "near"],
+            [b.column("doc_id"), b.column("text_hash"), pa.array(base, pa.list_(kinds)), pa.array(entities, pa.list_(pa.string())), pa.array(kept, pa.string())],
+            names=["doc_id", "text_hash", "base", "entities", "text"],
         )
 
 
+def _pair_counter(entities: frozenset[str] | None):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[tuple[str, str]] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            terms, held = zip(*seen, strict=True) if seen else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(held, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "entity", "n"])
+
+        for b in batches:
+            for text, base, held in zip(*(b.column(c).to_pylist() for c in ("text", "base", "entities")), strict=True):
+                held = [e for e in held if entities is None or e in entities]
+                terms = {t for t, _, _ in outside_terms(text, _triples(base))} if held else ()
+                for e in held:
+                    seen.update((t, e) for t in terms)
+                    if len(seen) > MAX_SENT_TERMS:
+                        yield flush()
+                        seen.clear()
+        yield flush()
+
+    return count
+
+
+def _spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every occurrence of a document's telling terms."""
+    kinds = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())])
+    for b in batches:
+        extra = []
+        for text, base, telling in zip(*(b.column(c).to_pylist() for c in ("text", "base", "telling")), strict=True):
+            most: dict[str, float] = {}
+            for x in telling:
+                most[x["term"]] = max(x["disclosure"], most.get(x["term"], 0.0))
+            found = ((s, ALL_KINDS.index("removed" if most[t] >= REMOVE else "generalised"), e) for t, s, e in outside_terms(text, _triples(base)) if t in most)
+            extra.append([{"start": s, "kind": k, "stop": e} for s, k, e in found])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(extra, pa.list_(kinds))], names=["doc_id", "text_hash", "extra"])
+
+
 def _counter(terms: frozenset[str] | None):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -137,9 +176,9 @@ def _counter(terms: frozenset[str] | None):
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base spans and near terms of every document, written to the shared folder."""
+    """doc_id, text_hash, base spans and entities of every document, and the text of those that have any, written to the shared folder."""
     small_batches(docs.sparkSession)
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, base {_SPANS}, near {_NEAR}"
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, base {_SPANS}, entities array<string>, text string"
     return scratch(keyed(docs).mapInArrow(_detect, schema), "pii-base")
 
 
@@ -147,24 +186,33 @@ def disclosing_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, text_hash, extra: the spans of terms over the disclosure thresholds; one row for each such document."""
     spark = docs.sparkSession
     total = found.count()
-    near = found.filter(F.size("near") > 0).select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.*")
-    # n(t, e): each document counts a pair once, which near rows give without a shuffle of their own
-    once = found.filter(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["term"].alias("term"), x["entity"].alias("entity"))))).alias("p")).select("p.*")
-    pairs = scratch(once.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_pair")).filter(F.col("n_pair") >= MIN_DOCS), "pii-pairs")
-    entities = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= MIN_DOCS)
+    holding = found.filter(F.size("entities") > 0)
+    key = {"doc_id": dict(found.dtypes)["doc_id"], "text_hash": "long"}
+    schema = ", ".join(f"{c} {kind}" for c, kind in key.items()) + f", extra {_SPANS}"
+    entities = holding.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # no pair is in more documents than its entity
+    entities = scratch(entities.filter(F.col("n_entity") >= MIN_DOCS), "pii-entities")
+    sent = [r["entity"] for r in entities.select("entity").limit(MAX_SENT_TERMS + 1).collect()]
+    often = frozenset(sent) if len(sent) <= MAX_SENT_TERMS else None
+    # n(t, e): each document counts a pair once; tasks add up their own before the shuffle
+    counted = holding.select("text", "base", "entities").mapInArrow(_pair_counter(often), "term string, entity string, n long")
+    pairs = scratch(counted.groupBy("term", "entity").agg(F.sum("n").alias("n_pair")).filter(F.col("n_pair") >= MIN_DOCS), "pii-pairs")
     terms = pairs.select("term").distinct()
     sent = [r["term"] for r in terms.limit(MAX_SENT_TERMS + 1).collect()]
     words = frozenset(sent) if len(sent) <= MAX_SENT_TERMS else None
     if words is not None and not words:
-        return near.select("doc_id", "text_hash", F.expr(f"cast(null as {_SPANS})").alias("extra")).limit(0)
+        return spark.createDataFrame([], schema)
     counts = keyed(docs).select("text").mapInArrow(_counter(words), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     measured = pairs.join(counts, "term").join(entities, "entity")
     disclosure = F.log2(total * F.col("n_pair") / (F.col("n_term") * F.col("n_entity"))) / F.log2(total / F.col("n_entity"))
     telling = measured.filter(F.col("n_entity") < total).withColumn("disclosure", disclosure).filter(F.col("disclosure") >= GENERALISE)
     telling = scratch(telling.select("term", "entity", "disclosure"), "pii-telling")
-    kind = F.when(F.max("disclosure") >= REMOVE, ALL_KINDS.index("removed")).otherwise(ALL_KINDS.index("generalised"))
-    spans = near.join(telling, ["term", "entity"]).groupBy("doc_id", "text_hash", "start", "stop").agg(kind.cast("int").alias("kind"))
-    return spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop"))).alias("extra"))
+    by_entity = telling.groupBy("entity").agg(F.collect_list(F.struct("term", "disclosure")).alias("telling"))
+    held = holding.select("doc_id", "text_hash", F.explode("entities").alias("entity")).distinct().join(by_entity, "entity")
+    held = held.groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.flatten(F.collect_list("telling")).cast(_TERMS).alias("telling"))
+    texts = holding.join(held, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")))
+    spotted = texts.select("doc_id", "text_hash", "text", "base", "telling").mapInArrow(_spot, schema)
+    return spotted.filter(F.size("extra") > 0).dropDuplicates(["doc_id", "text_hash"])
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

@@ -54,6 +54,28 @@ def test_disclosing_terms(spark, prose):
     assert red[1].text == texts[1] and red[1].source == "src1"
 
 
+def test_disclosing_terms_far_from_the_match(spark, prose):
+    # the name in the first line, the address in the last, and the name once more after it
+    texts = [f"Zorblax {prose(k, 60)} write to boss@corp.com {prose(k + 500, 60)} zorblax" if k % 8 == 0 else prose(k, 120) for k in range(80)]
+    docs = make_docs(spark, [*texts, texts[0]])
+    got = {r.doc_id: r for r in pii.sanitise(docs).collect()}
+    for k in [*range(0, 80, 8), 80]:
+        text = texts[k % 80]
+        assert {0, len(text) - 7} <= {s.start for s in got[k].spans} and [s.kind for s in got[k].base] == [0]
+    assert "zorblax" not in " ".join(r.text.lower() for r in pii.redact(docs).collect())
+
+
+def test_terms_outside_matches():
+    import random
+
+    r = random.Random(4)
+    for _ in range(2000):
+        text = "".join(r.choice("abc de@.1+") for _ in range(40))
+        spans = pii.find_base(text)
+        want = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W\d_]+", text) if len(m[0]) >= 3 and not any(a < m.end() and m.start() < b for a, _, b in spans)]
+        assert list(pii.outside_terms(text, spans)) == want
+
+
 def test_digest(spark):
     docs = make_docs(spark, ["mail a@b.co or 10.0.0.1", None, ""])
     got = {r.doc_id: r for r in pii.digest(pii.sanitise(docs)).collect()}
