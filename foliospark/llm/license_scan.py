@@ -26,7 +26,9 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 
 #: (label, keyword, names as regex, versions). Rules are the product of names, versions and TEMPLATES.
 FAMILIES = (
-    ("mit", "mit", "mit|expat|x11", ("",)),
+    ("mit", "mit", "mit", ("",)),
+    ("mit", "expat", "expat", ("",)),
+    ("mit", "x11", "x11", ("",)),
     ("apache", "apache", "apache(?: software)?", ("1 0", "1 1", "2 0", "2")),
     ("gpl", "gpl", "gnu gpl|gpl", ("1", "2", "3", "2 0", "3 0")),
     ("gpl", "general public", "(?:gnu )?general public", ("1", "2", "3")),

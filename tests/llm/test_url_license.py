@@ -58,6 +58,18 @@ def test_scan_is_the_loop(spark, prose):
         assert got[k].labels == sorted({label for _, label in base} | {d[3] for d in kept})
 
 
+def test_keywords_lose_nothing(spark, monkeypatch):
+    texts = ["Licensed under the X11 License", "SPDX-License-Identifier: Expat", "the expat license, x11 licence and MIT license"]
+    names = [n for _, _, names, _ in L.FAMILIES for n in re.sub(r"\(\?:([^|)]*)[^)]*\)\??", r"\1", names).split("|")]
+    texts += [f"released under the {n} license. SPDX-License-Identifier: {n}" for n in names]
+    got = {r.doc_id: r for r in L.scan_licenses(make_docs(spark, texts)).collect()}
+    every = [(label, priority, confidence, "", rx) for label, priority, confidence, _, rx in L.rules()]
+    monkeypatch.setattr(L, "rules", lambda: every)
+    for k, t in enumerate(texts):
+        assert [(d.start, d.stop, d.label) for d in got[k].detections] == [(a, -z, label) for a, z, _, label, _ in dict.fromkeys(brute(t)[2])], t
+    assert [(got[k].labels, got[k].score) for k in range(2)] == [(["mit"], 0.95), (["mit"], 1.0)]
+
+
 def test_hundreds_of_rules_compile():
     rules = L.rules()
     assert len(rules) >= 200 and all(re.compile(r[4]) for r in rules) and json.dumps(rules)
