@@ -144,6 +144,33 @@ def test_contamination_by_a_frequent_part(spark, prose):
     assert {r.doc_id for r in decontaminate.contamination(make_docs(spark, texts), bench).collect()} == {7, *range(20, 60)}
 
 
+def test_contamination_by_edited_short_copies(spark, prose):
+    r = random.Random(8)
+    pairs, texts, items = set(), [], []
+    for k in range(60):
+        w = prose(2000 + k, r.randrange(4, 21)).split()
+        items.append(" ".join(w))
+        kind, copy = k % 4, list(w)
+        if kind < 2:  # every third or fourth word replaced
+            copy[2 + kind :: 3 + kind] = [f"q{k}q{j}" for j in range(len(copy[2 + kind :: 3 + kind]))]
+        elif kind == 2:  # a word put in after each
+            copy = [x for j, y in enumerate(w) for x in (y, f"q{k}q{j}")][:-1]
+        else:
+            for j in range(len(copy) // 3):
+                copy[r.randrange(len(copy))] = f"q{k}q{j}"
+        texts.append(f"{prose(3000 + k, 40)} {' '.join(copy)} {prose(4000 + k, 40)}")
+    items += ["zq1 zq2 zq3", "zq9"]
+    texts += ["a zq1 zq2 zq3 b", "a zq1 zq2 b", "zq9", "zq9 zq9x"]
+    number: dict[str, int] = {}
+    code = [[np.array([number.setdefault(x, len(number)) for x in words_of(t)]) for t in some] for some in (items, texts)]
+    for i, a in enumerate(code[0]):
+        best, _ = decontaminate.align([a] * len(texts), code[1])
+        pairs |= {(d, i) for d, x in enumerate(best.tolist()) if x >= (1 if len(a) >= 4 else 2) * len(a)}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contamination(make_docs(spark, texts), bench).collect()}
+    assert got == pairs and {(60, 60), (62, 61), (63, 61)} <= pairs and len(pairs) > 55
+
+
 def test_contamination_in_blocks(spark, prose, monkeypatch):
     items = [prose(900 + k, 40) for k in range(8)]
     docs = make_docs(spark, [prose(k, 50) + " " + items[k] for k in range(8)])
