@@ -1,24 +1,25 @@
 """SentencePiece encoding by sampling, and lossless decoding.
 
-A text is cut into chunks (a word with the space before it, a run of marks, a run of spaces, other white space). The
-lattice of a chunk has an edge for every piece of the vocabulary that stands in it; a character that is no piece has an
-edge of its UTF-8 bytes. Pieces do not cross chunks, so the lattice of a text is the chain of those of its chunks.
-An edge weighs (RANK0 + merge rank) ** -alpha. Forward filtering sums the weights of all ways to each position;
-backward sampling walks from the end and picks each edge in proportion to its share of that sum. Segmentations are thus
-drawn exactly in proportion to their weights. Draws come from a counter hash of the row key, the chunk's place and
-the step, so a row's pieces do not depend on partitions, batches or retries.
-
-Texts are coded in groups; the sums of each different chunk of a group are made once, for all chunks together. Decoding joins the bytes of the pieces; a literal U+2581 is
-always coded as bytes, so decoding gives the text back, byte for byte. Null texts have null pieces, empty ones none.
-Equal rows (id and text) are drawn alike. Columns other than doc_id and text are not read. Rows are coded one by
-one, so no key is hot.
+The lattice of a text has an edge for every piece of the vocabulary that stands in it; a character that is no piece has
+an edge of its UTF-8 bytes. An edge weighs (RANK0 + merge rank) ** -alpha: the model file holds ranks only, and by
+Zipf's law a piece's frequency is about in inverse proportion to its rank. Forward filtering sums the weights of all
+ways to each position, scaled on the way, so texts may be of any length; backward sampling walks from the end and picks each edge in
+proportion to its share of that sum (rounded to 2^-32). Segmentations are thus drawn in proportion to their weights.
+
+Where no piece holds both characters next to a border, no edge crosses it, so the lattice of a text is the chain of those between such
+borders, its chunks; nothing else is cut. Lattices of chunks are kept from batch to batch and forgotten as a
+whole when they get many. Draws come from a counter hash of the row key, the chunk's place and the step, so a
+row's pieces do not depend on partitions, batches or retries.
+
+Decoding joins the bytes of the pieces; a literal U+2581 is always coded as bytes, so decoding gives the text back, byte
+for byte. Null texts have null pieces, empty ones none. Equal rows (id and text) are drawn alike. Columns other than
+doc_id and text are not read. Rows are coded one by one, so no key is hot.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,20 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import small_batches
 from foliospark.llm.shingles import mix
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
-#: Chunks are cut at so many characters, as sums of longer ones would leave the range of doubles.
-CHUNK_CHARS = 48
-CHUNK = re.compile(rf" ?\w{{1,{CHUNK_CHARS}}}| ?[^\w\s]{{1,{CHUNK_CHARS}}}| {{1,16}}|\s")
 RANK0 = 20.0
 ALPHA = 1.0
-#: Texts of a batch are coded in groups of about so many characters.
+#: Texts of a batch are coded in groups of about so many characters, chunks of a group in blocks of so many.
 GROUP_CHARS = 500_000
+BLOCK_CHUNKS = 200_000
+#: Lattices are laid out for so many positions together (or one chunk), and kept until they have so many edges.
+LAYOUT_POSITIONS = 100_000
+#: After so many positions sums are scaled, to stay in the range of doubles.
+RESCALE = 8
+KEPT_EDGES = 6_000_000
+#: Slots of the table that tells beginnings of pieces from other strings.
+SLOTS = 1 << 21
 
 
 def default_model() -> str:
@@ -45,6 +51,13 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of all pairs, one after another."""
+    at = np.repeat(start - np.cumsum(size) + size, size)
+    at += np.arange(len(at))
+    return flat[at]
+
+
 class Vocabulary:
     """pieces: text of a piece, spaces in place of its markers -> (id, merge rank); of_byte: ids of the 256 bytes; raw: bytes by id."""
 
@@ -67,160 +80,256 @@ class Vocabulary:
                 self.raw.append(text.encode())
                 self.pieces[text] = (i, -p.get_score(i))
         self.longest = max(map(len, self.pieces))
+        self.digest = hashlib.sha256(repr((self.raw, self.of_byte, sorted(self.pieces.items()))).encode()).hexdigest()
+        self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.size = np.array([len(x) for x in self.raw], np.int64)
+        self.start = np.cumsum(self.size) - self.size
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.raw.__getitem__, ids)).decode()
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The bytes of many texts: counts ids each."""
+        size = self.size[ids]
+        data = gather(self.flat, self.start[ids], size)
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)].tolist()
+        return [data[a:z].tobytes() for a, z in zip([0, *ends], ends, strict=False)]
 
 
 class Sampler:
-    """Draws segmentations of many texts at once. The lattices of all different chunks are laid out in flat arrays: a
-    state is a chunk and a position after its start, edges are sorted by the state where they end."""
+    """Draws segmentations of many texts at once. A chunk has a state for its start and one for each character; an edge
+    belongs to the state where it ends. Edges of a state follow one another, the longest first, and carry the share of
+    that state's edges up to them, less one, in 2^-32."""
 
     def __init__(self, vocabulary: Vocabulary, alpha: float):
-        self.v = vocabulary
+        self.v = v = vocabulary
+        texts = list(v.pieces)
+        inner = sorted({ord(c) for t in texts if len(t) > 1 for c in t})
+        self.kind = np.zeros(0x110000, np.uint32)
+        self.kind[inner] = np.arange(1, len(inner) + 1)
+        self.kinds = len(inner) + 1
+        self.joined = np.zeros(self.kinds**2, bool)  # kinds of neighbours within a piece
+        pairs = np.array([(ord(a), ord(b)) for a, b in {p for t in texts for p in zip(t, t[1:], strict=False)}], np.int64).reshape(-1, 2)
+        self.joined[self.kind[pairs[:, 0]] * self.kinds + self.kind[pairs[:, 1]]] = True
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        lengths = np.array([len(t) for t in vocabulary.pieces])
-        texts = list(vocabulary.pieces)
+        lengths = np.array([len(t) for t in texts])
+        self.slot = np.zeros(SLOTS, np.uint8)  # 1: may begin a piece, 2: may be one
         with np.errstate(over="ignore"):
-            for n in range(1, min(vocabulary.longest, CHUNK_CHARS + 1) + 1):
+            for n in range(v.longest, 0, -1):
                 some = np.flatnonzero(lengths == n)
                 if len(some):
                     points = _points("".join(texts[k] for k in some)).reshape(-1, n)
                     h = np.zeros(len(some), np.uint64)
                     for k in range(n):
-                        h = h * _BASE + points[:, k]
+                        h = h * _BASE + points[:, k] + np.uint64(1)
+                        at = _slot(h)
+                        self.slot[at] = np.maximum(self.slot[at], 1 + (k == n - 1))
                     order = np.argsort(h)
-                    ids = np.array([vocabulary.pieces[texts[some[k]]][0] for k in order], np.int32)
-                    rank = np.array([vocabulary.pieces[texts[some[k]]][1] for k in order])
+                    ids = np.array([v.pieces[texts[some[k]]][0] for k in order], np.int32)
+                    rank = np.array([v.pieces[texts[some[k]]][1] for k in order])
                     self.by_length[n] = (h[order], ids, (RANK0 + rank) ** -alpha)
         self.byte_weight = (RANK0 + 40_000.0) ** -alpha
-        self.runs: list[tuple[int, ...]] = []  # codes from len(raw) on: several byte pieces
-        self.run_code: dict[int, int] = {}
+        # codes from len(raw) on: the byte pieces of a character; all codes' ids in one array
+        self.code_of: dict[int, int] = {}
+        self.ids = np.arange(len(v.raw), dtype=np.int32)
+        self.ids_size = np.ones(len(v.raw), np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted, and the chunk of each
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # by chunk: the state of its start, its characters
+        self.points = np.zeros(0, np.uint64)  # by state
+        self.edge = np.zeros(0, np.int32)  # by state: its first edge
+        self.share, self.code, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int8)  # by edge
 
     def byte_code(self, point: int) -> int:
         raw = chr(point).encode()
         if len(raw) == 1:
             return self.v.of_byte[raw[0]]
-        if point not in self.run_code:
-            self.run_code[point] = len(self.v.raw) + len(self.runs)
-            self.runs.append(tuple(self.v.of_byte[x] for x in raw))
-        return self.run_code[point]
-
-    def lattices(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
-        """keys, codes and states of origin of all edges, and the last state of each chunk. key is the rank of the state
-        where the edge ends plus the share of that state's edges up to it."""
-        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        points = _points("".join(chunks))
-        last = np.cumsum(size) - 1
-        offset = np.arange(len(points)) - np.repeat(last + 1 - size, size)  # from the chunk's start
+        if point not in self.code_of:
+            self.code_of[point] = len(self.ids_size)
+            self.ids = np.append(self.ids, np.array([self.v.of_byte[x] for x in raw], np.int32))
+            self.ids_size = np.append(self.ids_size, len(raw))
+        return self.code_of[point]
+
+    def lay_out(self, points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Lattices of some chunks; their numbers."""
+        base = len(self.points)
+        first = np.cumsum(size + 1) - size - 1
+        total = int((size + 1).sum())
+        flat = gather(points, begin, size)
+        offset = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        state = np.repeat(first + 1, size) + offset
         left = np.repeat(size, size) - offset
-        start, stop, code, weight = [], [], [], []
-        h = np.zeros(len(points), np.uint64)
-        at = np.arange(len(points))
-        for n in range(1, int(min(self.v.longest, size.max(initial=0))) + 1):
+        longest = int(min(self.v.longest, size.max()))
+        # columns: lengths, from the longest on
+        weight = np.zeros((total, longest))
+        code = np.full((total, longest), -1, np.int32)
+        h, at = np.zeros(len(flat), np.uint64), np.arange(len(flat))
+        for n in range(1, longest + 1):
             fit = left[at] >= n
             at, h = at[fit], h[fit]
-            h = h * _BASE + points[at + n - 1]
+            h = h * _BASE + flat[at + n - 1] + np.uint64(1)
+            slot = self.slot[_slot(h)]
+            at, h, slot = at[slot > 0], h[slot > 0], slot[slot > 0]
             if n in self.by_length:
                 table, ids, weights = self.by_length[n]
-                found = np.minimum(np.searchsorted(table, h), len(table) - 1)
-                hit = table[found] == h
-                start.append(at[hit])
-                stop.append(at[hit] + n - 1)
-                code.append(ids[found[hit]])
-                weight.append(weights[found[hit]])
-            if n == 1:
-                lone = at[~hit] if n in self.by_length else at
-                start.append(lone)
-                stop.append(lone)
-                code.append(np.array([self.byte_code(p - 1) for p in points[lone].tolist()], np.int32))
-                weight.append(np.full(len(lone), self.byte_weight))
-        start, stop, code, weight = map(np.concatenate, (start, stop, code, weight))
-        # forward filtering, all chunks together: ways to a position, in order of its distance from the chunk's start
-        order = np.argsort(offset[stop], kind="stable")
-        cuts = np.searchsorted(offset[stop][order], np.arange(int(size.max(initial=0)) + 1))
-        ways = np.zeros(len(points) + 1)
-        first = offset[start] == 0
-        origin = np.where(first, len(points), start - 1)
-        ways[-1] = 1.0
-        value = np.empty(len(start))
-        for a, z in zip(cuts, cuts[1:], strict=False):
-            e = order[a:z]
-            value[e] = ways[origin[e]] * weight[e]
-            np.add.at(ways, stop[e], value[e])
-        order = np.argsort(stop, kind="stable")
-        stop = stop[order]
-        share = value[order] / ways[stop]
-        sums = np.cumsum(share)
-        begins = np.flatnonzero(np.diff(stop, prepend=-1))
-        key = stop + sums - np.repeat(sums[begins] - share[begins], np.diff(np.append(begins, len(stop))))
-        ends = np.append(begins[1:], len(stop)) - 1
-        key[ends] = stop[ends] + 1.0
-        return key, code[order], np.where(first, -1, start - 1)[order], last
-
-    def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts together, and how many each has. seeds: uint64, one a text."""
-        found = [CHUNK.findall(t) for t in texts]
-        count = np.array([len(c) for c in found], np.int64)
-        every = list(chain.from_iterable(found))
-        del found
-        number = {c: k for k, c in enumerate(dict.fromkeys(every))}
-        n = len(every)
-        if not n:
-            return np.zeros(0, np.int32), count
-        chunk = np.fromiter(map(number.__getitem__, every), np.int64, n)
-        del every
-        text = np.repeat(np.arange(len(count)), count)
-        place = (np.arange(n) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            key, code, back, last = self.lattices(list(number))
-            state = last[chunk]
-            seed = mix(seeds[text] + (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-            who, steps = np.arange(n), []
-            while len(who):
-                u = (mix(seed + np.uint64(len(steps)) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(12)).astype(np.float64) / 2.0**52
-                edge = np.searchsorted(key, state + u, side="right")
-                steps.append((who, code[edge]))
-                state = back[edge]
-                go = state >= 0
-                who, state, seed = who[go], state[go], seed[go]
+                maybe = np.flatnonzero(slot == 2)
+                found = np.minimum(np.searchsorted(table, h[maybe]), len(table) - 1)
+                hit = table[found] == h[maybe]
+                stop = state[at[maybe[hit]]] + n - 1
+                weight[stop, longest - n] = weights[found[hit]]
+                code[stop, longest - n] = ids[found[hit]]
+        lone = np.flatnonzero(code[state, -1] < 0)
+        some, inverse = np.unique(flat[lone], return_inverse=True)
+        code[state[lone], -1] = np.array([self.byte_code(p) for p in some.tolist()], np.int32)[inverse]
+        weight[state[lone], -1] = self.byte_weight
+        # forward filtering, all chunks together, by the distance from the chunk's start
+        order = np.argsort(offset, kind="stable")
+        cuts = np.searchsorted(offset[order], np.arange(int(size.max()) + 1)).tolist()
+        ways = np.zeros(total)
+        ways[first] = 1.0
+        for d, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            s = state[order[a:z]]
+            near = min(longest, d + 1)
+            back = s[:, None] - np.arange(near, 0, -1)
+            sums = ways[back]
+            sums *= weight[s, longest - near :]
+            np.cumsum(sums, axis=1, out=sums)  # in order, so that shares do not depend on what is laid out together
+            ways[s] = sums[:, -1]
+            weight[s, longest - near :] = sums / sums[:, -1:]
+            if d % RESCALE == RESCALE - 1:
+                ways[back] /= sums[:, -1:]
+                ways[s] = 1.0
+        row, place = np.nonzero(code >= 0)
+        share = np.maximum(weight[row, place] * 2.0**32, 1.0) - 1.0
+        edges = np.bincount(row, minlength=total)
+        padded = np.zeros(total, np.uint64)
+        padded[state] = flat
+        self.edge = np.append(self.edge, (np.cumsum(edges) - edges + len(self.code)).astype(np.int32))
+        self.share, self.code = np.append(self.share, share.astype(np.uint32)), np.append(self.code, code[row, place])
+        self.length = np.append(self.length, (longest - place).astype(np.int8))
+        self.points = np.append(self.points, padded)
+        self.first, self.size = np.append(self.first, first + base), np.append(self.size, size)
+        return np.arange(len(self.first) - len(first), len(self.first))
+
+    def add(self, points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Lays out any number of chunks, a bounded number of positions at a time, short ones first."""
+        order = np.argsort(size, kind="stable")
+        begin, size = begin[order], size[order]
+        part = np.cumsum(size + 1) // LAYOUT_POSITIONS
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+        numbers = np.zeros(len(size), np.int64)
+        numbers[order] = np.concatenate([self.lay_out(points, begin[a:z], size[a:z]) for a, z in zip(edges, edges[1:], strict=False)])
+        return numbers
+
+    def chunks(self, points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The kept number of each chunk; those that are new get their lattice."""
+        if len(self.code) > KEPT_EDGES:
+            self.forget()
+        h = _chunk_hash(points, begin, size)
+        number = np.zeros(len(h), np.int64)
+        lacks = np.ones(len(h), bool)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            lacks, number = self.hashes[at] != h, self.numbers[at]
+        if lacks.any():
+            fresh, k, inverse = np.unique(h[lacks], return_index=True, return_inverse=True)
+            numbers = self.add(points, begin[lacks][k], size[lacks][k])
+            number[lacks] = numbers[inverse]
+            both, named = np.append(self.hashes, fresh), np.append(self.numbers, numbers)
+            order = np.argsort(both, kind="stable")
+            self.hashes, self.numbers = both[order], named[order]
+        # chunks of equal hash are compared; one that differs gets a lattice of its own
+        same = self.size[number] == size
+        sure = np.where(same, size, 0)
+        differs = gather(points, begin, sure) != gather(self.points, self.first[number] + 1, sure)
+        same[np.repeat(np.arange(len(size)), sure)[differs]] = False
+        if not same.all():
+            number[~same] = self.add(points, begin[~same], size[~same])
+        return number
+
+    def draw(self, points: np.ndarray, begin: np.ndarray, size: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all chunks together, and how many each has."""
+        n = len(begin)
+        number = self.chunks(points, begin, size)
+        first = self.first[number]
+        state, who, steps = first + self.size[number], np.arange(n), []
         made = np.zeros(n, np.int64)
-        for w, _ in steps:
-            made[w] += 1
+        while len(who):
+            u = (mix(seed + np.uint64(len(steps)) * _STEP) >> np.uint64(32)).astype(np.uint32)
+            edge = self.edge[state]
+            on = np.flatnonzero(u > self.share[edge])
+            while len(on):
+                edge[on] += 1
+                on = on[u[on] > self.share[edge[on]]]
+            steps.append((who, self.code[edge]))
+            made[who] += 1
+            state = state - self.length[edge]
+            go = state > first
+            who, state, seed, first = who[go], state[go], seed[go], first[go]
         end = np.cumsum(made)
         out = np.zeros(int(end[-1]), np.int32)
         for k, (w, c) in enumerate(steps):
             out[end[w] - 1 - k] = c
-        per_text = np.bincount(text, made, len(count)).astype(np.int64)
-        if out.max() >= len(self.v.raw):
-            wide = np.ones(len(self.v.raw) + len(self.runs), np.int64)
-            wide[len(self.v.raw) :] = [len(r) for r in self.runs]
-            size = wide[out]
-            of = np.repeat(np.arange(len(per_text)), per_text)
-            per_text = np.bincount(of, size, len(per_text)).astype(np.int64)
-            begin = np.cumsum(size) - size
-            full = np.repeat(out, size)
-            for at in np.flatnonzero(size > 1):
-                full[begin[at] : begin[at] + size[at]] = self.runs[out[at] - len(self.v.raw)]
-            out = full
-        return out, per_text
+        return out, made
+
+    def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts together, and how many each has. seeds: uint64, one a text."""
+        chars = np.array([len(t) for t in texts], np.int64)
+        points = _points("".join(texts))
+        if not len(points):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        stops = np.cumsum(chars)
+        kind = self.kind[points]
+        border = np.ones(len(points), bool)
+        border[1:] = ~self.joined[kind[:-1] * np.uint32(self.kinds) + kind[1:]]
+        border[(stops - chars)[chars > 0]] = True
+        begin = np.flatnonzero(border)
+        del kind, border
+        size = np.diff(np.append(begin, len(points)))
+        count = np.diff(np.searchsorted(begin, np.append(0, stops)))
+        text = np.repeat(np.arange(len(texts)), count)
+        place = (np.arange(len(begin)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+        parts, per_text = [], np.zeros(len(texts), np.int64)
+        with np.errstate(over="ignore"):
+            seed = mix(seeds[text] + (place + np.uint64(1)) * _BASE)
+            for a in range(0, len(begin), BLOCK_CHUNKS):
+                z = a + BLOCK_CHUNKS
+                codes, made = self.draw(points, begin[a:z], size[a:z], seed[a:z])
+                wide = self.ids_size[codes]
+                if (codes >= len(self.v.raw)).any():
+                    each = np.add.reduceat(wide, np.cumsum(made) - made)
+                    codes = gather(self.ids, (np.cumsum(self.ids_size) - self.ids_size)[codes], wide)
+                else:
+                    each = made
+                per_text += np.bincount(text[a:z], each, len(texts)).astype(np.int64)
+                parts.append(codes)
+        return np.concatenate(parts), per_text
 
 
 def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _chunk_hash(points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One hash for each of some chunks that follow one another."""
+    some = points[begin[0] : begin[-1] + size[-1]]
+    offset = (np.arange(len(some)) - np.repeat(begin - begin[0], size)).astype(np.uint64)
+    return mix(np.add.reduceat(mix(some * _BASE + offset * _STEP), begin - begin[0]))
 
 
-_kept: dict[tuple[int, float], Sampler] = {}
+_kept: dict[tuple[str, float], Sampler] = {}
 
 
 def _encoder(sent, alpha: float):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (sent.value.longest * 1_000_003 + len(sent.value.pieces), alpha)
+        key = (sent.value.digest, alpha)
         sampler = _kept.get(key)
         if sampler is None:
             _kept.clear()
             sampler = _kept[key] = Sampler(sent.value, alpha)
-        raw = sampler.v.raw
         for b in batches:
             texts, seeds = b.column("text").to_pylist(), b.column("seed").to_numpy().view(np.uint64)
             at = 0
@@ -231,11 +340,9 @@ def _encoder(sent, alpha: float):
                     z += 1
                 part = [t or "" for t in texts[at:z]]
                 ids, counts = sampler.sample(part, seeds[at:z])
-                ends = np.cumsum(counts)
-                listed = ids.tolist()
-                lossless = [b"".join(map(raw.__getitem__, listed[e - c : e])).decode() == t for t, e, c in zip(part, ends.tolist(), counts.tolist(), strict=True)]
+                lossless = [got == t.encode() for got, t in zip(sampler.v.decode(ids, counts), part, strict=True)]
                 nulls = np.array([t is None for t in texts[at:z]])
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.append(nulls, False))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.append(nulls, False))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(at, z - at), pa.array(np.where(nulls, 0, counts), pa.int64()), pa.array(lossless), pa.ListArray.from_arrays(offsets, pa.array(ids))],
                     names=["doc_id", "n_pieces", "lossless", "piece_ids"],
@@ -249,6 +356,7 @@ def encode(docs: DataFrame, model: str | None = None, alpha: float = ALPHA, seed
     """doc_id, n_pieces, lossless (decoding gave the text back), piece_ids of every document.
 
     model: path of a SentencePiece file, read on the driver; its pieces (some hundred KB) go along with the tasks.
+    alpha: 0 to 2; the larger, the more frequent pieces are preferred.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -264,6 +372,9 @@ def decode(coded: DataFrame, model: str | None = None) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(ids):
-        return ids.map(lambda x: sent.value.decode(list(x)), na_action="ignore")
+        own = ids.map(lambda x: [] if x is None else x)
+        flat = np.concatenate([np.asarray(x, np.int64) for x in own]) if len(own) else np.zeros(0, np.int64)
+        made = sent.value.decode(flat, np.array([len(x) for x in own], np.int64))
+        return ids.where(ids.isna(), [x.decode() for x in made])
 
     return coded.withColumn("text", text("piece_ids"))

@@ -267,6 +267,64 @@ def test_pieces_follow_the_weights():
     assert sum(got[x] for x, _ in every) == n and max(abs(got[x] / n - w / total) for x, w in every) < 0.015
 
 
+def marginals(v, text):
+    """Share of all segmentations' weight that has a border at each place, by plain sums in both directions."""
+    n, weight = len(text), lambda a, z: 1 / (pieces.RANK0 + v.pieces[text[a:z]][1]) if text[a:z] in v.pieces else 0.0
+    log = lambda x: np.log(x) if x else -np.inf
+    ahead, back = [0.0] + [-np.inf] * n, [-np.inf] * n + [0.0]
+    for z in range(1, n + 1):
+        for a in range(max(0, z - v.longest), z):
+            ahead[z] = np.logaddexp(ahead[z], ahead[a] + log(weight(a, z)))
+    for a in range(n - 1, -1, -1):
+        for z in range(a + 1, min(n, a + v.longest) + 1):
+            back[a] = np.logaddexp(back[a], back[z] + log(weight(a, z)))
+    return np.exp(np.array(ahead) + np.array(back) - ahead[n])
+
+
+def test_pieces_of_a_long_word_follow_the_weights():
+    v = pieces.Vocabulary(pieces.default_model())
+    s = pieces.Sampler(v, 1.0)
+    r = random.Random(6)
+    word = " " + "".join(r.choice(["in", "er", "at", "on", "es"]) for _ in range(250))
+    ids, counts = s.sample([word] * 4000, np.arange(4000, dtype=np.uint64))
+    assert s.size.tolist() == [501]  # a single lattice, cut nowhere
+    ends, borders = np.cumsum(counts), np.zeros(len(word) + 1)
+    for z, c in zip(ends, counts, strict=True):
+        borders[np.cumsum([0, *(len(v.raw[k]) for k in ids[z - c : z])])] += 1
+    assert np.abs(borders / 4000 - marginals(v, word)).max() < 0.04
+
+
+def test_borders_of_chunks_cut_no_piece():
+    v = pieces.Vocabulary(pieces.default_model())
+    s = pieces.Sampler(v, 1.0)
+    every = list(v.pieces)
+    s.sample(every, np.arange(len(every), dtype=np.uint64))
+    assert set(s.size.tolist()) >= set(map(len, every)) and len(s.first) == len(every)
+    whole = s.chunks(pieces._points("".join(every)), np.cumsum([0, *map(len, every[:-1])]), np.array(list(map(len, every))))
+    assert all(v.pieces[t][0] in s.code[s.edge[s.first[k] + len(t)] :][:1] for t, k in zip(every, whole, strict=True))
+
+
+def test_chunks_of_equal_hash_are_told_apart(monkeypatch):
+    v = pieces.Vocabulary(pieces.default_model())
+    texts = [" some words that stand here", "日本語 and others", "words"]
+    want = pieces.Sampler(v, 1.0).sample(texts, np.arange(3, dtype=np.uint64))
+    monkeypatch.setattr(pieces, "_chunk_hash", lambda points, begin, size: np.zeros(len(begin), np.uint64))
+    got = pieces.Sampler(v, 1.0).sample(texts, np.arange(3, dtype=np.uint64))
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+def test_pieces_do_not_depend_on_groups(monkeypatch, prose):
+    v = pieces.Vocabulary(pieces.default_model())
+    texts = [prose(k, 60) + "é漢 " + "ab" * 300 for k in range(30)]
+    seeds = np.arange(30, dtype=np.uint64)
+    want = pieces.Sampler(v, 1.0).sample(texts, seeds)
+    monkeypatch.setattr(pieces, "BLOCK_CHUNKS", 50)
+    monkeypatch.setattr(pieces, "LAYOUT_POSITIONS", 100)
+    monkeypatch.setattr(pieces, "KEPT_EDGES", 2000)
+    got = pieces.Sampler(v, 1.0).sample(texts, seeds)
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
 def test_pieces_odd_rows(spark, odd):
     assert pieces.encode(odd).filter("lossless").count() == 7 and pieces.encode(odd.limit(0)).count() == 0
 
