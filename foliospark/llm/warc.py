@@ -6,7 +6,8 @@ are tried on these, and what they reject is skipped: an uncompressed block is pa
 gzip member by the length that its "sl" extra field states (Annex D of the format), and inflated without being
 decoded only where there is no such field. With option payload=false no payload is decoded at all.
 
-Each partition is a set of whole files, so a lost task reads its files again. Archives that are cut off, or records
+Each partition is a set of whole files, so a lost task reads its files again; an archive is never split, as a payload may
+hold what looks like the start of a record. Archives that are cut off, or records
 without a version line, end their file with an error naming it.
 """
 
@@ -19,7 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from io import BytesIO
+from io import BufferedReader
 
 import pandas as pd
 import pyarrow as pa
@@ -36,6 +37,10 @@ SCHEMA = "record_id string, record_type string, target_uri string, warc_date str
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "warc_date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to", "content_type": "content-type"}
 PARTITION_BYTES = 32 << 20
 BATCH_BYTES = 4 << 20
+#: Bytes of an archive that are asked for at once; headers and short records are then read from memory.
+READ_BYTES = 256 << 10
+#: Pages with equal payloads are dealt over so many tasks.
+SALTS = 16
 #: Archives are given this date unless the caller has another, so that writing twice gives equal bytes.
 DATE = "2000-01-01T00:00:00Z"
 
@@ -185,7 +190,7 @@ class WarcReader(DataSourceReader):
         system, _ = open_fs(self.root)
         rows, size = [], 0
         for path in partition.paths:
-            with system.open_input_file(path) as raw:
+            with BufferedReader(system.open_input_file(path), READ_BYTES) as raw:
                 try:
                     for headers, block in records(raw, wanted, skip):
                         rows.append(self.row(headers, block))
@@ -285,7 +290,10 @@ def write_warc(pages: DataFrame, min_payload: int = 0, compress: bool = True) ->
     slim = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
     shared = slim.filter(F.col("n") >= min_payload).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     shared = scratch(shared.filter((F.col("copies") > 1) & F.col("first_id").isNotNull()).drop("copies"), "warc-shared")
-    revisits = slim.filter(F.col("n") >= min_payload).join(shared, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
+    # pages of one digest are dealt over SALTS tasks, and its row goes to each of them
+    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = slim.filter(F.col("n") >= min_payload).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    revisits = dealt.join(salted, ["digest", "salt"]).filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
     revisits = revisits.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), F.col("first_id").alias("refers_to")).distinct()
     whole = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     typed = whole.join(revisits, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")

@@ -46,6 +46,30 @@ def test_gradient():
     assert np.abs(got - w).max() < 0.2 and np.abs(cuts - theta).max() < 0.2
 
 
+def test_scores_are_those_of_the_definition(spark, labelled):
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.toxicity_ for r in toxicity.score(docs, model).collect()}
+    for r in docs.collect():
+        words = {*r.text.lower().split()}
+        own = {f for f in model.vocabulary if (f[1:] if f[0] == "^" else f) in {x for w in words for x in ([w] if f[0] != "^" else [w[:n] for n in (3, 4, 5) if len(w) > n])}}
+        eta = sum(model.weights[model.vocabulary[f]] for f in own)
+        above = [1 / (1 + np.exp(t - eta)) if own else 0.0 for t in model.thresholds]
+        x = got[r.doc_id]
+        assert abs(x.severity - sum(above)) < 1e-9 and abs(x.p_toxic - above[0]) < 1e-9 and x.toxic == (above[0] >= toxicity.REJECT)
+        assert x.grade == int(np.argmax(-np.diff([1.0, *above, 0.0])))
+
+
+def test_texts_without_features_are_clean(spark, labelled):
+    # even where most labels are toxic
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels.filter("toxic = 1 or doc_id < 40"))
+    texts = make_docs(spark, [None, "", " ... ", "unheard offwords"])
+    got = [r.toxicity_ for r in toxicity.score(texts, model).collect()]
+    assert [(x.severity, x.grade, x.p_toxic, x.toxic) for x in got] == [(0.0, 0, 0.0, False)] * 4
+    assert toxicity.drop_toxic(texts, labels.limit(0)).count() == 4
+
+
 def test_odd_labels(spark, labelled, odd):
     docs, labels = labelled
     assert toxicity.fit(docs, labels.filter("toxic = 0")) is None

@@ -54,7 +54,7 @@ def test_foreign_gzip_without_lengths(spark, tmp_path):
 
 def test_cut_off_archive_is_an_error(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(warc.encode_record({"WARC-Type": "resource"}, b"A" * 50, compress=False)[:60])
-    with pytest.raises(Exception, match="x.warc"):
+    with pytest.raises(Exception, match="x.warc: cut off in the block"):
         warc.read_warc(spark, str(tmp_path)).collect()
 
 
