@@ -1,19 +1,23 @@
 r"""PII: patterns find personal data; corpus co-occurrence finds the terms that would give it away.
 
-An entity is the value of an email, ip, card or phone match. A term is a word of at least MIN_TERM letters outside all
-matches, anywhere in a document that holds the entity. Over the whole corpus, with N documents, n(t) holding the term,
+An entity is the value of an email, ip, card or phone match. A term is a word of at least MIN_TERM letters that stands
+outside all matches of a document, lower-cased. Over the whole corpus, with N documents, n(t) holding the term,
 n(e) the entity and n(t, e) both, the term's disclosure of e is
 
     log2(N n(t, e) / (n(t) n(e))) / log2(N / n(e)),
 
 pointwise mutual information over the entity's information content: 1 if the term stands only where the entity
-does. Pairs seen in at least MIN_DOCS documents count. From GENERALISE on the term is replaced by a class
-([TERM]), from REMOVE on it is removed, wherever it stands in each document that holds the entity: elsewhere there is
-nothing of e to protect.
+does. Pairs seen in at least MIN_DOCS documents count. From GENERALISE on the term is replaced by its class (a word, a name or
+an acronym, by its letter case), from REMOVE on it is removed, wherever it stands in each document that holds the entity:
+elsewhere there is nothing of e to protect.
+
+Entities that stand in the same documents have the same disclosures, so they are counted as one: a list of addresses
+that is copied about is a single entity here. A document with k such groups and m terms makes k m pairs, added up in its
+task before they are shuffled. Up to MAX_SENT_TERMS candidate terms come to the driver, to be sent to the tasks that
+count terms; where there are more, these count all terms, with equal results. Nothing else is collected.
 
 Null and empty texts have no spans. Repeated rows count as so many documents and get equal results. Columns other
 than doc_id and text are not read by the search; `redact` carries them along. In an empty table nothing is found.
-Nothing is collected; pairs are counted before they are shuffled on.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ MIN_TERM = 3
 MIN_DOCS = 3
 GENERALISE = 0.8
 REMOVE = 0.95
-#: Up to so many candidate terms or entities (some MB) are sent along with the counting tasks; beyond, all are counted.
+#: Up to so many candidate terms (some MB) are sent along with the counting tasks; beyond, all are counted.
 MAX_SENT_TERMS = 200_000
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -123,26 +127,22 @@ def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _pair_counter(entities: frozenset[str] | None):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[tuple[str, str]] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            terms, held = zip(*seen, strict=True) if seen else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(held, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "entity", "n"])
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: Counter[tuple[str, str]] = Counter()
 
-        for b in batches:
-            for text, base, held in zip(*(b.column(c).to_pylist() for c in ("text", "base", "entities")), strict=True):
-                held = [e for e in held if entities is None or e in entities]
-                terms = {t for t, _, _ in outside_terms(text, _triples(base))} if held else ()
-                for e in held:
-                    seen.update((t, e) for t in terms)
-                    if len(seen) > MAX_SENT_TERMS:
-                        yield flush()
-                        seen.clear()
-        yield flush()
+    def flush() -> pa.RecordBatch:
+        terms, held = zip(*seen, strict=True) if seen else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(held, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "entity", "n"])
 
-    return count
+    for b in batches:
+        for text, base, held in zip(*(b.column(c).to_pylist() for c in ("text", "base", "held")), strict=True):
+            terms = {t for t, _, _ in outside_terms(text, _triples(base))}
+            for e in held:
+                seen.update((t, e) for t in terms)
+                if len(seen) > MAX_SENT_TERMS:
+                    yield flush()
+                    seen.clear()
+    yield flush()
 
 
 def _spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +165,8 @@ def _counter(terms: frozenset[str] | None):
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
         for b in batches:
             for text in b.column("text").to_pylist():
-                words = set(_TERM.findall(text.lower()))
-                seen.update(words & terms if terms is not None else (w for w in words if len(w) >= MIN_TERM))
+                words = {t for t, _, _ in outside_terms(text, find_base(text))}
+                seen.update(words & terms if terms is not None else words)
             if len(seen) > MAX_SENT_TERMS:
                 yield flush()
                 seen.clear()
@@ -182,36 +182,47 @@ def detect(docs: DataFrame) -> DataFrame:
     return scratch(keyed(docs).mapInArrow(_detect, schema), "pii-base")
 
 
-def disclosing_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, text_hash, extra: the spans of terms over the disclosure thresholds; one row for each such document."""
-    spark = docs.sparkSession
+def entity_groups(found: DataFrame) -> DataFrame:
+    """entity, group (an entity that stands in the same documents, the same for all of these) and n_entity (documents) of
+    entities in at least MIN_DOCS documents."""
+    of_doc = [F.xxhash64("doc_id", "text_hash", F.lit(k)).cast("decimal(20,0)") for k in (0, 1)]
+    rows = found.select(F.explode("entities").alias("entity"), of_doc[0].alias("h0"), of_doc[1].alias("h1"))
+    # the sums of two hashes over its documents stand for the set of them
+    every = rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.sum("h0").alias("s0"), F.sum("h1").alias("s1"))
+    every = scratch(every.filter(F.col("n_entity") >= MIN_DOCS), "pii-entities")
+    same = every.groupBy("n_entity", "s0", "s1").agg(F.min("entity").alias("group"))
+    return scratch(every.join(same, ["n_entity", "s0", "s1"]).select("entity", "group", "n_entity"), "pii-groups")
+
+
+def disclosures(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, entity, n_pair, n_term, n_entity, disclosure) of all pairs in at least MIN_DOCS documents, one entity of each
+    group; and the texts, spans and groups (held) of the documents that hold any."""
     total = found.count()
-    holding = found.filter(F.size("entities") > 0)
-    key = {"doc_id": dict(found.dtypes)["doc_id"], "text_hash": "long"}
-    schema = ", ".join(f"{c} {kind}" for c, kind in key.items()) + f", extra {_SPANS}"
-    entities = holding.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # no pair is in more documents than its entity
-    entities = scratch(entities.filter(F.col("n_entity") >= MIN_DOCS), "pii-entities")
-    sent = [r["entity"] for r in entities.select("entity").limit(MAX_SENT_TERMS + 1).collect()]
-    often = frozenset(sent) if len(sent) <= MAX_SENT_TERMS else None
+    groups = entity_groups(found)
+    held = found.select("doc_id", "text_hash", F.explode("entities").alias("entity")).join(groups, "entity")
+    held = scratch(held.groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.sort_array(F.collect_set("group")).alias("held")), "pii-held")
+    texts = found.join(held, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))).select("doc_id", "text_hash", "text", "base", "held")
     # n(t, e): each document counts a pair once; tasks add up their own before the shuffle
-    counted = holding.select("text", "base", "entities").mapInArrow(_pair_counter(often), "term string, entity string, n long")
+    counted = texts.select("text", "base", "held").mapInArrow(_count_pairs, "term string, entity string, n long")
     pairs = scratch(counted.groupBy("term", "entity").agg(F.sum("n").alias("n_pair")).filter(F.col("n_pair") >= MIN_DOCS), "pii-pairs")
-    terms = pairs.select("term").distinct()
-    sent = [r["term"] for r in terms.limit(MAX_SENT_TERMS + 1).collect()]
+    sent = [r["term"] for r in pairs.select("term").distinct().limit(MAX_SENT_TERMS + 1).collect()]
     words = frozenset(sent) if len(sent) <= MAX_SENT_TERMS else None
-    if words is not None and not words:
-        return spark.createDataFrame([], schema)
     counts = keyed(docs).select("text").mapInArrow(_counter(words), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    measured = pairs.join(counts, "term").join(entities, "entity")
+    sizes = groups.filter(F.col("entity") == F.col("group")).select("entity", "n_entity")
     disclosure = F.log2(total * F.col("n_pair") / (F.col("n_term") * F.col("n_entity"))) / F.log2(total / F.col("n_entity"))
-    telling = measured.filter(F.col("n_entity") < total).withColumn("disclosure", disclosure).filter(F.col("disclosure") >= GENERALISE)
-    telling = scratch(telling.select("term", "entity", "disclosure"), "pii-telling")
+    return pairs.join(counts, "term").join(sizes, "entity").filter(F.col("n_entity") < total).withColumn("disclosure", disclosure), texts
+
+
+def disclosing_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, text_hash, extra: the spans of terms over the disclosure thresholds; one row for each such document."""
+    schema = f"doc_id {dict(found.dtypes)['doc_id']}, text_hash long, extra {_SPANS}"
+    measured, texts = disclosures(docs, found)
+    telling = scratch(measured.filter(F.col("disclosure") >= GENERALISE).select("term", "entity", "disclosure"), "pii-telling")
     by_entity = telling.groupBy("entity").agg(F.collect_list(F.struct("term", "disclosure")).alias("telling"))
-    held = holding.select("doc_id", "text_hash", F.explode("entities").alias("entity")).distinct().join(by_entity, "entity")
-    held = held.groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.flatten(F.collect_list("telling")).cast(_TERMS).alias("telling"))
-    texts = holding.join(held, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")))
-    spotted = texts.select("doc_id", "text_hash", "text", "base", "telling").mapInArrow(_spot, schema)
+    asked = texts.select("doc_id", "text_hash", F.explode("held").alias("entity")).distinct().join(by_entity, "entity")
+    asked = asked.groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.flatten(F.collect_list("telling")).cast(_TERMS).alias("telling"))
+    wanted = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")))
+    spotted = wanted.select("doc_id", "text_hash", "text", "base", "telling").mapInArrow(_spot, schema)
     return spotted.filter(F.size("extra") > 0).dropDuplicates(["doc_id", "text_hash"])
 
 
@@ -227,13 +238,18 @@ def sanitise(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "text_hash", "base", F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "extra"))).alias("spans"))
 
 
+def class_of(term: str) -> str:
+    """What a generalised term is replaced by."""
+    return "[ACRONYM]" if term.isupper() and len(term) <= 5 else "[NAME]" if term[:1].isupper() else "[WORD]"
+
+
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     """Overlapping spans are masked as one, under the name of the first."""
     parts, at = [], 0
     for start, kind, stop in sorted(spans):
         if start >= at:
             name = ALL_KINDS[kind]
-            parts += [text[at:start], {"removed": "", "generalised": "[TERM]"}.get(name, f"[{name.upper()}]")]
+            parts += [text[at:start], "" if name == "removed" else class_of(text[start:stop]) if name == "generalised" else f"[{name.upper()}]"]
         at = max(at, stop)
     return "".join([*parts, text[at:]])
 

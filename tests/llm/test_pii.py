@@ -1,6 +1,10 @@
 import hashlib
+import random
 import re
+import time
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from foliospark.llm import pii
@@ -65,6 +69,69 @@ def test_disclosing_terms_far_from_the_match(spark, prose):
     assert "zorblax" not in " ".join(r.text.lower() for r in pii.redact(docs).collect())
 
 
+def brute_disclosures(texts):
+    """(term, entity) -> disclosure by the definition, of pairs in MIN_DOCS documents."""
+    docs = []
+    for text in texts:
+        spans = plain_base(text)
+        docs.append(({pii.entity_of(text[a:z], k) for a, k, z in spans}, {m[0].lower() for m in re.finditer(r"[^\W\d_]+", text) if len(m[0]) >= 3 and not any(a < m.end() and m.start() < z for a, _, z in spans)}))
+    n, out = len(docs), {}
+    for e in {e for es, _ in docs for e in es}:
+        of_e = [ts for es, ts in docs if e in es]
+        for t in {t for ts in of_e for t in ts}:
+            both, single = sum(t in ts for ts in of_e), sum(t in ts for _, ts in docs)
+            if both >= pii.MIN_DOCS and len(of_e) < n:
+                out[t, e] = np.log2(n * both / (single * len(of_e))) / np.log2(n / len(of_e))
+    return out
+
+
+@pytest.mark.parametrize("sent", [200_000, 1])
+def test_disclosures_are_those_of_the_definition(spark, prose, monkeypatch, sent):
+    monkeypatch.setattr(pii, "MAX_SENT_TERMS", sent)
+    r = random.Random(11)
+    names = ["İstanbul", "Zorblax", "Quux", "boss", "ΟΔΟΣ", "ßtraße"]
+    texts = []
+    for k in range(60):
+        t = prose(k, 12).split()
+        for j in range(4):
+            if r.random() < 0.4:
+                t.insert(r.randrange(len(t)), f"boss{j}@corp.com")
+                t.insert(r.randrange(len(t)), names[j] if r.random() < 0.9 else names[-1])
+        if k % 10 == 0:
+            t += ["a@b.co", "c@d.eu", "Quartett"]
+        texts.append(" ".join(t))
+    docs = make_docs(spark, texts)
+    found = pii.detect(docs)
+    want = brute_disclosures(texts)
+    group = {r.entity: r.group for r in pii.entity_groups(found).collect()}
+    assert group["email:c@d.eu"] == group["email:a@b.co"] == "email:a@b.co"
+    got = {(r.term, r.entity): r.disclosure for r in pii.disclosures(docs, found)[0].collect()}
+    assert got.keys() == {(t, group[e]) for t, e in want} and all(abs(got[t, group[e]] - x) < 1e-9 for (t, e), x in want.items())
+    for row in pii.sanitise(docs).collect():
+        text = texts[row.doc_id]
+        held = {group.get(pii.entity_of(text[a:z], k)) for a, k, z in plain_base(text)}
+        most = {}
+        for t, s, e in pii.outside_terms(text, plain_base(text)):
+            top = max((want.get((t, x), 0) for x in held), default=0)
+            if top >= pii.GENERALISE:
+                most[s, e] = "removed" if top >= pii.REMOVE else "generalised"
+        assert {(x.start, x.stop): pii.ALL_KINDS[x.kind] for x in row.spans if x.kind > 3} == most
+
+
+def test_very_many_entities_in_one_text(spark):
+    text = " ".join(f"user{k}@host{k % 7}.org word{chr(97 + k % 26)}" for k in range(40_000))
+    docs = make_docs(spark, [text, text, text, "short", "other"])
+    began = time.time()
+    got = {r.doc_id: r for r in pii.digest(pii.sanitise(docs)).collect()}
+    assert got[0].n_email == 40_000 and got[0].spans == got[2].spans and got[4].spans == ""
+    assert time.time() - began < 60
+
+
+def test_generalised_terms_keep_their_class():
+    spans = [(0, 4, 4), (5, 4, 12), (13, 4, 17), (18, 5, 22)]
+    assert pii.mask("ACME Zorblax word gone", spans) == "[ACRONYM] [NAME] [WORD] "
+
+
 def test_terms_outside_matches():
     import random
 
