@@ -8,8 +8,9 @@ ways and are pruned again where a point has too many. A query runs a beam search
 shards find is ranked by the exact inner product in double precision.
 
 Equal vectors are indexed once with their k + 1 smallest ids: no answer can need more, as ties go to smaller
-ids. Queries are dealt in blocks of QUERY_BLOCK, so a task holds one shard and one block. Every query searches every
-shard; a corpus of N vectors makes N / SHARD shards, so take shards as large as a task can hold.
+ids. Queries are dealt in blocks of QUERY_BLOCK, so a task holds one shard and one block, and a shard's graph goes to one
+task for each block. Every query searches every shard, so shards grow with the square root of the corpus, as far as a
+task holds (SHARD to MAX_SHARD): with 100 million vectors there are 1,526 shards and 153 blocks of queries.
 
 Vectors that are null, zero, or hold a null or non-finite component, and rows without an id, take no part. Repeated
 rows count once; of different vectors with one id each is a candidate, and the smallest is the query. Vectors of
@@ -26,12 +27,16 @@ from pyspark.sql import Window
 
 from foliospark.llm.common import scratch
 
-SHARD = 4096
+SHARD, MAX_SHARD = 4096, 65_536
+#: Vectors of a shard for each unit of the corpus' square root.
+SHARD_GROWTH = 16
 DEGREE = 32
 BUILD_BEAM = 64
 BEAM = 96
 RELAX = 1.2
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 32_768
+#: Queries of a block that step through a graph together.
+TOGETHER = 1024
 BATCH = 512
 #: Of the beam, so many points are expanded at a time.
 WIDTH = 4
@@ -164,7 +169,8 @@ def _search_shard(k: int, beam: int):
             # the nearest by distance are those of largest inner product whatever the query's length; scaling helps float32
             scale = np.sqrt(norm.max()) / np.maximum(np.sqrt((q * q).sum(1)), 1e-300)
             asked = np.concatenate([q * scale[:, None], np.zeros((len(q), 1))], axis=1).astype(np.float32)
-            ids, _ = beam_search(x, _matrix(index.column("edges"), np.int64), asked, index.column("start")[0].as_py(), max(beam, k + 1))
+            edges, start = _matrix(index.column("edges"), np.int64), index.column("start")[0].as_py()
+            ids = np.concatenate([beam_search(x, edges, asked[a : a + TOGETHER], start, max(beam, k + 1))[0] for a in range(0, len(asked), TOGETHER)])
             names = index.column("ids").to_pylist()
             for i, own in enumerate(queries.column("vec_id").to_pylist()):
                 some = ids[i][ids[i] >= 0]
@@ -186,13 +192,14 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.size("embedding").alias("dim")).distinct()
 
 
-def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD) -> DataFrame:
+def build_index(vectors: DataFrame, k: int, shard_rows: int | None = None) -> DataFrame:
     """shard, dim, node, ids, embedding, edges, start: every vector that takes part, written to the shared folder."""
     rows = usable(vectors)
     # the limit on row_number is tried in each task before rows are shuffled, so a vector with many ids is not gathered
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("dim", "embedding").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
     once = scratch(ranked.groupBy("dim", "embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
-    shards = max(1, round(once.count() / shard_rows))
+    n = once.count()
+    shards = max(1, round(n / (shard_rows or min(MAX_SHARD, max(SHARD, SHARD_GROWTH * n**0.5)))))
     dealt = once.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int"))
     kind = dict(once.dtypes)["embedding"]
     schema = f"shard int, dim int, node int, ids array<long>, embedding {kind}, edges array<int>, start int"

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,17 +18,39 @@ WORD = re.compile(r"\w+")
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares between driver and executors (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests on one machine, a temporary folder is made and set.
+    Only where a session on one machine names none, as in tests, a temporary folder is made and set.
     """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="foliospark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/foliospark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/foliospark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch folders made inside, once what was computed from them has been written elsewhere."""
+    before = len(_made)
+    yield
+    for path in _made[before:]:
+        remove(spark, path)
+    del _made[before:]
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
@@ -38,7 +62,10 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches that Python workers get to a few MB, however long the rows are."""
+    """Keep the Arrow batches that Python workers get to a few MB, however long the rows are.
+
+    These stay set, as Spark reads them only when a returned DataFrame runs.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 

@@ -1,7 +1,7 @@
 """License scan in DataFrame functions alone: ordered signature rules over the words of each text.
 
-A text's words are brought to one normal form (lower case, one space between words). A cheap test for any rule
-keyword gates the work; each rule has a keyword of its own that must stand in the text before its regex is tried.
+A text's words are brought to one normal form (lower case, one space between words). A cheap test for a few words, of
+which each rule has one, gates the work; each rule has a keyword of its own that must stand in the text before its regex is tried.
 Detections are word intervals. One that lies within another is dropped; of equal intervals the one of the rule
 with the smaller priority number stays. All of it happens inside the row, so nothing is shuffled and no key can be hot.
 
@@ -83,11 +83,101 @@ SENTENCES = (
     ("proprietary", 50, 0.6, "proprietary", "proprietary and confidential|confidential and proprietary"),
     ("public-domain", 50, 0.6, "public domain", "(?:released |placed )?(?:in|into|to) the public domain"),
 )
+#: Further sentences by license, written by hand from the license texts; the words before the first group are the keyword.
+SIGNATURES = {
+    "mit": ("to deal in the software without restriction", "the software is provided as is without warranty of any kind express or implied", "in no event shall the authors or copyright holders be liable for any claim"),
+    "apache": (
+        "you may not use this file except in compliance with the license", "unless required by applicable law or agreed to in writing software distributed under the license",
+        "see the license for the specific language governing permissions and limitations", "terms and conditions for use reproduction and distribution",
+        "each contributor hereby grants to you a perpetual worldwide non exclusive", "this product includes software developed by the apache (?:group|software foundation)", "licensed to the apache software foundation asf",
+    ),
+    "gpl": (
+        "either version (?:2|3)(?: 0)? of the license or(?: at your option)? any later version", "this program is distributed in the hope that it will be useful",
+        "you should have received a copy of the gnu general public license", "the gnu general public license is a free copyleft license", "www gnu org licenses gpl",
+    ),
+    "lgpl": ("this library is free software you can redistribute it and or modify it", "you should have received a copy of the gnu (?:lesser|library) general public license", "a program that contains no derivative of any portion of the library but is designed to work with the library", "www gnu org licenses lgpl"),
+    "agpl": ("you should have received a copy of the gnu affero general public license", "if your software can interact with users remotely through a computer network", "www gnu org licenses agpl"),
+    "gfdl": ("permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gnu free documentation license"),
+    "bsd": (
+        "redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice",
+        "neither the name of (?:[^ ]+ ){1,12}nor the names of its contributors", "all advertising materials mentioning features or use of this software must display", "this software is provided by the (?:copyright holders and contributors|regents and contributors|author) as is",
+    ),
+    "isc": ("the software is provided as is and the author disclaims all warranties", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
+    "hpnd": ("permission to use copy modify distribute and sell this software and its documentation for any purpose", "permission to use copy modify and distribute this software and its documentation for any purpose"),
+    "mpl": ("this source code form is subject to the terms of the mozilla public license", "the contents of this file are subject to the mozilla public license", "incompatible with secondary licenses", "mozilla org mpl"),
+    "epl": ("this program and the accompanying materials are made available under the terms of the eclipse", "the accompanying program is provided under the terms of this eclipse public license", "www eclipse org legal epl"),
+    "cddl": ("the contents of this file are subject to the terms of the common development and distribution license", "common development and distribution license cddl"),
+    "cpl": ("the accompanying program is provided under the terms of this common public license", "ibm public license"),
+    "zlib": ("the origin of this software must not be misrepresented", "altered source versions must be plainly marked as such", "this software is provided as is without any express or implied warranty"),
+    "boost": ("permission is hereby granted free of charge to any person or organization obtaining a copy", "www boost org license 1 0 txt"),
+    "unlicense": ("this is free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    "wtfpl": ("do what the fuck you want to public licen[sc]e", "you just do what the fuck you want to"),
+    "cc0": ("the person who associated a work with this deed has dedicated the work to the public domain", "creativecommons org publicdomain zero", "cc0 1 0 universal"),
+    "cc-by": ("creativecommons org licenses by [0-9] [0-9]", "this work is licensed under a creative commons attribution [0-9] [0-9]"),
+    "cc-by-sa": ("creativecommons org licenses by sa", "cc by sa"),
+    "cc-by-nc": ("creativecommons org licenses by nc [0-9]", "cc by nc [0-9]"),
+    "cc-by-nd": ("creativecommons org licenses by nd", "cc by nd"),
+    "cc-by-nc-sa": ("creativecommons org licenses by nc sa", "cc by nc sa"),
+    "cc-by-nc-nd": ("creativecommons org licenses by nc nd", "cc by nc nd"),
+    "odbl": ("open database license", "opendatacommons org licenses odbl"),
+    "odc-by": ("open data commons attribution license", "opendatacommons org licenses by"),
+    "ofl": ("this font software is licensed under the sil open font license", "the font software may not be sold by itself", "scripts sil org ofl"),
+    "eupl": ("licensed under the eupl", "european union public licence"),
+    "artistic": ("the intent of this document is to state the conditions under which a package may be copied", "this package is free software you can redistribute it under the same terms as perl"),
+    "python": ("psf license agreement for python", "psf is making python available to licensee on an as is basis"),
+    "php": ("this product includes php software freely available from", "the name php must not be used to endorse or promote"),
+    "postgresql": ("permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement",),
+    "openssl": ("this product includes software developed by the openssl project", "this product includes cryptographic software written by eric young"),
+    "ncsa": ("university of illinois ncsa open source license",),
+    "w3c": ("w3c software notice and license", "w3c software and document"),
+    "ms-pl": ("microsoft limited public license",),
+    "ms-rl": ("microsoft reciprocal license",),
+    "ruby": ("you may make and give away verbatim copies of the source form of the software without restriction",),
+    "sspl": ("server side public license",),
+    "busl": ("business source license", "the change license is"),
+    "elastic": ("elastic license",),
+    "commons-clause": ("commons clause license condition",),
+    "json": ("the software shall be used for good not evil",),
+    "beerware": ("the beer ware license", "as long as you retain this notice you can do whatever you want with this stuff"),
+    "freetype": ("the freetype project license", "portions of this software are copyright (?:[^ ]+ ){0,4}the freetype project"),
+    "ijg": ("this software is based in part on the work of the independent jpeg group",),
+    "unicode": ("unicode license agreement data files and software",),
+    "lppl": ("latex project public license", "this work has the lppl maintenance status"),
+    "qpl": ("the q public license",),
+    "zope": ("zope public license",),
+    "sleepycat": ("redistributions in any form must be accompanied by information on how to obtain complete source code",),
+    "cecill": ("licence de logiciel libre cecill", "cecill free software license"),
+    "mulan": ("mulan permissive software license",),
+    "openldap": ("openldap public license",),
+    "upl": ("universal permissive license",),
+    "ecl": ("educational community license",),
+    "proprietary": (
+        "unauthorized copying of this file", "this software is the confidential and proprietary information of", "you shall not disclose such confidential information",
+        "may not be reproduced or distributed without (?:the |our )?(?:prior |express )?written (?:permission|consent)", "end user license agreement", "for evaluation purposes only", "this software contains trade secrets",
+    ),
+}
+
+
+def keyword_of(regex: str) -> str:
+    """The words that stand plainly at the start of a regex."""
+    plain = regex[: min((regex.find(c) for c in "([{?*+|\\" if c in regex), default=len(regex))]
+    return plain.rstrip() if plain == regex or plain.endswith(" ") else plain
+
+
+def heads(keywords: list[str]) -> list[str]:
+    """A few words of which each keyword holds one, chosen greedily."""
+    chosen, left = [], sorted(set(keywords))
+    while left:
+        words = sorted({w for k in left for w in k.split()} | {"licen"})
+        best = max(words, key=lambda w: (sum(w in k for k in left) * (len(w) >= 5), len(w), w))
+        chosen.append(best)
+        left = [k for k in left if best not in k]
+    return chosen
 
 
 def rules() -> list[tuple[str, int, float, str, str]]:
     """(label, priority, confidence, keyword, regex), most specific first; a few hundred in all."""
-    made = [*SENTENCES]
+    made = [*SENTENCES, *((label, 7, 0.9, keyword_of(x), x) for label, own in SIGNATURES.items() for x in own)]
     for (label, keyword, names, versions), (priority, confidence, template) in product(FAMILIES, TEMPLATES):
         for v in versions if "$V" in template else ("",):
             if not v and "$V" in template:
@@ -158,9 +248,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     rule_array = _rule_array(every)
     upper, lower = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # every rule but the sentences has the word license; a sentence has the longest word of its keyword
-    heads = sorted({max(r[3].split(), key=len) for r in SENTENCES} | {"licen"})
-    any_head = reduce(or_, (F.contains(F.lower("text"), F.lit(h)) for h in heads))
+    # every rule made from a family has the word license
+    first = heads([r[3] for r in every if r[1] not in {t[0] for t in TEMPLATES}] + ["licen"])
+    any_head = reduce(or_, (F.contains(F.lower("text"), F.lit(h)) for h in first))
     # split is many times faster than regexp_count; as letters are not lowered yet, A-Z belong to words here
     n_words = F.size(F.array_remove(F.split("text", BETWEEN.replace("\\x60", "\\x40\\x5B-\\x60")), ""))
     counted = text.select("doc_id", n_words.cast("long").alias("n_words"), F.when(any_head, F.translate("text", upper, lower)).alias("low"))

@@ -14,7 +14,7 @@ texts with equal words are one text from the start; in each round every bucket t
 one class picks a leader, and the texts of other classes are verified against it. After LEADER_ROUNDS rounds, the
 pairs across classes that are left and were not yet tried are tried all, so no link within a bucket is lost; of
 these only such pairs are left out as cannot be similar, because too many shingles of one of them occur in no other text
-or leave a mark that the other text lacks.
+or leave a mark that the other text lacks. Large buckets are dealt into cells then, so that no task has one alone.
 
 Null and empty texts, and those without a word, are classes of their own. Equal rows are of one class. Ties: a
 class is named by its smallest doc_id (null only if it has no other). Columns other than doc_id and text are not read.
@@ -40,6 +40,8 @@ SIMILARITY = 0.8
 PART, WHOLE = Fraction(str(SIMILARITY)).as_integer_ratio()
 BANDS, ROWS = 16, 4
 LEADER_ROUNDS = 3
+#: Texts of a cell: what is left of larger buckets in the last round is dealt into several.
+CELL = 1000
 #: Marks of a text: bits of its shingles' residues, in so many 64-bit words.
 WORDS = 16
 MARKS = [f"mark{w}" for w in range(WORDS)]
@@ -189,14 +191,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("band")
             rest = rooted.join(mixed, "band")
             most = scratch(_most_shared(rest.select("tid").distinct(), sets), "most-shared")
-            rest = rest.join(most, "tid")
-            other = rest.select("band", F.col("tid").alias("y"), F.col("root").alias("root_y"), F.col("n").alias("n_y"), F.col("most").alias("most_y"), *[F.col(m).alias(f"{m}_y") for m in MARKS])
+            # whoever has a similar text at all shares SIMILARITY of its own shingles with others
+            rest = rest.join(most, "tid").filter(F.col("most") * WHOLE >= F.col("n") * PART)
+            # texts of a large bucket are dealt into cells, and each pair of cells is a task's work
+            cells = rest.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("cells"))
+            rest = rest.join(cells, "band").withColumn("own", F.pmod(F.xxhash64("tid"), F.col("cells")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+            rest = scratch(rest.drop("cells"), "rest")
+            other = rest.select(F.col("band").alias("band_y"), F.col("own").alias("own_y"), F.col("with").alias("with_y"), F.col("tid").alias("y"), F.col("root").alias("root_y"), F.col("n").alias("n_y"), F.col("most").alias("most_y"), *[F.col(m).alias(f"{m}_y") for m in MARKS])
             # a pair shares no more than either has in common with any, and at least one shingle of a text for each of
             # its marks that the other lacks is not shared; below this no pair reaches SIMILARITY
             lacks = lambda one, two: sum((F.bit_count(F.col(m + one).bitwiseAND(F.bitwise_not(F.col(m + two)))) for m in MARKS), F.lit(0))
             bound = F.least(F.col("most"), F.col("most_y"), F.col("n") - lacks("", "_y"), F.col("n_y") - lacks("_y", ""))
             enough = bound * (PART + WHOLE) >= PART * (F.col("n") + F.col("n_y"))
-            pairs = rest.join(other, (rest["band"] == other["band"]) & (F.col("tid") < F.col("y")) & (F.col("root") != F.col("root_y")) & enough).select(F.col("tid").alias("x"), "y")
+            cell = (F.col("band") == F.col("band_y")) & (F.col("own") == F.col("with_y")) & (F.col("with") == F.col("own_y"))
+            pairs = rest.join(other, cell & (F.col("tid") < F.col("y")) & (F.col("root") != F.col("root_y")) & enough).select(F.col("tid").alias("x"), "y")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,14 +71,21 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_pii, op2_warc, op3_url_filter, op4_toxicity, op5_probminhash, op6_ann, op7_license_scan, op8_sentencepiece, op9_decontamination, op10_repeats)
-    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in found}
 
 
-def _term_sql(terms: tuple[str, ...]) -> str:
-    return " + ".join(f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT" for t in terms)
+_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _hits_sql(terms: tuple[str, ...]) -> str:
+def _term_sql(terms: Iterable[str], times: Callable[[str], int] = lambda t: 1) -> str:
+    return " + ".join(f"{times(t)} * regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT" for t in terms)
+
+
+def _weight_sql(terms: dict[str, int]) -> str:
+    return _term_sql(terms, terms.__getitem__)
+
+
+def _hits_sql(terms: Iterable[str]) -> str:
     # a separator between two hits belongs to both, so each hit is looked for with its separators doubled
     return " + ".join(f"len(regexp_extract_all(wide, '(?:^|[^a-z0-9]){t}(?:[^a-z0-9]|$)'))" for t in terms)
 
@@ -100,15 +106,16 @@ FROM d
 
 OP3_SQL = f"""
 WITH u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
-      lower(coalesce(url, '')) AS low, regexp_replace(lower(coalesce(url, '')), '([^a-z0-9])', '\\1\\1', 'g') AS wide FROM u),
+p AS (SELECT page_id, {_LOWER_SQL.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+      {_LOWER_SQL.format("coalesce(url, '')")} AS low, regexp_replace({_LOWER_SQL.format("coalesce(url, '')")}, '([^a-z0-9])', '\\1\\1', 'g') AS wide FROM u),
 r(r_verdict, r_host, r_path) AS (VALUES {", ".join(map(str, URL_RULES))}),
 m AS (SELECT p.*, (SELECT max_by({{'rule': r_host || r_path, 'verdict': r_verdict}}, length(r_host || r_path)) FROM r
       WHERE (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)) AS best FROM p),
-c AS (SELECT *, ({_hits_sql(url_filter.STRICT)})::INT AS strict_hits, ({_hits_sql(url_filter.SOFT)})::INT AS soft_hits, ({_term_sql(url_filter.SOFT)})::INT AS soft_distinct FROM m)
+c AS (SELECT *, ({_hits_sql(url_filter.STRICT)})::INT AS strict_hits, ({_hits_sql(url_filter.SOFT)})::INT AS soft_hits, ({_term_sql(url_filter.SOFT)})::INT AS soft_distinct,
+      ({_weight_sql(url_filter.STRICT)}) + ({_weight_sql(url_filter.SOFT)}) AS hundredths FROM m)
 SELECT page_id, host, path, best.rule AS rule,
   coalesce(best.verdict, CASE WHEN strict_hits > 0 OR soft_distinct >= {url_filter.MIN_SOFT} THEN 'block' ELSE 'allow' END) AS verdict,
-  strict_hits, soft_hits, soft_distinct, strict_hits + soft_distinct / {url_filter.MIN_SOFT}.0::DOUBLE AS weight
+  strict_hits, soft_hits, soft_distinct, hundredths / 100.0::DOUBLE AS weight
 FROM c
 """
 

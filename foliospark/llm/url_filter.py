@@ -1,8 +1,9 @@
 """URL filter: host and path rules, then a weighted vocabulary found by one Aho-Corasick automaton.
 
-The automaton runs over the lower-cased url and counts strict and soft terms; a hit counts only where neither
-neighbour is a letter or digit. A url is blocked on one strict hit or on `min_soft` distinct soft terms. A rule
-that fits decides before the vocabulary does.
+The automaton runs over the url, A-Z lower-cased, and counts strict and soft terms; a hit counts only where neither
+neighbour is one of a-z and 0-9. A url is blocked on one strict hit or on `min_soft` distinct soft terms. Each term has a
+weight of its own, and a url weighs what its distinct terms do together; weights rank urls for review and
+do not change the verdict. A rule that fits decides before the vocabulary does.
 
 Rows are judged one by one, so no key or hot host matters. Null urls and urls without "://" have an empty host
 and path, fit no rule, and are judged by the vocabulary alone (null: no hit, allowed). Repeated rows give
@@ -12,18 +13,42 @@ then replaces them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Weights: a strict term alone reaches the limit, soft terms add up.
-STRICT = ("spam", "porn", "xxx", "casino", "viagra", "warez", "malware", "phishing", "escort", "torrent")
-SOFT = ("farm", "bet", "bonus", "free", "win", "cheap", "click", "loan", "pills", "adult", "dating", "poker", "deal", "ref")
+def _weights(text: str) -> dict[str, int]:
+    """'100 a b 80 c' -> {a: 100, b: 100, c: 80}"""
+    out: dict[str, int] = {}
+    weight = 0
+    for word in text.split():
+        if word.isdigit():
+            weight = int(word)
+        else:
+            out[word] = weight
+    return out
+
+
+#: Terms and their weights in hundredths; further ones come as a file (read_vocabulary).
+STRICT = _weights("""
+100 porn porno xxx hentai camgirl camgirls escort escorts hardcore milf nudes sexcam sexshop
+100 malware phishing keylogger ransomware botnet carding fullz cvv
+90 casino casinos viagra cialis levitra tramadol xanax payday warez keygen crackz nulled
+80 spam spammer torrent torrents sportsbook slots roulette blackjack bookmaker replica linkfarm
+""")
+SOFT = _weights("""
+60 adult dating poker betting gambling jackpot lottery pharmacy pills steroids webcam
+50 bet bets bonus loan loans forex bitcoin crypto wager lotto singles hookup
+40 cheap discount coupon coupons deal deals offer offers promo rebate voucher
+30 farm free win winner click clicks download downloads crack serial mirror proxy
+20 ref affiliate referral popup redirect track tracker utm sponsor sponsored
+""")
 MIN_SOFT = 2
 
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 RESULT = "host string, path string, rule string, verdict string, strict_hits int, soft_hits int, soft_distinct int, weight double"
 
@@ -39,31 +64,38 @@ def split_url(url: str | None) -> tuple[str, str]:
     return rest[:stop].translate(_LOWER), tail[:end]
 
 
-def automaton(strict: Sequence[str], soft: Sequence[str]) -> ahocorasick.Automaton:
+def read_vocabulary(path: str) -> tuple[dict[str, int], dict[str, int]]:
+    """Strict and soft terms of a text file with lines 'term kind hundredths', kept on the driver; a list of terms is small."""
+    found: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    with open(path, encoding="utf-8") as lines:
+        for term, kind, weight in (line.split() for line in lines if line.strip()):
+            found[kind != "strict"][term] = int(weight)
+    return found
+
+
+def automaton(strict: Iterable[str], soft: Iterable[str]) -> ahocorasick.Automaton:
+    """Terms without a weight of their own weigh 100 (strict) or 50 (soft)."""
     found = ahocorasick.Automaton()
-    for kind, terms in (("soft", soft), ("strict", strict)):
+    for kind, terms, usual in (("soft", soft, 50), ("strict", strict, 100)):
         for t in terms:
-            found.add_word(t, (kind, t))
+            found.add_word(t, (kind, t, terms[t] if isinstance(terms, Mapping) else usual))
     if len(found):
         found.make_automaton()
     return found
 
 
-def count_terms(found: ahocorasick.Automaton, url: str | None) -> tuple[int, int, int]:
-    """Strict hits, soft hits, distinct soft terms."""
-    if not url or not len(found):
-        return 0, 0, 0
-    low, strict, soft, terms = url.translate(_LOWER), 0, 0, set()
-    for last, (kind, term) in found.iter(low):
-        first = last - len(term) + 1
-        if (first and low[first - 1].isalnum()) or (last + 1 < len(low) and low[last + 1].isalnum()):
-            continue
-        if kind == "strict":
-            strict += 1
-        else:
-            soft += 1
-            terms.add(term)
-    return strict, soft, len(terms)
+def count_terms(found: ahocorasick.Automaton, url: str | None) -> tuple[int, int, int, float]:
+    """Strict hits, soft hits, distinct soft terms, weight of all distinct terms."""
+    hits = {"strict": 0, "soft": 0}
+    terms: dict[str, tuple[str, int]] = {}
+    if url and len(found):
+        low = url.translate(_LOWER)
+        for last, (kind, term, weight) in found.iter(low):
+            first = last - len(term) + 1
+            if not ((first and low[first - 1] in _LETTERS) or (last + 1 < len(low) and low[last + 1] in _LETTERS)):
+                hits[kind] += 1
+                terms[term] = (kind, weight)
+    return hits["strict"], hits["soft"], sum(k == "soft" for k, _ in terms.values()), sum(w for _, w in terms.values()) / 100
 
 
 def rule_table(rules: Sequence[tuple[str, str, str]]) -> dict[str, list[tuple[int, str, str]]]:
@@ -89,14 +121,14 @@ def match_rule(by_host: dict, host: str, path: str) -> tuple[str | None, str | N
 def filter_urls(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]] = (),
-    strict: Sequence[str] = STRICT,
-    soft: Sequence[str] = SOFT,
+    strict: Iterable[str] = STRICT,
+    soft: Iterable[str] = SOFT,
     min_soft: int = MIN_SOFT,
     url_col: str = "url",
 ) -> DataFrame:
     """pages with host, path, rule, verdict (allow or block), hit counts and weight.
 
-    rules: (allow or block, host, path). weight: 1 for a strict term and 1 / min_soft for each distinct soft one.
+    rules: (allow or block, host, path). strict, soft: terms, or terms and their weights in hundredths.
     """
     by_host, cache = rule_table(rules), {}
 
@@ -107,9 +139,9 @@ def filter_urls(
         for url in urls:
             host, path = split_url(url)
             rule, verdict = match_rule(by_host, host, path)
-            n_strict, n_soft, distinct = count_terms(found, url)
+            n_strict, n_soft, distinct, weight = count_terms(found, url)
             own = "block" if n_strict or distinct >= min_soft else "allow"
-            rows.append((host, path, rule, verdict or own, n_strict, n_soft, distinct, n_strict + distinct / min_soft))
+            rows.append((host, path, rule, verdict or own, n_strict, n_soft, distinct, weight))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
 
     names = [x.split()[0] for x in RESULT.split(", ")]

@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -20,6 +21,23 @@ def test_rules(spark):
     assert got == [("example.org/es/", "block"), ("example.org/en/1", "block"), ("org/", "allow"), (None, "allow"), ("com/fr/", "allow"), ("com/de/", "block"), (None, "block"), (None, "block"), (None, "allow"), (None, "allow"), (None, "allow")]
 
 
+def test_terms_are_counted_by_the_definition(spark, tmp_path):
+    r = random.Random(4)
+    bits = [*list(U.STRICT)[:6], *list(U.SOFT)[:12], "x", "É", "9", "WIN", "Bets"]
+    urls = ["http://a.net/" + "".join(r.choice(bits) + r.choice(["", "-", ".", "/", "é", "_", "7"]) for _ in range(8)) for _ in range(400)]
+    for row in U.filter_urls(spark.createDataFrame([(u,) for u in urls], "url string")).collect():
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), row.url)
+        hits = {t: len(re.findall(f"(?<![a-z0-9]){t}(?![a-z0-9])", low)) for t in U.STRICT | U.SOFT}
+        strict, soft = (sum(hits[t] for t in terms) for terms in (U.STRICT, U.SOFT))
+        distinct = sum(hits[t] > 0 for t in U.SOFT)
+        assert (row.strict_hits, row.soft_hits, row.soft_distinct) == (strict, soft, distinct), row.url
+        assert row.verdict == ("block" if strict or distinct >= 2 else "allow")
+        assert abs(row.weight - sum(w for t, w in (U.STRICT | U.SOFT).items() if hits[t]) / 100) < 1e-9
+    (tmp_path / "terms").write_text("badterm strict 70\n\nmeh soft 10\n")
+    assert U.read_vocabulary(str(tmp_path / "terms")) == ({"badterm": 70}, {"meh": 10})
+    assert U.filter_urls(spark.createDataFrame([("u://badterm",)], "url string"), (), *U.read_vocabulary(str(tmp_path / "terms"))).first().weight == 0.7
+
+
 def test_clashing_columns_and_empty(spark):
     df = spark.createDataFrame([("http://a.org/", "mine", 1)], "url string, host string, weight int")
     assert U.filter_urls(df).first().host == "a.org"
@@ -75,6 +93,14 @@ def test_hundreds_of_rules_compile():
     assert len(rules) >= 200 and all(re.compile(r[4]) for r in rules) and json.dumps(rules)
 
 
+def test_each_signature_finds_its_sentence(spark):
+    lines = [(label, re.sub(r"\(\?:([^|()]*)(?:\|[^()]*)?\)(?:\?|\{[0-9,]+\})?", r"\1", rx).replace("[^ ]+", "somebody").replace("  ", " ").strip()) for label, rxs in L.SIGNATURES.items() for rx in rxs]
+    assert len(lines) >= 100
+    got = {r.doc_id: r for r in L.scan_licenses(make_docs(spark, [f"Some words. {t.capitalize()}; and more" for _, t in lines])).collect()}
+    for k, (label, text) in enumerate(lines):
+        assert label in got[k].labels, (label, text)
+
+
 def test_odd_rows(spark, odd, tmp_path):
     got = L.scan_licenses(odd)
     assert got.count() == 7 and got.filter(F.size("labels") > 0).count() == 0 and L.scan_licenses(odd.limit(0)).count() == 0
