@@ -164,15 +164,16 @@ def keyword_of(regex: str) -> str:
     return plain.rstrip() if plain == regex or plain.endswith(" ") else plain
 
 
-def heads(keywords: list[str]) -> list[str]:
-    """A few words of which each keyword holds one, chosen greedily."""
-    chosen, left = [], sorted(set(keywords))
+def heads(keywords: list[str]) -> tuple[list[str], list[str]]:
+    """A few long words, chosen greedily, and the keywords that have none of five letters: each keyword holds one of either."""
+    long = lambda k: {w for w in k.split() if len(w) >= 5}
+    chosen, left = [], sorted(k for k in set(keywords) if long(k))
     while left:
-        words = sorted({w for k in left for w in k.split()} | {"licen"})
-        best = max(words, key=lambda w: (sum(w in k for k in left) * (len(w) >= 5), len(w), w))
+        words = set().union(*map(long, left))
+        best = max(words, key=lambda w: (sum(w in k for k in left), len(w), w))
         chosen.append(best)
         left = [k for k in left if best not in k]
-    return chosen
+    return chosen, sorted(k for k in set(keywords) if not long(k))
 
 
 def rules() -> list[tuple[str, int, float, str, str]]:
@@ -249,8 +250,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     upper, lower = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # every rule made from a family has the word license
-    first = heads([r[3] for r in every if r[1] not in {t[0] for t in TEMPLATES}] + ["licen"])
-    any_head = reduce(or_, (F.contains(F.lower("text"), F.lit(h)) for h in first))
+    words, phrases = heads([r[3] for r in every if r[1] not in {t[0] for t in TEMPLATES}] + ["licen"])
+    low = F.lower("text")
+    any_head = reduce(or_, [*(F.contains(low, F.lit(h)) for h in words), *(low.rlike(BETWEEN.join(p.split())) for p in phrases)])
     # split is many times faster than regexp_count; as letters are not lowered yet, A-Z belong to words here
     n_words = F.size(F.array_remove(F.split("text", BETWEEN.replace("\\x60", "\\x40\\x5B-\\x60")), ""))
     counted = text.select("doc_id", n_words.cast("long").alias("n_words"), F.when(any_head, F.translate("text", upper, lower)).alias("low"))
