@@ -5,7 +5,7 @@ Known brokers and alias groups are plain values, a hundred at most; they become
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,6 +40,11 @@ def _lookup(values: Mapping[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[key]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once for a row however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?i)\.pdf$", "")
 
@@ -89,29 +94,37 @@ def is_complete_date(date: Column) -> Column:
 
 def parse_code(name: Column, date: Column, aliases: Mapping[str, str]) -> Column:
     """Four digits that start a token and are neither a year nor a date, else a word of two to eight Latin letters."""
-    tokens = filename_tokens(name)
-    dated = F.substring(date, 1, 4).cast("int")
-
-    def four(t: Column, i: Column) -> Column:
-        head = F.substring(t, 1, 4)
-        follows = F.coalesce(F.get(tokens, i + 1).startswith("年"), F.lit(False))
-        year = F.coalesce(head.rlike("^(19|20)") & (F.abs(head.cast("int") - dated) <= 5), F.lit(False))
-        return t.rlike("^[0-9]{4}") & ~t.rlike("^[0-9]{6,8}|^[0-9]{4}年") & ~follows & ~year
-
-    number = F.substring(F.get(F.filter(tokens, four), 0), 1, 4)
     known = list(aliases)
     word = lambda t: F.upper(t).rlike("^[A-Z]{2,8}$") & ~F.upper(t).isin("PDF", "KY") & ~(F.lower(t).isin(*known) if known else F.lit(False))
-    return F.coalesce(number, F.upper(F.get(F.filter(tokens, word), 0)))
+
+    def of(x: Column) -> Column:
+        tokens, dated = x["tokens"], x["dated"]
+
+        def four(t: Column, i: Column) -> Column:
+            head = F.substring(t, 1, 4)
+            follows = F.coalesce(F.get(tokens, i + 1).startswith("年"), F.lit(False))
+            year = F.coalesce(head.rlike("^(19|20)") & (F.abs(head.cast("int") - dated) <= 5), F.lit(False))
+            return t.rlike("^[0-9]{4}") & ~t.rlike("^[0-9]{6,8}|^[0-9]{4}年") & ~follows & ~year
+
+        number = F.substring(F.get(F.filter(tokens, four), 0), 1, 4)
+        return F.coalesce(number, F.upper(F.get(F.filter(tokens, word), 0)))
+
+    return bound(F.struct(filename_tokens(name).alias("tokens"), F.substring(date, 1, 4).cast("int").alias("dated")), of)
 
 
 def segments(name: Column) -> Column:
     """struct(mark, parts): the parts between _, else | or ｜, else -, whichever first gives two."""
-    t = stem(name)
-    split = lambda p: F.filter(F.transform(F.split(t, p), lambda s: F.trim(s)), lambda s: s != "")
-    under, pipe, dash = split("_"), split("[|｜]"), split("-")
-    pack = lambda m, p: F.struct(F.lit(m).alias("mark"), p.alias("parts"))
-    nothing = F.struct(F.lit(None).cast("string").alias("mark"), F.expr("cast(array() as array<string>)").alias("parts"))
-    return F.when(F.size(under) >= 2, pack("_", under)).when(F.size(pipe) >= 2, pack("|", pipe)).when(F.size(dash) >= 2, pack("-", dash)).otherwise(nothing)
+    split = lambda p: lambda t: F.filter(F.transform(F.split(t, p), lambda s: F.trim(s)), lambda s: s != "")
+    ways = [("_", split("_")), ("|", split("[|｜]")), ("-", split("-"))]
+    pack = lambda m, parts: F.struct(F.lit(m).cast("string").alias("mark"), parts.alias("parts"))
+
+    def cut(t: Column, left: list) -> Column:
+        if not left:
+            return pack(None, F.expr("cast(array() as array<string>)"))
+        (mark, parts), rest = left[0], left[1:]
+        return bound(parts(t), lambda p: F.when(F.size(p) >= 2, pack(mark, p)).otherwise(cut(t, rest)))
+
+    return bound(stem(name), lambda t: cut(t, ways))
 
 
 def broker_prefix_match(name: Column, known: Sequence[str], aliases: Mapping[str, str]) -> Column:
@@ -125,19 +138,21 @@ def broker_prefix_match(name: Column, known: Sequence[str], aliases: Mapping[str
 def broker_letters_date(segment: Column, known: Sequence[str], aliases: Mapping[str, str]) -> Column:
     """Two to eight letters and a date written together: an alias of the letters, else a known upper-case name."""
     letters = _found(segment, r"^([A-Za-z]{2,8})\+?[0-9]{6,8}$")
-    return F.coalesce(_lookup(aliases, F.lower(letters)), F.when(F.upper(letters).isin(*known), F.upper(letters)))
+    return bound(letters, lambda x: F.coalesce(_lookup(aliases, F.lower(x)), F.when(F.upper(x).isin(*known), F.upper(x))))
 
 
 def broker_contains_match(segment: Column, known: Sequence[str]) -> Column:
     """The first broker that the segment holds; or the segment, if that broker's name holds it."""
     names = F.array(*map(F.lit, known))
     first = F.get(F.filter(names, lambda b: segment.contains(b) | b.contains(segment)), 0)
-    return F.when(segment.contains(first), first).when(first.isNotNull(), segment)
+    return bound(first, lambda b: F.when(segment.contains(b), b).when(b.isNotNull(), segment))
 
 
 def parse_broker(name: Column, known: Sequence[str], aliases: Mapping[str, str]) -> Column:
-    cut = segments(name)
-    mark, parts = cut["mark"], cut["parts"]
+    return bound(segments(name), lambda cut: _broker(name, cut["mark"], cut["parts"], known, aliases))
+
+
+def _broker(name: Column, mark: Column, parts: Column, known: Sequence[str], aliases: Mapping[str, str]) -> Column:
     n = F.size(parts)
     last, first = F.get(parts, n - 1), F.get(parts, 0)
     annual = (

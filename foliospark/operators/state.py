@@ -72,22 +72,36 @@ def parse_responses(responses: DataFrame, stock_as_code: bool = False) -> DataFr
     )
 
 
-def resolve_attempts(parsed: DataFrame, portrait: Column, malformed_tries: int = 5, not_finite_tries: int = 2, check_boxes: bool = True) -> DataFrame:
+def resolve_attempts(parsed: DataFrame, portrait: Column, malformed_tries: int = 5, not_finite_tries: int = 2, check_boxes: bool = True, error_tries: int = 3) -> DataFrame:
     """One result for each page: the first attempt without an error whose boxes are all sound. Once the retries of
-    a fault are used up, that attempt is taken and its bad boxes are dropped; a page left without any has no analysis."""
-    order = Window.partitionBy(*PAGE).orderBy("attempt")
-    past = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = parsed.filter(F.col("error").isNull())
+    a fault are used up, that attempt is taken and its bad boxes are dropped; a page left without any has no analysis.
+    After error_tries errors in a row a page is given up and has no result. Without a sound attempt the last one that is no error is taken.
+
+    Attempts of a page meet in one shuffle and are folded in their order."""
+    regions = F.transform("regions", lambda r: r.withField("malformed", B.is_malformed(r["bbox"], portrait)).withField("broken", B.not_finite(r["bbox"]))) if check_boxes else F.col("regions")
+    kind = F.when(F.col("error").isNotNull(), "error")
+    if check_boxes:
+        kind = kind.when(F.exists("regions", lambda r: r["malformed"]), "malformed").when(F.exists("regions", lambda r: r["broken"]), "broken")
+    tried = F.struct("attempt", kind.otherwise("sound").alias("kind"), "has_analysis", "date", "code", "report", "regions")
+    pages = parsed.withColumn("regions", regions).groupBy(*PAGE).agg(F.array_sort(F.collect_list(tried)).alias("tries"))
+    # pick: the attempt that is taken, from 0; latest: the last one that is no error
+    names = ("at", "errors", "malformed", "broken", "latest", "pick", "ended")
+    start = F.struct(*[F.lit(-1 if n in ("latest", "pick") else 0).alias(n) for n in names[:-1]], F.lit(False).alias("ended"))
+
+    def step(acc: Column, k: Column) -> Column:
+        more = lambda n: acc[n] + F.when(k == n, 1).otherwise(0)
+        errors = F.when(k == "error", acc["errors"] + 1).otherwise(0)
+        takes = (k == "sound") | ((k == "malformed") & (acc["malformed"] >= malformed_tries)) | ((k == "broken") & (acc["broken"] >= not_finite_tries))
+        latest = F.when(k == "error", acc["latest"]).otherwise(acc["at"])
+        values = (acc["at"] + 1, errors, more("malformed"), more("broken"), latest, F.when(takes, acc["at"]).otherwise(acc["pick"]), takes | (errors >= error_tries))
+        return F.when(acc["ended"], acc).otherwise(F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)]))
+
+    pick = F.aggregate(F.transform("tries", lambda t: t["kind"]), start, step, lambda acc: F.when(acc["ended"], acc["pick"]).otherwise(acc["latest"]))
+    taken = pages.withColumn("pick", pick).filter("pick >= 0").select(*PAGE, F.get("tries", F.col("pick")).alias("t"))
+    first = taken.select(*PAGE, "t.attempt", "t.has_analysis", "t.date", "t.code", "t.report", "t.regions")
     if not check_boxes:
-        return rows.withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k", "error")
-    rows = rows.withColumn("regions", F.transform("regions", lambda r: r.withField("malformed", B.is_malformed(r["bbox"], portrait)).withField("broken", B.not_finite(r["bbox"]))))
-    malformed = F.exists("regions", lambda r: r["malformed"])
-    rows = rows.withColumn("malformed", malformed).withColumn("broken", ~malformed & F.exists("regions", lambda r: r["broken"]))
-    rows = rows.withColumn("n_malformed", F.count_if(F.col("malformed")).over(past)).withColumn("n_broken", F.count_if(F.col("broken")).over(past)).withColumn("last", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("attempt"))) == 1)
-    done = (~F.col("malformed") & ~F.col("broken")) | (F.col("malformed") & (F.col("n_malformed") > malformed_tries)) | (F.col("broken") & (F.col("n_broken") > not_finite_tries)) | F.col("last")
-    first = rows.filter(done).withColumn("k", F.row_number().over(order)).filter("k = 1")
-    kept = _without(first, lambda r: r["malformed"] | r["broken"]).withColumn("regions", F.transform("regions", lambda r: r.dropFields("malformed", "broken")))
-    return kept.select(*PAGE, "attempt", "has_analysis", "date", "code", "report", "regions")
+        return first
+    return _without(first, lambda r: r["malformed"] | r["broken"]).withColumn("regions", F.transform("regions", lambda r: r.dropFields("malformed", "broken")))
 
 
 def _without(results: DataFrame, bad: Callable[[Column], Column]) -> DataFrame:
@@ -139,9 +153,12 @@ def recognition_worklist(regions: DataFrame) -> DataFrame:
 
 def apply_recognition(regions: DataFrame, recognitions: DataFrame) -> DataFrame:
     """Recognised text goes to regions with exactly the same box that the user has not changed, and marks them as the
-    user's; a failure writes its message."""
+    user's; a failure writes its message. Of several recognitions of a box (retries) the newest by seq counts, where there
+    is such a column; else a success before a failure, then the smallest text."""
     sides = ["x1", "y1", "x2", "y2"]
-    found = recognitions.select(*PAGE, *sides, "success", F.col("text").alias("new_text"), "error")
+    newest = F.col("seq") if "seq" in recognitions.columns else F.lit(0)
+    order = F.struct((-newest).alias("seq"), (~F.col("success")).alias("failed"), "text", "error")
+    found = recognitions.groupBy(*PAGE, *sides).agg(F.min(order).alias("r")).select(*PAGE, *sides, (~F.col("r.failed")).alias("success"), F.col("r.text").alias("new_text"), "r.error")
     out = regions.join(found, [*PAGE, *sides], "left")
     takes = F.col("success").isNotNull() & ~F.col("user_modified")
     message = F.concat(F.lit("❌ 識別失敗: "), F.coalesce("error", F.lit("")))

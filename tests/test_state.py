@@ -27,6 +27,13 @@ def test_attempts(spark):
     parsed = state.parse_responses(spark.createDataFrame(rows, "file_id string, page int, attempt int, response_text string"))
     got = {r.page: (r.attempt, r.has_analysis, len(r.regions)) for r in state.resolve_attempts(parsed, F.lit(True)).collect()}
     assert got == {1: (3, True, 1), 2: (1, False, 0), 3: (1, False, 0)}
+    sound, bad, broken = body("[10, 10, 200, 300]"), body("[10, 10, 5, 90]"), body("[NaN, 10, 200, 300]")
+    logs = {1: ["no"] * 3 + [sound], 2: ["no", "no", bad, "no", sound], 3: [bad] * 6 + [sound], 4: [broken] * 3 + [sound], 5: [bad, "no"], 6: ["no"]}
+    rows = [("f", page, k + 1, text) for page, texts in logs.items() for k, text in enumerate(texts)]
+    parsed = state.parse_responses(spark.createDataFrame(rows, "file_id string, page int, attempt int, response_text string"))
+    got = {r.page: (r.attempt, r.has_analysis, len(r.regions)) for r in state.resolve_attempts(parsed, F.lit(True)).collect()}
+    assert got == {2: (5, True, 1), 3: (6, False, 0), 4: (3, False, 0), 5: (1, False, 0)}
+    assert {r.page: r.attempt for r in state.resolve_attempts(parsed, F.lit(True), check_boxes=False).collect()} == {2: 3, 3: 1, 4: 1, 5: 1}
 
 
 def test_worklist_and_recognition(spark):
@@ -34,6 +41,11 @@ def test_worklist_and_recognition(spark):
     assert [r.work for r in state.recognition_worklist(rows).orderBy("ord").collect()] == ["empty", "garbled", None, "empty"]
     found = spark.createDataFrame([("f", 1, 7.0, 0.0, 107.0, 100.0, True, "x", None)], "file_id string, page int, x1 double, y1 double, x2 double, y2 double, success boolean, text string, error string")
     assert [r.text for r in state.apply_recognition(rows, found).orderBy("ord").collect()][3] == ""
+    retries = spark.createDataFrame([("f", 1, 0.0, 0.0, 100.0, 100.0, False, None, "busy", 1), ("f", 1, 0.0, 0.0, 100.0, 100.0, True, "read", None, 2)], found.schema.simpleString()[7:-1].replace(":", " ") + ", seq int")
+    boxes = spark.createDataFrame([region(1, 1, "", x1=0.0)], REGIONS)
+    want = boxes.select("x1", "y1", "x2", "y2").first()
+    retries = retries.withColumns({n: F.lit(v) for n, v in zip(("x1", "y1", "x2", "y2"), want, strict=True)})
+    assert [(r.text, r.user_modified) for r in state.apply_recognition(boxes, retries).collect()] == [("read", True)]
 
 
 def test_insert_and_move(spark):
