@@ -682,7 +682,11 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="foliospark-")
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="foliospark-")
     return f"{shared.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 

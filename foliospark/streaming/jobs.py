@@ -36,11 +36,16 @@ def merge_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], che
 
 
 def page_merger(spark: SparkSession, folder: str) -> Callable[[DataFrame, int], None]:
-    """State of regions and pages in folder, one version for each batch. Results of an older run are left out; of
-    a page the newest result counts."""
+    """State of regions and pages in folder, one version for each batch. Results of an older run than
+    the newest of this batch or any before it are left out; of a page the newest result counts."""
 
     def step(batch: DataFrame, number: int) -> None:
-        fresh = state.drop_stale(batch).drop("run_id")
+        newest = batch.agg(F.max("run_id").alias("newest"))
+        if number:
+            newest = newest.unionByName(spark.read.parquet(f"{folder}/newest-{number - 1}")).agg(F.max("newest").alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{folder}/newest-{number}")
+        one = F.broadcast(spark.read.parquet(f"{folder}/newest-{number}"))  # one row
+        fresh = batch.join(one, F.col("run_id") == F.col("newest")).drop("run_id", "newest")
         done = fresh.select("file_id", "page").distinct()
         new = fresh.filter(F.col("ord").isNotNull()).select("file_id", "page", "ord", "x1", "y1", "x2", "y2", "label", "text")
         if number:

@@ -109,3 +109,12 @@ def test_stream_progress(spark, tmp_path):
     q = jobs.stream_progress(rows).writeStream.outputMode("complete").format("memory").queryName("prog").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.file_id: r.status for r in spark.table("prog").collect()} == {"f": "done", "g": "processing"}
+
+
+def test_results_of_an_older_run_come_late(spark, tmp_path):
+    step = jobs.page_merger(spark, str(tmp_path))
+    rows = lambda *found: spark.createDataFrame([("f", page, 1, 0.0, 0.0, 9.0, 9.0, label, "", run) for page, label, run in found], "file_id string, page int, ord int, x1 double, y1 double, x2 double, y2 double, label string, text string, run_id long")
+    for number, found in enumerate([[(1, "a", 2)], [(1, "late", 1), (2, "late", 1)], [(2, "b", 3), (1, "c", 2)]]):
+        step(rows(*found), number)
+    assert sorted((r.page, r.label) for r in spark.read.parquet(f"{tmp_path}/regions-2").collect()) == [(1, "a"), (2, "b")]
+    assert spark.read.parquet(f"{tmp_path}/pages-1").count() == 1
