@@ -183,6 +183,14 @@ def reset_files(files: DataFrame) -> DataFrame:
     return files.withColumn("status", F.when(F.col("status").isin("stopped", "idle"), "queued").otherwise(F.col("status"))).withColumn("analysis_pages", F.lit(0)).withColumn("completed_pages", F.lit(0))
 
 
+def clear_for_rerun(regions: DataFrame, page_state: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Regions and page_state without what is to be read again: single pages where targets have a page column, else
+    whole files. The user's regions go as well."""
+    key = [c for c in PAGE if c in targets.columns]
+    gone = targets.select(*key).distinct()
+    return regions.join(gone, key, "left_anti"), page_state.join(gone, key, "left_anti")
+
+
 def normalize_status(files: DataFrame) -> DataFrame:
     return files.withColumn("status", F.when(F.col("status").isin("processing", "queued"), "stopped").otherwise(F.col("status")))
 
@@ -218,6 +226,49 @@ def apply_region_edits(regions: DataFrame, edits: DataFrame) -> DataFrame:
     return out.select(*PAGE, "ord", F.col("region_id").alias("id"), *[F.when(moved, F.col(f"box.{c}")).otherwise(F.col(c)).alias(c) for c in sides], "label", "text", "user_modified")
 
 
+BOX = "id:int,x1:double,y1:double,x2:double,y2:double,label:string,text:string,user_modified:boolean"
+
+
+def fold_region_edits(regions: DataFrame, page_state: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Regions and page_state after a log of edits (file_id, page, seq, op, region_id, x1..y2, text, order) of any kind,
+    each on what those before it have left: bbox, text, remove, remove_page, add (a drawn box, put in reading order),
+    reorder (order: the ids in their new order). A page whose last region is removed loses its key, one that has
+    regions has it. Only pages with edits are folded, a page and its log being one row; ord counts from 1 there."""
+    sides = ("x1", "y1", "x2", "y2")
+    touched = edits.select(*PAGE).distinct()
+    held = F.array_sort(F.collect_list(F.struct("ord", "id", *sides, "label", "text", "user_modified")))
+    was = regions.join(touched, PAGE, "left_semi").groupBy(*PAGE).agg(F.transform(held, lambda r: r.dropFields("ord")).cast(f"array<struct<{BOX}>>").alias("was"))
+    log = edits.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("seq", "op", "region_id", *sides, "text", "order"))).alias("log"))
+    start = F.coalesce("was", F.expr(f"cast(array() as array<struct<{BOX}>>)"))
+
+    def step(acc: Column, e: Column) -> Column:
+        on = lambda change: F.transform(acc, lambda r: F.when(r["id"] == e["region_id"], change(r)).otherwise(r))
+        new = lambda r, **values: F.struct(*[values.get(n, r[n]).alias(n) for n in ("id", *sides, "label", "text", "user_modified")])
+        same = lambda r: (r["x1"] == e["x1"]) & (r["y1"] == e["y1"]) & (r["x2"] == e["x2"]) & (r["y2"] == e["y2"])
+        boxed = on(lambda r: F.when(same(r), r).otherwise(new(r, **{s: e[s] for s in sides}, user_modified=F.lit(True))))
+        typed = on(lambda r: new(r, text=e["text"], user_modified=F.lit(True)))
+        down = lambda r: r["y1"] - e["y1"]
+        behind = F.array_position(F.transform(acc, lambda r: (down(r) > 15) | ((F.abs(down(r)) <= 15) & (r["x1"] > e["x1"]))), True)
+        before = F.when(behind > 0, behind - 1).otherwise(F.size(acc)).cast("int")
+        name = F.coalesce(F.array_max(F.transform(acc, lambda r: r["id"])), F.lit(0)) + 1
+        drawn = F.struct(name.alias("id"), *[e[s].alias(s) for s in sides], F.concat(F.lit("手動框 "), name.cast("string")).alias("label"), F.lit("").alias("text"), F.lit(True).alias("user_modified"))
+        added = F.concat(F.slice(acc, F.lit(1), before), F.array(drawn), F.slice(acc, before + 1, F.size(acc)))
+        ordered = F.flatten(F.transform(e["order"], lambda i: F.filter(acc, lambda r: r["id"] == i)))
+        gone = F.filter(acc, lambda r: (r["id"] != e["region_id"]) & (e["op"] == "remove"))
+        return (
+            F.when(e["op"] == "bbox", boxed).when(e["op"] == "text", typed).when(e["op"] == "add", added).when(e["op"] == "reorder", ordered)
+            .when(e["op"].isin("remove", "remove_page"), gone).otherwise(acc)
+        )
+
+    folded = log.join(was, PAGE, "left").select(*PAGE, F.aggregate("log", start, step).alias("left"), F.exists("log", lambda e: e["op"].startswith("remove")).alias("cut"))
+    changed = folded.select(*PAGE, F.posexplode("left").alias("pos", "r")).select(*PAGE, (F.col("pos") + 1).alias("ord"), "r.*")
+    columns = [*PAGE, "ord", "id", *sides, "label", "text", "user_modified"]
+    rest = regions.join(touched, PAGE, "left_anti")
+    lost = folded.filter((F.size("left") == 0) & F.col("cut")).select(*PAGE)
+    keys = page_state.select(*PAGE).join(lost, PAGE, "left_anti").unionByName(folded.filter(F.size("left") > 0).select(*PAGE)).distinct()
+    return rest.select(*columns).unionByName(changed.select(*columns)), keys
+
+
 def move_region(regions: DataFrame, moves: DataFrame) -> DataFrame:
     """Regions with one of each page moved (file_id, page, i, p, from 0): element i goes to insert point p; p = i and
     p = i + 1 change nothing. ord counts from 1 after it."""
@@ -249,6 +300,27 @@ def selected_value(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("file_id", "field").agg(F.coalesce(manual, F.min_by("value", "arrival")).alias("selected"))
 
 
+def selected_after_edits(log: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
+    """file_id, field, selected ('' for none) after a log (file_id, field, seq, op, value, source) of add, choose, remove
+    and clear, one row for each key of the log. A choice or a manual entry is selected; otherwise the first value is.
+    When the selected value is removed, the first that remains follows, and stays selected until it is removed
+    itself; clear forgets all before it. So the last choice counts if nothing removed it afterwards, else the first value that
+    is left: sums of the log, no walk along it."""
+    key = ["file_id", "field"]
+    value = F.when(F.col("field") == "broker", M.normalize_broker(F.col("value"), aliases)).otherwise(F.trim("value"))
+    cleared = log.filter("op = 'clear'").groupBy(*key).agg(F.max("seq").alias("cleared"))
+    rows = log.withColumn("value", value).withColumn("norm", F.lower(F.trim("value"))).filter((F.col("op") != "clear") & (F.coalesce("norm", F.lit("")) != ""))
+    rows = rows.join(cleared, key, "left").filter(F.col("cleared").isNull() | (F.col("seq") > F.col("cleared")))
+    removed = rows.filter("op = 'remove'").groupBy(*key, "norm").agg(F.max("seq").alias("removed"))
+    put = rows.filter(F.col("op").isin("add", "choose")).join(removed, [*key, "norm"], "left")
+    stands = F.col("removed").isNull() | (F.col("seq") > F.col("removed"))
+    left = stands & (F.col("op") == "add")
+    strong = (F.col("op") == "choose") | F.coalesce(F.col("source") == "manual", F.lit(False))
+    last = F.max_by(F.when(strong, F.struct(F.when(stands, F.col("value")).alias("v"))), F.when(strong, F.col("seq")))
+    picked = put.groupBy(*key).agg(F.min_by(F.when(left, F.col("value")), F.when(left, F.col("seq"))).alias("first"), last.alias("last"))
+    return log.select(*key).distinct().join(picked, key, "left").select(*key, F.coalesce("last.v", "first", F.lit("")).alias("selected"))
+
+
 # --- progress, reports, checks -----------------------------------------------------------------------------------
 
 

@@ -156,6 +156,20 @@ def selected_value(spark, sf):
     return state.selected_value(state.collect_candidates(A.arrivals(spark, sf), A.ALIASES))
 
 
+EDITED = A.ARRIVALS_SQL + """,
+log AS (SELECT file_id, field, arrival, value, source, CASE WHEN arrival % 97 = 0 THEN 'clear' WHEN arrival % 5 = 0 THEN 'remove' WHEN arrival % 11 = 0 THEN 'choose' ELSE 'add' END AS op FROM arrived),
+cut AS (SELECT l.* FROM log l LEFT JOIN (SELECT file_id, field, max(arrival) AS c FROM log WHERE op = 'clear' GROUP BY ALL) USING (file_id, field) WHERE op <> 'clear' AND arrival > coalesce(c, -1)),
+put AS (SELECT l.*, arrival > coalesce(r, -1) AS stands FROM cut l LEFT JOIN (SELECT file_id, field, value, max(arrival) AS r FROM cut WHERE op = 'remove' GROUP BY ALL) USING (file_id, field, value) WHERE op <> 'remove'),
+picked AS (SELECT file_id, field, arg_min(value, arrival) FILTER (stands AND op = 'add') AS first, arg_max({'v': value, 's': stands}, arrival) FILTER (op = 'choose' OR source = 'manual') AS last FROM put GROUP BY ALL)"""
+
+
+@query(_with(EDITED) + "SELECT file_id, field, CASE WHEN last.s THEN last.v ELSE coalesce(first, '') END AS selected FROM (SELECT DISTINCT file_id, field FROM log) LEFT JOIN picked USING (file_id, field)")
+def selected_after_edits(spark, sf):
+    n = F.col("arrival")
+    op = F.when(n % 97 == 0, "clear").when(n % 5 == 0, "remove").when(n % 11 == 0, "choose").otherwise("add")
+    return state.selected_after_edits(A.arrivals(spark, sf).withColumn("op", op).withColumnRenamed("arrival", "seq"), A.ALIASES)
+
+
 @query("""WITH p AS (SELECT page_id, 'file://' || replace(replace(url, 'https://', '/'), 'http://', '/') || CASE WHEN page_id % 3 = 0 THEN '%20a+b.pdf' ELSE '.html' END AS uri FROM pages)
 SELECT page_id, replace(uri[8:], '%20', ' ') AS path, regexp_extract(replace(uri[8:], '%20', ' '), '[^/\\\\]+$') AS name, CASE WHEN page_id % 3 <> 0 THEN 'not a PDF' END AS error, CASE WHEN page_id % 3 = 0 THEN uri END AS found FROM (SELECT page_id, replace(uri, 'file:///', 'file://') AS uri FROM p)""")
 def normalize_path(spark, sf):
@@ -283,7 +297,9 @@ def has_markdown_table(spark, sf):
     return _tables(spark, sf).select("conv_id", "turn", T.has_markdown_table(F.col("s")).alias("has_table"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT conv_id, turn, turn % 2 = 0 AS has, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS whole, regexp_replace(split_part(s, chr(10) || '| a | b |' || chr(10), 1), '^\\s+|\\s+$', '', 'g') AS before FROM ({TABLES}))
+SELECT conv_id, turn, CASE WHEN has THEN 2 + (before <> '')::INT ELSE 1 END::INT AS n_segments, CASE WHEN has THEN 2 ELSE 0 END::INT AS n_cells,
+  CASE WHEN has THEN CASE WHEN before <> '' THEN before || chr(10) || chr(10) ELSE '' END || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || turn || ' |' || chr(10) || chr(10) || 'end' ELSE whole END AS markdown FROM t""")
 def parse_markdown(spark, sf):
     rows = _tables(spark, sf).withColumn("segments", T.parse_markdown(F.col("s")))
     cells = F.aggregate("segments", F.lit(0), lambda a, x: a + F.coalesce(F.size(F.flatten(x["rows"])), F.lit(0)))
@@ -328,7 +344,18 @@ def nearest_lines(spark, sf):
     return near.groupBy("file_id", "page").agg(F.sum("above.gap").alias("up_gap"), F.sum("above.idx").alias("up_idx"), F.sum("below.gap").alias("down_gap"), F.sum("below.idx").alias("down_idx"))
 
 
-@query()
+@query(_with(BOXES) + """, near AS (SELECT a.file_id, a.page, a.item_idx, a.norm_baseline - b.norm_baseline AS gap, b.item_idx AS k, b.norm_y AS t FROM items a JOIN items b ON a.file_id = b.file_id AND a.page = b.page AND b.norm_x < a.norm_x + a.norm_w AND b.norm_x + b.norm_w > a.norm_x AND a.norm_baseline <> b.norm_baseline),
+best AS (SELECT file_id, page, item_idx, min({'g': gap, 'k': k, 't': t}) FILTER (gap > 0) AS up, min({'g': -gap, 'k': k, 't': t}) FILTER (gap < 0) AS down FROM near GROUP BY ALL),
+placed AS (SELECT i.file_id, i.page, i.item_idx, norm_y, norm_baseline, coalesce(up.g, 1e9) AS ug, up.t AS ut, coalesce(down.g, 1e9) AS dg, down.t AS dt,
+  norm_baseline + norm_h * CASE WHEN regexp_matches(str, '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}]') THEN 0.1 ELSE 0.2 END::DOUBLE AS ink FROM items i LEFT JOIN best USING (file_id, page, item_idx)),
+prs AS (SELECT a.file_id, a.page, a.ord, a.y1, a.y2, b.y1 AS p1, b.y2 AS p2, greatest(a.y1, b.y1) AS hi, least(a.y2, b.y2) AS lo, lo > hi AS crossing, a.y1 <= b.y1 AS fst, (hi + lo) / 2 AS mid
+  FROM boxes a JOIN boxes b ON a.file_id = b.file_id AND a.page = b.page AND a.ord <> b.ord AND least(a.x2, b.x2) > greatest(a.x1, b.x1)),
+said AS (SELECT *, coalesce(ut >= y1 AND ut < y2, false) AS um, coalesce(ut >= p1 AND ut < p2, false) AS ut_, coalesce(dt >= y1 AND dt < y2, false) AS dm, coalesce(dt >= p1 AND dt < p2, false) AS dt_,
+  greatest(least(ink, CASE WHEN crossing AND fst THEN least(y2, mid) ELSE y2 END) - greatest(norm_y, CASE WHEN crossing AND NOT fst THEN greatest(y1, mid) ELSE y1 END), 0) AS own,
+  greatest(least(ink, CASE WHEN crossing AND NOT fst THEN least(p2, mid) ELSE p2 END) - greatest(norm_y, CASE WHEN crossing AND fst THEN greatest(p1, mid) ELSE p1 END), 0) AS theirs FROM placed JOIN prs USING (file_id, page)),
+won AS (SELECT file_id, page, ord, item_idx, bool_and(CASE WHEN norm_y >= y1 AND norm_baseline <= y2 AND NOT (norm_y >= p1 AND norm_baseline <= p2) THEN true WHEN NOT crossing AND NOT (norm_y < p2 AND ink > p1) THEN true
+  WHEN ug < dg AND um <> ut_ THEN um WHEN dg < ug AND dm <> dt_ THEN dm ELSE own >= theirs END) AS owned FROM said GROUP BY ALL)
+SELECT b.file_id, b.page, b.ord, count(*) FILTER (coalesce(owned, true)) AS n_owned, count(*) AS n FROM boxes b JOIN items i USING (file_id, page) LEFT JOIN won w ON w.file_id = b.file_id AND w.page = b.page AND w.ord = b.ord AND w.item_idx = i.item_idx GROUP BY ALL""")
 def item_ownership(spark, sf):
     owned = regions.item_ownership(A.text_items(spark, sf), A.regions(spark, sf))
     return owned.groupBy("file_id", "page", "ord").agg(F.count_if("owned").alias("n_owned"), F.count(F.lit(1)).alias("n"))
@@ -348,7 +375,11 @@ def apply_descender(spark, sf):
     return regions.apply_descender(A.regions(spark, sf), A.text_items(spark, sf)).select("file_id", "page", "ord", F.round("y2", 6).alias("y2"))
 
 
-@query()
+@query(_with(BOXES).replace("WITH ", "WITH RECURSIVE ", 1) + """, packed AS (SELECT file_id, page, list(x1 ORDER BY ord) AS l, list(x2 ORDER BY ord) AS r, list(y1 ORDER BY ord) AS t, list(y2 ORDER BY ord) AS b, count(*)::INT AS n FROM boxes GROUP BY ALL),
+turns AS (SELECT file_id, page, l, r, t, b, n, 1 AS i, 2 AS j FROM packed
+  UNION ALL SELECT file_id, page, l, r, list_transform(t, lambda v, k: v + CASE WHEN k = low THEN half ELSE 0 END), list_transform(b, lambda v, k: v - CASE WHEN k = up THEN half ELSE 0 END), n, CASE WHEN j < n THEN i ELSE i + 1 END, CASE WHEN j < n THEN j + 1 ELSE i + 2 END
+  FROM (SELECT *, CASE WHEN t[i] <= t[j] THEN i ELSE j END AS up, CASE WHEN t[i] <= t[j] THEN j ELSE i END AS low, CASE WHEN least(r[i], r[j]) > greatest(l[i], l[j]) AND t[low] - b[up] < 5 THEN (5 - (t[low] - b[up])) / 2 ELSE 0 END AS half FROM turns WHERE j <= n))
+SELECT file_id, page, unnest(range(1, n + 1))::INT AS ord, unnest(l) AS x1, unnest(t) AS y1, unnest(r) AS x2, unnest(b) AS y2 FROM turns WHERE j > n""")
 def enforce_min_gap(spark, sf):
     return regions.enforce_min_gap(A.regions(spark, sf))
 
@@ -360,7 +391,11 @@ def baseline_subset(spark, sf):
     return regions.baseline_subset(A.text_items(spark, sf), A.regions(spark, sf)).select("file_id", "page", "ord", "subset")
 
 
-@query()
+@query(_with(HITS) + """, hs AS (SELECT file_id, page, ord, count(*) AS n_hits, list_reduce(list_transform(list_sort(list(norm_baseline)), lambda v: [v]), lambda a, v: CASE WHEN v[1] - a[-1] >= 15 THEN a || v ELSE a END) AS st FROM hits GROUP BY ALL),
+firsts AS (SELECT file_id, page, ord, len(list_filter(st, lambda s: s <= norm_baseline)) AS line, arg_min(norm_baseline, {'x': norm_x, 'b': norm_baseline, 'i': item_idx}) AS b FROM hits JOIN hs USING (file_id, page, ord) GROUP BY ALL),
+lag_ AS (SELECT *, b - lag(b) OVER (PARTITION BY file_id, page, ord ORDER BY line) AS gap FROM firsts),
+med AS (SELECT file_id, page, ord, count(*) AS n_lines, list_sort(list(gap) FILTER (gap IS NOT NULL)) AS gs FROM lag_ GROUP BY ALL)
+SELECT file_id, page, ord, n_hits::INT AS n_hits, n_lines, 15.0::DOUBLE AS threshold, 'none' AS path, CASE WHEN len(gs) >= 2 THEN gs[len(gs) // 2 + 1] ELSE 0 END::DOUBLE AS median_gap FROM hs JOIN med USING (file_id, page, ord)""")
 def region_summary(spark, sf):
     return regions.region_summary(A.text_items(spark, sf), A.regions(spark, sf))
 
@@ -496,7 +531,9 @@ def layout_scan(spark, sf):
     return lines.layout_scan(A.text_items(spark, sf))
 
 
-@query()
+@query(_with(MICRO.replace("40 * ((idx % 120) // 6)", "5 * ((idx % 120) // 6)")) + """, near AS (SELECT file_id, page, st[k] AS up, st[k + 1] AS low FROM (SELECT file_id, page, st, threshold, unnest(range(1, len(st))) AS k FROM limits) WHERE st[k + 1] - st[k] > 3 AND st[k + 1] - st[k] < threshold)
+SELECT file_id, page, up AS "upper", low AS "lower", string_agg(str, ' ' ORDER BY item_idx) FILTER (norm_baseline >= up AND norm_baseline < up + 3) AS upper_text, string_agg(str, ' ' ORDER BY item_idx) FILTER (norm_baseline >= low AND norm_baseline < low + 3) AS lower_text
+FROM near JOIN items USING (file_id, page) GROUP BY file_id, page, up, low""")
 def danger_gaps(spark, sf):
     return lines.danger_gaps(A.text_items(spark, sf, line_step=5))
 
@@ -645,6 +682,32 @@ def apply_region_edits(spark, sf):
     return state.apply_region_edits(b, edits).select("file_id", "page", "ord", "x1", "text", "user_modified")
 
 
+@query(_with(TEXTS) + """, nb AS (SELECT file_id, page, max(ord) AS last, coalesce(min(ord) FILTER (y1 - 250 > 15 OR (abs(y1 - 250) <= 15 AND x1 > 300)), max(ord) + 1) AS at_ FROM boxes GROUP BY ALL)
+SELECT file_id, page, 1 AS ord, 1 AS id, '手動框 1' AS label, '' AS text, true AS user_modified FROM nb WHERE page % 4 = 0
+UNION ALL SELECT file_id, page, (ord + (ord >= at_)::INT)::INT, ord, label, text, user_modified FROM rows_ JOIN nb USING (file_id, page) WHERE page % 4 = 1
+UNION ALL SELECT file_id, page, at_::INT, (last + 1)::INT, '手動框 ' || (last + 1), 'typed', true FROM nb WHERE page % 4 = 1
+UNION ALL SELECT file_id, page, (last + 1 - ord)::INT, ord, label, text, user_modified FROM rows_ JOIN nb USING (file_id, page) WHERE page % 4 = 2""")
+def fold_region_edits(spark, sf):
+    """By page: all removed and one drawn; one drawn and typed into; turned round; each removed."""
+    b = A.region_rows(spark, sf)
+    ids = b.groupBy("file_id", "page").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    turn, n = F.col("page") % 4, F.size("ids")
+    box = {"x1": 300.0, "y1": 250.0, "x2": 500.0, "y2": 400.0}
+    entry = lambda seq, op, rid=F.lit(0): F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), rid.cast("int").alias("region_id"))
+    log = F.when(turn == 0, F.array(entry(1, "remove_page"), entry(2, "add"))).when(turn == 1, F.array(entry(1, "add"), entry(2, "text", n + 1))).when(turn == 2, F.array(entry(1, "reorder"))).otherwise(F.transform("ids", lambda i: entry(1, "remove", i)))
+    edits = ids.select("file_id", "page", F.explode(log).alias("e"), F.reverse("ids").alias("order")).select("file_id", "page", "e.*", *[F.lit(v).alias(k) for k, v in box.items()], F.lit("typed").alias("text"), "order")
+    left, _ = state.fold_region_edits(b, b.select("file_id", "page").distinct(), edits)
+    return left.select("file_id", "page", "ord", "id", "label", "text", "user_modified")
+
+
+@query(_with(TEXTS) + "SELECT file_id, page, ord FROM boxes WHERE page % 3 <> 0")
+def clear_for_rerun(spark, sf):
+    b = A.regions(spark, sf)
+    pages = b.select("file_id", "page").distinct()
+    left, _ = state.clear_for_rerun(b, pages, pages.filter("page % 3 = 0"))
+    return left.select("file_id", "page", "ord")
+
+
 @query(_with(TEXTS) + "SELECT file_id, page, CASE WHEN n < 3 THEN id WHEN id = 1 THEN 3 WHEN id <= 3 THEN id - 1 ELSE id END AS ord, id FROM (SELECT file_id, page, ord AS id, count(*) OVER (PARTITION BY file_id, page) AS n FROM boxes)")
 def move_region(spark, sf):
     """On pages with three regions or more the first goes behind the third; on others it is put where it is."""
