@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import ann, decontaminate, license_scan, minhash, pieces, pii, repeats, toxicity, url_filter, warc
+from foliospark.llm import ann, decontaminate, license_scan, minhash, periodic, pieces, pii, repeats, toxicity, url_filter, warc
 from foliospark.llm.common import table
 
 #: The rules of query op3.
@@ -55,6 +55,23 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(table(spark, sf_dir, "documents"))
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, with periodic tails planted by query op11's rule: by h = crc32 of doc_id, each word from word a = g % n
+    on becomes word a + (i - a) % p, where g = h // 10 and p = 1 + (n - a) // (3 + g % 8), if h % 10 = 0."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
+    g = F.expr("h div 10")
+    a = F.when(F.size("w") > 0, g % F.size("w"))
+    p = F.expr("1 + (size(w) - a) div (3 + (h div 10) % 8)")
+    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("a", a).withColumn("p", p)
+    turned = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.select("doc_id", F.when(F.size("w") > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(planted_runs(table(spark, sf_dir, "documents"))))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
     return found.select(
@@ -70,7 +87,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_warc, op3_url_filter, op4_toxicity, op5_probminhash, op6_ann, op7_license_scan, op8_sentencepiece, op9_decontamination, op10_repeats)
+    found = (op1_pii, op2_warc, op3_url_filter, op4_toxicity, op5_probminhash, op6_ann, op7_license_scan, op8_sentencepiece, op9_decontamination, op10_repeats, op11_periodic_runs)
     return {f.__name__: f for f in found}
 
 
