@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import ann, decontaminate, license_scan, minhash, periodic, pieces, pii, repeats, toxicity, url_filter, warc
+from foliospark.llm import ann, collocations, decontaminate, license_scan, minhash, periodic, pieces, pii, repeats, toxicity, url_filter, warc
 from foliospark.llm.common import table
 
 #: The rules of query op3.
@@ -72,6 +72,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.periodic_runs(planted_runs(table(spark, sf_dir, "documents"))))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
     return found.select(
@@ -87,7 +91,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_warc, op3_url_filter, op4_toxicity, op5_probminhash, op6_ann, op7_license_scan, op8_sentencepiece, op9_decontamination, op10_repeats, op11_periodic_runs)
+    found = (op1_pii, op2_warc, op3_url_filter, op4_toxicity, op5_probminhash, op6_ann, op7_license_scan, op8_sentencepiece, op9_decontamination, op10_repeats, op11_periodic_runs, op12_collocations)
     return {f.__name__: f for f in found}
 
 
@@ -137,5 +141,22 @@ FROM c
 """
 
 
+OP12_SQL = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER_SQL.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+listed AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+grams AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS p FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM listed, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, p, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, p, f AS a, string_split(p, ' ') AS ws FROM f WHERE k > 1 AND f >= 30),
+cuts AS (SELECT lang, k, p, a, ws, unnest(range(1, k)) AS c FROM cand),
+scored AS (SELECT x.lang, x.p, x.a, x.c, y.f AS l, z.f AS r, ((2000000::HUGEINT * x.a) // (y.f + z.f))::BIGINT AS score
+  FROM cuts x JOIN f y ON y.lang = x.lang AND y.p = array_to_string(x.ws[1:x.c], ' ') JOIN f z ON z.lang = x.lang AND z.p = array_to_string(x.ws[x.c + 1:], ' ')),
+low AS (SELECT lang, p, a, arg_min({{'l': l, 'r': r, 's': score}}, {{'s': score, 'c': c}}) AS b FROM scored GROUP BY ALL),
+inside AS (SELECT lang, a, unnest(list_transform(range(1, k - j + 2), lambda i: array_to_string(ws[i:i + j - 1], ' '))) AS p FROM (SELECT *, unnest(range(2, k)) AS j FROM cand WHERE k > 2)),
+kept AS (SELECT low.* FROM low LEFT JOIN (SELECT lang, p, max(a) AS m FROM inside GROUP BY ALL) USING (lang, p) WHERE m IS NULL OR 100 * m < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY b.s DESC, a DESC, p) AS rank, p AS phrase, a, b.l AS l, b.r AS r, n, b.s AS score FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_url_filter": OP3_SQL}
+    return {"op2_warc": OP2_SQL, "op3_url_filter": OP3_SQL, "op12_collocations": OP12_SQL}

@@ -98,3 +98,15 @@ def test_odd_rows(spark, odd):
     assert len(got) == odd.count()
     assert {(r.doc_id, r.n_words, len(r.runs), r.kept) for r in got} == {(None, 0, 0, ""), (1, 0, 0, ""), (2, 0, 0, ""), (3, 0, 0, ""), (None, 5, 0, "some words that stand here")}
     assert P.periodic_runs(odd.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_tiles_stitched_are_the_whole(spark, monkeypatch, seed):
+    """Small tiles: runs cross several of them in every octave."""
+    monkeypatch.setattr(P, "TILE", 16)
+    monkeypatch.setattr(P, "SHARED", 1)
+    words = tangled(seed, 400) + ["u", "v", "w", "x", "y", "z", "q"] * 40 + [f"n{k}" for k in range(90)] * 5
+    w = P.codes([x.encode() for x in words])
+    rows = [("d", 1, *f) for k0, k1, lo, hi, a, z in P.tiles(len(w)) for f in P.fragments(w[a:z], a, lo, hi, range(k0, k1))]
+    found = P.stitch(spark.createDataFrame(rows, "doc_id string, text_hash long, period long, start long, stop long")).collect()
+    assert [tuple(r) for r in found[0].runs] == brute(words)
