@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import ann, collocations, decontaminate, license_scan, minhash, periodic, pieces, pii, repeats, toxicity, url_filter, warc
+from foliospark.llm import ann, collocations, decontaminate, license_scan, minhash, periodic, phrases, pieces, pii, repeats, toxicity, url_filter, warc
 from foliospark.llm.common import table
 
 #: The rules of query op3.
@@ -60,12 +60,20 @@ def planted_runs(docs: DataFrame) -> DataFrame:
     on becomes word a + (i - a) % p, where g = h // 10 and p = 1 + (n - a) // (3 + g % 8), if h % 10 = 0."""
     h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
     words = F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
-    g = F.expr("h div 10")
-    a = F.when(F.size("w") > 0, g % F.size("w"))
-    p = F.expr("1 + (size(w) - a) div (3 + (h div 10) % 8)")
-    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("a", a).withColumn("p", p)
-    turned = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
-    return rows.select("doc_id", F.when(F.size("w") > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+    # each step is bound by a lambda: named columns would be computed again for every word once a filter takes them in
+    def turned(x: Column) -> Column:
+        at = lambda i: F.get(x["w"], (x["a"] + (i - x["a"]) % x["p"]).cast("int"))
+        return F.array_join(F.transform(x["w"], lambda w, i: F.when(i < x["a"], w).otherwise(at(i))), " ")
+
+    def tail(x: Column) -> Column:
+        n, g = F.size(x["w"]), F.floor(x["h"] / 10)
+        a = F.when(n > 0, g % n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.when(n > 0, F.transform(F.array(F.struct(x["w"].alias("w"), a.alias("a"), p.alias("p"))), turned)[0])
+
+    planted = F.transform(F.array(F.struct(words.alias("w"), h.alias("h"))), tail)[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, F.coalesce(planted, F.col("text"))).otherwise(F.col("text")).alias("text"))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +84,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
     return found.select(
@@ -91,7 +103,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_warc, op3_url_filter, op4_toxicity, op5_probminhash, op6_ann, op7_license_scan, op8_sentencepiece, op9_decontamination, op10_repeats, op11_periodic_runs, op12_collocations)
+    found = (op1_pii, op2_warc, op3_url_filter, op4_toxicity, op5_probminhash, op6_ann, op7_license_scan, op8_sentencepiece, op9_decontamination, op10_repeats, op11_periodic_runs, op12_collocations, op13_substring_dedup)
     return {f.__name__: f for f in found}
 
 
@@ -158,5 +170,17 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY b.s DESC, a DESC, p)
 """
 
 
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+w AS (SELECT r, i, md5(array_to_string(ws[i:i + 34], ' ')) AS p FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
+hit AS (SELECT r, i FROM w SEMI JOIN (SELECT p FROM w GROUP BY p HAVING count(*) > 1) USING (p)),
+gone AS (SELECT r, list(DISTINCT k) AS ks FROM (SELECT r, unnest(range(i, i + 35)) AS k FROM hit) GROUP BY r),
+words AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM d JOIN gone USING (r)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY k) AS t FROM words ANTI JOIN (SELECT r, unnest(ks) AS k FROM gone) USING (r, k) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed, sha256(CASE WHEN ks IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(t, '') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_url_filter": OP3_SQL, "op12_collocations": OP12_SQL}
+    return {"op2_warc": OP2_SQL, "op3_url_filter": OP3_SQL, "op12_collocations": OP12_SQL, "op13_substring_dedup": OP13_SQL}
