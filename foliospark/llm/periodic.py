@@ -4,7 +4,7 @@ Words are what stands between blanks of ASCII (blank, tab to carriage return). A
 period q (words q apart are the same), of max(LEAST, TIMES * q) words at least, that no neighbour extends with period q.
 
 Periods are searched by octaves, 2^k to 2^(k+1) - 1. A run of an octave holds several boundaries, the multiples of 2^k; at
-one of them the 2^k words from it on return a period later. Where they do, the Z-functions of the words from the boundary on
+two of them in a row the 2^k words from it on return a period later. Where they do, the Z-functions of the words from the boundary on
 and back from it tell how far every period reaches: a fragment. So an octave costs about as much as the document is long,
 and the sum over octaves a logarithm more.
 
@@ -36,16 +36,24 @@ LONG_BYTES = 1 << 15
 #: Words of a tile's core, for all octaves up to 2^SHARED; a longer octave has cores of 8 times its period at least.
 TILE, SHARED = 1 << 12, 9
 BEFORE, AFTER = 4, 6
+#: Words of short documents that are solved side by side.
+TOGETHER = 1 << 17
 #: From so many periods on that return at one boundary, the Z algorithm is cheaper than comparing for each.
 MANY = 12
 RUN = "array<struct<start:long,length:long,period:long>>"
 _RUN = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
 
-def codes(words: list[bytes]) -> np.ndarray:
-    """A number for each word, equal for equal words."""
-    seen: dict[bytes, int] = {}
-    return np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words))
+class Codes(dict):
+    """word -> a number of its own, from 0 on."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def codes(words: list[bytes], known: Codes | None = None) -> np.ndarray:
+    return np.fromiter(map((Codes() if known is None else known).__getitem__, words), np.int32, len(words))
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -80,17 +88,25 @@ def reaches(w: np.ndarray, m: int, periods: np.ndarray) -> tuple[list[int], list
         left = [common(w[:m][::-1], w[q : m + q][::-1]) for q in periods.tolist()]
         right = [common(w[m : len(w) - q], w[m + q :]) for q in periods.tolist()]
         return left, right
-    widest = int(periods.max())
+    ends = np.flatnonzero(w < 0)  # no stretch holds the end of a document
+    i = int(np.searchsorted(ends, m))
+    w, m = (w[: ends[i]] if i < len(ends) else w), m
+    if i:
+        w, m = w[ends[i - 1] + 1 :], m - int(ends[i - 1]) - 1
+    widest = min(int(periods.max()), len(w) - m)
     ahead = z_function(w[m:].tolist())
     # backwards, a word before m at distance d equals the one at m + q - d; a mark that is no word parts the two texts
     back = z_function([*w[:m][::-1].tolist(), -1, *w[: m + widest][::-1].tolist()])
-    return [back[m + 1 + widest - q] for q in periods.tolist()], [ahead[q] for q in periods.tolist()]
+    inside = [q < len(w) - m for q in periods.tolist()]
+    return [back[m + 1 + widest - q] if ok else 0 for q, ok in zip(periods.tolist(), inside, strict=True)], [ahead[q] if ok else 0 for q, ok in zip(periods.tolist(), inside, strict=True)]
 
 
 def fragments(w: np.ndarray, first: int, lo: int, hi: int, octaves: range) -> Iterator[tuple[int, int, int]]:
     """(period, start, stop) of stretches of two periods at least around boundaries from lo to hi, within w, whose first
-    word is number `first` of the document."""
-    name = mix(w.astype(np.uint64) + np.uint64(1))
+    word is number `first` of the document. w may hold several documents, with a negative number of its own after each.
+
+    A run holds two boundaries next to each other, m and m + 2^k, of which both return a period later."""
+    name = mix(w.astype(np.uint64) + np.uint64(1))  # never 0
     for k in range(octaves.stop):
         size = 1 << k
         if k:
@@ -101,19 +117,20 @@ def fragments(w: np.ndarray, first: int, lo: int, hi: int, octaves: range) -> It
         if k < octaves.start:
             continue
         m0 = -(-lo // size) * size - first
-        n = (hi - 1) // size - -(-lo // size) + 1
-        if n <= 0:
+        n = (hi - 1) // size - -(-lo // size) + 2
+        if n <= 1:
             continue
         have = name[m0 : m0 + (n + 1) * size]
         rows = np.zeros((n + 1) * size, np.uint64)
         rows[: len(have)] = have
         rows = rows.reshape(n + 1, size)
-        returns = rows[1:] == rows[:-1, :1]
+        returns = (rows[1:] == rows[:-1, :1]) & (rows[:-1, :1] != 0)  # 0: behind the end
+        at, periods = np.nonzero(returns[:-1] & returns[1:])
         known = np.zeros(size, np.int64)  # where the last stretch of each period ends
-        for r in np.flatnonzero(returns.any(1)).tolist():
+        cut = np.flatnonzero(np.diff(at)) + 1
+        for r, j in zip(at[np.concatenate([[0], cut])].tolist() if len(at) else (), np.split(periods, cut), strict=False):
             m = m0 + r * size
-            j = np.flatnonzero(returns[r])
-            j = j[(known[j] <= m + size + j) & (m + size + j < len(w))]
+            j = j[known[j] <= m + size + j]
             if not len(j):
                 continue
             for q, left, right in zip((j + size).tolist(), *reaches(w, m, j + size), strict=True):
@@ -149,16 +166,30 @@ def _result(doc_ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(as_rows, _RUN), pa.array([k.decode() for k in kept], pa.string())], names=["doc_id", "n_words", "runs", "kept"])
 
 
+def solve(texts: list[list[bytes]]) -> list[list[tuple[int, int, int]]]:
+    """Runs of each of several documents, laid side by side."""
+    known = Codes()
+    lengths = np.array([len(t) for t in texts])
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    w = np.empty(int((lengths + 1).sum()), np.int32)
+    for k, (a, t) in enumerate(zip(starts.tolist(), texts, strict=True)):
+        w[a : a + len(t)] = codes(t, known)
+        w[a + len(t)] = -2 - k
+    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for q, start, stop in fragments(w, 0, 0, len(w), range((int(lengths.max()) // TIMES).bit_length())):
+        k = int(np.searchsorted(starts, start, "right")) - 1
+        found[k].append((q, start - int(starts[k]), stop - int(starts[k])))
+    return [runs_of(own) for own in found]
+
+
 def _solve_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
+        rows, texts = [], [t.encode().split() for t in b.column("text").to_pylist()]
+        ends = np.cumsum([len(t) for t in texts])
         with np.errstate(over="ignore"):
-            for text in b.column("text").to_pylist():
-                words = text.encode().split()
-                n = len(words)
-                found = fragments(codes(words), 0, 0, n, range((n // TIMES).bit_length())) if n >= LEAST else ()
-                runs = runs_of(list(found))
-                rows.append((n, runs, collapsed(words, runs)))
+            for part in np.split(np.arange(len(texts)), np.searchsorted(ends, np.arange(TOGETHER, int(ends[-1]) if len(ends) else 0, TOGETHER))):
+                own = [texts[i] for i in part]
+                rows += [(len(t), runs, collapsed(t, runs)) for t, runs in zip(own, solve(own) if own else (), strict=True)]
         yield _result(b.column("doc_id"), rows)
 
 

@@ -74,6 +74,12 @@ def test_z_function_and_slices_agree(monkeypatch):
     assert P.reaches(w, 77, periods) == fast
 
 
+def test_documents_side_by_side(monkeypatch):
+    """Equal documents next to each other, many periods at a boundary among them, keep to themselves."""
+    texts = [["a"] * 50, ["a"] * 50, [], ["a", "b"] * 30, ["b", "a"] * 30, *(tangled(s, 90) for s in range(20)), ["a"] * 5]
+    assert P.solve([[w.encode() for w in t] for t in texts]) == [brute(t) for t in texts]
+
+
 def test_one_word_many_times_is_one_run_in_every_octave():
     w = np.zeros(30_000, np.int32)
     assert P.runs_of(list(P.fragments(w, 0, 0, len(w), range(13)))) == [(0, 30_000, 1)]
