@@ -2,7 +2,7 @@
 
 Snapping a box to its text, settling overlaps across, parting columns, joining fragments of a line and putting the text
 together. Items keep their input order; boxes are [x1, y1, x2, y2] in thousandths of the page. Everything that can be
-told from items and original boxes alone (neighbours, who owns an item) is one NumPy matrix per page, made once.
+told from items and original boxes alone (neighbours, who owns an item) is told once per page.
 """
 
 from __future__ import annotations
@@ -18,13 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import CJK, PUA_MAP
-from foliospark.operators.lines import BAND_WIDTH, BUCKET, CLUSTER_RANGE, COVERAGE, GAP_MIN, MICRO, PARA_RATIO, PARA_WINDOW, SAME_LINE, BLANK_GAP, TAB_GAP, WRAP
-from foliospark.operators.regions import CJK_DESCENDER, CONTAINED, DESCENDER, MIN_GAP
+from foliospark.operators.lines import BAND_WIDTH, BUCKET, CLUSTER_RANGE, COVERAGE, EXCLUSIVE, GAP_MIN, MICRO, PARA_RATIO, PARA_WINDOW, SAME_LINE, BLANK_GAP, STRICT_COVERAGE, STRICT_GAP, STRICT_WIDTH, TAB_GAP, WRAP
+from foliospark.operators.regions import CJK_DESCENDER, CONTAINED, DESCENDER, MIN_GAP, sweep
 
 PASSES = 6
 TOLERANCE = 3.0
-STRICT_COVERAGE, STRICT_WIDTH, STRICT_GAP = 0.5, 10.0, 15.0
-EXCLUSIVE = 0.3
 _cjk = re.compile(CJK)
 _pua = str.maketrans({c: PUA_MAP.get(chr(c), "●") for c in range(0xE000, 0xF900)})
 
@@ -55,15 +53,11 @@ class Page:
 
     def neighbours(self) -> tuple[np.ndarray, ...]:
         """Gap to and top of the nearest item above and below that overlaps across; inf and nan without one."""
-        n = len(self.x)
-        across = (self.x[None, :] < self.right[:, None]) & (self.right[None, :] > self.x[:, None])
         out = []
         for sign in (1, -1):
-            gap = sign * (self.base[:, None] - self.base[None, :])
-            gap = np.where(across & (gap > 0), gap, np.inf)
-            at = gap.argmin(1) if n else np.zeros(0, int)
-            least = gap[np.arange(n), at] if n else np.zeros(0)
-            out += [least, np.where(np.isfinite(least), self.y[at] if n else 0.0, np.nan)]
+            at = sweep(self.x, self.right, sign * self.base)
+            has = at >= 0
+            out += [np.where(has, np.abs(self.base - self.base[at]), np.inf), np.where(has, self.y[at], np.nan)] if len(at) else [np.zeros(0)] * 2
         return tuple(out)
 
     def owned(self, boxes: np.ndarray) -> np.ndarray:

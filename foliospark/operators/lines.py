@@ -19,6 +19,7 @@ CLUSTER_RANGE = 50.0
 BUCKET = 2.0
 COVERAGE, BAND_WIDTH = 0.8, 6.0
 PARA_RATIO, PARA_WINDOW = 1.3, 3
+EXCLUSIVE, STRICT_COVERAGE, STRICT_WIDTH, STRICT_GAP = 0.3, 0.5, 10.0, 15.0
 TAB_GAP, BLANK_GAP, WRAP = 30.0, 3.0, -50.0
 PAGE = ("file_id", "page")
 
@@ -57,8 +58,8 @@ def group_lines(items: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     return _line_rows(items).groupBy(*PAGE, "line").agg(F.first("line_baseline").alias("baseline"), F.min("y").alias("top"), F.max("b").alias("bottom"), F.count(F.lit(1)).alias("n_items"))
 
 
-def count_lines(items: DataFrame) -> DataFrame:
-    return in_order(items).select(*PAGE, F.size(anchor_starts(F.transform("items", lambda x: x["b"]), SAME_LINE)).alias("n_lines"))
+def count_lines(items: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
+    return in_order(items, keys).select(*keys, F.size(anchor_starts(F.transform("items", lambda x: x["b"]), SAME_LINE)).alias("n_lines"))
 
 
 def micro_clusters(items: DataFrame, keys: Sequence[str] = PAGE, rounded: bool = False) -> DataFrame:
@@ -92,86 +93,112 @@ def adaptive_threshold(items: DataFrame, keys: Sequence[str] = PAGE) -> DataFram
     )
 
 
-def line_gap_candidates(items: DataFrame) -> DataFrame:
+def line_gap_candidates(items: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """The widest gap of each line of two items or more (the first of equals), if over GAP_MIN."""
-    across = Window.partitionBy(*PAGE, "line").orderBy("x", "b", "i")
-    gaps = _line_rows(items).withColumn("gap_left", F.lag("r").over(across)).withColumn("k", F.row_number().over(across)).filter(F.col("gap_left").isNotNull())
+    across = Window.partitionBy(*keys, "line").orderBy("x", "b", "i")
+    gaps = _line_rows(items, keys).withColumn("gap_left", F.lag("r").over(across)).withColumn("k", F.row_number().over(across)).filter(F.col("gap_left").isNotNull())
     gaps = gaps.withColumn("gap", F.col("x") - F.col("gap_left"))
-    widest = gaps.groupBy(*PAGE, "line").agg(F.max_by(F.struct("gap", "gap_left", F.col("x").alias("gap_right")), F.struct("gap", -F.col("k"))).alias("g"))
-    return widest.select(*PAGE, "line", "g.*").filter(F.col("gap") > GAP_MIN)
+    widest = gaps.groupBy(*keys, "line").agg(F.max_by(F.struct("gap", "gap_left", F.col("x").alias("gap_right")), F.struct("gap", -F.col("k"))).alias("g"))
+    return widest.select(*keys, "line", "g.*").filter(F.col("gap") > GAP_MIN)
 
 
-def cluster_gap_edges(items: DataFrame) -> DataFrame:
+def cluster_gap_edges(items: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Where gaps line up: right edges in order, a new cluster at CLUSTER_RANGE or more from the previous; the largest
     cluster (first of equals) with at least 0.3 of the lines gives the median of its gap centres."""
-    gaps = line_gap_candidates(items)
-    order = Window.partitionBy(*PAGE).orderBy("gap_right", "line")
+    gaps = line_gap_candidates(items, keys)
+    order = Window.partitionBy(*keys).orderBy("gap_right", "line")
     far = F.coalesce((F.col("gap_right") - F.lag("gap_right").over(order) >= CLUSTER_RANGE).cast("int"), F.lit(0))
     clustered = gaps.withColumn("new", far).withColumn("cluster", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    sizes = clustered.groupBy(*PAGE, "cluster").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list((F.col("gap_left") + F.col("gap_right")) / 2)).alias("centres"))
-    best = sizes.groupBy(*PAGE).agg(F.max_by(F.struct("n", "centres"), F.struct("n", -F.col("cluster"))).alias("best"), F.sum("n").alias("n_gaps"))
-    lines = count_lines(items)
-    fit = best.join(lines, list(PAGE)).filter((F.col("n_gaps") >= 2) & (F.col("best.n") >= F.ceil(0.3 * F.col("n_lines"))))
-    return fit.select(*PAGE, F.get("best.centres", F.floor(F.size("best.centres") / 2).cast("int")).alias("separator"), F.col("best.n").alias("cluster_size"), "n_lines")
+    sizes = clustered.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list((F.col("gap_left") + F.col("gap_right")) / 2)).alias("centres"))
+    best = sizes.groupBy(*keys).agg(F.max_by(F.struct("n", "centres"), F.struct("n", -F.col("cluster"))).alias("best"), F.sum("n").alias("n_gaps"))
+    lines = count_lines(items, keys)
+    fit = best.join(lines, list(keys)).filter((F.col("n_gaps") >= 2) & (F.col("best.n") >= F.ceil(0.3 * F.col("n_lines"))))
+    return fit.select(*keys, F.get("best.centres", F.floor(F.size("best.centres") / 2).cast("int")).alias("separator"), F.col("best.n").alias("cluster_size"), "n_lines")
 
 
-def merge_line_intervals(items: DataFrame) -> DataFrame:
+def merge_line_intervals(items: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Unions of touching item spans on each line."""
-    across = Window.partitionBy(*PAGE, "line").orderBy("x", "i")
+    across = Window.partitionBy(*keys, "line").orderBy("x", "i")
     reach = F.max("r").over(across.rowsBetween(Window.unboundedPreceding, -1))
-    rows = _line_rows(items).withColumn("new", F.coalesce((F.col("x") > reach).cast("int"), F.lit(1)))
+    rows = _line_rows(items, keys).withColumn("new", F.coalesce((F.col("x") > reach).cast("int"), F.lit(1)))
     rows = rows.withColumn("span", F.sum("new").over(across.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*PAGE, "line", "span").agg(F.min("x").alias("left"), F.max("r").alias("right"))
+    return rows.groupBy(*keys, "line", "span").agg(F.min("x").alias("left"), F.max("r").alias("right"))
 
 
-def x_coverage(items: DataFrame) -> DataFrame:
+def x_coverage(items: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """How many lines cover each bucket of BUCKET units from the page's left-most item on; uncovered buckets are 0."""
-    ends = items.groupBy(*PAGE).agg(F.min("norm_x").alias("x0"), F.max(F.col("norm_x") + F.col("norm_w")).alias("x9"))
+    ends = items.groupBy(*keys).agg(F.min("norm_x").alias("x0"), F.max(F.col("norm_x") + F.col("norm_w")).alias("x9"))
     ends = ends.withColumn("buckets", (F.ceil((F.col("x9") - F.col("x0")) / BUCKET) + 1).cast("int"))
-    spans = merge_line_intervals(items).join(ends, list(PAGE))
+    spans = merge_line_intervals(items, keys).join(ends, list(keys))
     at = lambda c: F.floor((F.col(c) - F.col("x0")) / BUCKET).cast("int")
-    hits = spans.select(*PAGE, F.explode(F.sequence(F.greatest(F.lit(0), at("left")), F.least(F.col("buckets") - 1, at("right")))).alias("bucket"))
-    counted = hits.groupBy(*PAGE, "bucket").agg(F.count(F.lit(1)).alias("n"))
-    every = ends.select(*PAGE, "x0", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"))
-    return every.join(counted, [*PAGE, "bucket"], "left").select(*PAGE, "x0", "bucket", F.coalesce("n", F.lit(0)).alias("coverage"))
+    hits = spans.select(*keys, F.explode(F.sequence(F.greatest(F.lit(0), at("left")), F.least(F.col("buckets") - 1, at("right")))).alias("bucket"))
+    counted = hits.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    every = ends.select(*keys, "x0", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"))
+    return every.join(counted, [*keys, "bucket"], "left").select(*keys, "x0", "bucket", F.coalesce("n", F.lit(0)).alias("coverage"))
 
 
-def low_coverage_bands(items: DataFrame) -> DataFrame:
+def low_coverage_bands(items: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Runs of buckets that fewer than 0.8 of the lines cover, BAND_WIDTH wide at least; a run that reaches the last
     bucket is not a band. The centre is the mean of the least covered buckets."""
-    limit = count_lines(items).select(*PAGE, F.greatest(F.lit(1), F.ceil(COVERAGE * F.col("n_lines"))).alias("limit"))
-    cover = x_coverage(items).join(limit, list(PAGE))
-    last = Window.partitionBy(*PAGE)
+    limit = count_lines(items, keys).select(*keys, F.greatest(F.lit(1), F.ceil(COVERAGE * F.col("n_lines"))).alias("limit"))
+    cover = x_coverage(items, keys).join(limit, list(keys))
+    last = Window.partitionBy(*keys)
     cover = cover.withColumn("end", F.max("bucket").over(last))
-    low = cover.filter(F.col("coverage") < F.col("limit")).withColumn("island", F.col("bucket") - F.row_number().over(Window.partitionBy(*PAGE).orderBy("bucket")))
-    runs = low.groupBy(*PAGE, "island").agg(F.min("bucket").alias("b0"), F.max("bucket").alias("b1"), F.max("end").alias("end"), F.min("coverage").alias("least"), F.min("x0").alias("x0"), F.collect_list(F.struct("bucket", "coverage")).alias("bs"))
+    low = cover.filter(F.col("coverage") < F.col("limit")).withColumn("island", F.col("bucket") - F.row_number().over(Window.partitionBy(*keys).orderBy("bucket")))
+    runs = low.groupBy(*keys, "island").agg(F.min("bucket").alias("b0"), F.max("bucket").alias("b1"), F.max("end").alias("end"), F.min("coverage").alias("least"), F.min("x0").alias("x0"), F.collect_list(F.struct("bucket", "coverage")).alias("bs"))
     runs = runs.filter((F.col("b1") < F.col("end")) & ((F.col("b1") + 1 - F.col("b0")) * BUCKET >= BAND_WIDTH))
     lowest = F.filter("bs", lambda x: x["coverage"] == F.col("least"))
     mean = F.aggregate(lowest, F.lit(0).cast("long"), lambda a, x: a + x["bucket"]) / F.size(lowest)
-    return runs.select(*PAGE, (F.col("x0") + F.col("b0") * BUCKET).alias("start_x"), (F.col("x0") + (F.col("b1") + 1) * BUCKET).alias("end_x"), "least", (F.col("x0") + (mean + 0.5) * BUCKET).alias("centre"))
+    return runs.select(*keys, (F.col("x0") + F.col("b0") * BUCKET).alias("start_x"), (F.col("x0") + (F.col("b1") + 1) * BUCKET).alias("end_x"), "least", (F.col("x0") + (mean + 0.5) * BUCKET).alias("centre"))
 
 
-def test_separator(items: DataFrame, separators: DataFrame, cut_gap: float = GAP_MIN) -> DataFrame:
+def test_separator(items: DataFrame, separators: DataFrame, cut_gap: float = GAP_MIN, keys: Sequence[str] = PAGE) -> DataFrame:
     """keys, separator, ok, exclusive_ratio: whether a line down the page parts it into two columns."""
-    rows = _line_rows(items).join(separators, list(PAGE))
+    rows = _line_rows(items, keys).join(separators, list(keys))
     rows = rows.withColumn("left_side", (F.col("x") + F.col("r")) / 2 <= F.col("separator"))
-    across = Window.partitionBy(*PAGE, "separator", "line").orderBy("x", "i")
+    across = Window.partitionBy(*keys, "separator", "line").orderBy("x", "i")
     before = F.lag("r").over(across)
     rows = rows.withColumn("clear", F.coalesce((before <= F.col("separator")) & (F.col("x") >= F.col("separator")) & (F.col("x") - before > cut_gap), F.lit(False)))
-    lines = rows.groupBy(*PAGE, "separator", "line").agg(
+    lines = rows.groupBy(*keys, "separator", "line").agg(
         F.bool_or("left_side").alias("has_left"), F.bool_or(~F.col("left_side")).alias("has_right"), F.bool_or("clear").alias("clear"),
         ((F.min("x") < F.col("separator")) & (F.max("r") > F.col("separator"))).alias("cut"),
     )
-    sides = rows.groupBy(*PAGE, "separator").agg(
+    sides = rows.groupBy(*keys, "separator").agg(
         (F.max("r") - F.min("x")).alias("span"), F.sum("n").alias("chars"),
         *[f.alias(f"{s}_{n}") for s, c in (("l", F.col("left_side")), ("r", ~F.col("left_side"))) for n, f in (("span", F.max(F.when(c, F.col("r"))) - F.min(F.when(c, F.col("x")))), ("chars", F.sum(F.when(c, F.col("n")))))],
     )
-    cuts = lines.groupBy(*PAGE, "separator").agg(F.count_if(F.col("cut")).alias("cuts"), F.count_if(F.col("cut") & ~F.col("clear")).alias("bad"), F.count_if(F.col("has_left") != F.col("has_right")).alias("own"), F.count(F.lit(1)).alias("n_lines"))
+    cuts = lines.groupBy(*keys, "separator").agg(F.count_if(F.col("cut")).alias("cuts"), F.count_if(F.col("cut") & ~F.col("clear")).alias("bad"), F.count_if(F.col("has_left") != F.col("has_right")).alias("own"), F.count(F.lit(1)).alias("n_lines"))
     wide = (F.col("span") <= 0) | (F.least("l_span", "r_span") / F.col("span") >= 0.10)
     full = (F.col("chars") <= 0) | (F.least("l_chars", "r_chars") / F.col("chars") >= 0.05)
     clean = (F.col("cuts") == 0) | (F.col("bad") / F.col("cuts") <= 0.2)
     ok = F.col("l_span").isNotNull() & F.col("r_span").isNotNull() & wide & full & clean
-    return sides.join(cuts, [*PAGE, "separator"]).select(*PAGE, "separator", F.coalesce(ok, F.lit(False)).alias("ok"), (F.col("own") / F.col("n_lines")).alias("exclusive_ratio"))
+    return sides.join(cuts, [*keys, "separator"]).select(*keys, "separator", F.coalesce(ok, F.lit(False)).alias("ok"), (F.col("own") / F.col("n_lines")).alias("exclusive_ratio"))
+
+
+def split_columns(items: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
+    """Items with column (1, or 2 right of the separator) and separator (null where there is one column).
+
+    Separators are tried from two sources: where the gaps of lines agree, then the centres of low bands that are not within
+    CLUSTER_RANGE of one tried before. Of those that part the items the one with the most lines on one side alone is
+    taken (the first of equals), if these are over EXCLUSIVE of all. Else the widest band may part them by stricter rules.
+    Where no separator parts them, there is one column."""
+    band = F.struct("start_x", "end_x", "least", "centre")
+    bands = low_coverage_bands(items, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(band)).alias("bands"))
+    agreed = cluster_gap_edges(items, keys).select(*keys, F.col("separator").alias("agreed"))
+    page = count_lines(items, keys).join(agreed, list(keys), "left").join(bands, list(keys), "left")
+    first = F.filter(F.array("agreed"), lambda v: v.isNotNull())
+    far = lambda acc, v: F.forall(acc, lambda t: F.abs(t - v) >= CLUSTER_RANGE)
+    tries = F.aggregate(F.transform(F.coalesce("bands", F.expr("cast(array() as array<struct<start_x:double,end_x:double,least:bigint,centre:double>>)")), lambda b: b["centre"]), first, lambda acc, v: F.when(far(acc, v), F.concat(acc, F.array(v))).otherwise(acc))
+    tried = page.select(*keys, F.posexplode(tries).alias("pos", "separator"))
+    passed = test_separator(items, tried.drop("pos"), GAP_MIN, keys).filter("ok").join(tried, [*keys, "separator"])
+    best = passed.groupBy(*keys).agg(F.max_by(F.struct("separator", "exclusive_ratio"), F.struct("exclusive_ratio", -F.col("pos"))).alias("best"))
+    widest = F.get(F.array_sort(F.transform("bands", lambda b: F.struct((b["start_x"] - b["end_x"]).alias("back"), b["start_x"].alias("at"), b["least"].alias("least"), b["centre"].alias("separator")))), 0)
+    weak = best.filter(F.col("best.exclusive_ratio") <= EXCLUSIVE).join(page, list(keys)).withColumn("w", widest)
+    strict = weak.filter((F.col("w.least") < F.greatest(F.lit(1), F.ceil(STRICT_COVERAGE * F.col("n_lines")))) & (-F.col("w.back") >= STRICT_WIDTH)).select(*keys, "w.separator")
+    again = test_separator(items, strict, STRICT_GAP, keys).filter("ok").select(*keys, F.col("separator").alias("strict"))
+    chosen = best.join(again, list(keys), "left").select(*keys, F.when(F.col("best.exclusive_ratio") > EXCLUSIVE, F.col("best.separator")).otherwise(F.col("strict")).alias("separator"))
+    right = F.col("norm_x") + F.col("norm_w") / 2 > F.col("separator")
+    return items.join(chosen, list(keys), "left").withColumn("column", F.when(F.coalesce(right, F.lit(False)), 2).otherwise(1))
 
 
 def assign_lines(items: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
@@ -232,15 +259,6 @@ def line_texts(items: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     return marked.groupBy(*keys, "line").agg(F.array_join(ordered, "").alias("text"))
 
 
-def column_text(items: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
-    """keys, text: lines joined by a break, paragraphs by two. Fragments of one line are not put together here; the
-    page helper does that."""
-    lines = line_texts(items, keys).join(paragraph_breaks(items, keys), [*keys, "line"])
-    mark = F.when(F.col("line") == 0, "").when(F.col("break"), "\n\n").otherwise("\n")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line", F.concat(mark, "text").alias("t")))), lambda s: s["t"])
-    return lines.groupBy(*keys).agg(F.array_join(ordered, "").alias("text"))
-
-
 # --- diagnostics -----------------------------------------------------------------------------------------------
 
 

@@ -6,15 +6,21 @@ pair of different pages is ever formed.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
+from foliospark.functions.metadata import bound
 from foliospark.functions.text import has_cjk
 
 PAGE = ["file_id", "page"]
 CONTAINED = 0.95
 MIN_GAP = 5.0
 DESCENDER, CJK_DESCENDER = 0.20, 0.10
+#: Lines of two boxes are the same row up to ROW apart; from this share of shared rows on the boxes are parts of one block.
+ROW, SUBSET = 15.0, 0.8
 
 
 def _meets() -> Column:
@@ -95,15 +101,102 @@ def apply_descender(regions: DataFrame, items: DataFrame) -> DataFrame:
     return out.withColumn("y2", F.when(F.col("h").isNull(), F.col("y2")).otherwise(F.least(F.col("next_y") - MIN_GAP, room))).drop("next_y", "h", "cjk")
 
 
+def sweep(left: np.ndarray, right: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """For each item the nearest one above it that overlaps it across, -1 for none; of equals the first.
+
+    Items are gone through from above. What lies below all others covers them, so for each cell between two edges the last
+    item laid over it is kept, and an item looks at the cells that it spans. An item without width is a point, which
+    others overlap that have it inside. Memory grows with the number of items alone."""
+    n = len(left)
+    edges = np.unique(np.concatenate([left, right]))
+    a, z = np.searchsorted(edges, left), np.searchsorted(edges, right)
+    order = np.lexsort((-np.arange(n), base))
+    cells, points = np.full(2 * len(edges) + 1, -1), np.full(len(edges) + 1, -1)
+    out = np.full(n, -1)
+    cut = np.flatnonzero(np.diff(base[order])) + 1
+    for level in np.split(np.arange(n), cut):
+        for k in order[level].tolist():
+            if a[k] < z[k]:
+                best = cells[2 * a[k] + 1 : 2 * z[k]].max()
+                if z[k] > a[k] + 1:
+                    best = max(best, points[a[k] + 1 : z[k]].max())
+            else:
+                best = cells[2 * a[k]]
+            out[k] = order[best] if best >= 0 else -1
+        for rank, k in zip(level.tolist(), order[level].tolist(), strict=True):
+            if a[k] < z[k]:
+                cells[2 * a[k] + 1 : 2 * z[k]] = rank
+            else:
+                points[a[k]] = rank
+    return out
+
+
+@F.pandas_udf(StructType().add("above", ArrayType(IntegerType())).add("below", ArrayType(IntegerType())))
+def _neighbours(left: pd.Series, right: pd.Series, base: pd.Series) -> pd.DataFrame:
+    rows = [(sweep(x, r, b), sweep(x, r, -b)) for x, r, b in zip(left, right, base, strict=True)]
+    return pd.DataFrame({"above": [r[0] for r in rows], "below": [r[1] for r in rows]})
+
+
 def nearest_lines(items: DataFrame) -> DataFrame:
-    """Items with the nearest item above and below that overlaps across: idx, gap and top of each, null for none; of
-    equals the first."""
-    one = items.select(*PAGE, "item_idx", F.col("norm_x").alias("l"), (F.col("norm_x") + F.col("norm_w")).alias("r"), F.col("norm_baseline").alias("b"))
-    two = items.select(*PAGE, F.col("item_idx").alias("k"), F.col("norm_x").alias("ol"), (F.col("norm_x") + F.col("norm_w")).alias("orr"), F.col("norm_baseline").alias("ob"), F.col("norm_y").alias("oy"))
-    near = one.join(two, PAGE).filter((F.col("ol") < F.col("r")) & (F.col("orr") > F.col("l")) & (F.col("ob") != F.col("b")))
-    pick = lambda c, gap: F.min(F.when(c, F.struct(gap.alias("gap"), F.col("k").alias("idx"), F.col("oy").alias("top"))))
-    found = near.groupBy(*PAGE, "item_idx").agg(pick(F.col("ob") < F.col("b"), F.col("b") - F.col("ob")).alias("above"), pick(F.col("ob") > F.col("b"), F.col("ob") - F.col("b")).alias("below"))
-    return items.join(found, [*PAGE, "item_idx"], "left")
+    """Items with the nearest item above and below that overlaps across: gap, idx and top of each, null for none; of
+    equals the first. Items of a page meet in one shuffle and are swept once in each direction; widths are not negative."""
+    own = [c for c in items.columns if c not in PAGE]
+    page = items.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("item_idx", *[c for c in own if c != "item_idx"]))).alias("it"))
+    each = lambda f: F.transform("it", f)
+    found = page.withColumn("n", _neighbours(each(lambda t: t["norm_x"]), each(lambda t: t["norm_x"] + t["norm_w"]), each(lambda t: t["norm_baseline"])))
+    at = lambda side, k: F.when(F.get(F.col("n")[side], k) >= 0, F.get("it", F.get(F.col("n")[side], k)))
+    near = lambda t, o: F.when(o.isNotNull(), F.struct(F.abs(t["norm_baseline"] - o["norm_baseline"]).alias("gap"), o["item_idx"].alias("idx"), o["norm_y"].alias("top")))
+    full = each(lambda t, k: F.struct(t.alias("t"), near(t, at("above", k)).alias("above"), near(t, at("below", k)).alias("below")))
+    flat = found.select(*PAGE, F.explode(full).alias("f"))
+    return flat.select(*PAGE, "f.t.*", "f.above", "f.below").select(*PAGE, *own, "above", "below")
+
+
+def resolve_x_overlaps(regions: DataFrame, items: DataFrame) -> DataFrame:
+    """Boxes side by side that overlap: the one with less text in the overlap gives way, the right one on ties. Pairs are
+    gone through in order, each seeing what those before have changed; boxes of which one has no line of its own beside the
+    overlap stay as they are. Where SUBSET of the lines of one side go on in the other, the overlap is halved first."""
+    row = F.struct(F.col("norm_x").alias("x"), (F.col("norm_x") + F.col("norm_w")).alias("r"), (F.col("norm_x") + F.col("norm_w") / 2).alias("c"), F.col("norm_y").alias("y"), F.col("norm_baseline").alias("b"))
+    text = items.groupBy(*PAGE).agg(F.collect_list(row).alias("items"))
+    page = _page_boxes(regions).join(text, PAGE, "left")
+    places = F.sequence(F.lit(0), F.size("boxes") - 1)
+    pairs = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+
+    def step(boxes: Column, p: Column) -> Column:
+        swapped = F.get(boxes, p["i"])["x1"] > F.get(boxes, p["j"])["x1"]
+        left_at, right_at = F.when(swapped, p["j"]).otherwise(p["i"]), F.when(swapped, p["i"]).otherwise(p["j"])
+        frame = lambda a, z: F.struct(a.alias("a"), z.alias("z"), F.greatest(a["x1"], z["x1"]).alias("x0"), F.least(a["x2"], z["x2"]).alias("x1"), F.greatest(a["y1"], z["y1"]).alias("y0"), F.least(a["y2"], z["y2"]).alias("y1"))
+
+        def settle(f: Column) -> Column:
+            rows = lambda side: F.array_distinct(F.transform(side, lambda t: F.floor(t["b"] + 0.5)))
+
+            def with_level(level: Column) -> Column:
+                own_left = rows(F.filter(level, lambda t: (t["c"] < f["x0"]) & (t["c"] > f["a"]["x1"]) & (t["c"] < f["a"]["x2"])))
+                own_right = rows(F.filter(level, lambda t: (t["c"] > f["x1"]) & (t["c"] > f["z"]["x1"]) & (t["c"] < f["z"]["x2"])))
+                inside = F.filter(level, lambda t: (t["r"] > f["x0"]) & (t["x"] < f["x1"]))
+                middle = (f["x0"] + f["x1"]) / 2
+
+                def moved(s: Column) -> Column:
+                    fewer = F.size(s["l"]) <= F.size(s["r"])
+                    few, many = F.when(fewer, s["l"]).otherwise(s["r"]), F.when(fewer, s["r"]).otherwise(s["l"])
+                    shared = F.size(F.filter(few, lambda v: F.exists(many, lambda o: F.abs(v - o) < ROW)))
+                    parted = shared >= SUBSET * F.size(few)
+                    cover = lambda of, lo, hi: F.aggregate(F.filter(s["inside"], of), F.lit(0.0), lambda acc, t: acc + F.least(t["r"], hi) - F.greatest(t["x"], lo))
+                    on_left = cover(lambda t: t["c"] < middle, f["x0"], F.when(parted, middle).otherwise(f["x1"]))
+                    on_right = cover(lambda t: t["c"] >= middle, F.when(parted, middle).otherwise(f["x0"]), f["x1"])
+                    keep_left = on_left >= on_right
+                    side = lambda b, k: F.struct(b["ord"].alias("ord"), F.when((k == right_at) & keep_left, f["a"]["x2"]).otherwise(b["x1"]).alias("x1"), b["y1"].alias("y1"), F.when((k == left_at) & ~keep_left, f["z"]["x1"]).otherwise(b["x2"]).alias("x2"), b["y2"].alias("y2"))
+                    return F.when((F.size(s["l"]) == 0) | (F.size(s["r"]) == 0), boxes).otherwise(F.transform(boxes, side))
+
+                return bound(F.struct(own_left.alias("l"), own_right.alias("r"), inside.alias("inside")), moved)
+
+            cross = (f["x1"] > f["x0"]) & (f["y1"] > f["y0"])
+            return F.when(cross, bound(F.filter("items", lambda t: (t["b"] >= f["y0"]) & (t["y"] <= f["y1"])), with_level)).otherwise(boxes)
+
+        return bound(frame(F.get(boxes, left_at), F.get(boxes, right_at)), settle)
+
+    none = F.expr("cast(array() as array<struct<x:double,r:double,c:double,y:double,b:double>>)")
+    page = page.withColumn("items", F.coalesce("items", none))
+    return page.select(*PAGE, F.explode(F.when(F.size("boxes") > 1, F.aggregate(pairs, F.col("boxes"), step)).otherwise(F.col("boxes"))).alias("b")).select(*PAGE, "b.*")
 
 
 def item_ownership(items: DataFrame, regions: DataFrame) -> DataFrame:

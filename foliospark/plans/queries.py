@@ -13,7 +13,7 @@ from foliospark.functions import boxes as B
 from foliospark.functions import items as I
 from foliospark.functions import metadata as M
 from foliospark.functions import text as T
-from foliospark.operators import geometry, lines, regions, state
+from foliospark.operators import geometry, lines, packed, regions, state
 from foliospark.plans import adapters as A
 from foliospark.sources import files as S
 from foliospark.streaming import jobs
@@ -384,6 +384,25 @@ def enforce_min_gap(spark, sf):
     return regions.enforce_min_gap(A.regions(spark, sf))
 
 
+@query(_with(BOXES).replace("WITH ", "WITH RECURSIVE ", 1) + """, its AS (SELECT file_id, page, list({'x': norm_x, 'r': norm_x + norm_w, 'c': norm_x + norm_w / 2, 'y': norm_y, 'b': norm_baseline}) AS ts FROM items GROUP BY ALL),
+packed AS (SELECT file_id, page, list(x1 ORDER BY ord) AS l, list(x2 ORDER BY ord) AS r, list(y1 ORDER BY ord) AS t, list(y2 ORDER BY ord) AS b, count(*)::INT AS n FROM boxes GROUP BY ALL),
+turns AS (SELECT file_id, page, l, r, t, b, n, 1 AS i, 2 AS j, ts FROM packed JOIN its USING (file_id, page)
+  UNION ALL SELECT file_id, page, CASE WHEN settled AND lc >= rc THEN list_transform(l, lambda v, k: CASE WHEN k = right_ THEN r[left_] ELSE v END) ELSE l END,
+    CASE WHEN settled AND lc < rc THEN list_transform(r, lambda v, k: CASE WHEN k = left_ THEN l[right_] ELSE v END) ELSE r END, t, b, n, CASE WHEN j < n THEN i ELSE i + 1 END, CASE WHEN j < n THEN j + 1 ELSE i + 2 END, ts
+  FROM (SELECT *, CASE WHEN l[i] <= l[j] THEN i ELSE j END AS left_, CASE WHEN l[i] <= l[j] THEN j ELSE i END AS right_, greatest(l[i], l[j]) AS x0, least(r[i], r[j]) AS x1, greatest(t[i], t[j]) AS y0, least(b[i], b[j]) AS y1,
+      list_filter(ts, lambda q: q.b >= y0 AND q.y <= y1) AS level, (x0 + x1) / 2 AS mid,
+      list_distinct(list_transform(list_filter(level, lambda q: q.c < x0 AND q.c > l[left_] AND q.c < r[left_]), lambda q: floor(q.b + 0.5))) AS ol,
+      list_distinct(list_transform(list_filter(level, lambda q: q.c > x1 AND q.c > l[right_] AND q.c < r[right_]), lambda q: floor(q.b + 0.5))) AS orr,
+      CASE WHEN len(ol) <= len(orr) THEN ol ELSE orr END AS few, CASE WHEN len(ol) <= len(orr) THEN orr ELSE ol END AS many,
+      len(list_filter(few, lambda v: len(list_filter(many, lambda o: abs(v - o) < 15)) > 0)) >= 0.8 * len(few) AS parted, list_filter(level, lambda q: q.r > x0 AND q.x < x1) AS ins,
+      coalesce(list_sum(list_transform(list_filter(ins, lambda q: q.c < mid), lambda q: least(q.r, CASE WHEN parted THEN mid ELSE x1 END) - greatest(q.x, x0))), 0) AS lc,
+      coalesce(list_sum(list_transform(list_filter(ins, lambda q: q.c >= mid), lambda q: least(q.r, x1) - greatest(q.x, CASE WHEN parted THEN mid ELSE x0 END))), 0) AS rc,
+      x1 > x0 AND y1 > y0 AND len(ol) > 0 AND len(orr) > 0 AS settled FROM turns WHERE j <= n))
+SELECT file_id, page, unnest(range(1, n + 1))::INT AS ord, unnest(l) AS x1, unnest(t) AS y1, unnest(r) AS x2, unnest(b) AS y2 FROM turns WHERE j > n""")
+def resolve_x_overlaps(spark, sf):
+    return regions.resolve_x_overlaps(A.regions(spark, sf), A.text_items(spark, sf))
+
+
 @query(_with(BOXES) + """, lev AS (SELECT i.norm_baseline AS bl, b.*, norm_x < x2 AND norm_x + norm_w > x1 AS ins FROM items i JOIN boxes b USING (file_id, page) WHERE norm_y < y2 AND norm_baseline > y1),
 sets AS (SELECT file_id, page, ord, list(DISTINCT bl) FILTER (ins) AS own, list(DISTINCT bl) FILTER (NOT ins) AS outs FROM lev GROUP BY ALL)
 SELECT b.file_id, b.page, b.ord, coalesce(len(list_filter(outs, lambda o: len(list_filter(coalesce(own, []), lambda a: abs(a - o) <= 3)) = 0)) = 0, true) AS subset FROM boxes b LEFT JOIN sets USING (file_id, page, ord)""")
@@ -523,7 +542,73 @@ def line_texts(spark, sf):
 
 @query(_with(LTEXT) + "SELECT file_id, page, md5(string_agg(CASE WHEN line = 0 THEN '' WHEN coalesce(ref > 0 AND br.gap > ref * 1.3::DOUBLE, false) THEN chr(10) || chr(10) ELSE chr(10) END || lt.text, '' ORDER BY line)) AS text FROM lt JOIN br USING (file_id, page, line) GROUP BY ALL")
 def column_text(spark, sf):
-    return lines.column_text(A.text_items(spark, sf)).withColumn("text", F.md5("text"))
+    """Lines are whole here, so no fragments are put together; merge_line_fragments has some."""
+    return packed.column_text(A.text_items(spark, sf)).withColumn("text", F.md5("text"))
+
+
+#: Every third line of a page in two halves, 18 apart, as a link or another font moves them.
+BROKEN = LINES.replace("AS norm_baseline, norm_baseline", "+ CASE WHEN ((idx % 120) // 6) % 3 = 1 AND idx % 6 >= 3 THEN 18 ELSE 0 END AS norm_baseline, norm_baseline")
+
+
+def _broken(spark, sf):
+    moved = F.when((F.floor(F.col("item_idx") % 120 / 6) % 3 == 1) & (F.col("item_idx") % 6 >= 3), 18.0).otherwise(0.0)
+    return A.text_items(spark, sf).withColumn("norm_y", F.col("norm_y") + moved).withColumn("norm_baseline", F.col("norm_baseline") + moved)
+
+
+@query(_with(BROKEN).replace("WITH ", "WITH RECURSIVE ", 1) + """, rows_ AS (SELECT file_id, page, line, min(norm_x) AS lo, max(r) AS hi, arg_min(norm_baseline, {'x': norm_x, 'b': norm_baseline, 'i': item_idx}) AS b,
+    list({'x': norm_x, 'b': norm_baseline, 'i': item_idx} ORDER BY norm_x, norm_baseline, item_idx) AS g FROM lined GROUP BY ALL),
+packed AS (SELECT file_id, page, list({'lo': lo, 'hi': hi, 'b': b, 'g': g} ORDER BY line) AS rs, list_sort(list(hi - lo))[floor(count(*) * 0.75)::INT + 1] AS ref, count(*) AS n FROM rows_ GROUP BY ALL),
+turns AS (SELECT file_id, page, rs, ref, 1 AS i, CASE WHEN rs[1].hi - rs[1].lo < 0.7 * ref THEN 2 ELSE len(rs) + 1 END::BIGINT AS j FROM packed WHERE n >= 3 AND ref > 50
+  UNION ALL SELECT file_id, page, CASE WHEN fits THEN rs[1:i - 1] || [{'lo': lo, 'hi': hi, 'b': CASE WHEN rs[j].lo < rs[i].lo THEN rs[j].b ELSE rs[i].b END, 'g': list_sort(rs[i].g || rs[j].g)}] || rs[i + 1:j - 1] || rs[j + 1:] ELSE rs END, ref,
+    CASE WHEN over THEN i + 1 ELSE i END, CASE WHEN over THEN CASE WHEN rs[i + 1].hi - rs[i + 1].lo < 0.7 * ref THEN i + 2 ELSE len(rs) + 1 END WHEN fits THEN j ELSE j + 1 END
+  FROM (SELECT *, j > least(i + 3, len(rs)) AS over, least(rs[i].lo, rs[j].lo) AS lo, greatest(rs[i].hi, rs[j].hi) AS hi,
+    NOT over AND rs[j].hi - rs[j].lo < 0.7 * ref AND abs(rs[i].b - rs[j].b) <= 2.5 * 15 AND hi - lo >= 1.2 * greatest(rs[i].hi - rs[i].lo, rs[j].hi - rs[j].lo) AS fits FROM turns WHERE i <= len(rs))),
+ended AS (SELECT file_id, page, rs FROM turns WHERE i > len(rs) UNION ALL SELECT file_id, page, rs FROM packed WHERE n < 3 OR ref <= 50),
+flat AS (SELECT file_id, page, generate_subscripts(rs, 1) - 1 AS line, unnest(rs) AS a FROM ended)
+SELECT file_id, page, line::INT AS line, a.lo AS lo, a.hi AS hi, array_to_string(list_transform(a.g, lambda t: t.i), ',') AS items FROM flat""")
+def merge_line_fragments(spark, sf):
+    found = packed.merge_line_fragments(_broken(spark, sf))
+    return found.select("file_id", "page", "line", "lo", "hi", F.array_join(F.transform("item_idxs", lambda i: i.cast("string")), ",").alias("items"))
+
+
+#: Pages of every second document have their lines left or right of the middle alone, others have full lines and lines with three words.
+SIDES = LINES.replace("WHERE str <> ''", "WHERE str <> '' AND CASE WHEN doc_id % 2 = 0 THEN (idx // 6 % 2 = 0) = (idx % 6 < 3) ELSE idx // 6 % 3 = 0 OR idx % 6 < 2 OR idx % 6 > 4 END")
+
+
+def _sides(spark, sf):
+    line, slot = F.floor(F.col("item_idx") / 6), F.col("item_idx") % 6
+    return A.text_items(spark, sf).filter(F.when(F.col("file_id").cast("long") % 2 == 0, (line % 2 == 0) == (slot < 3)).otherwise((line % 3 == 0) | (slot < 2) | (slot > 4)))
+
+
+GAPS_ON, COVER_ON = GAPS[len(LINES):], COVER[len(LINES):]
+
+
+def _tested(name: str, lines_: str, tries: str, gap: int) -> str:
+    """Separators of tries (file_id, page, sep) that part the items."""
+    return f""", {name}_s AS (SELECT l.*, sep, (norm_x + r) / 2 <= sep AS lft, lag(r) OVER (PARTITION BY l.file_id, l.page, sep, line ORDER BY norm_x, item_idx) AS pr, length(str) AS n FROM {lines_} l JOIN {tries} USING (file_id, page)),
+{name}_l AS (SELECT file_id, page, sep, line, bool_or(lft) AS hl, bool_or(NOT lft) AS hr, bool_or(coalesce(pr <= sep AND norm_x >= sep AND norm_x - pr > {gap}, false)) AS clr, min(norm_x) < sep AND max(r) > sep AS cut FROM {name}_s GROUP BY file_id, page, sep, line),
+{name}_c AS (SELECT file_id, page, sep, count(*) FILTER (cut) AS cuts, count(*) FILTER (cut AND NOT clr) AS bad, count(*) FILTER (hl <> hr) AS own, count(*) AS nl FROM {name}_l GROUP BY ALL),
+{name}_w AS (SELECT file_id, page, sep, max(r) - min(norm_x) AS span, max(r) FILTER (lft) - min(norm_x) FILTER (lft) AS ls, max(r) FILTER (NOT lft) - min(norm_x) FILTER (NOT lft) AS rs, sum(n) AS ch, sum(n) FILTER (lft) AS lc, sum(n) FILTER (NOT lft) AS rc FROM {name}_s GROUP BY ALL),
+{name} AS (SELECT file_id, page, sep, own / nl AS ratio FROM {name}_w JOIN {name}_c USING (file_id, page, sep) WHERE ls IS NOT NULL AND rs IS NOT NULL AND (span <= 0 OR least(ls, rs) / span >= 0.1) AND (ch <= 0 OR least(lc, rc) / ch >= 0.05) AND (cuts = 0 OR bad / cuts <= 0.2))"""
+
+
+@query(_with(SIDES + GAPS_ON) + """, flagged AS (SELECT *, coalesce((gap_right - lag(gap_right) OVER w >= 50)::INT, 0) AS new FROM gaps WINDOW w AS (PARTITION BY file_id, page ORDER BY gap_right, line)),
+grouped AS (SELECT *, sum(new) OVER (PARTITION BY file_id, page ORDER BY gap_right, line ROWS UNBOUNDED PRECEDING) AS c FROM flagged),
+sizes AS (SELECT file_id, page, c, count(*) AS n, list_sort(list((gap_left + gap_right) / 2)) AS cs FROM grouped GROUP BY ALL),
+agreed AS (SELECT file_id, page, arg_max({'n': n, 'cs': cs}, {'n': n, 'c': -c}) AS b, sum(n) AS ng FROM sizes GROUP BY ALL),
+sepa AS (SELECT file_id, page, b.cs[len(b.cs) // 2 + 1] AS sep FROM agreed JOIN starts USING (file_id, page) WHERE ng >= 2 AND b.n >= ceil(0.3 * len(st)))""" + COVER_ON + """, low AS (SELECT c.*, bucket - row_number() OVER (PARTITION BY file_id, page ORDER BY bucket) AS isl FROM cover c JOIN starts USING (file_id, page) WHERE coverage < greatest(1, ceil(0.8 * len(st)))),
+mins AS (SELECT *, min(coverage) OVER (PARTITION BY file_id, page, isl) AS mc FROM low),
+bands AS (SELECT file_id, page, x0 + min(bucket) * 2.0::DOUBLE AS a, x0 + (max(bucket) + 1) * 2.0::DOUBLE AS z, min(coverage) AS least_, x0 + (avg(bucket) FILTER (coverage = mc) + 0.5) * 2 AS centre FROM mins GROUP BY file_id, page, isl, x0, nb HAVING max(bucket) < nb - 1 AND (max(bucket) + 1 - min(bucket)) * 2 >= 6),
+listed AS (SELECT file_id, page, list(centre ORDER BY a) AS cs, arg_max({'least_': least_, 'w': z - a, 'sep': centre}, {'w': z - a, 'at': -a}) AS wide FROM bands GROUP BY ALL),
+page_ AS (SELECT file_id, page, len(st) AS nl, sep, coalesce(cs, []) AS cs, wide FROM starts LEFT JOIN sepa USING (file_id, page) LEFT JOIN listed USING (file_id, page)),
+folded AS (SELECT *, list_reduce([CASE WHEN sep IS NULL THEN []::DOUBLE[] ELSE [sep] END] || list_transform(cs, lambda c: [c]), lambda acc, v: CASE WHEN len(list_filter(acc, lambda t: abs(t - v[1]) < 50)) = 0 THEN acc || v ELSE acc END) AS ts FROM page_),
+tries AS (SELECT file_id, page, unnest(ts) AS sep, generate_subscripts(ts, 1) AS pos FROM folded)""" + _tested("tested", "lined", "tries", 5) + """,
+best AS (SELECT file_id, page, arg_max({'sep': tested.sep, 'ratio': ratio}, {'r': ratio, 'p': -pos}) AS b FROM tested JOIN tries USING (file_id, page, sep) GROUP BY ALL),
+strict AS (SELECT file_id, page, wide.sep AS sep FROM best JOIN folded USING (file_id, page) WHERE b.ratio <= 0.3 AND wide.least_ < greatest(1, ceil(0.5 * nl)) AND wide.w >= 10)""" + _tested("again", "lined", "strict", 15) + """,
+chosen AS (SELECT best.file_id, best.page, CASE WHEN b.ratio > 0.3 THEN b.sep ELSE again.sep END AS sep FROM best LEFT JOIN again USING (file_id, page))
+SELECT file_id, page, item_idx, CASE WHEN norm_x + norm_w / 2 > sep THEN 2 ELSE 1 END AS "column" FROM items LEFT JOIN chosen USING (file_id, page)""")
+def split_columns(spark, sf):
+    return lines.split_columns(_sides(spark, sf)).select("file_id", "page", "item_idx", "column")
 
 
 @query(_with(MICRO) + "SELECT file_id, page, n_items::INT AS n_items, threshold, list_min(gaps) AS least, list_sort(gaps)[len(gaps) // 2 + 1] AS middle, list_max(gaps) AS largest, len(list_filter(gaps, lambda g: g > 3 AND g < threshold))::INT AS n_danger, len(list_filter(gaps, lambda g: g > 3 AND g < threshold)) = 0 AS passed FROM limits")

@@ -1,10 +1,11 @@
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from foliospark.operators import geometry as G
-from foliospark.operators import lines, regions
+from foliospark.operators import lines, packed, regions
 
 ITEMS = "file_id string, page int, item_idx int, str string, norm_x double, norm_y double, norm_w double, norm_h double, norm_baseline double"
 BOXES = "file_id string, page int, ord int, x1 double, y1 double, x2 double, y2 double"
@@ -93,3 +94,83 @@ def test_empty_page(spark):
     boxes = spark.createDataFrame([("f", 1, 1, 0.0, 0.0, 10.0, 10.0)], BOXES)
     got = G.extract_text_for_regions(spark.createDataFrame([], ITEMS), boxes).collect()
     assert len(got) == 1 and got[0].text == "" and got[0].n_hits == 0
+
+
+def neighbours_by_pairs(left, right, base):
+    """The nearest item above each that overlaps it, by trying all."""
+    out = []
+    for k in range(len(left)):
+        near = [(base[k] - base[o], o) for o in range(len(left)) if left[o] < right[k] and right[o] > left[k] and base[o] < base[k]]
+        out.append(min(near)[1] if near else -1)
+    return out
+
+
+def test_sweep_is_all_pairs():
+    for seed in range(60):
+        r = np.random.default_rng(seed)
+        n = int(r.integers(1, 60))
+        left = r.integers(0, 30, n).astype(float)
+        right = left + r.integers(0, 8, n)  # some without width
+        base = r.integers(0, 12, n).astype(float)
+        assert regions.sweep(left, right, base).tolist() == neighbours_by_pairs(left, right, base)
+
+
+def test_sweep_of_a_page_with_20000_items():
+    r = np.random.default_rng(1)
+    left = r.random(20_000) * 900
+    began = time.time()
+    found = regions.sweep(left, left + r.random(20_000) * 100, r.random(20_000) * 1000)
+    assert (found >= 0).mean() > 0.9
+    assert time.time() - began < 20
+
+
+def test_column_text_is_the_helpers(spark):
+    """Threshold, lines, fragments, paragraphs: one row per column."""
+    pages, items, _ = frames(spark, range(40, 70))
+    got = {r.file_id: r.text for r in packed.column_text(items).collect()}
+    merged = 0
+    for seed, (i, _) in zip(range(40, 70), pages, strict=True):
+        page = page_of(i)
+        order = np.argsort(page.base, kind="stable")
+        limit = G.threshold_of(page.base[order])
+        lines_ = G.assigned_lines(page, order, limit)
+        merged += len(G.merge_fragments(page, lines_, limit)) < len(lines_)
+        assert got[f"f{seed}"] == G.column_text(page, np.arange(len(i)))
+    assert merged > 5
+
+
+def test_overlaps_are_the_helpers(spark):
+    pages, items, boxes = frames(spark, range(40))
+    got = {(r.file_id, r.ord): [r.x1, r.y1, r.x2, r.y2] for r in regions.resolve_x_overlaps(boxes, items).collect()}
+    moved = 0
+    for seed, (i, b) in enumerate(pages):
+        array = np.array([r[3:] for r in b])
+        want = G.resolve_x_overlaps(page_of(i), array)
+        moved += (want != array).any()
+        assert np.allclose([got[f"f{seed}", k + 1] for k in range(len(b))], want)
+    assert moved > 1
+
+
+def test_columns_are_the_helpers(spark):
+    """Pages with two columns, one column, and lines that cross."""
+    rows = []
+    for seed in range(24):
+        r = random.Random(seed)
+        for k in range(60):
+            side, y = r.randrange(2), 40.0 * (k // 4) + 20
+            x = 30.0 + r.randrange(0, 330) + 480 * side
+            if seed % 3 == 1:
+                x = float(r.randrange(0, 850))
+            if seed % 3 == 2 and k % 4 == 0:
+                x, side = 380.0, 2
+            rows.append((f"f{seed}", 1, k, "word" * r.randrange(1, 4), x, y, float(r.randrange(20, 90) + 100 * (side == 2)), 12.0, y + 12))
+    items = spark.createDataFrame(rows, ITEMS)
+    got = {(r.file_id, r.item_idx): r.column for r in lines.split_columns(items).collect()}
+    two = 0
+    for seed in range(24):
+        own = [r for r in rows if r[0] == f"f{seed}"]
+        columns = G.split_columns(page_of(own), np.arange(len(own)))
+        two += len(columns) == 2
+        for number, hits in enumerate(columns, 1):
+            assert all(got[f"f{seed}", k] == number for k in hits.tolist())
+    assert 3 < two < 24
