@@ -3,7 +3,9 @@
 A text's words are brought to one normal form (lower case, one space between words). A cheap test for a few words, of
 which each rule has one, gates the work; each rule has a keyword of its own that must stand in the text before its regex is tried.
 Detections are word intervals. One that lies within another is dropped; of equal intervals the one of the rule
-with the smaller priority number stays. All of it happens inside the row, so nothing is shuffled and no key can be hot.
+with the smaller priority number stays; of those that overlap in part one goes if a better one, by priority, then length, then
+place, overlaps it. The work grows in proportion to the text for each rule whose keyword it holds.
+All of it happens inside the row, so nothing is shuffled and no key can be hot.
 
 Null and empty texts have no words and no labels. Repeated rows give repeated results. Columns other than
 doc_id and text are not read.
@@ -19,6 +21,9 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Marks put around matches; no word holds them.
+BEGIN, END = "\x01", "\x02"
+PART = 500
 #: What stands between words once A-Z are lowered.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
@@ -158,6 +163,71 @@ SIGNATURES = {
 }
 
 
+#: Words of further license texts and notices, by license.
+NOTICES = {
+    "mit": ("free of charge to any person obtaining a copy of this software and associated documentation files", "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies", "opensource org licenses mit"),
+    "mit-0": ("mit no attribution", "mit 0 license"),
+    "apache": ("apache license version 2 0 january 2004", "derivative works shall mean any work whether in source or object form", "this product includes software developed at the apache software foundation", "subject to the terms and conditions of this license each contributor hereby grants"),
+    "gpl": (
+        "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", "when we speak of free software we are referring to freedom not price", "the licenses for most software are designed to take away your freedom",
+        "this program comes with absolutely no warranty", "linking this (?:library|program) statically or dynamically with other modules", "you may convey verbatim copies of the program s source code as you receive it", "gnu general public license for more details",
+    ),
+    "gpl-exception": ("as a special exception the copyright holders of this (?:library|program) give you permission to link", "gcc runtime library exception", "classpath exception", "as a special exception to the gnu general public license", "autoconf configure script exception", "bison exception"),
+    "lgpl": ("this license the lesser general public license applies to some specially designated software packages", "the precise terms and conditions for copying distribution and modification follow", "gnu lesser general public license for more details"),
+    "agpl": ("notwithstanding any other provision of this license if you modify the program your modified version must prominently offer all users", "gnu affero general public license for more details"),
+    "gfdl": ("with no invariant sections no front cover texts and no back cover texts", "the purpose of this license is to make a manual textbook or other functional and useful document free"),
+    "bsd": (
+        "the name of the author may not be used to endorse or promote products derived from this software", "in no event shall the (?:copyright (?:owner|holder)|regents|author)(?: or contributors)? be liable for any direct indirect incidental special exemplary or consequential damages",
+        "even if advised of the possibility of such damage", "redistributions of source code must retain the copyright notice", "subject to the limitations in the disclaimer below", "opensource org licenses bsd",
+    ),
+    "bsd-0": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
+    "mpl": ("mozilla public license version (?:1|2) [01]", "software distributed under the license is distributed on an as is basis without warranty of any kind", "covered software is provided under this license on an as is basis"),
+    "epl": ("eclipse distribution license", "secondary licenses when the conditions for such availability set forth in the eclipse public license", "each contributor hereby grants recipient a non exclusive worldwide royalty free copyright license"),
+    "cddl": ("this software may be used under the terms of the common development and distribution license", "when distributing covered code include this cddl header"),
+    "zlib": ("permission is granted to anyone to use this software for any purpose including commercial applications", "this notice may not be removed or altered from any source distribution"),
+    "boost": ("copies of the software in whole or in part and all derivative works of the software unless such copies", "boost software license"),
+    "cc0": ("to the extent possible under law (?:[^ ]+ ){1,8}has waived all copyright", "no rights reserved"),
+    "cc-by": ("you must give appropriate credit provide a link to the license and indicate if changes were made", "creative commons attribution license"),
+    "cc-by-sa": ("if you remix transform or build upon the material you must distribute your contributions under the same license", "creative commons attribution share alike"),
+    "cc-by-nc": ("you may not use the material for commercial purposes", "creative commons attribution non commercial"),
+    "cc-by-nd": ("if you remix transform or build upon the material you may not distribute the modified material", "creative commons attribution no derivatives"),
+    "public-domain": ("this work is in the public domain", "dedicated to the public domain", "no copyright is claimed", "the author disclaims copyright to this source code"),
+    "odbl": ("this database is made available under the open database license", "any rights in individual contents of the database are licensed under the database contents license"),
+    "ofl": ("with reserved font name", "this license is copied below and is also available with a faq"),
+    "eupl": ("you may not use this work except in compliance with the licence", "european union public license"),
+    "artistic": ("the artistic license", "everyone is permitted to copy and distribute verbatim copies of this license document", "the clarified artistic license"),
+    "python": ("python software foundation license", "beopen python open source license agreement", "cnri hereby grants licensee a nonexclusive royalty free world wide license"),
+    "openssl": ("redistributions of any form whatsoever must retain the following acknowledgment", "original ssleay license"),
+    "ms-pl": ("microsoft public license",),
+    "ms-rl": ("for any file you distribute that contains code from the software you must provide recipients the source code to that file",),
+    "ruby": ("ruby is copyrighted free software by yukihiro matsumoto",),
+    "sspl": ("if you make the functionality of the program or a modified version available to third parties as a service",),
+    "busl": ("the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "additional use grant"),
+    "elastic": ("you may not provide the software to third parties as a hosted or managed service",),
+    "polyform": ("polyform (?:noncommercial|small business|shield|strict|perimeter) license",),
+    "hippocratic": ("hippocratic license",),
+    "llama": ("community license agreement", "acceptable use policy"),
+    "openrail": ("responsible ai license", "creativeml open rail m", "use based restrictions"),
+    "vim": ("vim is charityware",),
+    "info-zip": ("info zip license",),
+    "tcl": ("the authors hereby grant permission to use copy modify distribute and license this software and its documentation",),
+    "icu": ("icu license",),
+    "libpng": ("the png reference library is supplied as is", "libpng license"),
+    "curl": ("permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
+    "afl": ("academic free license",),
+    "osl": ("open software license",),
+    "rpl": ("reciprocal public license",),
+    "ipl": ("ibm public license version 1 0",),
+    "apsl": ("apple public source license", "apple open source license"),
+    "npl": ("netscape public license",),
+    "sissl": ("sun industry standards source license",),
+    "proprietary": (
+        "all rights are reserved by the (?:author|publisher|copyright holder)", "strictly confidential", "no part of this (?:publication|book|document|work) may be reproduced", "trade secret and confidential information", "licensed material property of",
+        "use duplication or disclosure by the government is subject to restrictions", "by installing or using (?:the|this) software you agree to be bound", "this software is licensed not sold", "reverse engineer decompile or disassemble the software", "for internal use only",
+    ),
+}
+
+
 def keyword_of(regex: str) -> str:
     """The words that stand plainly at the start of a regex."""
     plain = regex[: min((regex.find(c) for c in "([{?*+|\\" if c in regex), default=len(regex))]
@@ -178,7 +248,8 @@ def heads(keywords: list[str]) -> tuple[list[str], list[str]]:
 
 def rules() -> list[tuple[str, int, float, str, str]]:
     """(label, priority, confidence, keyword, regex), most specific first; a few hundred in all."""
-    made = [*SENTENCES, *((label, 7, 0.9, keyword_of(x), x) for label, own in SIGNATURES.items() for x in own)]
+    by_hand = [(label, x) for written in (SIGNATURES, NOTICES) for label, own in written.items() for x in own]
+    made = [*SENTENCES, *((label, 7, 0.9, keyword_of(x), x) for label, x in by_hand)]
     for (label, keyword, names, versions), (priority, confidence, template) in product(FAMILIES, TEMPLATES):
         for v in versions if "$V" in template else ("",):
             if not v and "$V" in template:
@@ -192,44 +263,57 @@ def rules() -> list[tuple[str, int, float, str, str]]:
 
 
 def _intervals(norm: Column, rule: Column) -> Column:
-    """Word intervals (start, stop, and what the rule says) of every match of one rule in ' w0 w1 ... '."""
+    """Word intervals (start, stop, and what the rule says) of every match of one rule in ' w0 w1 ... '.
+
+    Each match is marked where it begins and ends, and the marks are read off the words: one pass, however many there are."""
     # a match takes the space before it and leaves the one after it, so that word edges hold and matches may touch
-    pattern = F.concat(F.lit(" (?:"), rule["regex"], F.lit(")(?= )"))
-    hits = F.regexp_extract_all(norm, pattern, F.lit(0))
-    gaps = F.split(norm, pattern, -1)
-    spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,stop:int>>)").alias("spans"))
-
-    def step(acc: Column, i: Column) -> Column:
-        first = acc["at"] + spaces(F.get(gaps, i))
-        stop = first + spaces(F.get(hits, i))
-        span = F.struct(first.alias("start"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step, lambda acc: acc["spans"])
-    spans = F.when(F.size(hits) > 0, spans)
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            s["start"].alias("start"), (-s["stop"]).alias("back"), rule["priority"].alias("priority"),
-            rule["label"].alias("label"), rule["confidence"].alias("confidence"),
-        ),
-    )
-
-
-def _uncontained(found: Column) -> Column:
-    """Drop each interval that lies within another. Sorted by start, then longest, then priority, an interval is
-    contained just when an earlier one reaches as far."""
-    kind = "array<struct<start:int,back:int,priority:int,label:string,confidence:double>>"
-    zero = F.struct(F.lit(-1).alias("reach"), F.expr(f"cast(array() as {kind})").alias("kept"))
-    return F.aggregate(
-        F.array_sort(found),
-        zero,
-        lambda acc, x: F.when(-x["back"] <= acc["reach"], acc).otherwise(
-            F.struct((-x["back"]).alias("reach"), F.concat(acc["kept"], F.array(x)).alias("kept"))
-        ),
-        lambda acc: acc["kept"],
+    pattern = F.concat(F.lit(" ("), rule["regex"], F.lit(")(?= )"))
+    marked = F.regexp_replace(norm, pattern, F.lit(f" {BEGIN}$1{END}"))
+
+    def spans(words: Column) -> Column:
+        places = lambda has: F.filter(F.transform(words, lambda w, i: F.when(has(w), i)), lambda i: i.isNotNull())
+        starts, stops = places(lambda w: w.startswith(BEGIN)), places(lambda w: w.endswith(END))
+        return F.transform(F.arrays_zip(starts.alias("a"), stops.alias("z")), interval)
+
+    # the first word is number 1 of the split, as the text begins with a space
+    interval = lambda s: F.struct(
+        (s["a"] - 1).alias("start"), (-s["z"]).alias("back"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence")
     )
+    return F.when(F.rlike(norm, pattern), F.transform(F.array(F.split(marked, " ")), spans)[0])
+
+
+def _appended(acc: Column, x: Column) -> Column:
+    """Of an array in parts (full, open) with x behind it. A fold that appends to one array copies it each time; parts of
+    PART bound that."""
+    room = F.size(acc["open"]) < PART
+    return F.struct(F.when(room, acc["full"]).otherwise(F.concat(acc["full"], F.array(acc["open"]))).alias("full"), F.when(room, F.concat(acc["open"], F.array(x))).otherwise(F.array(x)).alias("open"))
+
+
+def _resolved(found: Column) -> Column:
+    """What stays of overlapping intervals. One that lies within another goes; of equal ones that with the smaller priority
+    number (then label) stays. Of those left, one goes that overlaps a better one: of smaller priority number, else longer,
+    else earlier.
+
+    Sorted by start, then longest, then priority, an interval is contained just when an earlier one reaches as far.
+    Those left have different starts, so one of n words overlaps fewer than n before and behind it."""
+    kind = "array<struct<start:int,back:int,priority:int,label:string,confidence:double>>"
+    parts = F.struct(F.expr(f"cast(array() as array<{kind}>)").alias("full"), F.expr(f"cast(array() as {kind})").alias("open"))
+    zero = F.struct(F.lit(-1).alias("reach"), parts.alias("kept"))
+
+    def outer(rows: Column) -> Column:
+        step = lambda acc, x: F.when(-x["back"] <= acc["reach"], acc).otherwise(F.struct((-x["back"]).alias("reach"), _appended(acc["kept"], x).alias("kept")))
+        return F.aggregate(rows, zero, step, lambda acc: F.concat(F.flatten(acc["kept"]["full"]), acc["kept"]["open"]))
+
+    def best(rows: Column) -> Column:
+        longest = F.array_max(F.transform(rows, lambda x: -x["back"] - x["start"]))
+        return F.transform(F.array(longest), lambda n: F.filter(rows, lambda x, k: ~F.exists(F.slice(rows, F.greatest(k + 2 - n, F.lit(1)), 2 * n - 1), lambda o: _beats(o, x))))[0]
+
+    return F.when(F.size(found) > 0, F.transform(F.transform(F.array(F.array_sort(found)), outer), best)[0]).otherwise(found)
+
+
+def _beats(o: Column, x: Column) -> Column:
+    rank = lambda i: F.struct(i["priority"], i["start"] + i["back"], i["start"])
+    return (o["start"] < -x["back"]) & (x["start"] < -o["back"]) & (rank(o) < rank(x))
 
 
 def _rule_array(rows: list[tuple]) -> Column:
@@ -266,7 +350,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         return F.coalesce(F.flatten(F.filter(F.transform(tried, lambda r: _intervals(text, r)), lambda x: x.isNotNull())), empty)
 
     # the normal form is a lambda's argument, so that it is made once and not again for each rule
-    both = F.transform(F.array(norm), lambda n: F.struct(detect(n, base_rules).alias("base"), _uncontained(detect(n, rule_array)).alias("kept")))[0]
+    both = F.transform(F.array(norm), lambda n: F.struct(detect(n, base_rules).alias("base"), _resolved(detect(n, rule_array)).alias("kept")))[0]
     found = counted.withColumn("both", F.when(F.col("low").isNotNull(), both)).drop("low")
     found = found.select("doc_id", "n_words", F.coalesce("both.base", empty).alias("base"), F.coalesce("both.kept", empty).alias("kept"))
     base_labels = F.transform("base", lambda x: x["label"])

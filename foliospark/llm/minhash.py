@@ -209,8 +209,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch(pairs, "pairs")
-        if pairs.isEmpty():
-            break
+        if pairs.isEmpty():  # the leaders of all open buckets have been tried; the last round goes through the rest
+            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         good = scratch(_verify(pairs, sets), "links")
         edges = good if edges is None else edges.unionByName(good)

@@ -4,11 +4,11 @@ Reading (format "warc"): the driver lists the archives under the given path and
 A task reads the headers of a record first. Filters on record_type and on header columns that Spark pushes down
 are tried on these, and what they reject is skipped: an uncompressed block is passed over by its Content-Length, a
 gzip member by the length that its "sl" extra field states (Annex D of the format), and inflated without being
-decoded only where there is no such field. With option payload=false no payload is decoded at all.
+decoded only where there is no such field. A member may hold any number of records; all are read. With option payload=false no payload is decoded at all.
 
 Each partition is a set of whole files, so a lost task reads its files again; an archive is never split, as a payload may
-hold what looks like the start of a record. Archives that are cut off, or records
-without a version line, end their file with an error naming it.
+hold what looks like the start of a record. Archives that are cut off, blocks shorter
+than their Content-Length, and records without a version line end their file with an error naming it.
 """
 
 from __future__ import annotations
@@ -111,38 +111,78 @@ def records(f, wanted, skip) -> Iterator[tuple[dict[str, str], bytes | None]]:
                 yield headers, block
 
 
+class Inflated:
+    """The plain bytes of one gzip member, as they are asked for."""
+
+    def __init__(self, f):
+        self.f, self.z, self.held = f, zlib.decompressobj(31), b""
+        self.passed, self.asked = 0, 2048  # plain bytes handed out, file bytes to read next
+
+    def fill(self) -> bool:
+        if self.z.eof:
+            return False
+        if not (chunk := self.z.unconsumed_tail or self.f.read(self.asked)):
+            raise ValueError("cut off in a gzip member")
+        self.asked = 65536
+        self.held += self.z.decompress(chunk, 1 << 20)
+        return True
+
+    def head(self) -> bytes | None:
+        """Headers of the next record, None behind the last."""
+        while not (rest := self.held.lstrip(b"\r\n")):
+            self.passed += len(self.held)
+            self.held = b""
+            if not self.fill():
+                return None
+        self.passed += len(self.held) - len(rest)
+        self.held = rest
+        while (at := self.held.find(b"\r\n\r\n")) < 0:
+            if not self.fill():
+                raise ValueError("cut off in the headers of a record")
+        head, self.held = self.held[:at], self.held[at + 4 :]
+        self.passed += at + 4
+        return head
+
+    def take(self, n: int, keep: bool) -> bytes | None:
+        """The next n bytes, or None when they are not kept."""
+        parts, left = [], n
+        while left:
+            if not self.held and not self.fill():
+                raise ValueError("cut off in the block of a record")
+            part, self.held = self.held[:left], self.held[left:]
+            left -= len(part)
+            if keep:
+                parts.append(part)
+        self.passed += n
+        return b"".join(parts) if keep else None
+
+
 def _member(f, wanted, skip) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """All records of a gzip member. One that has a single record is passed over by its stated length once that is
+    not needed."""
     start = f.tell() - 2
     fixed = f.read(8)
-    length = None
+    length = plain = None
     if len(fixed) == 8 and fixed[1] & 4:
         extra = f.read(struct.unpack("<H", f.read(2))[0])
         if extra[:2] == b"sl" and len(extra) >= 12:
-            length = struct.unpack("<I", extra[4:8])[0]
+            length, plain = struct.unpack("<II", extra[4:12])
     f.seek(start)
-    z, raw, chunk = zlib.decompressobj(31), b"", b""
-    while b"\r\n\r\n" not in raw and not z.eof:
-        if not (chunk := z.unconsumed_tail or f.read(2048)):
-            raise ValueError("cut off in the headers of a record")
-        raw += z.decompress(chunk, 4096)
-    head, _, block = raw.partition(b"\r\n\r\n")
-    headers = parse_headers(head)
-    take = wanted(headers)
-    need = take and not skip(headers)
-    if length is not None and not need:
-        f.seek(start + length)
-    else:
-        parts = [block]
-        while not z.eof:
-            if not (chunk := z.unconsumed_tail or f.read(65536)):
-                raise ValueError("cut off in the block of a record")
-            part = z.decompress(chunk, 1 << 20)
-            if need:
-                parts.append(part)
-        block = b"".join(parts)
-        f.seek(-len(z.unused_data), 1)
-    if take:
-        yield headers, block[: int(headers["content-length"])] if need else None
+    data = Inflated(f)
+    while (head := data.head()) is not None:
+        headers = parse_headers(head)
+        size = int(headers["content-length"])
+        take = wanted(headers)
+        need = take and not skip(headers)
+        if not need and length is not None and (data.passed + size + 4) & 0xFFFFFFFF == plain:
+            f.seek(start + length)
+            if take:
+                yield headers, None
+            return
+        block = data.take(size, need)
+        if take:
+            yield headers, block
+    f.seek(-len(data.z.unused_data), 1)
 
 
 # --- data source -----------------------------------------------------------------------------------------------

@@ -65,3 +65,24 @@ def test_odd_rows(spark):
     assert got == [(-1, "response", None), (1, "response", None), (1, "response", None), (2, "revisit", 1)]
     folder, _ = warc.write_warc(odd.limit(0))
     assert warc.page_records(spark, folder).count() == 0
+
+
+def test_member_with_several_records(spark, tmp_path):
+    plain = [warc.encode_record({"WARC-Type": kind, "WARC-Record-ID": f"<urn:{kind}>"}, body, compress=False) for kind, body in (("warcinfo", b"i" * 3000), ("resource", b"\r\n\r\nA" * 40000), ("metadata", b"last"))]
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(b"".join(plain)) + gzip.compress(plain[2]))
+    df = warc.read_warc(spark, str(tmp_path))
+    assert sorted((r.record_type, len(r.payload)) for r in df.collect()) == [("metadata", 4), ("metadata", 4), ("resource", 200000), ("warcinfo", 3000)]
+    assert [bytes(r.payload) for r in df.filter("record_type = 'metadata'").collect()] == [b"last"] * 2
+    # the stated length of a member is that of one record; with more in it the others are read all the same
+    size = len(plain[0]) + len(plain[2])
+    own = warc.encode_record({"WARC-Type": "warcinfo"}, b"x" * (size - 100), compress=True)
+    (tmp_path / "y.warc.gz").write_bytes(own[:12] + own[12:])
+    assert warc.read_warc(spark, str(tmp_path)).filter("record_type = 'warcinfo'").count() == 2
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_short_block_is_an_error(spark, tmp_path, compress):
+    raw = warc.encode_record({"WARC-Type": "resource"}, b"A" * 14, compress=False).replace(b"Content-Length: 14", b"Content-Length: 9999")
+    (tmp_path / f"x.warc{'.gz' if compress else ''}").write_bytes(gzip.compress(raw) if compress else raw)
+    with pytest.raises(Exception, match="cut off in the block of a record"):
+        warc.read_warc(spark, str(tmp_path)).collect()
