@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 #: Marks put around matches; no word holds them.
 BEGIN, END = "\x01", "\x02"
-PART = 500
 #: What stands between words once A-Z are lowered.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
@@ -282,38 +281,42 @@ def _intervals(norm: Column, rule: Column) -> Column:
     return F.when(F.rlike(norm, pattern), F.transform(F.array(F.split(marked, " ")), spans)[0])
 
 
-def _appended(acc: Column, x: Column) -> Column:
-    """Of an array in parts (full, open) with x behind it. A fold that appends to one array copies it each time; parts of
-    PART bound that."""
-    room = F.size(acc["open"]) < PART
-    return F.struct(F.when(room, acc["full"]).otherwise(F.concat(acc["full"], F.array(acc["open"]))).alias("full"), F.when(room, F.concat(acc["open"], F.array(x))).otherwise(F.array(x)).alias("open"))
-
-
 def _resolved(found: Column) -> Column:
     """What stays of overlapping intervals. One that lies within another goes; of equal ones that with the smaller priority
     number (then label) stays. Of those left, one goes that overlaps a better one: of smaller priority number, else longer,
     else earlier.
 
-    Sorted by start, then longest, then priority, an interval is contained just when an earlier one reaches as far.
-    Those left have different starts, so one of n words overlaps fewer than n before and behind it."""
-    kind = "array<struct<start:int,back:int,priority:int,label:string,confidence:double>>"
-    parts = F.struct(F.expr(f"cast(array() as array<{kind}>)").alias("full"), F.expr(f"cast(array() as {kind})").alias("open"))
-    zero = F.struct(F.lit(-1).alias("reach"), parts.alias("kept"))
+    In order of start, longest, priority, the first of each start holds the others of that start. As starts differ then, an
+    interval that holds or overlaps one is fewer places away than the longest has words. Elements are looked up by
+    place; a fold would copy its array at each step, a slice go through the whole of it."""
+    stop = lambda x: -x["back"]
+
+    def firsts(rows: Column) -> Column:
+        return F.filter(rows, lambda x, k: ~F.coalesce(F.get(rows, k - 1)["start"] == x["start"], F.lit(False)))
 
     def outer(rows: Column) -> Column:
-        step = lambda acc, x: F.when(-x["back"] <= acc["reach"], acc).otherwise(F.struct((-x["back"]).alias("reach"), _appended(acc["kept"], x).alias("kept")))
-        return F.aggregate(rows, zero, step, lambda acc: F.concat(F.flatten(acc["kept"]["full"]), acc["kept"]["open"]))
+        held = lambda x, k, back: F.exists(back, lambda d: F.coalesce(stop(F.get(rows, k - d)) >= stop(x), F.lit(False)))
+        return _each_size(rows, lambda n: F.filter(rows, lambda x, k: ~held(x, k, _upto(n - 1))))
 
     def best(rows: Column) -> Column:
-        longest = F.array_max(F.transform(rows, lambda x: -x["back"] - x["start"]))
-        return F.transform(F.array(longest), lambda n: F.filter(rows, lambda x, k: ~F.exists(F.slice(rows, F.greatest(k + 2 - n, F.lit(1)), 2 * n - 1), lambda o: _beats(o, x))))[0]
+        meets = lambda o, x: F.coalesce((o["start"] < stop(x)) & (x["start"] < stop(o)), F.lit(False))
+        rank = lambda i: F.struct(i["priority"], i["start"] + i["back"], i["start"])
+        beats = lambda o, x: meets(o, x) & (rank(o) < rank(x))
+        beaten = lambda x, k, n: F.exists(_upto(n - 1), lambda d: beats(F.get(rows, k - d), x) | beats(F.get(rows, k + d), x))
+        alone = lambda x, k: ~meets(F.get(rows, k - 1), x) & ~meets(F.get(rows, k + 1), x)
+        return _each_size(rows, lambda n: F.filter(rows, lambda x, k: alone(x, k) | ~beaten(x, k, n)))
+
+    once = lambda value, use: F.transform(F.array(value), use)[0]
+    return once(F.array_sort(found), lambda rows: once(firsts(rows), lambda rows: once(outer(rows), best)))
+
 
-    return F.when(F.size(found) > 0, F.transform(F.transform(F.array(F.array_sort(found)), outer), best)[0]).otherwise(found)
+def _each_size(rows: Column, use) -> Column:
+    """use(number of words of the longest interval); no rows give no rows."""
+    return F.when(F.size(rows) > 0, F.transform(F.array(F.array_max(F.transform(rows, lambda x: -x["back"] - x["start"]))), use)[0]).otherwise(rows)
 
 
-def _beats(o: Column, x: Column) -> Column:
-    rank = lambda i: F.struct(i["priority"], i["start"] + i["back"], i["start"])
-    return (o["start"] < -x["back"]) & (x["start"] < -o["back"]) & (rank(o) < rank(x))
+def _upto(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def _rule_array(rows: list[tuple]) -> Column:
