@@ -846,10 +846,30 @@ def _drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
-@query("SELECT user_id::VARCHAR AS file_id, count(*) AS planned, count(*) FILTER (event_type IN ('click', 'purchase')) AS completed, CASE WHEN count(*) FILTER (event_type IN ('click', 'purchase')) >= count(*) THEN 'done' ELSE 'processing' END AS status FROM events GROUP BY 1")
+def _in_parts(spark: SparkSession, parts: list[DataFrame], folder: str, name: str = "in") -> DataFrame:
+    """A stream that delivers parts one after the other, a batch each."""
+    for k, part in enumerate(parts):
+        part.repartition(4).write.parquet(f"{folder}/{name}/{k}")
+    counts = {len(spark.read.parquet(f"{folder}/{name}/{k}").inputFiles()) for k in range(len(parts))}
+    schema = spark.read.parquet(f"{folder}/{name}/0").schema
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max(counts)).parquet(f"{folder}/{name}")
+
+
+@query("""SELECT user_id::VARCHAR AS file_id, count(*) AS planned, count(*) FILTER (event_type IN ('click', 'purchase')) AS completed,
+CASE WHEN count(*) FILTER (event_type IN ('click', 'purchase')) >= count(*) THEN 'done' WHEN user_id % 2 = 0 THEN 'stopped' ELSE 'processing' END AS status,
+(SELECT count(DISTINCT user_id) FROM events WHERE user_id % 2 = 1)::BIGINT AS state_rows FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL GROUP BY user_id""")
 def stream_progress(spark, sf):
-    deltas = _stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("file_id"), F.lit(1).alias("analysis_delta"), F.col("event_type").isin("click", "purchase").cast("int").alias("completed_delta"))
-    return _drain(jobs.stream_progress(deltas), _folder(spark), "complete")
+    """Three batches; the last closes files with even numbers. state_rows: what the state store holds in the end."""
+    folder = _folder(spark)
+    e = A.table(spark, sf, "events").filter(F.col("user_id").isNotNull() & F.col("event_id").isNotNull())
+    deltas = e.select(F.col("user_id").cast("string").alias("file_id"), F.lit(1).alias("analysis_delta"), F.col("event_type").isin("click", "purchase").cast("int").alias("completed_delta"), F.lit(False).alias("closes"), (F.col("event_id") % 3).alias("part"))
+    closing = e.filter("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("file_id"), F.lit(0).alias("analysis_delta"), F.lit(0).alias("completed_delta"), F.lit(True).alias("closes"), F.lit(2).alias("part")).distinct()
+    rows = deltas.unionByName(closing)
+    stream = _in_parts(spark, [rows.filter(F.col("part") == k).drop("part") for k in range(3)], folder)
+    run = jobs.write_updates(jobs.stream_progress(stream), f"{folder}/out", f"{folder}/check")
+    run.awaitTermination()
+    held = run.lastProgress["stateOperators"][0]["numRowsTotal"]
+    return jobs.read_latest(spark, f"{folder}/out", "file_id").withColumn("state_rows", F.lit(held).cast("long"))
 
 
 @query(_with(META) + "SELECT file_id, name, 'queued' AS status, num_pages, selected_date, selected_code, selected_broker, report FROM files")
@@ -857,12 +877,16 @@ def stream_ingest(spark, sf):
     return _drain(jobs.stream_ingest(A.file_names(_Streams(spark), sf), A.KNOWN, A.ALIASES), _folder(spark))
 
 
-@query(_with(A.ARRIVALS_SQL) + "SELECT file_id, field, lower(value) AS value FROM cands")
+@query(_with(A.ARRIVALS_SQL) + "SELECT * FROM cands")
 def stream_candidates(spark, sf):
-    """All values of a table are within the watermark when it is read as one batch."""
-    rows = A.arrivals(_Streams(spark), sf)
-    got = _drain(jobs.stream_candidates(rows, A.ALIASES, "100 years"), _folder(spark))
-    return got.select("file_id", "field", F.lower("value").alias("value"))
+    """Three batches out of order: the one with the latest arrivals comes first."""
+    folder = _folder(spark)
+    rows = A.arrivals(spark, sf)
+    turn = F.pmod(F.xxhash64("arrival"), F.lit(3))
+    stream = _in_parts(spark, [rows.filter(turn == k) for k in (2, 0, 1)], folder)
+    jobs.write_updates(jobs.stream_candidates(stream, A.ALIASES, "100 years", 100 * 365 * 86_400_000), f"{folder}/out", f"{folder}/check").awaitTermination()
+    told = spark.read.parquet(f"{folder}/out").withColumn("norm", F.lower("value"))
+    return told.groupBy("file_id", "field", "norm").agg(F.min_by(F.struct("value", "source", "arrival"), "arrival").alias("c")).select("file_id", "field", "c.*")
 
 
 class _Streams:
@@ -877,23 +901,54 @@ class _Streams:
         return self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-@query(_with(BOXES) + "SELECT file_id, page, row_number() OVER (PARTITION BY file_id, page ORDER BY ord)::INT AS ord, row_number() OVER (PARTITION BY file_id, page ORDER BY ord)::INT AS id, x1 FROM boxes")
+@query(_with(BOXES) + """, ai AS (SELECT file_id, page, ord, x1 + CASE WHEN page % 3 = 2 OR page % 4 = 0 THEN 2 WHEN page % 2 = 0 THEN 1 ELSE 0 END AS x1 FROM boxes),
+tops AS (SELECT file_id, page, max(ord) AS top, count(*) AS nu FROM boxes WHERE user_modified AND page % 2 = 1 GROUP BY ALL)
+SELECT file_id, page, row_number() OVER (PARTITION BY file_id, page ORDER BY ord)::INT AS ord, ord AS id, x1, true AS user_modified FROM boxes WHERE user_modified AND page % 2 = 1
+UNION ALL SELECT file_id, page, (ord + coalesce(nu, 0))::INT, (ord + coalesce(top, 0))::INT, x1, false FROM ai LEFT JOIN tops USING (file_id, page)
+UNION ALL SELECT DISTINCT file_id, 999, NULL::INT, NULL::INT, NULL::DOUBLE, NULL::BOOLEAN FROM boxes""")
 def stream_merge_pages(spark, sf):
+    """Three batches: pages sent twice in one, a new run with pages again, then late results of the old run and of a
+    smaller number, and results without regions. The state begins with the user's regions. Pages without regions have a row."""
     folder = _folder(spark)
-    A.regions(spark, sf).select("file_id", "page", "ord", "x1", "y1", "x2", "y2", "label", F.lit("").alias("text"), F.lit(1).alias("run_id")).write.parquet(f"{folder}/in")
-    source = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
-    jobs.merge_batches(source, jobs.page_merger(spark, folder), f"{folder}/check").awaitTermination()
-    return spark.read.parquet(f"{folder}/regions-0").select("file_id", "page", "ord", "id", "x1")
-
-
-@query(_with(BOXES) + "SELECT file_id, page, ord, CASE WHEN user_modified THEN 'old' ELSE 'late' END AS text FROM boxes")
+    b = A.regions(spark, sf).withColumn("text", F.lit(""))
+    page = F.col("page")
+    result = lambda rows, run, seq, shift: rows.select("file_id", "page", "ord", *[(F.col(c) + (shift if c == "x1" else 0)).alias(c) for c in ("x1", "y1", "x2", "y2")], "label", "text", F.lit(run).alias("run_id"), F.lit(seq).cast("long").alias("seq"))
+    first = result(b.filter(page % 3 != 2), 1, 1, 0).unionByName(result(b.filter((page % 3 != 2) & (page % 2 == 0)), 1, 2, 1))
+    second = result(b.filter((page % 3 == 2) | (page % 4 == 0)), 2, 3, 2)
+    late = result(b.filter(page % 5 == 0), 1, 9, 100).unionByName(result(b.filter(page % 4 == 0), 2, 0, 50))
+    nothing = lambda rows, seq: rows.select("file_id", "page").distinct().select("file_id", "page", F.lit(None).cast("int").alias("ord"), *[F.lit(None).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("text"), F.lit(2).alias("run_id"), F.lit(seq).cast("long").alias("seq"))
+    third = late.unionByName(nothing(b.filter(page % 7 == 0), 10)).unionByName(nothing(b.withColumn("page", F.lit(999)), 10))
+    user = b.filter((page % 2 == 1) & F.col("user_modified"))
+    step = jobs.page_merger(spark, f"{folder}/state", user, user.select("file_id", "page").distinct())
+    jobs.merge_batches(_in_parts(spark, [first, second, third], folder), step, f"{folder}/check").awaitTermination()
+    held = jobs.page_state(spark, f"{folder}/state")
+    regions_, pages = held.read("regions", 2), held.read("pages", 2)
+    return pages.join(regions_, ["file_id", "page"], "left").select("file_id", "page", "ord", "id", "x1", "user_modified")
+
+
+@query(_with(BOXES) + "SELECT file_id, page, ord, CASE WHEN user_modified THEN 'old' WHEN page % 3 = 0 THEN 'first' WHEN page % 3 = 1 THEN 'late' ELSE '❌ 識別失敗: busy' END AS text, user_modified OR page % 3 < 2 AS user_modified FROM boxes")
 def stream_recognition(spark, sf):
+    """Two batches: of some pages the first recognition stands, of others the first fails and the second stands, or both fail."""
     folder = _folder(spark)
     old = A.regions(spark, sf).withColumn("text", F.lit("old"))
-    old.select("file_id", "page", "x1", "y1", "x2", "y2", F.lit(True).alias("success"), F.lit("late").alias("text"), F.lit("").alias("error")).write.parquet(f"{folder}/in")
-    source = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
-    jobs.merge_batches(source, jobs.recognition_writer(spark, folder, old), f"{folder}/check").awaitTermination()
-    return spark.read.parquet(f"{folder}/recognised-0").select("file_id", "page", "ord", "text")
+    found = lambda rows, success, text: rows.select("file_id", "page", "x1", "y1", "x2", "y2", success.alias("success"), F.lit(text).alias("text"), F.lit("busy").alias("error"))
+    first, second = found(old, F.col("page") % 3 == 0, "first"), found(old, F.col("page") % 3 < 2, "late")
+    step = jobs.recognition_writer(spark, f"{folder}/state", old)
+    jobs.merge_batches(_in_parts(spark, [first, second], folder), step, f"{folder}/check").awaitTermination()
+    return jobs.recognition_state(spark, f"{folder}/state").read("recognised", 1).select("file_id", "page", "ord", "text", "user_modified")
+
+
+@query(_with(EXPORT) + "SELECT file_id, 'company' AS type, selected_code AS name, selected_broker AS provider, replace(selected_date, '/', '-') AS date, 'text of ' || name || CASE WHEN file_id::BIGINT % 3 = 1 THEN ' again' ELSE '' END AS content, name AS info FROM ex WHERE error IS NULL")
+def write_reports(spark, sf):
+    """Two batches, the second with some files again; the first batch is delivered twice. One payload for each file."""
+    folder = _folder(spark)
+    done = _exported(spark, sf)
+    again = done.filter(F.col("file_id").cast("long") % 3 == 1).withColumn("content", F.concat("content", F.lit(" again")))
+    sink = jobs.report_sink(folder)
+    parts = [done.withColumn("seq", F.lit(1).cast("long")), again.withColumn("seq", F.lit(2).cast("long"))]
+    jobs.merge_batches(_in_parts(spark, parts, folder), sink, f"{folder}/check").awaitTermination()
+    sink(spark.read.parquet(f"{folder}/in/0"), 0)
+    return jobs.read_reports(spark, folder)
 
 
 def queries() -> dict[str, Query]:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliospark.functions.metadata import normalize_broker
 from foliospark.operators import state
+from foliospark.streaming import buckets
+from foliospark.streaming.buckets import BucketState
 
 
 def stream_ingest(names: DataFrame, known: Sequence[str], aliases: Mapping[str, str]) -> DataFrame:
@@ -17,17 +21,99 @@ def stream_ingest(names: DataFrame, known: Sequence[str], aliases: Mapping[str,
     return state.ingest_files(names, known, aliases)
 
 
-def stream_candidates(arrivals: DataFrame, aliases: Mapping[str, str], late: str = "1 hour") -> DataFrame:
-    """Each value of a file and field once, the first that comes; state is kept for the time of the watermark on ts."""
+CANDIDATE = "file_id string, field string, value string, source string, arrival long"
+
+
+def _first(late_ms: int):
+    """The arrival that came first, whenever it is processed; told again whenever an earlier one turns up."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.getOption
+        best, until = (held[:3], held[3]) if held else (None, 0)
+        was = best
+        for f in frames:
+            f = f.sort_values("arrival", kind="stable")
+            first = f.iloc[0]
+            found = (int(first["arrival"]), first["value"], first["source"])
+            best = found if best is None or found[0] < best[0] else best
+            if f["ts"].notna().any():
+                until = max(until, int(f["ts"].max().timestamp() * 1000) + late_ms)
+        state.update((*best, until))
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        if best != was:
+            yield pd.DataFrame([{"file_id": key[0], "field": key[1], "value": best[1], "source": best[2], "arrival": best[0]}])
+
+    return step
+
+
+def stream_candidates(arrivals: DataFrame, aliases: Mapping[str, str], late: str = "1 hour", late_ms: int = 3_600_000) -> DataFrame:
+    """Each value of a file and field with the arrival that came first, as arrivals are numbered, not as they are
+    processed: a row for every key that is new or gets an earlier arrival (update mode; the last row of a key counts). A
+    key's state leaves once the watermark on ts has passed its last row by late_ms. Blank values are no candidates."""
     value = F.when(F.col("field") == "broker", normalize_broker(F.col("value"), aliases)).otherwise(F.trim("value"))
-    rows = arrivals.withColumn("value", value).withColumn("value_norm", F.lower("value"))
-    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["file_id", "field", "value_norm"]).drop("value_norm")
+    rows = arrivals.withColumn("value", value).filter(F.coalesce(F.col("value"), F.lit("")) != "").withColumn("norm", F.lower(F.trim("value")))
+    keyed = rows.select("file_id", "field", "norm", "value", "source", F.col("arrival").cast("long").alias("arrival"), "ts").withWatermark("ts", late)
+    return keyed.groupBy("file_id", "field", "norm").applyInPandasWithState(_first(late_ms), CANDIDATE, "arrival long, value string, source string, until long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+PROGRESS = "file_id string, planned long, completed long, status string"
+
+
+def _progress(timed: bool, ttl_ms: int):
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        planned, completed, until = state.getOption or (0, 0, 0)
+        if timed and until <= state.getCurrentWatermarkMs():  # nobody has asked since it ran out
+            planned, completed, until = 0, 0, state.getCurrentWatermarkMs() + ttl_ms
+        closed = False
+        for f in frames:
+            if timed and f["ts"].notna().any():
+                until = max(until, int(f["ts"].max().timestamp() * 1000) + ttl_ms)
+            planned += int(f["analysis_delta"].fillna(0).sum())
+            completed += int(f["completed_delta"].fillna(0).sum())
+            closed = closed or bool(f["closes"].fillna(False).astype(bool).any())
+        if closed:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((planned, completed, until))
+            if timed:
+                state.setTimeoutTimestamp(until)
+        status = "done" if completed >= planned else "stopped" if closed else "processing"
+        yield pd.DataFrame([{"file_id": key[0], "planned": planned, "completed": completed, "status": status}])
+
+    return step
+
+
+def stream_progress(deltas: DataFrame, late: str = "7 days", ttl_ms: int = 7 * 86_400_000) -> DataFrame:
+    """file_id, planned, completed, status for each file that a batch changes (update mode): sums of deltas; done when all that
+    is planned is completed. A delta that closes a file (column closes, if there is one) is its last: what is not done is
+    stopped, and the file's state leaves. Where deltas have a time ts, state without news for ttl_ms leaves as well, once the
+    watermark, which lies late behind the newest time, has passed."""
+    timed = "ts" in deltas.columns
+    closes = F.coalesce("closes", F.lit(False)) if "closes" in deltas.columns else F.lit(False)
+    rows = deltas.select("file_id", F.col("analysis_delta").cast("long").alias("analysis_delta"), F.col("completed_delta").cast("long").alias("completed_delta"), closes.alias("closes"), *(["ts"] if timed else []))
+    rows = rows.withWatermark("ts", late) if timed else rows
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return rows.groupBy("file_id").applyInPandasWithState(_progress(timed, ttl_ms), PROGRESS, "planned long, completed long, until long", "update", timeout)
 
 
-def stream_progress(deltas: DataFrame) -> DataFrame:
-    """file_id, planned, completed, status: sums of deltas; done when all that is planned is completed. For update mode."""
-    sums = deltas.groupBy("file_id").agg(F.sum("analysis_delta").alias("planned"), F.sum("completed_delta").alias("completed"))
-    return sums.withColumn("status", F.when(F.col("completed") >= F.col("planned"), "done").otherwise("processing"))
+def write_updates(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """The rows of an update-mode stream, batch by batch; a batch that runs twice replaces itself."""
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_latest(spark: SparkSession, folder: str, *key: str) -> DataFrame:
+    """The last row of each key that write_updates has written."""
+    rows = spark.read.parquet(folder)
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (*key, "batch")]), "batch").alias("r"))
+    return last.select(*key, "r.*")
 
 
 def merge_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -35,36 +121,86 @@ def merge_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], che
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def page_merger(spark: SparkSession, folder: str) -> Callable[[DataFrame, int], None]:
-    """State of regions and pages in folder, one version for each batch. Results of an older run than
-    the newest of this batch or any before it are left out; of a page the newest result counts."""
+REGIONS = "file_id string, page int, ord int, id int, x1 double, y1 double, x2 double, y2 double, label string, text string, user_modified boolean"
+
+
+def page_state(spark: SparkSession, folder: str) -> BucketState:
+    return BucketState(spark, folder, {"regions": REGIONS, "pages": "file_id string, page int, seq long"})
+
+
+def page_merger(spark: SparkSession, folder: str, regions: DataFrame | None = None, pages: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """State of regions and pages in folder, keyed by file and page; regions and pages: what it begins with.
+
+    A row of a batch is a region of a page's result (ord null: a result without any), with run_id and seq, the number of the
+    result. Results of an older run than the newest of this batch or any before it are left out. Of a page the result with the
+    largest seq counts, within a batch and against what an earlier batch has left; the user's regions stay, and a result
+    without regions only marks the page. Only buckets of files in the batch are read and written."""
+    state_ = page_state(spark, folder)
+    if regions is not None:
+        first = pages if pages is not None else regions.select("file_id", "page").distinct()
+        state_.seed(regions=regions.select(*[c.split()[0] for c in REGIONS.split(", ")]), pages=first.select("file_id", "page", F.lit(-1).cast("long").alias("seq")))
 
     def step(batch: DataFrame, number: int) -> None:
+        batch.persist()
         newest = batch.agg(F.max("run_id").alias("newest"))
-        if number:
+        if buckets.exists(spark, f"{folder}/newest-{number - 1}"):
             newest = newest.unionByName(spark.read.parquet(f"{folder}/newest-{number - 1}")).agg(F.max("newest").alias("newest"))
         newest.write.mode("overwrite").parquet(f"{folder}/newest-{number}")
         one = F.broadcast(spark.read.parquet(f"{folder}/newest-{number}"))  # one row
-        fresh = batch.join(one, F.col("run_id") == F.col("newest")).drop("run_id", "newest")
-        done = fresh.select("file_id", "page").distinct()
+        of_run = batch.join(one, F.col("run_id") == F.col("newest")).drop("run_id", "newest")
+        held_pages = state_.read("pages", number - 1, state_.touched(of_run))
+        last = of_run.groupBy("file_id", "page").agg(F.max("seq").alias("seq"))
+        last = last.join(held_pages.withColumnRenamed("seq", "held"), ["file_id", "page"], "left").filter(F.col("held").isNull() | (F.col("seq") > F.col("held"))).drop("held")
+        touched = state_.touched(last)
+        held_regions, held_pages = (state_.read(n, number - 1, touched) for n in ("regions", "pages"))
+        fresh = of_run.join(last, ["file_id", "page", "seq"], "left_semi")
         new = fresh.filter(F.col("ord").isNotNull()).select("file_id", "page", "ord", "x1", "y1", "x2", "y2", "label", "text")
-        if number:
-            regions, pages = spark.read.parquet(f"{folder}/regions-{number - 1}"), spark.read.parquet(f"{folder}/pages-{number - 1}")
-        else:
-            regions = spark.createDataFrame([], "file_id string, page int, ord int, id int, x1 double, y1 double, x2 double, y2 double, label string, text string, user_modified boolean")
-            pages = spark.createDataFrame([], "file_id string, page int")
-        regions, pages = state.merge_page_result(regions, new, pages, done)
-        regions.write.mode("overwrite").parquet(f"{folder}/regions-{number}")
-        pages.write.mode("overwrite").parquet(f"{folder}/pages-{number}")
+        merged, _ = state.merge_page_result(held_regions, new, held_pages, last)
+        keys = held_pages.unionByName(last.select("file_id", "page", F.col("seq").cast("long").alias("seq"))).groupBy("file_id", "page").agg(F.max("seq").alias("seq"))
+        state_.write(number, touched, regions=merged, pages=keys)
+        batch.unpersist()
 
     return step
 
 
+def recognition_state(spark: SparkSession, folder: str) -> BucketState:
+    return BucketState(spark, folder, {"recognised": REGIONS})
+
+
 def recognition_writer(spark: SparkSession, folder: str, regions: DataFrame) -> Callable[[DataFrame, int], None]:
-    """Recognised texts go onto the regions of the batch before (at first: regions), one version for each batch."""
+    """Recognised texts go onto the regions of the state, which begins as regions; only buckets of files in the batch are read
+    and written."""
+    state_ = recognition_state(spark, folder)
+    columns = [c.split()[0] for c in REGIONS.split(", ")]
+    state_.seed(recognised=regions.select(*columns))
 
     def step(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{folder}/recognised-{number - 1}") if number else regions
-        state.apply_recognition(before, batch).write.mode("overwrite").parquet(f"{folder}/recognised-{number}")
+        batch.persist()
+        touched = state_.touched(batch)
+        out = state.apply_recognition(state_.read("recognised", number - 1, touched), batch).select(*columns)
+        state_.write(number, touched, recognised=out)
+        batch.unpersist()
 
     return step
+
+
+def report_sink(folder: str) -> Callable[[DataFrame, int], None]:
+    """Payloads of a batch under its number, of each file the last (column seq): a batch that is delivered again replaces
+    what it has written. Reports that lack something go to their own folder."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        columns = [c for c in batch.columns if c not in ("file_id", "seq")]
+        one = batch.groupBy("file_id").agg(F.max_by(F.struct(*columns), "seq").alias("r"), F.max("seq").alias("seq")).select("file_id", "seq", "r.*")
+        one.persist()
+        one.filter(F.col("error").isNull()).drop("error").write.mode("overwrite").json(f"{folder}/reports/batch={number}")
+        one.filter(F.col("error").isNotNull()).select("file_id", "seq", "info", "error").write.mode("overwrite").json(f"{folder}/errors/batch={number}")
+        one.unpersist()
+
+    return step
+
+
+def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """One payload for each file, the one with the largest seq."""
+    rows = spark.read.schema("file_id string, seq long, type string, name string, provider string, date string, content string, info string").json(f"{folder}/reports")
+    columns = [c for c in rows.columns if c not in ("file_id", "batch")]
+    return rows.groupBy("file_id").agg(F.max_by(F.struct(*columns), F.struct("seq", "batch")).alias("r")).select("file_id", "r.*").drop("seq")

@@ -1,3 +1,5 @@
+import datetime
+
 from pyspark.sql import functions as F
 
 from foliospark.operators import state
@@ -103,18 +105,69 @@ def test_golden(spark):
     assert tuple(state.golden_summary(got).first()) == (1, 1, 1)
 
 
-def test_stream_progress(spark, tmp_path):
-    spark.createDataFrame([("f", 2, 1), ("f", 0, 1), ("g", 1, 0)], "file_id string, analysis_delta int, completed_delta int").write.parquet(str(tmp_path / "in"))
-    rows = spark.readStream.schema("file_id string, analysis_delta int, completed_delta int").parquet(str(tmp_path / "in"))
-    q = jobs.stream_progress(rows).writeStream.outputMode("complete").format("memory").queryName("prog").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {r.file_id: r.status for r in spark.table("prog").collect()} == {"f": "done", "g": "processing"}
-
-
-def test_results_of_an_older_run_come_late(spark, tmp_path):
-    step = jobs.page_merger(spark, str(tmp_path))
-    rows = lambda *found: spark.createDataFrame([("f", page, 1, 0.0, 0.0, 9.0, 9.0, label, "", run) for page, label, run in found], "file_id string, page int, ord int, x1 double, y1 double, x2 double, y2 double, label string, text string, run_id long")
-    for number, found in enumerate([[(1, "a", 2)], [(1, "late", 1), (2, "late", 1)], [(2, "b", 3), (1, "c", 2)]]):
-        step(rows(*found), number)
-    assert sorted((r.page, r.label) for r in spark.read.parquet(f"{tmp_path}/regions-2").collect()) == [(1, "a"), (2, "b")]
-    assert spark.read.parquet(f"{tmp_path}/pages-1").count() == 1
+def parts_of(spark, tmp_path, schema, *parts):
+    """A stream that delivers each part as a batch of its own."""
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+
+
+def test_stream_progress_ends(spark, tmp_path):
+    deltas = parts_of(spark, tmp_path, "file_id string, analysis_delta int, completed_delta int, closes boolean", [("f", 2, 1, False), ("g", 1, 0, None), ("h", 3, None, False)], [("f", 0, 1, True), ("h", None, 1, True)], [("f", 5, 0, False)])
+    run = jobs.write_updates(jobs.stream_progress(deltas), f"{tmp_path}/out", f"{tmp_path}/c")
+    run.awaitTermination()
+    rows = sorted((r.batch, r.file_id, r.planned, r.completed, r.status) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert rows == [(0, "f", 2, 1, "processing"), (0, "g", 1, 0, "processing"), (0, "h", 3, 0, "processing"), (1, "f", 2, 2, "done"), (1, "h", 3, 1, "stopped"), (2, "f", 5, 0, "processing")]
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] == 2  # f has begun again, g is open, h has left
+
+
+def test_stream_progress_forgets(spark, tmp_path):
+    """A file without news for a minute of event time begins anew."""
+    at = lambda m: datetime.datetime(2026, 1, 1, 0, m)
+    deltas = parts_of(spark, tmp_path, "file_id string, analysis_delta int, completed_delta int, ts timestamp", [("f", 2, 1, at(1)), ("g", 1, 0, at(1))], [("g", 1, 0, at(9))], [("g", 1, 0, at(10)), ("f", 7, 0, at(10))])
+    run = jobs.write_updates(jobs.stream_progress(deltas, "1 minute", 60_000), f"{tmp_path}/out", f"{tmp_path}/c")
+    run.awaitTermination()
+    last = {r.file_id: (r.planned, r.completed) for r in jobs.read_latest(spark, f"{tmp_path}/out", "file_id").collect()}
+    assert last["f"] == (7, 0)
+
+
+def test_candidates_out_of_order(spark, tmp_path):
+    schema = "file_id string, field string, value string, source string, arrival long, ts timestamp"
+    at = lambda s: datetime.datetime(2026, 1, 1, 0, 0, s)
+    rows = parts_of(spark, tmp_path, schema, [("f", "code", "Ab", "ai", 5, at(5)), ("f", "code", " ", "ai", 1, at(1))], [("f", "code", "ab ", "filename", 3, at(3)), ("f", "broker", "kgi", "ai", 4, None)], [("f", "code", "AB", "manual", 9, at(9))])
+    jobs.write_updates(jobs.stream_candidates(rows, ALIASES), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    told = sorted((r.batch, r.field, r.value, r.source, r.arrival) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert told == [(0, "code", "Ab", "ai", 5), (1, "broker", "凱基", "ai", 4), (1, "code", "ab", "filename", 3)]
+
+
+RESULTS = "file_id string, page int, ord int, x1 double, y1 double, x2 double, y2 double, label string, text string, run_id long, seq long"
+
+
+def results(spark, *found):
+    return spark.createDataFrame([(f, page, None if label is None else 1, 0.0, 0.0, 9.0, 9.0, label, "", run, seq) for f, page, label, run, seq in found], RESULTS)
+
+
+def test_page_results_are_keyed_state(spark, tmp_path):
+    """Late runs, a page twice in a batch, older numbers, empty results, and a batch that runs again."""
+    user = spark.createDataFrame([region(1, 1, "mine", True, id_=4)], REGIONS)
+    step = jobs.page_merger(spark, str(tmp_path), user)
+    batches = [[("f", 1, "old", 2, 1), ("f", 1, "a", 2, 2), ("g", 1, "g", 2, 3)], [("f", 1, "late", 1, 9), ("f", 2, "late", 1, 9), ("g", 1, "older", 2, 2)], [("f", 2, "b", 3, 5), ("f", 1, None, 3, 6), ("f", 3, None, 3, 7)]]
+    held = jobs.page_state(spark, str(tmp_path))
+    for number, found in enumerate(batches):
+        step(results(spark, *found), number)
+        step(results(spark, *found), number)
+    labels = sorted((r.file_id, r.page, r.ord, r.id, r.label) for r in held.read("regions", 2).collect())
+    assert labels == [("f", 1, 1, 4, "r1"), ("f", 1, 2, 5, "a"), ("f", 2, 1, 1, "b"), ("g", 1, 1, 1, "g")]
+    assert sorted((r.file_id, r.page) for r in held.read("pages", 2).collect()) == [("f", 1), ("f", 2), ("f", 3), ("g", 1)]
+    # the last batch had one file: the bucket of the other is still of batch 0
+    assert {v for (name, _), v in held.manifest(2).items() if name == "regions"} == {0, 2}
+
+
+def test_reports_are_delivered_once(spark, tmp_path):
+    schema = "file_id string, type string, name string, provider string, date string, content string, info string, error string, seq long"
+    one = spark.createDataFrame([("f", "company", "2330", "JPM", "2026-01-01", "x", "f.pdf", None, 1), ("f", "company", "2330", "JPM", "2026-01-01", "y", "f.pdf", None, 2), ("g", "company", None, None, None, "", "g.pdf", "code", 1)], schema)
+    sink = jobs.report_sink(str(tmp_path))
+    for number in (0, 0, 1):
+        sink(one, number)
+    assert [(r.file_id, r.content) for r in jobs.read_reports(spark, str(tmp_path)).collect()] == [("f", "y")]
+    assert spark.read.json(f"{tmp_path}/errors").count() == 2  # one for each batch
