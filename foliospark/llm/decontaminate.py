@@ -12,8 +12,9 @@ left out, whatever its edits. Every passage is aligned, however many documents h
 are aligned once.
 
 Seeds are sent to the tasks in blocks of at most BLOCK_SEEDS (or one item), one pass over the documents for each block, however
-many items there are. Null and empty texts have no passages. Parts of items with fewer than WHOLE_UNDER words cannot be
-told from chance, so of these only whole copies are leaks (a single word is its own seed). Repeated documents are scored alike; repeated items (equal id and text) count once.
+many items there are. Null and empty texts have no passages. A few words in common cannot be
+told from chance, so an alignment must also score as much as LEAST matching words, or be the whole item where that is shorter (a
+single word is its own seed). Repeated documents are scored alike; repeated items (equal id and text) count once.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import keyed, scratch, small_batches
 from foliospark.llm.shingles import hash_words, mix, words_of
 
-WHOLE_UNDER = 4
+LEAST = 8
 THRESHOLD = 0.5
 MARGIN = 6
 BLOCK_SEEDS = 1_000_000
@@ -178,8 +179,8 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = order[at:z]
             best, end, last = align_ends([items[k] for k in part], [passages[k] for k in part])
             size = np.array([len(items[k]) for k in part])
-            # of short items the whole alone counts
-            scores[part] = np.where((size >= WHOLE_UNDER) | (best == 2 * size), best / (2 * size), 0.0)
+            # a few words in common are chance: LEAST matches in a row's worth of score, or the whole of a shorter item
+            scores[part] = np.where(best >= 2 * np.minimum(size, LEAST), best / (2 * size), 0.0)
             ends[part] = end
             # a leak's alignment backwards from its end tells where the item would begin
             leaks = [(k, e, x) for k, e, x in zip(part, end.tolist(), last.tolist(), strict=True) if scores[k] >= THRESHOLD]

@@ -148,7 +148,7 @@ def test_contamination_by_edited_short_copies(spark, prose):
     r = random.Random(8)
     pairs, texts, items = set(), [], []
     for k in range(60):
-        w = prose(2000 + k, r.randrange(4, 21)).split()
+        w = prose(2000 + k, r.randrange(4, 41)).split()
         items.append(" ".join(w))
         kind, copy = k % 4, list(w)
         if kind < 2:  # every third or fourth word replaced
@@ -165,10 +165,10 @@ def test_contamination_by_edited_short_copies(spark, prose):
     code = [[np.array([number.setdefault(x, len(number)) for x in words_of(t)]) for t in some] for some in (items, texts)]
     for i, a in enumerate(code[0]):
         best, _ = decontaminate.align([a] * len(texts), code[1])
-        pairs |= {(d, i) for d, x in enumerate(best.tolist()) if x >= (1 if len(a) >= 4 else 2) * len(a)}
+        pairs |= {(d, i) for d, x in enumerate(best.tolist()) if x >= max(len(a), 2 * min(len(a), 8))}  # half the item, and 8 words of it or all
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in decontaminate.contamination(make_docs(spark, texts), bench).collect()}
-    assert got == pairs and {(60, 60), (62, 61), (63, 61)} <= pairs and len(pairs) > 55
+    assert got == pairs and {(60, 60), (62, 61), (63, 61)} <= pairs and len(pairs) > 40
 
 
 def test_contamination_in_blocks(spark, prose, monkeypatch):
@@ -343,3 +343,11 @@ def test_pipeline(spark, tmp_path, prose):
     got = {r.doc_id: r for r in pieces.decode(corpus_pipeline.run(spark, str(tmp_path))).collect()}
     assert set(got) == {*range(60), 62}
     assert "[EMAIL]" in got[62].text and got[5].text == texts[5]
+
+
+def test_a_few_common_words_are_no_leak(spark):
+    bench = spark.createDataFrame([(1, "the city of london"), (2, "a b c d e f g h i j k l m n o p"), (3, "w x y z")], "item_id long, text string")
+    texts = ["an essay on trees, and of london nothing at all", "we saw the City of London", "a b c d and nothing more of it", "q a b c d e f g h q", "w x y"]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contamination(make_docs(spark, texts), bench).collect()}
+    assert found == {(1, 1), (3, 2)}
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(make_docs(spark, texts), bench).collect()) == [0, 2, 4]
