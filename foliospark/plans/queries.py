@@ -641,6 +641,55 @@ def sort_items(spark, sf):
     return placed.groupBy("file_id", "page").agg(F.md5(F.array_join(ids, ",")).alias("places"))
 
 
+# --- sources and sinks -------------------------------------------------------------------------------------------
+
+
+@query(_with(NAMES) + "SELECT file_id, name, row_number() OVER (ORDER BY name COLLATE zh_tw, name, file_id) AS place FROM names")
+def list_collated(spark, sf):
+    """Files in Chinese (traditional) order, numbered."""
+    return S.collated(A.file_names(spark, sf).select("file_id", "name"), _folder(spark))
+
+
+SAVED = A.ITEMS_SQL + "," + A.REGIONS_SQL + "," + A.TEXTS_SQL
+
+
+def _saved(spark, sf) -> str:
+    """A session of documents in two parts, the second of an older version without labels."""
+    folder = _folder(spark)
+    rows = A.region_rows(spark, sf).withColumn("text", F.when(F.col("ord") == 2, "⏳ 辨識中").when(F.col("ord") == 3, "❌ 識別失敗: x").otherwise(F.col("text"))).withColumn("debug", F.lit("long"))
+    pages = rows.select("file_id", "page").unionByName(rows.select("file_id", F.lit(999).alias("page"))).distinct()
+    files = rows.select("file_id").distinct().withColumn("status", F.get(F.array(*map(F.lit, ("idle", "done", "processing", "queued"))), (F.col("file_id").cast("long") % 4).cast("int")))
+    part = lambda df, k: df.filter(F.col("file_id").cast("long") % 2 == k)
+    S.write_session(part(files, 0), part(rows, 0), part(pages, 0), f"{folder}/a")
+    old = S.session_rows(part(files, 1), part(rows, 1), part(pages, 1))
+    bare = F.transform("pages", lambda p: F.struct(p["page"].alias("page"), F.transform(p["regions"], lambda r: r.dropFields("label")).alias("regions")))
+    old.withColumn("pages", bare).write.parquet(f"{folder}/b")
+    return folder
+
+
+@query(_with(SAVED) + """, kept AS (SELECT * FROM rows_ WHERE file_id::BIGINT % 5 <> 0)
+SELECT file_id, page, ord, CASE file_id::BIGINT % 4 WHEN 0 THEN 'idle' WHEN 1 THEN 'done' ELSE 'stopped' END AS status, x1, CASE WHEN file_id::BIGINT % 2 = 0 THEN label END AS label, CASE WHEN ord IN (2, 3) THEN '' ELSE text END AS text, user_modified FROM kept
+UNION ALL SELECT DISTINCT file_id, 999, NULL::INT, CASE file_id::BIGINT % 4 WHEN 0 THEN 'idle' WHEN 1 THEN 'done' ELSE 'stopped' END, NULL::DOUBLE, NULL, NULL, NULL::BOOLEAN FROM kept""")
+def session_round_trip(spark, sf):
+    """Saved and restored: transient texts are gone, running files stopped, files without their PDF left out, pages without a
+    region kept, and the older part's labels null."""
+    blobs = A.text_items(spark, sf).select("file_id").distinct().filter(F.col("file_id").cast("long") % 5 != 0)
+    session = S.read_session(spark, _saved(spark, sf), blobs)
+    rows = S.session_pages(session).join(S.session_regions(session), ["file_id", "page"], "left").join(session.select("file_id", "status"), "file_id")
+    return rows.select("file_id", "page", "ord", "status", "x1", "label", "text", "user_modified")
+
+
+@query(_with(SAVED) + """, based AS (SELECT 'doc_' || file_id AS file_base, page, ord, text FROM rows_)
+SELECT (('0x' || substr(md5(file_base), 1, 8))::BIGINT % 32)::INT AS bucket, count(*) AS n, count(DISTINCT file_base) AS files, count(DISTINCT (file_base, page)) AS pages, sum(length(text))::BIGINT AS chars FROM based GROUP BY 1""")
+def page_debug_sink(spark, sf):
+    """Debug rows written to buckets and read back."""
+    folder = _folder(spark)
+    rows = A.region_rows(spark, sf).select(F.concat(F.lit("doc_"), "file_id").alias("file_base"), "page", F.to_json(F.struct("ord", "text")).alias("payload"))
+    S.write_page_debug(rows, folder)
+    back = S.read_page_debug(spark, folder)
+    return back.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_base").alias("files"), F.countDistinct("file_base", "page").alias("pages"), F.sum(F.length(F.get_json_object("payload", "$.text"))).alias("chars"))
+
+
 # --- the page helper ---------------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from foliospark.functions.text import clear_transient, sanitize_file_name, trim_text
 
@@ -17,6 +20,25 @@ def list_pdfs(spark: SparkSession, folder: str) -> DataFrame:
     return named.filter(F.lower("name").endswith(".pdf")).select("path", "name", "length").orderBy(F.collate("name", "zh_Hant"), "path")
 
 
+def collated(names: DataFrame, folder: str, collation: str = "zh_Hant") -> DataFrame:
+    """Rows with place, from 1: their rank by name in the order of a language, ties by the other columns.
+
+    Names are dealt out by ranges of that order, so each task sorts its own range; a row's place is its place in the range and
+    the sizes of the ranges before it, one number each. No task has all rows. The sorted ranges are written to folder once,
+    so that ranges and sizes are of one deal."""
+    ties = [c for c in names.columns if c != "name"]
+    order = [F.collate("name", collation), *[F.col(c).asc_nulls_first() for c in ("name", *ties)]]
+    dealt = names.repartitionByRange(*order).sortWithinPartitions(*order)
+    number = F.monotonically_increasing_id()
+    inside = 1 << 33  # ids count from 0 within a partition; its number stands above these bits
+    dealt.withColumn("range", F.expr("shiftright(monotonically_increasing_id(), 33)").cast("int")).withColumn("at", number % inside).write.mode("overwrite").parquet(folder)
+    rows = names.sparkSession.read.parquet(folder)
+    sizes = rows.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each range
+    offsets = sizes.select("range", before.alias("before"))
+    return rows.join(F.broadcast(offsets), "range").withColumn("place", F.col("before") + F.col("at") + 1).drop("range", "at", "before")
+
+
 def read_pdf_bytes(spark: SparkSession, folder: str) -> DataFrame:
     """path, content. Contents belong to this frame alone; other tables carry the path."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(folder).select("path", "content")
@@ -59,19 +81,51 @@ def load_broker_dims(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return skip, flat.withColumn("k", last).filter("k = 1").select("group_pos", "pos", F.lower("name").alias("alias"), "canonical")
 
 
-def write_session(files: DataFrame, regions: DataFrame, folder: str) -> None:
-    """Files and regions without debug; texts that only tell of progress are cleared, running files become stopped."""
+REGION = ("id", "x1", "y1", "x2", "y2", "label", "text", "user_modified")
+
+
+def session_rows(files: DataFrame, regions: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row for each file, with its pages (page, regions in order): a page that was read and has no region has an empty
+    array. Texts that only tell of progress are cleared, running files become stopped; debug columns are left out. regions
+    are packed once by page, then by file."""
     from foliospark.operators.state import normalize_status
 
-    normalize_status(files).write.mode("overwrite").parquet(f"{folder}/files")
-    regions.drop("debug").withColumn("text", clear_transient(F.col("text"))).write.mode("overwrite").parquet(f"{folder}/regions")
+    cleared = regions.withColumn("text", clear_transient(F.col("text")))
+    held = cleared.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", *REGION))).alias("r"))
+    rows = pages.select("file_id", "page").distinct().join(held, ["file_id", "page"], "full")
+    packed = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("page", F.coalesce(F.transform("r", lambda x: x.dropFields("ord")), F.array().cast(_REGIONS)).alias("regions")))).alias("pages"))
+    return normalize_status(files).join(packed, "file_id", "left").withColumn("pages", F.coalesce("pages", F.array().cast(f"array<struct<page:int,regions:{_REGIONS}>>")))
+
+
+_REGIONS = "array<struct<id:int,x1:double,y1:double,x2:double,y2:double,label:string,text:string,user_modified:boolean>>"
+
+
+def write_session(files: DataFrame, regions: DataFrame, pages: DataFrame, folder: str) -> None:
+    session_rows(files, regions, pages).write.mode("overwrite").parquet(folder)
 
 
-def read_session(spark: SparkSession, folder: str, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files whose PDF is there, and their regions."""
+def read_session(spark: SparkSession, folder: str, blobs: DataFrame, fields: Sequence[str] = REGION) -> DataFrame:
+    """Files whose PDF is there, with their pages. Sessions of several versions may lie in one folder: columns that an older
+    one lacks are null, also within regions. Of regions only the named fields are read from the files."""
     from foliospark.operators.state import restore_session
 
-    return restore_session(spark.read.parquet(f"{folder}/files"), blobs), restore_session(spark.read.parquet(f"{folder}/regions"), blobs)
+    reader = spark.read.option("recursiveFileLookup", "true")
+    known = reader.option("mergeSchema", "true").parquet(folder).schema
+    region = known["pages"].dataType.elementType["regions"].dataType.elementType
+    kept = StructType([f for f in region if f.name in fields])
+    pages = ArrayType(StructType().add("page", IntegerType()).add("regions", ArrayType(kept)))
+    wanted = StructType([StructField("pages", pages) if f.name == "pages" else f for f in known])
+    return restore_session(reader.schema(wanted).parquet(folder), blobs)
+
+
+def session_regions(session: DataFrame) -> DataFrame:
+    """Regions of a session as rows; ord counts from 1."""
+    flat = session.select("file_id", F.explode("pages").alias("p")).select("file_id", "p.page", F.posexplode("p.regions").alias("pos", "r"))
+    return flat.select("file_id", "page", (F.col("pos") + 1).alias("ord"), "r.*")
+
+
+def session_pages(session: DataFrame) -> DataFrame:
+    return session.select("file_id", F.explode("pages.page").alias("page"))
 
 
 def page_debug(results: DataFrame, names: DataFrame) -> DataFrame:
@@ -81,8 +135,30 @@ def page_debug(results: DataFrame, names: DataFrame) -> DataFrame:
     return results.join(names.select("file_id", sanitize_file_name(F.col("name")).alias("file_base")), "file_id").select("file_base", "page", body.alias("payload"))
 
 
-def write_page_debug(results: DataFrame, names: DataFrame, folder: str) -> None:
-    page_debug(results, names).write.mode("overwrite").partitionBy("file_base", "page").text(folder)
+#: Buckets of page debug, and rows of one file of it.
+DEBUG_BUCKETS, DEBUG_ROWS = 32, 50_000
+
+
+def debug_bucket(base: Column, buckets: int = DEBUG_BUCKETS) -> Column:
+    """Bucket of a file's debug rows, by the first 8 hexadecimal digits of its md5."""
+    return (F.conv(F.substring(F.md5(base), 1, 8), 16, 10).cast("long") % buckets).cast("int")
+
+
+def write_page_debug(debug: DataFrame, folder: str, buckets: int = DEBUG_BUCKETS) -> None:
+    """Rows of page_debug in a fixed number of buckets by file, in files of bounded size, sorted so that a file's rows lie
+    together; the page is a column. A large bucket is dealt over several files by page."""
+    rows = debug.withColumn("bucket", debug_bucket(F.col("file_base"), buckets))
+    dealt = rows.repartition("bucket", F.col("page") % 8).sortWithinPartitions("bucket", "file_base", "page")
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", DEBUG_ROWS).partitionBy("bucket").parquet(folder)
+
+
+def read_page_debug(spark: SparkSession, folder: str, base: str | None = None, buckets: int = DEBUG_BUCKETS) -> DataFrame:
+    """All rows, or those of one file: then only its bucket is read."""
+    rows = spark.read.parquet(folder)
+    if base is None:
+        return rows
+    bucket = int(spark.range(1).select(debug_bucket(F.lit(base), buckets)).first()[0])
+    return rows.filter((F.col("bucket") == bucket) & (F.col("file_base") == base))
 
 
 def write_reports(reports: DataFrame, folder: str) -> None:

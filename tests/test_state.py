@@ -75,12 +75,36 @@ def test_report_and_run_state(spark):
 
 
 def test_session_and_debug(spark, tmp_path):
-    files = spark.createDataFrame([("f", "processing"), ("g", "done")], "file_id string, status string")
-    rows = spark.createDataFrame([region(1, 1, "⏳ wait"), region(1, 2, "kept")], REGIONS)
-    S.write_session(files, rows, str(tmp_path / "s"))
-    got, regions = S.read_session(spark, str(tmp_path / "s"), files.filter("file_id = 'f'"))
-    assert [tuple(r) for r in got.collect()] == [("f", "stopped")]
-    assert sorted(r.text for r in regions.collect()) == ["", "kept"]
+    files = spark.createDataFrame([("f", "processing"), ("g", "done"), ("h", "idle")], "file_id string, status string")
+    rows = spark.createDataFrame([region(1, 1, "⏳ wait"), region(1, 2, "kept"), region(3, 1, "x", True)], REGIONS)
+    pages = spark.createDataFrame([("f", 1), ("f", 2), ("g", 1)], "file_id string, page int")
+    S.write_session(files, rows, pages, str(tmp_path / "s"))
+    session = S.read_session(spark, str(tmp_path / "s"), files.filter("file_id != 'g'"))
+    assert sorted((r.file_id, r.status, [(p.page, len(p.regions)) for p in r.pages]) for r in session.collect()) == [("f", "stopped", [(1, 2), (2, 0), (3, 1)]), ("h", "idle", [])]
+    assert sorted((r.page, r.ord, r.text) for r in S.session_regions(session).collect()) == [(1, 1, ""), (1, 2, "kept"), (3, 1, "x")]
+    texts = S.read_session(spark, str(tmp_path / "s"), files, ["text"])
+    assert texts.schema["pages"].simpleString() == "pages:array<struct<page:int,regions:array<struct<text:string>>>>"
+    assert sorted(r.text for r in S.session_regions(texts).collect()) == ["", "kept", "x"]
+
+
+def test_debug_of_one_file_reads_its_bucket(spark, tmp_path):
+    rows = spark.createDataFrame([(f"file{k % 40}", k % 7, f"payload {k}") for k in range(400)], "file_base string, page int, payload string")
+    for _ in range(2):
+        S.write_page_debug(rows, str(tmp_path / "d"))
+    assert S.read_page_debug(spark, str(tmp_path / "d")).count() == 400
+    one = S.read_page_debug(spark, str(tmp_path / "d"), "file3")
+    assert sorted(r.payload for r in one.collect()) == sorted(f"payload {k}" for k in range(3, 400, 40))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+    assert len({p.name for p in (tmp_path / "d").glob("bucket=*")}) <= S.DEBUG_BUCKETS and not list((tmp_path / "d").glob("page=*"))
+
+
+def test_collated_places(spark, tmp_path):
+    names = ["b", "A", "元大", "a", "國票", "a", "凱基", None]
+    rows = spark.createDataFrame([(str(k), n) for k, n in enumerate(names)], "file_id string, name string").repartition(3)
+    got = {r.file_id: r.place for r in S.collated(rows, str(tmp_path / "c")).collect()}
+    want = [r.file_id for r in rows.orderBy(F.collate("name", "zh_Hant"), "name", "file_id").collect()]
+    assert got == {f: k + 1 for k, f in enumerate(want)}
 
 
 def test_paths_settings_pdfs(spark, tmp_path):
