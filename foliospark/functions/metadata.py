@@ -59,31 +59,33 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def parse_date(name: Column) -> Column:
-    """YYYY/MM/DD as text, by the first of nine shapes that fits; dates are not held against a calendar."""
-    t = stem(name)
+    """YYYY/MM/DD as text, by the first of nine shapes that fits; dates are not held against a calendar. Each shape is looked for
+    once, and only where none before it fits."""
+    # fixed values: the shapes and their order
     alone = lambda body: rf"(?<![0-9]){body}(?![0-9])"
-    cut = lambda d, *at: F.concat_ws("/", *[F.substring(d, a, n) for a, n in at])
-    year = lambda d, offset, width: (F.substring(d, 1, width).cast("int") + offset).cast("string")
-    full = _found(t, alone(r"(20[0-9]{2}[01][0-9][0-3][0-9])"))
-    typo = _found(t, alone(r"(20[0-9]{2}[01][0-9][0-3][0-9])[0-9]"))
-    roc = _found(t, alone(r"([0-9]{3}[01][0-9][0-3][0-9])"))
-    short = _found(t, alone(r"([0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01]))"))
-    american = _found(t, alone(r"((?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])(?:19|20)[0-9]{2})"))
+    cut = lambda *at: lambda d: F.concat_ws("/", *[F.substring(d, a, n) for a, n in at])
+    counted = lambda offset, width: lambda d: F.concat_ws("/", (F.substring(d, 1, width).cast("int") + offset).cast("string"), F.substring(d, width + 1, 2), F.substring(d, width + 3, 2))
+
+    def parted(offset: int) -> Callable[[Column], Column]:
+        return lambda d: bound(F.split(d, "[^0-9]+"), lambda p: F.concat_ws("/", (p[0].cast("int") + offset).cast("string"), F.lpad(p[1], 2, "0"), F.lpad(p[2], 2, "0")))
+
     shapes = [
-        cut(full, (1, 4), (5, 2), (7, 2)),
-        cut(typo, (1, 4), (5, 2), (7, 2)),
-        F.concat_ws("/", year(roc, ROC, 3), F.substring(roc, 4, 2), F.substring(roc, 6, 2)),
-        F.concat_ws("/", year(short, 2000, 2), F.substring(short, 3, 2), F.substring(short, 5, 2)),
-        cut(american, (5, 4), (1, 2), (3, 2)),
+        (alone(r"(20[0-9]{2}[01][0-9][0-3][0-9])"), cut((1, 4), (5, 2), (7, 2))),
+        (alone(r"(20[0-9]{2}[01][0-9][0-3][0-9])[0-9]"), cut((1, 4), (5, 2), (7, 2))),
+        (alone(r"([0-9]{3}[01][0-9][0-3][0-9])"), counted(ROC, 3)),
+        (alone(r"([0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01]))"), counted(2000, 2)),
+        (alone(r"((?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])(?:19|20)[0-9]{2})"), cut((5, 4), (1, 2), (3, 2))),
+        (alone(r"(20[0-9]{2}[/\-.][01]?[0-9][/\-.][0-3]?[0-9])"), parted(0)),
+        (alone(r"([0-9]{3}[/\-.][01]?[0-9][/\-.][0-3]?[0-9])"), parted(ROC)),
+        (alone(r"(20[0-9]{2}年[01]?[0-9]月[0-3]?[0-9])日?"), parted(0)),
+        (alone(r"([0-9]{3}年[01]?[0-9]月[0-3]?[0-9])日?"), parted(ROC)),
     ]
-    tests = [full, typo, roc, short, american]
-    for marks in (r"{y}[/\-.]([01]?[0-9])[/\-.]([0-3]?[0-9])", r"{y}年([01]?[0-9])月([0-3]?[0-9])日?"):
-        for y, offset in ((r"(20[0-9]{2})", 0), (r"([0-9]{3})", ROC)):
-            pattern = alone(marks.replace("{y}", y))
-            part = lambda k, pattern=pattern: _found(t, pattern, k)
-            tests.append(part(1))
-            shapes.append(F.concat_ws("/", (part(1).cast("int") + offset).cast("string"), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")))
-    return F.coalesce(*[F.when(seen.isNotNull(), shape) for seen, shape in zip(tests, shapes, strict=True)])
+
+    def first(t: Column, left: list) -> Column:
+        (pattern, shape), rest = left[0], left[1:]
+        return bound(F.regexp_extract(t, pattern, 1), lambda d: F.when(d != "", shape(d)).otherwise(first(t, rest) if rest else F.lit(None).cast("string")))
+
+    return bound(stem(name), lambda t: first(t, shapes))
 
 
 def is_complete_date(date: Column) -> Column:

@@ -47,15 +47,16 @@ def threshold(items: Column) -> Column:
     return bound(F.transform(items, lambda t: t["b"]), of)
 
 
-def line_starts(items: Column, limit: Column) -> Column:
+def line_starts(items: Column, limit: Column, any_overlap: bool = False) -> Column:
     """Places, from 1, where lines begin: within limit of a line's first baseline an item joins and widens the line's core;
-    beyond, it joins without widening if it overlaps the core by 2 or more, else it begins a line."""
+    beyond, it joins without widening if it overlaps the core by 2 or more (any_overlap: at all), else it begins a line."""
     none = F.lit(None).cast("double")
     start = F.struct(none.alias("first"), none.alias("top"), none.alias("bottom"), F.lit(1).alias("at"), F.expr(_NONE).alias("starts"))
 
     def step(acc: Column, t: Column) -> Column:
         near = F.coalesce(t["b"] - acc["first"] < limit, F.lit(False))
-        touch = F.coalesce(F.least(acc["bottom"], t["b"]) - F.greatest(acc["top"], t["y"]) >= 2.0, F.lit(False)) & acc["first"].isNotNull()
+        overlap = F.least(acc["bottom"], t["b"]) - F.greatest(acc["top"], t["y"])
+        touch = F.coalesce((overlap > 0) if any_overlap else (overlap >= 2.0), F.lit(False)) & acc["first"].isNotNull()
         pick = lambda a, b, c: F.when(near, a).when(touch, b).otherwise(c)
         return F.struct(
             pick(acc["first"], acc["first"], t["b"]).alias("first"), pick(F.least(acc["top"], t["y"]), acc["top"], t["y"]).alias("top"),
@@ -66,12 +67,12 @@ def line_starts(items: Column, limit: Column) -> Column:
     return F.aggregate(items, start, step, lambda acc: acc["starts"])
 
 
-def lines_of(items: Column, limit: Column) -> Column:
+def lines_of(items: Column, limit: Column, any_overlap: bool = False) -> Column:
     """Array of lines: lo, hi (how far it spans), g (its items from left to right)."""
     across = lambda g: F.array_sort(F.transform(g, lambda t: F.struct(t["x"].alias("x"), t["b"].alias("b"), t["i"].alias("i"), t["r"].alias("r"), t["s"].alias("s"))))
     line = lambda g: F.struct(g[0]["x"].alias("lo"), F.array_max(F.transform(g, lambda t: t["r"])).alias("hi"), g.alias("g"))
     cut = lambda starts: F.transform(starts, lambda s, k: bound(across(F.slice(items, s, F.coalesce(F.get(starts, k + 1), F.size(items) + 1) - s)), line))
-    return bound(line_starts(items, limit), cut)
+    return bound(line_starts(items, limit, any_overlap), cut)
 
 
 def merge_fragments(lines: Column, limit: Column) -> Column:
@@ -130,9 +131,9 @@ def joined(lines: Column) -> Column:
     return bound(spacings(F.transform(lines, lambda a: F.get(a["g"], 0)["b"])), marked)
 
 
-def whole_lines(items: Column) -> Column:
+def whole_lines(items: Column, any_overlap: bool = False) -> Column:
     """Lines of packed items, fragments put together."""
-    return bound(threshold(items), lambda limit: bound(lines_of(items, limit), lambda lines: merge_fragments(lines, limit)))
+    return bound(threshold(items), lambda limit: bound(lines_of(items, limit, any_overlap), lambda lines: merge_fragments(lines, limit)))
 
 
 def column_text(items: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
@@ -145,3 +146,19 @@ def merge_line_fragments(items: DataFrame, keys: Sequence[str] = PAGE) -> DataFr
     """keys, line (from 0), lo, hi, item_idxs: lines with their fragments put together, items from left to right."""
     lines = pack(items, keys).select(*keys, F.posexplode(whole_lines(F.col("items"))).alias("line", "a"))
     return lines.select(*keys, "line", "a.lo", "a.hi", F.transform("a.g", lambda t: t["i"]).alias("item_idxs"))
+
+
+def display_lines(items: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
+    """keys, line (from 1), b_min, b_max, x_min, x_max (rounded), n_items, text (items without anything between), gap (of the
+    left-most items), merged (items that are on the line by overlap alone): the listing of the diagnostics, which takes any
+    overlap with a line's core for the same line."""
+    page = pack(items, keys).withColumn("limit", threshold(F.col("items"))).withColumn("lines", whole_lines(F.col("items"), True))
+    flat = page.select(*keys, "limit", F.posexplode(F.transform("lines", lambda a, k: F.struct(a.alias("a"), F.get("lines", k - 1).alias("before")))).alias("k", "l")).select(*keys, "limit", "k", "l.*")
+    half_up = lambda v: F.floor(v + 0.5).cast("double")
+    of = lambda f: F.transform("a.g", f)
+    first = F.array_min(of(lambda t: t["b"]))
+    return flat.select(
+        *keys, (F.col("k") + 1).alias("line"), F.array_min(of(lambda t: half_up(t["b"]))).alias("b_min"), F.array_max(of(lambda t: half_up(t["b"]))).alias("b_max"),
+        F.array_min(of(lambda t: half_up(t["x"]))).alias("x_min"), F.array_max(of(lambda t: half_up(t["r"]))).alias("x_max"), F.size("a.g").alias("n_items"), F.array_join(of(lambda t: t["s"]), "").alias("text"),
+        (F.get("a.g", 0)["b"] - F.get("before.g", 0)["b"]).alias("gap"), F.size(F.filter("a.g", lambda t: t["b"] - first >= F.col("limit"))).alias("merged"),
+    )

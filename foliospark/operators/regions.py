@@ -233,6 +233,26 @@ def baseline_subset(items: DataFrame, regions: DataFrame, tolerance: float = 3.0
     return regions.join(sets.select(*PAGE, "ord", test.alias("subset")), [*PAGE, "ord"], "left").withColumn("subset", F.coalesce("subset", F.lit(True)))
 
 
+def baseline_share(items: DataFrame, regions: DataFrame) -> DataFrame:
+    """file_id, page, ord, other, n_own, n_other, share: for boxes (ord < other) that overlap across and down, the rounded
+    baselines that each has beside the overlap alone, and which share of the fewer go on within ROW in the other; null where
+    a side has none. ord is the left box of the two."""
+    one = regions.select(*PAGE, "ord", "x1", "y1", "x2", "y2")
+    two = regions.select(*PAGE, *[F.col(c).alias(f"o_{c}") for c in ("ord", "x1", "y1", "x2", "y2")])
+    left_first = (F.col("x1") < F.col("o_x1")) | ((F.col("x1") == F.col("o_x1")) & (F.col("ord") < F.col("o_ord")))
+    pairs = one.join(two, PAGE).filter((F.col("ord") != F.col("o_ord")) & left_first & (F.least("x2", "o_x2") > F.greatest("x1", "o_x1")) & (F.least("y2", "o_y2") > F.greatest("y1", "o_y1")))
+    centre = F.col("norm_x") + F.col("norm_w") / 2
+    level = (F.col("norm_baseline") >= F.greatest("y1", "o_y1")) & (F.col("norm_y") <= F.least("y2", "o_y2"))
+    row = F.floor(F.col("norm_baseline") + 0.5)
+    own = F.when(level & (centre < F.greatest("x1", "o_x1")) & (centre > F.col("x1")) & (centre < F.col("x2")), row)
+    theirs = F.when(level & (centre > F.least("x2", "o_x2")) & (centre > F.col("o_x1")) & (centre < F.col("o_x2")), row)
+    sets = pairs.join(items, PAGE, "left").groupBy(*PAGE, "ord", F.col("o_ord").alias("other")).agg(F.collect_set(own).alias("a"), F.collect_set(theirs).alias("z"))
+    fewer = F.size("a") <= F.size("z")
+    few, many = F.when(fewer, F.col("a")).otherwise(F.col("z")), F.when(fewer, F.col("z")).otherwise(F.col("a"))
+    shared = F.size(F.filter(few, lambda v: F.exists(many, lambda o: F.abs(v - o) < ROW)))
+    return sets.select(*PAGE, "ord", "other", F.size("a").alias("n_own"), F.size("z").alias("n_other"), F.when(F.least(F.size("a"), F.size("z")) > 0, shared / F.size(few)).alias("share"))
+
+
 def drawable(regions: DataFrame) -> DataFrame:
     return regions.filter((F.col("x1") < F.col("x2")) & (F.col("y1") < F.col("y2")))
 

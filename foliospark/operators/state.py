@@ -232,7 +232,7 @@ BOX = "id:int,x1:double,y1:double,x2:double,y2:double,label:string,text:string,u
 def fold_region_edits(regions: DataFrame, page_state: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Regions and page_state after a log of edits (file_id, page, seq, op, region_id, x1..y2, text, order) of any kind,
     each on what those before it have left: bbox, text, remove, remove_page, add (a drawn box, put in reading order),
-    reorder (order: the ids in their new order). A page whose last region is removed loses its key, one that has
+    reorder (order: ids in their new order; regions that it does not name follow as they were, without one nothing changes). A page whose last region is removed loses its key, one that has
     regions has it. Only pages with edits are folded, a page and its log being one row; ord counts from 1 there."""
     sides = ("x1", "y1", "x2", "y2")
     touched = edits.select(*PAGE).distinct()
@@ -253,7 +253,8 @@ def fold_region_edits(regions: DataFrame, page_state: DataFrame, edits: DataFram
         name = F.coalesce(F.array_max(F.transform(acc, lambda r: r["id"])), F.lit(0)) + 1
         drawn = F.struct(name.alias("id"), *[e[s].alias(s) for s in sides], F.concat(F.lit("手動框 "), name.cast("string")).alias("label"), F.lit("").alias("text"), F.lit(True).alias("user_modified"))
         added = F.concat(F.slice(acc, F.lit(1), before), F.array(drawn), F.slice(acc, before + 1, F.size(acc)))
-        ordered = F.flatten(F.transform(e["order"], lambda i: F.filter(acc, lambda r: r["id"] == i)))
+        named = F.flatten(F.transform(F.array_distinct(e["order"]), lambda i: F.filter(acc, lambda r: r["id"] == i)))
+        ordered = F.when(e["order"].isNull(), acc).otherwise(F.concat(named, F.filter(acc, lambda r: ~F.array_contains(e["order"], r["id"]))))
         gone = F.filter(acc, lambda r: (r["id"] != e["region_id"]) & (e["op"] == "remove"))
         return (
             F.when(e["op"] == "bbox", boxed).when(e["op"] == "text", typed).when(e["op"] == "add", added).when(e["op"] == "reorder", ordered)

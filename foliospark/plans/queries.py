@@ -410,6 +410,16 @@ def baseline_subset(spark, sf):
     return regions.baseline_subset(A.text_items(spark, sf), A.regions(spark, sf)).select("file_id", "page", "ord", "subset")
 
 
+@query(_with(BOXES) + """, prs AS (SELECT a.file_id, a.page, a.ord, b.ord AS other, a.x1, a.x2, b.x1 AS p1, b.x2 AS p2, greatest(a.x1, b.x1) AS x0, least(a.x2, b.x2) AS x9, greatest(a.y1, b.y1) AS y0, least(a.y2, b.y2) AS y9 FROM boxes a JOIN boxes b ON a.file_id = b.file_id AND a.page = b.page AND a.ord <> b.ord
+  AND (a.x1 < b.x1 OR (a.x1 = b.x1 AND a.ord < b.ord)) WHERE x9 > x0 AND y9 > y0),
+lev AS (SELECT p.*, norm_x + norm_w / 2 AS c, floor(norm_baseline + 0.5) AS bl, norm_baseline >= y0 AND norm_y <= y9 AS ok FROM prs p JOIN items USING (file_id, page)),
+sets AS (SELECT file_id, page, ord, other, coalesce(list(DISTINCT bl) FILTER (ok AND c < x0 AND c > x1 AND c < x2), []) AS a, coalesce(list(DISTINCT bl) FILTER (ok AND c > x9 AND c > p1 AND c < p2), []) AS z FROM lev GROUP BY ALL),
+sided AS (SELECT *, CASE WHEN len(a) <= len(z) THEN a ELSE z END AS few, CASE WHEN len(a) <= len(z) THEN z ELSE a END AS many FROM sets)
+SELECT file_id, page, ord, other, len(a)::INT AS n_own, len(z)::INT AS n_other, CASE WHEN len(few) > 0 THEN len(list_filter(few, lambda v: len(list_filter(many, lambda o: abs(v - o) < 15)) > 0)) / len(few) END AS share FROM sided""")
+def baseline_share(spark, sf):
+    return regions.baseline_share(A.text_items(spark, sf), A.regions(spark, sf))
+
+
 @query(_with(HITS) + """, hs AS (SELECT file_id, page, ord, count(*) AS n_hits, list_reduce(list_transform(list_sort(list(norm_baseline)), lambda v: [v]), lambda a, v: CASE WHEN v[1] - a[-1] >= 15 THEN a || v ELSE a END) AS st FROM hits GROUP BY ALL),
 firsts AS (SELECT file_id, page, ord, len(list_filter(st, lambda s: s <= norm_baseline)) AS line, arg_min(norm_baseline, {'x': norm_x, 'b': norm_baseline, 'i': item_idx}) AS b FROM hits JOIN hs USING (file_id, page, ord) GROUP BY ALL),
 lag_ AS (SELECT *, b - lag(b) OVER (PARTITION BY file_id, page, ord ORDER BY line) AS gap FROM firsts),
@@ -634,6 +644,14 @@ def line_listing(spark, sf):
     return lines.line_listing(A.text_items(spark, sf)).withColumn("text", F.md5("text"))
 
 
+@query(_with(LINES) + """, ll AS (SELECT file_id, page, line, min(floor(norm_baseline + 0.5)) AS b_min, max(floor(norm_baseline + 0.5)) AS b_max, min(floor(norm_x + 0.5)) AS x_min, max(floor(r + 0.5)) AS x_max, count(*)::INT AS n_items, md5(string_agg(str, '' ORDER BY norm_x, norm_baseline, item_idx)) AS text,
+  arg_min(norm_baseline, {'x': norm_x, 'b': norm_baseline, 'i': item_idx}) AS b0 FROM lined GROUP BY ALL)
+SELECT file_id, page, (line + 1)::INT AS line, b_min, b_max, x_min, x_max, n_items, text, b0 - lag(b0) OVER (PARTITION BY file_id, page ORDER BY line) AS gap, 0 AS merged FROM ll""")
+def display_lines(spark, sf):
+    """No item overlaps another line here; the tests have some that do."""
+    return packed.display_lines(A.text_items(spark, sf)).withColumn("text", F.md5("text"))
+
+
 @query(_with(ITEMS) + "SELECT file_id, page, md5(string_agg(item_idx::VARCHAR, ',' ORDER BY norm_baseline, norm_x, item_idx)) AS places FROM items GROUP BY ALL")
 def sort_items(spark, sf):
     placed = lines.sort_items(A.text_items(spark, sf))

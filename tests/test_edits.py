@@ -22,7 +22,7 @@ def walk_page(regions, log):
             at = next((k for k, r in enumerate(now) if r[2] - box[1] > 15 or (abs(r[2] - box[1]) <= 15 and r[1] > box[0])), len(now))
             now.insert(at, (n, *box, f"手動框 {n}", "", True))
         elif op == "reorder":
-            now = [r for i in order for r in now if r[0] == i]
+            now = now if order is None else [r for i in order for r in now if r[0] == i] + [r for r in now if r[0] not in order]
         else:
             now = [r for r in now if op == "remove" and r[0] != rid]
     if now:
@@ -102,3 +102,12 @@ def test_clear_for_rerun(spark):
     assert sorted(r.label for r in left.collect()) == ["b", "c"] and keys.count() == 2
     left, keys = state.clear_for_rerun(frame, pages, spark.createDataFrame([("f",)], "file_id string"))
     assert [r.label for r in left.collect()] == ["c"] and keys.count() == 1
+
+
+def test_reorder_keeps_what_it_does_not_name(spark):
+    regions = spark.createDataFrame([("f", page, k, k, 0.0, 0.0, 1.0, 1.0, "r", "", False) for page in (1, 2) for k in (1, 2, 3, 4)], REGIONS)
+    pages = regions.select("file_id", "page").distinct()
+    edits = spark.createDataFrame([("f", 1, 1, "reorder", None, None, None, None, None, None, [3, 1, 3]), ("f", 2, 1, "reorder", None, None, None, None, None, None, None)], EDITS)
+    left, _ = state.fold_region_edits(regions, pages, edits)
+    got = {page: [r.id for r in left.filter(f"page = {page}").orderBy("ord").collect()] for page in (1, 2)}
+    assert got == {1: [3, 1, 2, 4], 2: [1, 2, 3, 4]}

@@ -174,3 +174,11 @@ def test_columns_are_the_helpers(spark):
         for number, hits in enumerate(columns, 1):
             assert all(got[f"f{seed}", k] == number for k in hits.tolist())
     assert 2 < two < 24
+
+
+def test_display_lines_take_any_overlap(spark):
+    """Baselines 16 apart of which one overlaps the line above by 1: two lines of text, one line of the listing."""
+    rows = [("f", 1, 0, "a", 10.0, 88.0, 300.0, 12.0, 100.0), ("f", 1, 1, "b", 400.0, 99.0, 300.0, 17.0, 116.0), ("f", 1, 2, "c", 10.0, 150.0, 20.0, 12.0, 162.4)]
+    items = spark.createDataFrame(rows, ITEMS)
+    assert [(r.line, r.text, r.b_min, r.b_max, r.merged) for r in packed.display_lines(items).orderBy("line").collect()] == [(1, "ab", 100.0, 116.0, 1), (2, "c", 162.0, 162.0, 0)]
+    assert packed.column_text(items).first().text == "a\nb\nc"
