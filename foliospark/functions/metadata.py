@@ -94,23 +94,32 @@ def is_complete_date(date: Column) -> Column:
     return F.coalesce(t.rlike(r"^[0-9]{4}[/\-][0-9]{1,2}[/\-][0-9]{1,2}$") | digits.rlike("^[0-9]{8}$"), F.lit(False))
 
 
-def parse_code(name: Column, date: Column, aliases: Mapping[str, str]) -> Column:
-    """Four digits that start a token and are neither a year nor a date, else a word of two to eight Latin letters."""
-    known = list(aliases)
-    word = lambda t: F.upper(t).rlike("^[A-Z]{2,8}$") & ~F.upper(t).isin("PDF", "KY") & ~(F.lower(t).isin(*known) if known else F.lit(False))
+def _is_word(t: Column) -> Column:
+    return F.upper(t).rlike("^[A-Z]{2,8}$") & ~F.upper(t).isin("PDF", "KY")
+
+
+def code_words(name: Column) -> Column:
+    """Tokens that can be a code in letters, if they are no broker's alias."""
+    return F.filter(filename_tokens(name), _is_word)
+
+
+def code_number(tokens: Column, dated: Column) -> Column:
+    """Four digits that start a token and are neither a year near dated nor a date."""
 
-    def of(x: Column) -> Column:
-        tokens, dated = x["tokens"], x["dated"]
+    def four(t: Column, i: Column) -> Column:
+        head = F.substring(t, 1, 4)
+        follows = F.coalesce(F.get(tokens, i + 1).startswith("年"), F.lit(False))
+        year = F.coalesce(head.rlike("^(19|20)") & (F.abs(head.cast("int") - dated) <= 5), F.lit(False))
+        return t.rlike("^[0-9]{4}") & ~t.rlike("^[0-9]{6,8}|^[0-9]{4}年") & ~follows & ~year
 
-        def four(t: Column, i: Column) -> Column:
-            head = F.substring(t, 1, 4)
-            follows = F.coalesce(F.get(tokens, i + 1).startswith("年"), F.lit(False))
-            year = F.coalesce(head.rlike("^(19|20)") & (F.abs(head.cast("int") - dated) <= 5), F.lit(False))
-            return t.rlike("^[0-9]{4}") & ~t.rlike("^[0-9]{6,8}|^[0-9]{4}年") & ~follows & ~year
+    return F.substring(F.get(F.filter(tokens, four), 0), 1, 4)
 
-        number = F.substring(F.get(F.filter(tokens, four), 0), 1, 4)
-        return F.coalesce(number, F.upper(F.get(F.filter(tokens, word), 0)))
 
+def parse_code(name: Column, date: Column, aliases: Mapping[str, str]) -> Column:
+    """Four digits that start a token and are neither a year nor a date, else a word of two to eight Latin letters."""
+    known = list(aliases)
+    word = lambda t: _is_word(t) & ~(F.lower(t).isin(*known) if known else F.lit(False))
+    of = lambda x: F.coalesce(code_number(x["tokens"], x["dated"]), F.upper(F.get(F.filter(x["tokens"], word), 0)))
     return bound(F.struct(filename_tokens(name).alias("tokens"), F.substring(date, 1, 4).cast("int").alias("dated")), of)
 
 
@@ -137,10 +146,13 @@ def broker_prefix_match(name: Column, known: Sequence[str], aliases: Mapping[str
     return F.coalesce(*[F.when(dated(p), c) for p, c in pairs], F.lit(None).cast("string"))
 
 
+def letters_before_date(segment: Column) -> Column:
+    return _found(segment, r"^([A-Za-z]{2,8})\+?[0-9]{6,8}$")
+
+
 def broker_letters_date(segment: Column, known: Sequence[str], aliases: Mapping[str, str]) -> Column:
     """Two to eight letters and a date written together: an alias of the letters, else a known upper-case name."""
-    letters = _found(segment, r"^([A-Za-z]{2,8})\+?[0-9]{6,8}$")
-    return bound(letters, lambda x: F.coalesce(_lookup(aliases, F.lower(x)), F.when(F.upper(x).isin(*known), F.upper(x))))
+    return bound(letters_before_date(segment), lambda x: F.coalesce(_lookup(aliases, F.lower(x)), F.when(F.upper(x).isin(*known), F.upper(x))))
 
 
 def broker_contains_match(segment: Column, known: Sequence[str]) -> Column:
@@ -154,21 +166,34 @@ def parse_broker(name: Column, known: Sequence[str], aliases: Mapping[str, str])
     return bound(segments(name), lambda cut: _broker(name, cut["mark"], cut["parts"], known, aliases))
 
 
-def _broker(name: Column, mark: Column, parts: Column, known: Sequence[str], aliases: Mapping[str, str]) -> Column:
+def search_order(parts: Column) -> Column:
+    """Segments in the order in which a broker is looked for: last, first, second, then the others."""
     n = F.size(parts)
-    last, first = F.get(parts, n - 1), F.get(parts, 0)
-    annual = (
-        (mark == "_") & (n >= 5) & first.rlike("^[0-9]{4}$") & F.get(parts, 1).rlike("^[0-9]{4}$")
-        & F.get(parts, n - 2).rlike("^[0-9]{8}$") & last.rlike("^[0-9]{6}$")
+    return F.concat(F.array(F.get(parts, n - 1), F.get(parts, 0), F.get(parts, 1)), F.slice(parts, 3, F.greatest(n - 3, F.lit(0))))
+
+
+def is_annual(mark: Column, parts: Column) -> Column:
+    n = F.size(parts)
+    return (
+        (mark == "_") & (n >= 5) & F.get(parts, 0).rlike("^[0-9]{4}$") & F.get(parts, 1).rlike("^[0-9]{4}$")
+        & F.get(parts, n - 2).rlike("^[0-9]{8}$") & F.get(parts, n - 1).rlike("^[0-9]{6}$")
     )
-    order = F.concat(F.array(last, first, F.get(parts, 1)), F.slice(parts, 3, F.greatest(n - 3, F.lit(0))))
-    exact = lambda s: F.when(s.isin(*known), s)
-    one = lambda s: F.coalesce(_lookup(aliases, F.lower(s)), broker_letters_date(s, known, aliases), exact(s), broker_contains_match(s, known))
-    matched = F.get(F.filter(F.transform(order, one), lambda x: x.isNotNull()), 0)
+
+
+def broker_by_place(mark: Column, parts: Column) -> Column:
+    """Where no segment names a known broker: the first segment between -, the last between others, if it can be a name."""
+    last, first = F.get(parts, F.size(parts) - 1), F.get(parts, 0)
     dated = lambda s: s.rlike("^[0-9]+$")
     house = F.trim(F.regexp_replace(first, "投顧$", ""))
-    place = F.when(mark == "-", F.when((house != "") & ~dated(house) & (F.length(house) <= 10), house)).otherwise(F.when(~dated(last) & (F.length(last) <= 10), last))
-    return F.when(mark.isNull(), broker_prefix_match(name, known, aliases)).when(annual, ANNUAL).otherwise(F.coalesce(matched, place))
+    return F.when(mark == "-", F.when((house != "") & ~dated(house) & (F.length(house) <= 10), house)).otherwise(F.when(~dated(last) & (F.length(last) <= 10), last))
+
+
+def _broker(name: Column, mark: Column, parts: Column, known: Sequence[str], aliases: Mapping[str, str]) -> Column:
+    exact = lambda s: F.when(s.isin(*known), s)
+    one = lambda s: F.coalesce(_lookup(aliases, F.lower(s)), broker_letters_date(s, known, aliases), exact(s), broker_contains_match(s, known))
+    matched = F.get(F.filter(F.transform(search_order(parts), one), lambda x: x.isNotNull()), 0)
+    found = F.when(is_annual(mark, parts), ANNUAL).otherwise(F.coalesce(matched, broker_by_place(mark, parts)))
+    return F.when(mark.isNull(), broker_prefix_match(name, known, aliases)).otherwise(found)
 
 
 def should_ignore_broker(name: Column) -> Column:

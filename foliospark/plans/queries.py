@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,7 +14,7 @@ from foliospark.functions import boxes as B
 from foliospark.functions import items as I
 from foliospark.functions import metadata as M
 from foliospark.functions import text as T
-from foliospark.operators import geometry, lines, packed, regions, state
+from foliospark.operators import brokers, geometry, lines, packed, regions, state
 from foliospark.plans import adapters as A
 from foliospark.sources import files as S
 from foliospark.streaming import jobs
@@ -87,6 +88,16 @@ def ingest_files(spark, sf):
     return state.ingest_files(A.file_names(spark, sf), A.KNOWN, A.ALIASES)
 
 
+@query(_with(META) + "SELECT file_id, name, 'queued' AS status, num_pages, selected_date, selected_code, selected_broker, report FROM files")
+def ingest_with_settings(spark, sf):
+    """The same with brokers and aliases from a settings file."""
+    path = f"{_folder(spark)}/settings"
+    settings = json.dumps({"brokerSkipMap": M.BROKER_SKIP, "brokerAliasGroups": list(M.ALIAS_GROUPS)}, ensure_ascii=False)
+    spark.createDataFrame([(settings,)], "value string").coalesce(1).write.text(path)
+    skip, aliases = S.load_broker_dims(spark, path)
+    return brokers.ingest_files(A.file_names(spark, sf), skip, aliases)
+
+
 @query(_with(META) + "SELECT file_id, array_to_string(tk, ' ') AS tokens, mark, array_to_string(sg, ' ') AS segs, hit FROM tried")
 def filename_segments(spark, sf):
     """Tokens, segments and the broker that segments alone give (aliases, letters with a date, exact, contained)."""
