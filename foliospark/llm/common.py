@@ -79,6 +79,17 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"), *more)
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes for docs to have no such column."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def same_key(a: DataFrame, b: DataFrame, *names: str) -> Column:
     """Null-safe equality of the named columns."""
     on = a[names[0]].eqNullSafe(b[names[0]])

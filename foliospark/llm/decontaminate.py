@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import keyed, scratch, small_batches
+from foliospark.llm.common import free_names, keyed, scratch, small_batches
 from foliospark.llm.shingles import hash_words, mix, words_of
 
 LEAST = 8
@@ -229,7 +229,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that leak any item."""
-    leaked = contamination(docs, benchmark).select(F.col("doc_id").alias("leak_id_"), F.col("text_hash").alias("leak_hash_")).distinct()
+    id_, hash_ = free_names(docs, "leak_id_", "leak_hash_")
+    leaked = contamination(docs, benchmark).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
     leaked = scratch(leaked, "leaked")
-    on = docs["doc_id"].eqNullSafe(F.col("leak_id_")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("leak_hash_"))
+    on = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(hash_))
     return docs.join(leaked, on, "left_anti")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import keyed, scratch, small_batches
+from foliospark.llm.common import free_names, keyed, scratch, small_batches
 from foliospark.llm.shingles import grams, hash_words, mix, words_of
 
 SHINGLE = 5
@@ -229,13 +229,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each class: that with the smallest doc_id. Rows without an id stay
     unless they are in a class with another; of rows with equal id and text one stays."""
+    id_, hash_, copies = free_names(docs, "kept_id_", "kept_hash_", "copies_")
     classes = near_duplicates(docs)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies_"))
-    kept = scratch(kept.select(F.col("doc_id").alias("kept_id_"), F.col("text_hash").alias("kept_hash_"), "copies_"), "kept")
-    on = docs["doc_id"].eqNullSafe(F.col("kept_id_")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("kept_hash_"))
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias(copies))
+    kept = scratch(kept.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), copies), "kept")
+    on = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(hash_))
     out = docs.join(kept, on)
-    if not kept.filter("copies_ > 1").isEmpty():
+    if not kept.filter(F.col(copies) > 1).isEmpty():
         empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\w")
-        single = out.filter((F.col("copies_") == 1) | empty)
-        out = single.unionByName(out.filter((F.col("copies_") > 1) & ~empty).dropDuplicates(["kept_id_", "kept_hash_"]))
+        single = out.filter((F.col(copies) == 1) | empty)
+        out = single.unionByName(out.filter((F.col(copies) > 1) & ~empty).dropDuplicates([id_, hash_]))
     return out.select(*[docs[c] for c in docs.columns])

@@ -171,4 +171,5 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs that the model does not reject."""
-    return score(docs, fit(docs, labels)).filter(~F.col("toxicity_.toxic")).select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))  # so that no column of docs clashes with the verdict
+    return score(rows, fit(docs, labels)).filter(~F.col("toxicity_.toxic")).select("row.*")

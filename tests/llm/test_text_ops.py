@@ -351,3 +351,18 @@ def test_a_few_common_words_are_no_leak(spark):
     found = {(r.doc_id, r.item_id) for r in decontaminate.contamination(make_docs(spark, texts), bench).collect()}
     assert found == {(1, 1), (3, 2)}
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(make_docs(spark, texts), bench).collect()) == [0, 2, 4]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_odd_rows(spark, tmp_path, odd, empty):
+    """Nulls in every column, repeated rows, columns that clash, and empty tables: repeated rows with words are one document,
+    rows without words are kept as they are."""
+    full = odd.selectExpr("*", "'en' as lang", "cast(null as string) as source", "cast(null as long) as n_chars", "4 as copies_", "5 as leak_id_", "6 as kept_id_", "7 as toxicity_", "8 as id_", "9 as hash_")
+    docs = full.limit(0) if empty else full.unionByName(full.selectExpr("* except (doc_id, text)", "7L as doc_id", "'a longer text that is repeated word for word' as text"))
+    docs.repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([] if empty else [(None, None), (1, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = pieces.decode(corpus_pipeline.run(spark, str(tmp_path))).collect()
+    words = sorted((r.doc_id or -1, r.text) for r in got if (r.text or "").strip())
+    assert words == ([] if empty else [(-1, "some words that stand here"), (7, "a longer text that is repeated word for word")])
+    assert len(got) == (0 if empty else 2 + 5)
