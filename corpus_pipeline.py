@@ -2,6 +2,11 @@
 
 Each stage takes the documents that its predecessor kept, written and read again; all but the last return the columns
 of documents.
+
+Null and empty texts have no words: no stage rejects or merges them, and they are encoded as no pieces. Rows without a doc_id are
+documents like others. Of rows equal in doc_id and text one stays, if the text has words. Extra columns, whatever their names,
+go through to the last stage. Empty tables give an empty result; without labels of both kinds no document is rejected, without
+benchmark items none is contaminated. A text goes through every stage whole, however long it is.
 """
 
 from __future__ import annotations
