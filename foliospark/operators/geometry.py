@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import CJK, PUA_MAP
-from foliospark.operators.lines import BAND_WIDTH, BUCKET, CLUSTER_RANGE, COVERAGE, EXCLUSIVE, GAP_MIN, MICRO, PARA_RATIO, PARA_WINDOW, SAME_LINE, BLANK_GAP, STRICT_COVERAGE, STRICT_GAP, STRICT_WIDTH, TAB_GAP, WRAP
+from foliospark.operators.lines import BAND_WIDTH, BUCKET, CLUSTER_RANGE, COVERAGE, EXCLUSIVE, GAP_MIN, MICRO, PARA_RATIO, PARA_WINDOW, SAME_LINE, BLANK_GAP, is_packed, STRICT_COVERAGE, STRICT_GAP, STRICT_WIDTH, TAB_GAP, WRAP
 from foliospark.operators.regions import CJK_DESCENDER, CONTAINED, DESCENDER, MIN_GAP, sweep
 
 PASSES = 6
@@ -459,7 +459,7 @@ RESULT = "file_id string, page int, ord int, x1 double, y1 double, x2 double, y2
 def pack_pages(items: DataFrame, regions: DataFrame) -> DataFrame:
     """One row per page with regions: its items and boxes. A page without items keeps its boxes. Items and boxes are of
     one page only, so a row is as large as a page; this is the one large shuffle."""
-    packed = items.groupBy("file_id", "page").agg(F.collect_list(F.struct("item_idx", "str", "norm_x", "norm_y", "norm_w", "norm_h", "norm_baseline")).alias("items"))
+    packed = items if is_packed(items) else items.groupBy("file_id", "page").agg(F.collect_list(F.struct("item_idx", "str", "norm_x", "norm_y", "norm_w", "norm_h", "norm_baseline")).alias("items"))
     boxes = regions.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "x1", "y1", "x2", "y2"))).alias("boxes"))
     return boxes.join(packed, ["file_id", "page"], "left").select("file_id", "page", "items", "boxes")
 

@@ -13,63 +13,22 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.metadata import bound
 from foliospark.functions.text import sanitize_pua
-from foliospark.operators.lines import MICRO, PAGE, PARA_RATIO, PARA_WINDOW, SAME_LINE, anchor_starts, inline_separator, spacings
+from foliospark.operators.lines import PAGE, PARA_RATIO, PARA_WINDOW, adaptive_limit, inline_separator, line_starts, packed_rows, spacings
 
 #: A line is a fragment if it spans less than FRAGMENT of the reference line, which must be wider than LEAST_SPAN.
 FRAGMENT, LEAST_SPAN = 0.7, 50.0
 #: Fragments are put together over so many lines, so many thresholds apart, if they grow by this much.
 REACH, APART, GROWTH = 3, 2.5, 1.2
-_NONE = "cast(array() as array<int>)"
 
 
 def pack(items: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """keys, items: array of (b, i, x, r, y, s) in baseline order."""
-    row = F.struct(F.col("norm_baseline").alias("b"), F.col("item_idx").alias("i"), F.col("norm_x").alias("x"), (F.col("norm_x") + F.col("norm_w")).alias("r"), F.col("norm_y").alias("y"), F.col("str").alias("s"))
-    return items.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("items"))
-
-
-def threshold(items: Column) -> Column:
-    """How far baselines of one line may be apart: lines.adaptive_threshold for a packed row."""
-
-    def of(bs: Column) -> Column:
-        def judge(starts: Column) -> Column:
-            place = lambda s: F.array_position(bs, s)
-            count = lambda s, i: F.coalesce(place(F.get(starts, i + 1)), F.size(bs) + 1) - place(s)
-            stable = F.array_min(spacings(F.filter(starts, lambda s, i: count(s, i) >= 2)))
-            every = F.array_sort(spacings(starts))
-            middle = F.when(F.size(starts) >= 3, F.get(every, F.floor(F.size(every) / 2).cast("int")))
-            fits = lambda v: F.coalesce((v > MICRO) & (v < SAME_LINE), F.lit(False))
-            near = lambda v: F.greatest(F.lit(MICRO), v * 0.7)
-            return F.when(F.size(bs) < 4, SAME_LINE).otherwise(bound(stable, lambda s: F.when(fits(s), near(s)).otherwise(bound(middle, lambda m: F.when(fits(m), near(m)).otherwise(SAME_LINE)))))
-
-        return bound(anchor_starts(bs, MICRO), judge)
-
-    return bound(F.transform(items, lambda t: t["b"]), of)
-
-
-def line_starts(items: Column, limit: Column, any_overlap: bool = False) -> Column:
-    """Places, from 1, where lines begin: within limit of a line's first baseline an item joins and widens the line's core;
-    beyond, it joins without widening if it overlaps the core by 2 or more (any_overlap: at all), else it begins a line."""
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("first"), none.alias("top"), none.alias("bottom"), F.lit(1).alias("at"), F.expr(_NONE).alias("starts"))
-
-    def step(acc: Column, t: Column) -> Column:
-        near = F.coalesce(t["b"] - acc["first"] < limit, F.lit(False))
-        overlap = F.least(acc["bottom"], t["b"]) - F.greatest(acc["top"], t["y"])
-        touch = F.coalesce((overlap > 0) if any_overlap else (overlap >= 2.0), F.lit(False)) & acc["first"].isNotNull()
-        pick = lambda a, b, c: F.when(near, a).when(touch, b).otherwise(c)
-        return F.struct(
-            pick(acc["first"], acc["first"], t["b"]).alias("first"), pick(F.least(acc["top"], t["y"]), acc["top"], t["y"]).alias("top"),
-            pick(F.greatest(acc["bottom"], t["b"]), acc["bottom"], t["b"]).alias("bottom"), (acc["at"] + 1).alias("at"),
-            F.when(near | touch, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["at"]))).alias("starts"),
-        )
-
-    return F.aggregate(items, start, step, lambda acc: acc["starts"])
+    return packed_rows(items, keys, lambda t: F.struct(t["norm_baseline"].alias("b"), t["item_idx"].alias("i"), t["norm_x"].alias("x"), (t["norm_x"] + t["norm_w"]).alias("r"), t["norm_y"].alias("y"), t["str"].alias("s")))
 
 
 def lines_of(items: Column, limit: Column, any_overlap: bool = False) -> Column:
     """Array of lines: lo, hi (how far it spans), g (its items from left to right)."""
-    across = lambda g: F.array_sort(F.transform(g, lambda t: F.struct(t["x"].alias("x"), t["b"].alias("b"), t["i"].alias("i"), t["r"].alias("r"), t["s"].alias("s"))))
+    across = lambda g: F.sort_array(F.transform(g, lambda t: F.struct(t["x"].alias("x"), t["b"].alias("b"), t["i"].alias("i"), t["r"].alias("r"), t["s"].alias("s"))))
     line = lambda g: F.struct(g[0]["x"].alias("lo"), F.array_max(F.transform(g, lambda t: t["r"])).alias("hi"), g.alias("g"))
     cut = lambda starts: F.transform(starts, lambda s, k: bound(across(F.slice(items, s, F.coalesce(F.get(starts, k + 1), F.size(items) + 1) - s)), line))
     return bound(line_starts(items, limit, any_overlap), cut)
@@ -95,7 +54,7 @@ def merge_fragments(lines: Column, limit: Column) -> Column:
             lo, hi = F.least(a["lo"], c["lo"]), F.greatest(a["hi"], c["hi"])
             apart = F.abs(F.get(a["g"], 0)["b"] - F.get(c["g"], 0)["b"])
             fits = short(c) & (apart <= APART * limit) & (hi - lo >= GROWTH * F.greatest(width(a), width(c)))
-            both = F.struct(lo.alias("lo"), hi.alias("hi"), F.array_sort(F.concat(a["g"], c["g"])).alias("g"))
+            both = F.struct(lo.alias("lo"), hi.alias("hi"), F.sort_array(F.concat(a["g"], c["g"])).alias("g"))
             rest = F.concat(F.slice(rows, F.lit(1), i - 1), F.array(both), F.slice(rows, i + 1, j - i - 1), F.slice(rows, j + 1, F.size(rows)))
             return (
                 F.when(i > F.size(rows), acc).when(j > F.least(i + REACH, F.size(rows)), state(rows, i + 1, True))
@@ -105,7 +64,7 @@ def merge_fragments(lines: Column, limit: Column) -> Column:
         walked = F.aggregate(F.sequence(F.lit(1), 5 * n), state(lines, F.lit(1), True), step, lambda acc: acc["rows"])
         return F.when((reference > LEAST_SPAN) & (F.size(F.filter(lines, short)) >= 2), walked).otherwise(lines)
 
-    reference = F.get(F.array_sort(F.transform(lines, width)), F.floor(n * 0.75).cast("int"))
+    reference = F.get(F.sort_array(F.transform(lines, width)), F.floor(n * 0.75).cast("int"))
     return F.when(n >= 3, bound(reference, fold)).otherwise(lines)
 
 
@@ -116,12 +75,12 @@ def joined(lines: Column) -> Column:
 
     def marked(gaps: Column) -> Column:
         n = F.size(gaps)
-        median = F.when(n >= 2, F.get(F.array_sort(gaps), F.floor(n / 2).cast("int"))).otherwise(0.0)
+        median = F.when(n >= 2, F.get(F.sort_array(gaps), F.floor(n / 2).cast("int"))).otherwise(0.0)
         lower = lambda around: F.get(around, F.floor(F.size(around) * 0.3).cast("int"))
 
         def mark(k: Column) -> Column:
             first = F.greatest(k - PARA_WINDOW, F.lit(1))
-            local = lower(F.array_sort(F.slice(gaps, first, k + PARA_WINDOW + 1 - first)))
+            local = lower(F.sort_array(F.slice(gaps, first, k + PARA_WINDOW + 1 - first)))
             reference = F.when(n >= 5, local).otherwise(median)
             wide = (reference > 0) & (F.get(gaps, k - 1) > reference * PARA_RATIO)
             return F.when(k == 0, "").when(F.coalesce(wide, F.lit(False)), "\n\n").otherwise("\n")
@@ -133,7 +92,7 @@ def joined(lines: Column) -> Column:
 
 def whole_lines(items: Column, any_overlap: bool = False) -> Column:
     """Lines of packed items, fragments put together."""
-    return bound(threshold(items), lambda limit: bound(lines_of(items, limit, any_overlap), lambda lines: merge_fragments(lines, limit)))
+    return bound(adaptive_limit(items), lambda limit: bound(lines_of(items, limit, any_overlap), lambda lines: merge_fragments(lines, limit)))
 
 
 def column_text(items: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
@@ -152,7 +111,7 @@ def display_lines(items: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """keys, line (from 1), b_min, b_max, x_min, x_max (rounded), n_items, text (items without anything between), gap (of the
     left-most items), merged (items that are on the line by overlap alone): the listing of the diagnostics, which takes any
     overlap with a line's core for the same line."""
-    page = pack(items, keys).withColumn("limit", threshold(F.col("items"))).withColumn("lines", whole_lines(F.col("items"), True))
+    page = pack(items, keys).withColumn("limit", adaptive_limit(F.col("items"))).withColumn("lines", whole_lines(F.col("items"), True))
     flat = page.select(*keys, "limit", F.posexplode(F.transform("lines", lambda a, k: F.struct(a.alias("a"), F.get("lines", k - 1).alias("before")))).alias("k", "l")).select(*keys, "limit", "k", "l.*")
     half_up = lambda v: F.floor(v + 0.5).cast("double")
     of = lambda f: F.transform("a.g", f)
