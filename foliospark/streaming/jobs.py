@@ -35,12 +35,13 @@ def _first(late_ms: int):
         best, until = (held[:3], held[3]) if held else (None, 0)
         was = best
         for f in frames:
-            f = f.sort_values("arrival", kind="stable")
-            first = f.iloc[0]
-            found = (int(first["arrival"]), first["value"], first["source"])
-            best = found if best is None or found[0] < best[0] else best
-            if f["ts"].notna().any():
-                until = max(until, int(f["ts"].max().timestamp() * 1000) + late_ms)
+            arrival = f["arrival"].to_numpy()
+            k = arrival.argmin()  # the first of equals
+            if best is None or arrival[k] < best[0]:
+                best = (int(arrival[k]), f["value"].iat[k], f["source"].iat[k])
+            last = f["ts"].max()
+            if last is not pd.NaT:
+                until = max(until, int(last.timestamp() * 1000) + late_ms)
         state.update((*best, until))
         state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         if best != was:
