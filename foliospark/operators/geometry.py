@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import CJK, PUA_MAP
@@ -44,6 +45,18 @@ class Page:
         a = lambda k: np.array([r[k] for r in rows], float)
         return cls([r["str"] for r in rows], a("norm_x"), a("norm_y"), a("norm_x") + a("norm_w"), a("norm_baseline"), a("norm_h"))
 
+    @classmethod
+    def each(cls, items: pa.Array) -> Iterator[Page]:
+        """The pages of a list array of items, taken from flat columns; null is a page without items."""
+        flat = items.flatten()
+        text = flat.field("str").to_pylist()
+        at = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("item_idx", "norm_x", "norm_y", "norm_w", "norm_h", "norm_baseline")}
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(items), 0).to_numpy(zero_copy_only=False))
+        for a, z in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+            k = a + np.argsort(at["item_idx"][a:z], kind="stable")
+            v = {n: c[k].astype(float) for n, c in at.items()}
+            yield cls([text[j] for j in k], v["norm_x"], v["norm_y"], v["norm_x"] + v["norm_w"], v["norm_baseline"], v["norm_h"])
+
     def __post_init__(self) -> None:
         cjk = np.array([bool(_cjk.search(t)) for t in self.text], bool)
         self.cjk = cjk
@@ -62,8 +75,10 @@ class Page:
 
     def owned(self, boxes: np.ndarray) -> np.ndarray:
         """(boxes x items): whether each original box may have each item against all the others."""
-        above_gap, above_top, below_gap, below_top = self.neighbours()
         out = np.ones((len(boxes), len(self.x)), bool)
+        if len(boxes) < 2:
+            return out
+        above_gap, above_top, below_gap, below_top = self.neighbours()
         for i, a in enumerate(boxes):
             for j, b in enumerate(boxes):
                 if i == j or min(a[2], b[2]) <= max(a[0], b[0]):
@@ -116,9 +131,9 @@ def snap(page: Page, box: np.ndarray, owned: np.ndarray) -> np.ndarray:
             if not (page.y[k] < b[3] and page.ink[k] > b[1]):
                 continue
             overlap = min(page.right[k], b[2]) - max(page.x[k], b[0])
-            tall, same = page.h[k], on_line(page.base[k], inside)
+            tall = page.h[k]
             if overlap <= 0:
-                if 0 <= -overlap <= tall and same and owned[k]:
+                if 0 <= -overlap <= tall and owned[k] and on_line(page.base[k], inside):
                     widen(k)
                 continue
             share = overlap / width[k] if width[k] > 0 else 0.0
@@ -127,7 +142,7 @@ def snap(page: Page, box: np.ndarray, owned: np.ndarray) -> np.ndarray:
                     continue
                 widen(k)
             elif overlap <= tall:
-                if same and owned[k]:
+                if owned[k] and on_line(page.base[k], inside):
                     widen(k)
             else:
                 after, before_ = page.x[k] - strong_right, strong_left - page.right[k]
@@ -456,55 +471,82 @@ def region_text(page: Page, box: np.ndarray) -> tuple[str, int, int]:
 RESULT = "file_id string, page int, ord int, x1 double, y1 double, x2 double, y2 double, original_bbox array<double>, text string, n_hits int, n_columns int, phases array<array<double>>"
 
 
-def pack_pages(items: DataFrame, regions: DataFrame) -> DataFrame:
+#: Pages of an Arrow batch that are taken apart at a time.
+AT_ONCE = 256
+
+
+def pack_pages(items: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     """One row per page with regions: its items and boxes. A page without items keeps its boxes. Items and boxes are of
-    one page only, so a row is as large as a page; this is the one large shuffle."""
+    one page only, so a row is as large as a page; this is the one large shuffle. Without regions the rows of items are
+    pages that hold boxes already, and nothing is shuffled."""
+    if regions is None:
+        return items
     packed = items if is_packed(items) else items.groupBy("file_id", "page").agg(F.collect_list(F.struct("item_idx", "str", "norm_x", "norm_y", "norm_w", "norm_h", "norm_baseline")).alias("items"))
-    boxes = regions.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "x1", "y1", "x2", "y2"))).alias("boxes"))
+    told = [c for c in ("text",) if c in regions.columns]
+    boxes = regions.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "x1", "y1", "x2", "y2", *told))).alias("boxes"))
     return boxes.join(packed, ["file_id", "page"], "left").select("file_id", "page", "items", "boxes")
 
 
-def _extract(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in RESULT.split(", ")]
-    for pdf in pages:
-        rows = []
-        for r in pdf.itertuples(index=False):
-            page = Page.of(r.items if r.items is not None else [])
-            orders = np.array([b["ord"] for b in r.boxes])
-            first = np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] for b in r.boxes], float)
-            stay = contained(first)
-            orders, first = orders[stay], first[stay]
-            phases = correct(page, first)
-            for k, o in enumerate(orders):
-                text, hits, columns = region_text(page, phases[-1][k])
-                rows.append((r.file_id, r.page, int(o), *phases[-1][k].tolist(), first[k].tolist(), text, hits, columns, [p[k].tolist() for p in phases]))
-        yield pd.DataFrame(rows, columns=names)
-
-
-def extract_text_for_regions(items: DataFrame, regions: DataFrame) -> DataFrame:
+def _each_page(pages: DataFrame, of: Callable[[Page, list[dict], np.ndarray], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows that of makes of each page, its boxes in their order and their sides, behind file_id and page. Of texts of boxes
+    only those that are kept are sent."""
+    has = "text" in pages.schema["boxes"].dataType.elementType.names
+    kept = lambda b: [F.when(b["text"].startswith("⏳"), b["text"]).alias("kept")] if has else []
+    sent = pages.select("file_id", "page", "items", F.array_sort(F.transform("boxes", lambda b: F.struct(*[b[c].alias(c) for c in ("ord", "x1", "y1", "x2", "y2")], *kept(b)))).alias("boxes"))
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.field(n, _KINDS[c.split()[1]]) for n, c in zip(names, schema.split(", "), strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(k, AT_ONCE)
+                file_id, number, boxes = (part.column(c).to_pylist() for c in ("file_id", "page", "boxes"))
+                rows = []
+                for f, p, bs, page in zip(file_id, number, boxes, Page.each(part.column("items")), strict=True):
+                    sides = np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] for b in bs], float).reshape(-1, 4)
+                    rows += [(f, p, *r) for r in of(page, bs, sides)]
+                columns = zip(*rows, strict=True) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=pa.schema(kinds))
+
+    return sent.mapInArrow(run, schema)
+
+
+_KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<array<double>>": pa.list_(pa.list_(pa.float64()))}
+
+
+def _corrected(page: Page, boxes: list[dict], first: np.ndarray) -> Iterator[tuple]:
+    phases = correct(page, first)
+    for k, b in enumerate(boxes):
+        text, hits, columns = region_text(page, phases[-1][k])
+        yield (b["ord"], *phases[-1][k].tolist(), first[k].tolist(), text, hits, columns, [p[k].tolist() for p in phases])
+
+
+def _without_contained(page: Page, boxes: list[dict], first: np.ndarray) -> Iterator[tuple]:
+    stay = contained(first)
+    return _corrected(page, [boxes[k] for k in stay], first[stay])
+
+
+def _one_by_one(page: Page, boxes: list[dict], first: np.ndarray) -> Iterator[tuple]:
+    for k, b in enumerate(boxes):
+        for r in _corrected(page, [b], first[k : k + 1]):
+            yield r if b.get("kept") is None else (*r[:6], b["kept"], *r[7:])
+
+
+def extract_text_for_regions(items: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     """Contained boxes dropped, the others corrected, and the text of each in reading order."""
-    return pack_pages(items, regions).mapInPandas(_extract, RESULT)
-
-
-def reextract_region(items: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Each box by itself, no other box considered; text that tells of progress (⏳) is kept."""
-    lone = boxes.withColumn("real_page", F.col("page")).withColumn("page", F.row_number().over(Window.partitionBy("file_id").orderBy("page", "ord")))
-    own = lone.select("file_id", F.col("real_page").alias("p"), F.col("page").alias("q"))
-    copies = items.join(own, (items["file_id"] == own["file_id"]) & (items["page"] == own["p"])).select(items["file_id"], F.col("q").alias("page"), *[items[c] for c in items.columns if c not in ("file_id", "page")])
-    done = extract_text_for_regions(copies, lone).withColumnRenamed("text", "new_text")
-    back = lone.select("file_id", "page", "ord", "real_page", *(["text"] if "text" in boxes.columns else [F.lit("").alias("text")]))
-    out = done.join(back, ["file_id", "page", "ord"])
-    return out.select("file_id", F.col("real_page").alias("page"), "ord", "x1", "y1", "x2", "y2", "original_bbox", F.when(F.col("text").startswith("⏳"), F.col("text")).otherwise(F.col("new_text")).alias("text"))
-
-
-def resolve_shared_lines(items: DataFrame, regions: DataFrame) -> DataFrame:
-    def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pages:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                page = Page.of(r.items if r.items is not None else [])
-                out = shared_lines(page, np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] for b in r.boxes], float))
-                rows += [(r.file_id, r.page, b["ord"], *o.tolist()) for b, o in zip(r.boxes, out, strict=True)]
-            yield pd.DataFrame(rows, columns=["file_id", "page", "ord", "x1", "y1", "x2", "y2"])
-
-    return pack_pages(items, regions).mapInPandas(run, "file_id string, page int, ord int, x1 double, y1 double, x2 double, y2 double")
+    return _each_page(pack_pages(items, regions), _without_contained, RESULT)
+
+
+def reextract_region(items: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
+    """Each box by itself, no other box considered; text that tells of progress (⏳) is kept. A page's items are there once,
+    whatever the number of its boxes."""
+    out = _each_page(pack_pages(items, boxes), _one_by_one, RESULT)
+    return out.select("file_id", "page", "ord", "x1", "y1", "x2", "y2", "original_bbox", "text")
+
+
+def _shared(page: Page, boxes: list[dict], sides: np.ndarray) -> Iterator[tuple]:
+    return ((b["ord"], *v.tolist()) for b, v in zip(boxes, shared_lines(page, sides), strict=True))
+
+
+def resolve_shared_lines(items: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    return _each_page(pack_pages(items, regions), _shared, "file_id string, page int, ord int, x1 double, y1 double, x2 double, y2 double")
