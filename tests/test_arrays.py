@@ -68,3 +68,11 @@ def test_coverage_of_odd_pages(spark, tmp_path):
     sf = documents(spark, tmp_path)
     for name in ("x_coverage", "low_coverage_bands", "split_columns"):
         assert not waits(Q.queries()[name](spark, sf)), name
+
+
+def test_spans_of_odd_pages(spark, tmp_path):
+    items, rows = odd_items(spark, 2)
+    want = [("f", p, n, k + 1, a, z) for p, own in pages_of(rows).items() for n, line in enumerate(by_first(own)) for k, (a, z) in enumerate(unions(line))]
+    found = lines.merge_line_intervals(items)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
