@@ -76,3 +76,56 @@ def test_spans_of_odd_pages(spark, tmp_path):
     found = lines.merge_line_intervals(items)
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def threshold(rows):
+    """The adaptive threshold of one page."""
+    clusters = []
+    for b in sorted(t[8] for t in rows):
+        if not clusters or b - clusters[-1][0] >= 3:
+            clusters.append([b, 0])
+        clusters[-1][1] += 1
+    gaps = lambda cs: sorted(z[0] - a[0] for a, z in zip(cs, cs[1:]))
+    firm, every = gaps([c for c in clusters if c[1] >= 2]), gaps(clusters)
+    if len(rows) < 4:
+        return 15.0
+    if firm and 3 < firm[0] < 15:
+        return max(3.0, firm[0] * 0.7)
+    return max(3.0, every[len(every) // 2] * 0.7) if len(clusters) >= 3 and 3 < every[len(every) // 2] < 15 else 15.0
+
+
+def adaptive(rows):
+    """Lines of one page by the adaptive threshold, item by item."""
+    found, limit = [], threshold(rows)
+    for t in sorted(rows, key=lambda t: (t[8], t[2], t[4], t[4] + t[6], t[5], len(t[3]), t[3])):
+        if found and t[8] - found[-1][0][8] < limit:
+            top, bottom = min(top, t[5]), max(bottom, t[8])
+        elif not found or min(bottom, t[8]) - max(top, t[5]) < 2:
+            found, top, bottom = [*found, []], t[5], t[8]
+        found[-1].append(t)
+    return found
+
+
+def test_texts_of_odd_lines(spark, tmp_path):
+    items, rows = odd_items(spark, 3)
+    want = []
+    for p, own in pages_of(rows).items():
+        for n, line in enumerate(adaptive(own)):
+            said, before = "", None
+            for t in sorted(line, key=lambda t: (t[4], t[8], t[2], t[4] + t[6], t[3])):
+                gap = 0 if before is None else t[4] - before
+                said += ("\t" if gap > 30 else " " if gap > 3 else "\n" if gap < -50 else "") + t[3]
+                before = t[4] + t[6]
+            want.append(("f", p, n, said))
+    assert sorted(map(tuple, lines.line_texts(items).collect())) == sorted(want)
+    sf = documents(spark, tmp_path)
+    for name in ("line_texts", "line_gaps", "paragraph_breaks"):
+        assert not waits(Q.queries()[name](spark, sf)), name
+
+
+def test_odd_items_are_assigned_to_lines(spark):
+    items, rows = odd_items(spark, 4)
+    want = [("f", p, threshold(own), n, t[8], t[2], t[4], t[4] + t[6], t[5], len(t[3])) for p, own in pages_of(rows).items() for n, line in enumerate(adaptive(own)) for t in line]
+    found = lines.assign_lines(items)
+    assert sorted(map(tuple, found.collect())) == sorted(want) and {w[2] for w in want} > {15.0}
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
