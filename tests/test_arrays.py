@@ -3,7 +3,7 @@
 import math
 import random
 
-from foliospark.operators import lines
+from foliospark.operators import lines, packed
 from foliospark.plans import queries as Q
 
 ITEM = "file_id string, page int, item_idx int, str string, norm_x double, norm_y double, norm_w double, norm_h double, norm_baseline double"
@@ -129,3 +129,24 @@ def test_odd_items_are_assigned_to_lines(spark):
     found = lines.assign_lines(items)
     assert sorted(map(tuple, found.collect())) == sorted(want) and {w[2] for w in want} > {15.0}
     assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fragments_of_pages_side_by_side(spark):
+    full = lambda at, n: [(x, 100.0, at) for x in (0.0, 100.0, 200.0, 300.0)[:n]]
+    pages = {
+        1: [*full(20.0, 4), *full(60.0, 2), (300.0, 50.0, 78.0), *full(120.0, 4)],  # two fragments of one line
+        2: [*full(20.0, 4), *full(60.0, 2), *full(120.0, 4)],  # one alone
+        3: [*full(20.0, 4), (0.0, 50.0, 60.0), (150.0, 50.0, 78.0), (300.0, 50.0, 96.0), *full(140.0, 4)],  # three fragments, 18 apart
+        4: [(0.0, 20.0, 20.0), (30.0, 20.0, 38.0), (0.0, 20.0, 90.0)],  # too narrow
+    }
+    items = spark.createDataFrame([("f", p, k, f"w{k}", x, b - 10, w, 10.0, b) for p, own in pages.items() for k, (x, w, b) in enumerate(own)], ITEM)
+    found = packed.merge_line_fragments(items)
+    got = {p: [(r.lo, r.hi, r.item_idxs) for r in sorted(found.collect(), key=lambda r: r.line) if r.page == p] for p in pages}
+    assert got[1] == [(0.0, 400.0, [0, 1, 2, 3]), (0.0, 350.0, [4, 5, 6]), (0.0, 400.0, [7, 8, 9, 10])]
+    assert got[2] == [(0.0, 400.0, [0, 1, 2, 3]), (0.0, 200.0, [4, 5]), (0.0, 400.0, [6, 7, 8, 9])]
+    assert [g[2] for g in got[3]] == [[0, 1, 2, 3], [4, 5, 6], [7, 8, 9, 10]]
+    assert [g[2] for g in got[4]] == [[0], [1], [2]]
+    for p in pages:
+        alone = packed.merge_line_fragments(items.filter(items.page == p)).collect()
+        assert [(r.lo, r.hi, r.item_idxs) for r in sorted(alone, key=lambda r: r.line)] == got[p]
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
