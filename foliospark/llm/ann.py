@@ -4,13 +4,14 @@ Vectors are dealt to shards of about SHARD by a hash. Within a shard inner produ
 coordinate, sqrt(M - |x|^2) with M the largest squared norm, which a query has as 0. The graph is built in batches:
 each new point searches the graph so far greedily; of the points it came by, the nearest is kept and those are pruned
 that are RELAX times nearer to the kept one than to the point, and so on, which leaves diverse edges. Edges go both
-ways and are pruned again where a point has too many. A query runs a beam search in every shard, and what the
-shards find is ranked by the exact inner product in double precision.
+ways and are pruned again where a point has a third too many, and all at the end. A query runs a beam search in every
+shard, and what the shards find is ranked by the exact inner product in double precision.
 
 Equal vectors are indexed once with their k + 1 smallest ids: no answer can need more, as ties go to smaller
 ids. Queries are dealt in blocks of QUERY_BLOCK, so a task holds one shard and one block, and a shard's graph goes to one
-task for each block. Every query searches every shard, so shards grow with the square root of the corpus, as far as a
-task holds (SHARD to MAX_SHARD): with 100 million vectors there are 1,526 shards and 153 blocks of queries.
+task for each block. Every query searches every shard, so it is the shards that grow with the corpus, as far as a
+task holds (SHARD to MAX_SHARD), and not their number: FAN at most, up to FAN * MAX_SHARD (786,432) vectors. Beyond,
+searches are queries times shards again: with 100 million vectors there are 1,526 shards and 153 blocks of queries.
 
 Vectors that are null, zero, or hold a null or non-finite component, and rows without an id, take no part. Repeated
 rows count once; of different vectors with one id each is a candidate, and the smallest is the query. Vectors of
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -28,113 +30,157 @@ from pyspark.sql import Window
 from foliospark.llm.common import scratch
 
 SHARD, MAX_SHARD = 4096, 65_536
-#: Vectors of a shard for each unit of the corpus' square root.
-SHARD_GROWTH = 16
+#: So many shards at most, while none is larger than MAX_SHARD.
+FAN = 12
+#: Beyond so many rows in a shard its beam grows.
+WIDE_SHARD = 16_384
 DEGREE = 32
 BUILD_BEAM = 64
 BEAM = 96
 RELAX = 1.2
 QUERY_BLOCK = 32_768
 #: Queries of a block that step through a graph together.
-TOGETHER = 1024
+TOGETHER = 256
 BATCH = 512
 #: Of the beam, so many points are expanded at a time.
 WIDTH = 4
+#: A point may have 1 / SLACK more edges than DEGREE while a graph is built.
+SLACK = 3
+#: So many distances between candidates are held while points are pruned.
+PAIRS = 1 << 20
 
 
-def beam_search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, start: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def marks(n: int, together: int) -> np.ndarray:
+    """By query and point: -1, or the place in its step at which the point was met. A search leaves them as it found them."""
+    return np.full(n * together, -1, np.int32)
+
+
+def beam_search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, start: int, beam: int, met: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids (-1: none) and squared distances of each query's beam, nearest first. All queries step together."""
     nq, n = len(queries), len(x)
     ids = np.full((nq, beam), -1, np.int64)
     far = np.full((nq, beam), np.inf, np.float32)
     done = np.ones((nq, beam), bool)
-    seen = np.zeros((nq, n), bool)
-    ids[:, 0], done[:, 0], seen[:, start] = start, False, True
+    met = marks(n, nq) if met is None else met
+    # written over in each step: fresh memory costs more than the differences
+    rooms = np.empty((2, nq * WIDTH * edges.shape[1], x.shape[1]), np.float32)
+    touched = [np.arange(nq) * n + start]
+    ids[:, 0], done[:, 0], met[touched[0]] = start, False, 0
     far[:, 0] = ((queries - x[start]) ** 2).sum(1)
     while True:
         live = np.flatnonzero(~done.all(1))
         if not len(live):
+            for key in touched:
+                met[key] = -1
             return ids, far
         # the nearest WIDTH of the beam that are not expanded
         order = np.argsort(done[live], axis=1, kind="stable")[:, :WIDTH]
         rows = live[:, None]
-        fresh = ~done[rows, order]
+        r, c = np.nonzero(~done[rows, order])
         done[rows, order] = True
-        near = edges[np.where(fresh, ids[rows, order], 0)]
-        near = np.where(fresh[:, :, None], near, -1).reshape(len(live), -1)
-        near = np.where((near >= 0) & ~seen[rows, np.maximum(near, 0)], near, -1)
+        near = edges[ids[live[r], order[r, c]]]
+        r = np.repeat(r, near.shape[1])
+        near = near.reshape(-1)
+        key = live[r] * n + near
+        some = np.flatnonzero((near >= 0) & (met[key] < 0))
+        r, near, key = r[some], near[some], key[some]
         # each point once, although several may lead to it
-        near = np.sort(near, axis=1)
-        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        r, c = np.nonzero(near >= 0)
-        seen[live[r], near[r, c]] = True
-        d = np.full(near.shape, np.inf, np.float32)
-        gap = x[near[r, c]] - queries[live[r]]
-        d[r, c] = np.einsum("ij,ij->i", gap, gap)
-        all_ids = np.concatenate([ids[live], near], axis=1)
-        all_far = np.concatenate([far[live], d], axis=1)
-        all_done = np.concatenate([done[live], near < 0], axis=1)
-        best = np.argsort(all_far, axis=1, kind="stable")[:, :beam]
-        k = np.arange(len(live))[:, None]
-        ids[live], far[live], done[live] = all_ids[k, best], all_far[k, best], all_done[k, best]
+        met[key] = place = np.arange(len(key), dtype=np.int32)
+        touched.append(key)
+        some = np.flatnonzero(met[key] == place)
+        r, near = r[some], near[some]
+        counts = np.bincount(r, minlength=len(live))
+        gap, asked = (room[: len(near)] for room in rooms)
+        np.take(x, near, axis=0, out=gap, mode="clip")
+        np.take(queries, live[r], axis=0, out=asked, mode="clip")
+        gap -= asked
+        # the new ones of each query side by side, behind its beam
+        wide = beam + int(counts.max())
+        at = r * wide + beam + np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts)
+        all_ids, all_far, all_done = np.full((len(live), wide), -1, np.int64), np.full((len(live), wide), np.inf, np.float32), np.ones((len(live), wide), bool)
+        all_ids[:, :beam], all_far[:, :beam], all_done[:, :beam] = ids[live], far[live], done[live]
+        all_ids.reshape(-1)[at], all_far.reshape(-1)[at], all_done.reshape(-1)[at] = near, np.einsum("ij,ij->i", gap, gap), False
+        best = np.argsort(all_far, axis=1, kind="stable")[:, :beam] + np.arange(len(live))[:, None] * wide
+        ids[live], far[live], done[live] = np.take(all_ids, best), np.take(all_far, best), np.take(all_done, best)
 
 
 def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree: int, relax: float) -> np.ndarray:
     """Neighbours (-1: none) of each point, of its candidates (-1: none)."""
+    out = np.full((len(points), degree), -1, np.int64)
+    step = max(1, PAIRS // max(1, candidates.shape[1]) ** 2)
+    for a in range(0, len(points), step):
+        out[a : a + step] = _prune(x, points[a : a + step], candidates[a : a + step], degree, relax)
+    return out
+
+
+def _prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree: int, relax: float) -> np.ndarray:
     rows = np.arange(len(points))
     candidates = np.where(candidates == points[:, None], -1, candidates)
-    vectors = x[np.maximum(candidates, 0)]
-    gap = vectors - x[points][:, None, :]
-    d = np.einsum("ijk,ijk->ij", gap, gap)
+    gap = np.take(x, np.maximum(candidates, 0), axis=0)
+    gap -= x[points][:, None, :]
+    # with places about the point: relax^2 |u - v|^2 > |v|^2, written by the products of u and v
+    products = gap @ gap.transpose(0, 2, 1)
+    d = np.einsum("ijj->ij", products).copy()
+    keeps = products < (d / 2)[:, :, None] + (d * np.float32((1 - relax**-2) / 2))[:, None, :]
     d[candidates < 0] = np.inf
-    live = np.isfinite(d)
     out = np.full((len(points), degree), -1, np.int64)
     for k in range(degree):
-        if not live.any():
+        pick = d.argmin(1)
+        some = np.isfinite(d[rows, pick])
+        if not some.any():
             break
-        pick = np.where(live, d, np.inf).argmin(1)
-        some = live[rows, pick]
-        out[some, k] = candidates[rows[some], pick[some]]
-        gap = vectors - vectors[rows, pick][:, None, :]
-        covered = relax * relax * np.einsum("ijk,ijk->ij", gap, gap) <= d
-        live &= ~(covered & some[:, None])
-        live[rows, pick] = False
+        out[some, k] = candidates[some, pick[some]]
+        d[~keeps[rows, pick]] = np.inf
+        d[rows, pick] = np.inf
     return out
 
 
 def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relax: float = RELAX) -> tuple[np.ndarray, int]:
     """Edges (n x degree, -1: none) and the start, the point nearest to the mean."""
     n = len(x)
-    edges = np.full((n, degree), -1, np.int64)
+    # while the graph grows a point may have some edges more, and is pruned when they are full
+    edges = np.full((n, degree + degree // SLACK), -1, np.int64)
+    held = np.zeros(n, np.int64)
     start = int(((x - x.mean(0)) ** 2).sum(1).argmin())
     order = np.random.default_rng(n).permutation(n)
     order = np.concatenate([[start], order[order != start]])
+    met = marks(n, min(BATCH, n))
     at = 1
     while at < n:
         new = order[at : at + max(1, min(BATCH, at))]
-        ids, _ = beam_search(x, edges, x[new], start, beam)
+        ids, _ = beam_search(x, edges, x[new], start, beam, met)
         # those of one batch do not find each other by search, so a few of them are put to each as well
         peers = new[np.random.default_rng(at).integers(0, len(new), (len(new), 16))]
-        edges[new] = robust_prune(x, new, np.concatenate([ids, peers], axis=1), degree, relax)
-        source, slot = np.nonzero(edges[new] >= 0)
-        target, source = edges[new][source, slot], new[source]
+        chosen = robust_prune(x, new, np.concatenate([ids, peers], axis=1), degree, relax)
+        edges[new, :degree], held[new] = chosen, (chosen >= 0).sum(1)
+        source, slot = np.nonzero(chosen >= 0)
+        target, source = chosen[source, slot], new[source]
+        back = (edges[target] == source[:, None]).any(1)
+        target, source = target[~back], source[~back]
         by = np.argsort(target, kind="stable")
         target, source = target[by], source[by]
         hubs, first, counts = np.unique(target, return_index=True, return_counts=True)
-        for wide in np.unique(np.ceil(np.log2(counts))):  # targets with about as many new edges together
-            some = np.flatnonzero(np.ceil(np.log2(counts)) == wide)
-            pad = np.full((len(some), int(counts[some].max())), -1, np.int64)
-            for i, h in enumerate(some):
-                pad[i, : counts[h]] = source[first[h] : first[h] + counts[h]]
-            pad[(pad[:, :, None] == edges[hubs[some]][:, None, :]).any(2)] = -1
-            both = np.concatenate([edges[hubs[some]], pad], axis=1)
-            full = (both >= 0).sum(1) > degree
-            packed = np.take_along_axis(both, np.argsort(both < 0, axis=1, kind="stable"), axis=1)[:, :degree]
-            if full.any():
-                packed[full] = robust_prune(x, hubs[some][full], both[full], degree, relax)
-            edges[hubs[some]] = packed
+        place = held[target] + np.arange(len(target)) - np.repeat(first, counts)
+        held[hubs] += counts
+        room = held[hubs] <= edges.shape[1]
+        fits = np.repeat(room, counts)
+        edges[target[fits], place[fits]] = source[fits]
+        # points without room are pruned, those with about as many edges together
+        wide = np.ceil(np.log2(np.maximum(held[hubs] - degree, 1)))
+        for w in np.unique(wide[~room]):
+            some = ~room & (wide == w)
+            full = hubs[some]
+            both = np.full((len(full), int(held[full].max())), -1, np.int64)
+            both[:, : edges.shape[1]] = edges[full]
+            more = np.repeat(some, counts)
+            both[np.repeat(np.arange(len(full)), counts[some]), place[more]] = source[more]
+            edges[full] = -1
+            edges[full, :degree] = chosen = robust_prune(x, full, both, degree, relax)
+            held[full] = (chosen >= 0).sum(1)
         at += len(new)
-    return edges, start
+    over = np.flatnonzero(held > degree)
+    edges[over, :degree] = robust_prune(x, over, edges[over], degree, relax)
+    return edges[:, :degree].copy(), start
 
 
 def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -158,28 +204,44 @@ def _build_shard(t: pa.Table) -> pa.Table:
     )
 
 
+def beam_for(beam: int, rows: int) -> int:
+    """The beam in a shard of so many rows: it grows with the square root beyond WIDE_SHARD, to keep the recall."""
+    return round(beam * max(1.0, rows / WIDE_SHARD) ** 0.5)
+
+
 def _search_shard(k: int, beam: int):
     def search(index: pa.Table, queries: pa.Table) -> pa.Table:
         found: tuple[list, list, list] = ([], [], [])
         if index.num_rows and queries.num_rows:
             index = index.sort_by("node")
-            v, q = _matrix(index.column("embedding")), _matrix(queries.column("embedding"))
+            v, q, own = _matrix(index.column("embedding")), _matrix(queries.column("embedding")), queries.column("vec_id").to_numpy()
             norm = (v * v).sum(1)
             x = np.concatenate([v, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]], axis=1).astype(np.float32)
             # the nearest by distance are those of largest inner product whatever the query's length; scaling helps float32
             scale = np.sqrt(norm.max()) / np.maximum(np.sqrt((q * q).sum(1)), 1e-300)
             asked = np.concatenate([q * scale[:, None], np.zeros((len(q), 1))], axis=1).astype(np.float32)
             edges, start = _matrix(index.column("edges"), np.int64), index.column("start")[0].as_py()
-            ids = np.concatenate([beam_search(x, edges, asked[a : a + TOGETHER], start, max(beam, k + 1))[0] for a in range(0, len(asked), TOGETHER)])
-            names = index.column("ids").to_pylist()
-            for i, own in enumerate(queries.column("vec_id").to_pylist()):
-                some = ids[i][ids[i] >= 0]
-                exact = v[some] @ q[i]
-                ranked = sorted((-s, name) for s, node in zip(exact.tolist(), some.tolist(), strict=True) for name in names[node] if name != own)[:k]
-                found[0].extend([own] * len(ranked))
-                found[1].extend(name for _, name in ranked)
-                found[2].extend(-s for s, _ in ranked)
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+            names = index.column("ids").combine_chunks()
+            held, names = pc.list_value_length(names).to_numpy(), names.flatten().to_numpy()
+            first = np.cumsum(held) - held
+            met = marks(len(x), min(TOGETHER, len(q)))
+            for a in range(0, len(q), TOGETHER):
+                nodes, _ = beam_search(x, edges, asked[a : a + TOGETHER], start, max(beam_for(beam, len(x)), k + 1), met)
+                asking, slot = np.nonzero(nodes >= 0)
+                node = nodes[asking, slot]
+                score = np.einsum("ij,ij->i", v[node], q[a + asking])
+                # all ids of a vector, but the query's own
+                many = held[node]
+                name = names[np.repeat(first[node] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                asking, score = np.repeat(a + asking, many), np.repeat(score, many)
+                some = np.flatnonzero(name != own[asking])
+                some = some[np.lexsort((name[some], -score[some], asking[some]))]
+                counts = np.bincount(asking[some] - a)
+                some = some[np.arange(len(some)) - np.repeat(np.cumsum(counts) - counts, counts) < k]
+                for out, column in zip(found, (own[asking], name, score), strict=True):
+                    out.append(column[some])
+        columns = [np.concatenate(c) if c else [] for c in found]
+        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
     return search
 
@@ -192,6 +254,10 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.size("embedding").alias("dim")).distinct()
 
 
+def shard_count(n: int, shard_rows: int | None = None) -> int:
+    return max(1, round(n / (shard_rows or min(MAX_SHARD, max(SHARD, n / FAN)))))
+
+
 def build_index(vectors: DataFrame, k: int, shard_rows: int | None = None) -> DataFrame:
     """shard, dim, node, ids, embedding, edges, start: every vector that takes part, written to the shared folder."""
     rows = usable(vectors)
@@ -199,7 +265,7 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int | None = None) -> Da
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("dim", "embedding").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
     once = scratch(ranked.groupBy("dim", "embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
     n = once.count()
-    shards = max(1, round(n / (shard_rows or min(MAX_SHARD, max(SHARD, SHARD_GROWTH * n**0.5)))))
+    shards = shard_count(n, shard_rows)
     dealt = once.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int"))
     kind = dict(once.dtypes)["embedding"]
     schema = f"shard int, dim int, node int, ids array<long>, embedding {kind}, edges array<int>, start int"

@@ -122,3 +122,34 @@ def test_prune_keeps_diverse_edges():
     x = np.array([[0, 0], [1, 0], [1.1, 0], [0, 2]], np.float32)
     out = ann.robust_prune(x, np.array([0]), np.array([[1, 2, 3]]), 3, 1.2)
     assert out[0].tolist() == [1, 3, -1]
+
+
+def test_shards_grow_and_not_their_number():
+    sizes = [50_000, 100_000, 400_000, 786_432]
+    assert [ann.shard_count(n) for n in sizes] == [12] * 4  # every query searches every shard: searches grow as the queries
+    assert ann.shard_count(10_000) == 2 and ann.shard_count(10) == 1 and ann.shard_count(10_000_000) == 153  # within MAX_SHARD
+    assert ann.beam_for(96, 4096) == 96 and ann.beam_for(96, 65_536) == 192
+
+
+def test_building_prunes_a_few_points_for_each(monkeypatch):
+    x = np.random.default_rng(3).normal(size=(6000, 24)).astype(np.float32)
+    pruned = []
+    prune = ann.robust_prune
+    monkeypatch.setattr(ann, "robust_prune", lambda x, points, *more: pruned.append(len(points)) or prune(x, points, *more))
+    edges, start = ann.build(x)
+    assert sum(pruned) < 4 * len(x)
+    held = edges >= 0
+    assert edges.shape == (6000, ann.DEGREE) and held.any(1).all() and (edges != np.arange(6000)[:, None]).all()
+    assert all(len(set(e[h].tolist())) == h.sum() for e, h in zip(edges, held, strict=True))  # each neighbour once
+    asked = x[:200] + np.float32(0.1)
+    found = ann.beam_search(x, edges, asked, start, ann.BEAM)[0]
+    nearest = ((asked[:, None, :] - x[None, :, :]) ** 2).sum(2).argsort(1)[:, :10]
+    assert np.mean([len(set(a) & set(b.tolist())) / 10 for a, b in zip(nearest.tolist(), found, strict=True)]) >= 0.95
+
+
+def test_marks_are_left_as_found():
+    x = np.random.default_rng(4).normal(size=(300, 8)).astype(np.float32)
+    edges, start = ann.build(x)
+    met = ann.marks(300, 50)
+    first = ann.beam_search(x, edges, x[:50], start, 32, met)[0]
+    assert (met == -1).all() and (ann.beam_search(x, edges, x[:50], start, 32, met)[0] == first).all()
