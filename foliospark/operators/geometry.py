@@ -487,14 +487,20 @@ def pack_pages(items: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     return boxes.join(packed, ["file_id", "page"], "left").select("file_id", "page", "items", "boxes")
 
 
-def _each_page(pages: DataFrame, of: Callable[[Page, list[dict], np.ndarray], Iterator[tuple]], schema: str) -> DataFrame:
-    """Rows that of makes of each page, its boxes in their order and their sides, behind file_id and page. Of texts of boxes
-    only those that are kept are sent."""
+def _sent(pages: DataFrame) -> DataFrame:
+    """Pages with their boxes in order; of texts of boxes only those that are kept are sent."""
     has = "text" in pages.schema["boxes"].dataType.elementType.names
     kept = lambda b: [F.when(b["text"].startswith("⏳"), b["text"]).alias("kept")] if has else []
-    sent = pages.select("file_id", "page", "items", F.array_sort(F.transform("boxes", lambda b: F.struct(*[b[c].alias(c) for c in ("ord", "x1", "y1", "x2", "y2")], *kept(b)))).alias("boxes"))
-    names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [pa.field(n, _KINDS[c.split()[1]]) for n, c in zip(names, schema.split(", "), strict=True)]
+    return pages.select("file_id", "page", "items", F.array_sort(F.transform("boxes", lambda b: F.struct(*[b[c].alias(c) for c in ("ord", "x1", "y1", "x2", "y2")], *kept(b)))).alias("boxes"))
+
+
+def _fields(schema: str) -> pa.Schema:
+    return pa.schema([pa.field(c.split()[0], _KINDS[c.split()[1]]) for c in schema.split(", ")])
+
+
+def _each_page(pages: DataFrame, of: Callable[[Page, list[dict], np.ndarray], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows that of makes of each page, its boxes in their order and their sides, behind file_id and page."""
+    kinds = _fields(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -505,10 +511,10 @@ def _each_page(pages: DataFrame, of: Callable[[Page, list[dict], np.ndarray], It
                 for f, p, bs, page in zip(file_id, number, boxes, Page.each(part.column("items")), strict=True):
                     sides = np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] for b in bs], float).reshape(-1, 4)
                     rows += [(f, p, *r) for r in of(page, bs, sides)]
-                columns = zip(*rows, strict=True) if rows else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=pa.schema(kinds))
+                columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
-    return sent.mapInArrow(run, schema)
+    return _sent(pages).mapInArrow(run, schema)
 
 
 _KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<array<double>>": pa.list_(pa.list_(pa.float64()))}
@@ -521,20 +527,23 @@ def _corrected(page: Page, boxes: list[dict], first: np.ndarray) -> Iterator[tup
         yield (b["ord"], *phases[-1][k].tolist(), first[k].tolist(), text, hits, columns, [p[k].tolist() for p in phases])
 
 
-def _without_contained(page: Page, boxes: list[dict], first: np.ndarray) -> Iterator[tuple]:
-    stay = contained(first)
-    return _corrected(page, [boxes[k] for k in stay], first[stay])
-
-
 def _one_by_one(page: Page, boxes: list[dict], first: np.ndarray) -> Iterator[tuple]:
     for k, b in enumerate(boxes):
         for r in _corrected(page, [b], first[k : k + 1]):
             yield r if b.get("kept") is None else (*r[:6], b["kept"], *r[7:])
 
 
+def _extract(pages: DataFrame, alone: bool) -> DataFrame:
+    """RESULT of pages, those of an Arrow batch side by side (abreast.py)."""
+    from foliospark.operators.abreast import extracted
+
+    sent, kinds = _sent(pages), _fields(RESULT)
+    return sent.mapInArrow(lambda batches: (out for batch in batches for out in extracted(batch, kinds, alone)), RESULT)
+
+
 def extract_text_for_regions(items: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     """Contained boxes dropped, the others corrected, and the text of each in reading order."""
-    return _each_page(pack_pages(items, regions), _without_contained, RESULT)
+    return _extract(pack_pages(items, regions), False)
 
 
 def reextract_region(items: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
