@@ -520,19 +520,6 @@ def _each_page(pages: DataFrame, of: Callable[[Page, list[dict], np.ndarray], It
 _KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<array<double>>": pa.list_(pa.list_(pa.float64()))}
 
 
-def _corrected(page: Page, boxes: list[dict], first: np.ndarray) -> Iterator[tuple]:
-    phases = correct(page, first)
-    for k, b in enumerate(boxes):
-        text, hits, columns = region_text(page, phases[-1][k])
-        yield (b["ord"], *phases[-1][k].tolist(), first[k].tolist(), text, hits, columns, [p[k].tolist() for p in phases])
-
-
-def _one_by_one(page: Page, boxes: list[dict], first: np.ndarray) -> Iterator[tuple]:
-    for k, b in enumerate(boxes):
-        for r in _corrected(page, [b], first[k : k + 1]):
-            yield r if b.get("kept") is None else (*r[:6], b["kept"], *r[7:])
-
-
 def _extract(pages: DataFrame, alone: bool) -> DataFrame:
     """RESULT of pages, those of an Arrow batch side by side (abreast.py)."""
     from foliospark.operators.abreast import extracted
@@ -549,7 +536,7 @@ def extract_text_for_regions(items: DataFrame, regions: DataFrame | None = None)
 def reextract_region(items: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     """Each box by itself, no other box considered; text that tells of progress (⏳) is kept. A page's items are there once,
     whatever the number of its boxes."""
-    out = _each_page(pack_pages(items, boxes), _one_by_one, RESULT)
+    out = _extract(pack_pages(items, boxes), True)
     return out.select("file_id", "page", "ord", "x1", "y1", "x2", "y2", "original_bbox", "text")
 
 
