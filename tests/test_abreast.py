@@ -11,6 +11,8 @@ import pyarrow as pa
 from foliospark.operators import abreast
 from foliospark.operators import geometry as G
 from foliospark.operators import regions
+from foliospark.plans import queries as Q
+from tests.test_scale import documents
 
 SIDES = ("x1", "y1", "x2", "y2")
 ITEM = pa.list_(pa.struct([("item_idx", pa.int32()), ("str", pa.string())] + [(f"norm_{c}", pa.float64()) for c in ("x", "y", "w", "h", "baseline")]))
@@ -117,3 +119,13 @@ def test_a_line_covers_a_bucket_once():
     t = abreast.pages_of(batch([([(0, "a", 0.0, 0.0, 10.5, 9.0, 9.0), (1, "b", 10.9, 0.0, 90.0, 9.0, 9.0), (2, "c", 0.0, 30.0, 9.0, 9.0, 39.0)], [])]).column("items"))
     held = abreast.hits(t, np.array([0]), np.array([[0.0, 0.0, 1000.0, 1000.0]]))
     assert len(abreast.low_bands(abreast._across(held)).box) == len(G.low_bands(next(G.Page.each(batch([([(0, "a", 0.0, 0.0, 10.5, 9.0, 9.0), (1, "b", 10.9, 0.0, 90.0, 9.0, 9.0), (2, "c", 0.0, 30.0, 9.0, 9.0, 39.0)], [])]).column("items"))), np.arange(3), [[0, 1], [2]]))
+
+
+def test_deltas_follow_the_phases(spark, tmp_path):
+    sf = documents(spark, tmp_path)
+    done = {(r.file_id, r.page, r.ord): r for r in Q.queries()["extract_text_for_regions"](spark, sf).collect()}
+    rows = Q.queries()["bbox_deltas"](spark, sf).collect()
+    assert len(rows) == len(done) and rows
+    for r in rows:
+        d = done[r.file_id, r.page, r.ord]
+        assert d.phases[3] == [d.x1, d.y1, d.x2, d.y2]
