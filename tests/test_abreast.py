@@ -12,7 +12,7 @@ from foliospark.operators import abreast
 from foliospark.operators import geometry as G
 from foliospark.operators import regions
 from foliospark.plans import queries as Q
-from tests.test_scale import documents
+from tests.test_scale import documents, plan
 
 SIDES = ("x1", "y1", "x2", "y2")
 ITEM = pa.list_(pa.struct([("item_idx", pa.int32()), ("str", pa.string())] + [(f"norm_{c}", pa.float64()) for c in ("x", "y", "w", "h", "baseline")]))
@@ -129,3 +129,10 @@ def test_deltas_follow_the_phases(spark, tmp_path):
     for r in rows:
         d = done[r.file_id, r.page, r.ord]
         assert d.phases[3] == [d.x1, d.y1, d.x2, d.y2]
+
+
+def test_names_of_debug_pages_need_no_pages(spark, tmp_path):
+    sf = documents(spark, tmp_path)
+    rows = Q.queries()["page_debug"](spark, sf)
+    assert plan(rows).count("MapInArrow") == 2  # texts become pages, and pages regions, once
+    assert sorted({r.file_base for r in rows.collect()}) == [f"doc_{k}" for k in (1, 2, 3, 5, 7)]
