@@ -7,10 +7,12 @@ import time
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from foliospark.operators import abreast
 from foliospark.operators import geometry as G
 from foliospark.operators import regions
+from foliospark.plans import adapters as A
 from foliospark.plans import queries as Q
 from tests.test_scale import documents, plan
 
@@ -136,3 +138,14 @@ def test_names_of_debug_pages_need_no_pages(spark, tmp_path):
     rows = Q.queries()["page_debug"](spark, sf)
     assert plan(rows).count("MapInArrow") == 2  # texts become pages, and pages regions, once
     assert sorted({r.file_base for r in rows.collect()}) == [f"doc_{k}" for k in (1, 2, 3, 5, 7)]
+
+
+def test_neighbours_leave_no_rows_beside_python(spark, tmp_path):
+    sf = documents(spark, tmp_path)
+    for name in ("nearest_lines",):
+        seen = plan(Q.queries()[name](spark, sf))
+        assert "EvalPython" not in seen and seen.count("MapInArrow") == 2, name
+    pages = A.text_pages(spark, sf)
+    whole, bare = (regions.nearest_lines(pages, own).select("file_id", "page", "above", "below") for own in (None, ()))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, bare.collect()))
+    assert regions.nearest_lines(pages).filter(F.col("str") == "w1").columns == ["file_id", "page", *A.ITEM, "above", "below"]
