@@ -140,9 +140,9 @@ def test_names_of_debug_pages_need_no_pages(spark, tmp_path):
     assert sorted({r.file_base for r in rows.collect()}) == [f"doc_{k}" for k in (1, 2, 3, 5, 7)]
 
 
-def test_neighbours_leave_no_rows_beside_python(spark, tmp_path):
+def test_neighbours_and_owners_leave_no_rows_beside_python(spark, tmp_path):
     sf = documents(spark, tmp_path)
-    for name in ("nearest_lines",):
+    for name in ("nearest_lines", "item_ownership"):
         seen = plan(Q.queries()[name](spark, sf))
         assert "EvalPython" not in seen and seen.count("MapInArrow") == 2, name
     pages = A.text_pages(spark, sf)
