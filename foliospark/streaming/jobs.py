@@ -22,30 +22,39 @@ def stream_ingest(names: DataFrame, known: Sequence[str], aliases: Mapping[str,
 
 
 CANDIDATE = "file_id string, field string, value string, source string, arrival long"
-
-
-def _first(late_ms: int):
-    """The arrival that came first, whenever it is processed; told again whenever an earlier one turns up."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+#: Groups that files are dealt into: the state of one is a row of the state store, its candidates are gone through together.
+DEALT = 4096
+_KEY, _BEST = ("file_id", "field", "norm"), ("arrival", "value", "source")
+_HELD = "file_id array<string>, field array<string>, norm array<string>, arrival array<long>, value array<string>, source array<string>, leaves array<long>"
+
+
+def _first() -> Callable:
+    """For each key of a group of files the arrival that came first, whenever it is processed; told again whenever an earlier one
+    turns up. leaves: when the state of a key does, in event time."""
+
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, held = state.getCurrentWatermarkMs(), state.getOption
+        best = {(f, n, v): (*b, u) for f, n, v, *b, u in zip(*held, strict=True)} if held else {}
+        met, better = set(), set()
+        if not state.hasTimedOut:
+            for frame in frames:
+                for f, n, v, arrival, value, source, until in zip(*(frame[c].tolist() for c in (*_KEY, *_BEST, "until")), strict=True):
+                    key = (f, n, v)
+                    was = best.get(key)
+                    met.add(key)
+                    if was is None or arrival < was[0]:  # the first of equals
+                        best[key] = (int(arrival), value, source, max(until, was[3] if was else 0))
+                        better.add(key)
+                    elif until > was[3]:
+                        best[key] = (*was[:3], until)
+        kept = {k: (*b[:3], max(b[3], now + 1)) if k in met else b for k, b in best.items() if k in met or b[3] >= now}
+        if kept:
+            state.update(tuple(map(list, zip(*((*k, *b) for k, b in kept.items()), strict=True))))
+            state.setTimeoutTimestamp(max(min(b[3] for b in kept.values()), now + 1))
+        else:
             state.remove()
-            return
-        held = state.getOption
-        best, until = (held[:3], held[3]) if held else (None, 0)
-        was = best
-        for f in frames:
-            arrival = f["arrival"].to_numpy()
-            k = arrival.argmin()  # the first of equals
-            if best is None or arrival[k] < best[0]:
-                best = (int(arrival[k]), f["value"].iat[k], f["source"].iat[k])
-            last = f["ts"].max()
-            if last is not pd.NaT:
-                until = max(until, int(last.timestamp() * 1000) + late_ms)
-        state.update((*best, until))
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        if best != was:
-            yield pd.DataFrame([{"file_id": key[0], "field": key[1], "value": best[1], "source": best[2], "arrival": best[0]}])
+        if better:
+            yield pd.DataFrame([(k[0], k[1], best[k][1], best[k][2], best[k][0]) for k in better], columns=["file_id", "field", "value", "source", "arrival"])
 
     return step
 
@@ -53,11 +62,14 @@ def _first(late_ms: int):
 def stream_candidates(arrivals: DataFrame, aliases: Mapping[str, str], late: str = "1 hour", late_ms: int = 3_600_000) -> DataFrame:
     """Each value of a file and field with the arrival that came first, as arrivals are numbered, not as they are
     processed: a row for every key that is new or gets an earlier arrival (update mode; the last row of a key counts). A
-    key's state leaves once the watermark on ts has passed its last row by late_ms. Blank values are no candidates."""
+    key's state leaves once the watermark on ts has passed its last row by late_ms. Blank values are no candidates. Files are dealt
+    into groups, so that a call of Python takes many keys."""
     value = F.when(F.col("field") == "broker", normalize_broker(F.col("value"), aliases)).otherwise(F.trim("value"))
     rows = arrivals.withColumn("value", value).filter(F.coalesce(F.col("value"), F.lit("")) != "").withColumn("norm", F.lower(F.trim("value")))
-    keyed = rows.select("file_id", "field", "norm", "value", "source", F.col("arrival").cast("long").alias("arrival"), "ts").withWatermark("ts", late)
-    return keyed.groupBy("file_id", "field", "norm").applyInPandasWithState(_first(late_ms), CANDIDATE, "arrival long, value string, source string, until long", "update", GroupStateTimeout.EventTimeTimeout)
+    until = F.coalesce(F.unix_millis(F.col("ts").cast("timestamp")) + late_ms, F.lit(0).cast("long"))
+    group = F.pmod(F.xxhash64("file_id"), F.lit(DEALT)).alias("dealt")
+    keyed = rows.select(group, *_KEY, "value", "source", F.col("arrival").cast("long").alias("arrival"), until.alias("until"), "ts").withWatermark("ts", late)
+    return keyed.groupBy("dealt").applyInPandasWithState(_first(), CANDIDATE, _HELD, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 PROGRESS = "file_id string, planned long, completed long, status string"
