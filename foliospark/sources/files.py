@@ -84,15 +84,19 @@ def load_broker_dims(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 REGION = ("id", "x1", "y1", "x2", "y2", "label", "text", "user_modified")
 
 
-def session_rows(files: DataFrame, regions: DataFrame, pages: DataFrame) -> DataFrame:
+def session_rows(files: DataFrame, regions: DataFrame | None, pages: DataFrame) -> DataFrame:
     """One row for each file, with its pages (page, regions in order): a page that was read and has no region has an empty
     array. Texts that only tell of progress are cleared, running files become stopped; debug columns are left out. regions
-    are packed once by page, then by file."""
+    are packed once by page, then by file; without regions, pages are one row each and hold theirs (regions)."""
     from foliospark.operators.state import normalize_status
 
-    cleared = regions.withColumn("text", clear_transient(F.col("text")))
-    held = cleared.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", *REGION))).alias("r"))
-    rows = pages.select("file_id", "page").distinct().join(held, ["file_id", "page"], "full")
+    if regions is None:
+        kept = F.transform("regions", lambda r: F.struct(r["ord"].alias("ord"), *[(clear_transient(r[c]) if c == "text" else r[c]).alias(c) for c in REGION]))
+        rows = pages.select("file_id", "page", F.array_sort(kept).alias("r"))
+    else:
+        cleared = regions.withColumn("text", clear_transient(F.col("text")))
+        held = cleared.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", *REGION))).alias("r"))
+        rows = pages.select("file_id", "page").distinct().join(held, ["file_id", "page"], "full")
     packed = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("page", F.coalesce(F.transform("r", lambda x: x.dropFields("ord")), F.array().cast(_REGIONS)).alias("regions")))).alias("pages"))
     return normalize_status(files).join(packed, "file_id", "left").withColumn("pages", F.coalesce("pages", F.array().cast(f"array<struct<page:int,regions:{_REGIONS}>>")))
 
@@ -100,7 +104,7 @@ def session_rows(files: DataFrame, regions: DataFrame, pages: DataFrame) -> Data
 _REGIONS = "array<struct<id:int,x1:double,y1:double,x2:double,y2:double,label:string,text:string,user_modified:boolean>>"
 
 
-def write_session(files: DataFrame, regions: DataFrame, pages: DataFrame, folder: str) -> None:
+def write_session(files: DataFrame, regions: DataFrame | None, pages: DataFrame, folder: str) -> None:
     session_rows(files, regions, pages).write.mode("overwrite").parquet(folder)
 
 
@@ -124,6 +128,13 @@ def session_regions(session: DataFrame) -> DataFrame:
     return flat.select("file_id", "page", (F.col("pos") + 1).alias("ord"), "r.*")
 
 
+def session_table(session: DataFrame, *columns: str) -> DataFrame:
+    """Regions of a session as session_regions has them, with columns of their files, in one go over the files; a page without a region
+    is a row of its own."""
+    pages = session.select("file_id", *columns, F.explode("pages").alias("p")).select("file_id", *columns, "p.page", F.posexplode_outer("p.regions").alias("pos", "r"))
+    return pages.select("file_id", *columns, "page", (F.col("pos") + 1).alias("ord"), "r.*")
+
+
 def session_pages(session: DataFrame) -> DataFrame:
     return session.select("file_id", F.explode("pages.page").alias("page"))
 
