@@ -35,9 +35,11 @@ def pages_of(items: pa.ListArray) -> SimpleNamespace:
     """Items of pages in flat arrays; a page that is null has none."""
     per = pc.fill_null(pc.list_value_length(items), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat, page = items.flatten(), np.repeat(np.arange(len(per)), per)
-    at = np.lexsort((flat.field("item_idx").to_numpy(zero_copy_only=False), page))
-    x, y, w, h, base = (flat.field(f"norm_{n}").to_numpy(zero_copy_only=False).astype(float)[at] for n in ("x", "y", "w", "h", "baseline"))
-    text = pc.fill_null(flat.field("str").take(pa.array(at)), "")
+    idx = flat.field("item_idx").to_numpy(zero_copy_only=False)
+    if not ((idx[1:] >= idx[:-1]) | (page[1:] != page[:-1])).all():
+        flat = flat.take(pa.array(np.lexsort((idx, page))))
+    x, y, w, h, base = (flat.field(f"norm_{n}").to_numpy(zero_copy_only=False).astype(float) for n in ("x", "y", "w", "h", "baseline"))
+    text = pc.fill_null(flat.field("str"), "")
     cjk = pc.match_substring_regex(text, regions._CJK).to_numpy(zero_copy_only=False).astype(bool)
     ink = base + h * np.where(cjk, regions.CJK_DESCENDER, regions.DESCENDER)
     top, bottom = y + h * np.where(cjk, 0.10, 0.25), base + h * 0.05
@@ -112,7 +114,7 @@ def _pass(g: SimpleNamespace, b: np.ndarray) -> None:
     """One pass of snap over boxes b (side, box) and the items of their pages."""
     across = np.minimum(g.right, b[2]) - np.maximum(g.x, b[0])
     touching = (across > 0) & (g.y < b[3]) & (g.ink > b[1])
-    g.strong = touching & (np.divide(across, g.width, out=np.zeros_like(across), where=g.width > 0) >= 0.5)
+    g.strong = touching & (across >= g.half)
     column = np.arange(b.shape[1])
     lay = lambda v: v[g.order, column]
     base = lay(g.base)
@@ -123,11 +125,10 @@ def _pass(g: SimpleNamespace, b: np.ndarray) -> None:
         level = (g.y[k] < b[3]) & (g.ink[k] > b[1])
         if not level.any():
             continue
-        x, right, tall, width, owned = g.x[k], g.right[k], g.h[k], g.width[k], g.owned[k]
+        x, right, tall, owned = g.x[k], g.right[k], g.h[k], g.owned[k]
         overlap = np.minimum(right, b[2]) - np.maximum(x, b[0])
         outside = overlap <= 0
-        share = np.divide(overlap, width, out=np.zeros_like(overlap), where=width > 0)
-        most = ~outside & (share >= 0.5)
+        most = ~outside & (overlap >= g.half[k])
         taken = level & owned
         line = taken & on_line[k]
         grow = (taken & most) | (line & outside & (-overlap <= tall)) | (line & ~outside & ~most & (overlap <= tall))
@@ -150,7 +151,8 @@ def snap(t: SimpleNamespace, page: np.ndarray, sides: np.ndarray, owned: np.ndar
     out, begins = sides.copy(), np.cumsum(t.per[page]) - t.per[page]
     for rows in by_size(t, page):
         g = grid(t, page[rows], "x", "y", "right", "base", "h", "ink", "top", "bottom")
-        g.width, g.order = g.right - g.x, np.argsort(g.base, axis=0, kind="stable")
+        width = g.right - g.x
+        g.half, g.order = np.where(width > 0, width / 2, np.inf), np.argsort(g.base, axis=0, kind="stable")  # half of an item's width
         rank = np.arange(len(g.x))[:, None]
         g.owned = np.append(owned, False)[np.where(rank < t.per[page[rows]], begins[rows] + rank, len(owned))]
         b, live = out[rows].T.copy(), np.arange(len(rows))
@@ -165,7 +167,7 @@ def snap(t: SimpleNamespace, page: np.ndarray, sides: np.ndarray, owned: np.ndar
                 break
         across = np.minimum(g.right, b[2]) - np.maximum(g.x, b[0])
         held = g.owned & (across > 0) & (g.y < b[3]) & (g.ink > b[1])
-        wide = held & (np.divide(across, g.width, out=np.zeros_like(across), where=g.width > 0) >= 0.5)
+        wide = held & (across >= g.half)
         low = lambda v, m: np.where(m, v, np.inf).min(0, initial=np.inf)
         high = lambda v, m: np.where(m, v, -np.inf).max(0, initial=-np.inf)
         some, broad = held.any(0), wide.any(0)
@@ -479,8 +481,12 @@ def _whole(t: SimpleNamespace, limit: np.ndarray) -> tuple[np.ndarray, np.ndarra
     lo, hi, b, n = t.x[o][t.at], np.maximum.reduceat(t.r, t.at), t.b[o][t.at], np.bincount(t.of, minlength=len(t.per))
     first, width = np.cumsum(n) - n, hi - lo
     reference = width[np.lexsort((width, t.of))][first + n * 3 // 4]
-    short = np.bincount(t.of, width < 0.7 * reference[t.of], len(n))
-    into, found = np.arange(len(lo)), np.flatnonzero((n >= 3) & (reference > 50) & (short >= 2))
+    short, begun = width < 0.7 * reference[t.of], np.zeros(len(n), bool)
+    for reach in (1, 2, 3):  # the first two lines that go together are so near
+        near = short[reach:] & short[:-reach] & (t.of[reach:] == t.of[:-reach]) & (np.abs(b[reach:] - b[:-reach]) <= 2.5 * limit[t.of[reach:]])
+        near &= np.maximum(hi[reach:], hi[:-reach]) - np.minimum(lo[reach:], lo[:-reach]) >= 1.2 * np.maximum(width[reach:], width[:-reach])
+        begun[t.of[reach:][near]] = True
+    into, found = np.arange(len(lo)), np.flatnonzero((n >= 3) & (reference > 50) & begun)
     for p in found.tolist():
         z = slice(first[p], first[p] + n[p])
         into[z] = first[p] + np.array(_take_up(lo[z].tolist(), hi[z].tolist(), b[z].tolist(), float(limit[p]), float(reference[p])))
