@@ -34,7 +34,7 @@ def some_page(seed):
             lambda: (50 + 300 * (k % 3) + r.randrange(60), 60 + 16 * (k // 3) + r.randrange(3), r.choice([0, 100, 330])),  # noqa: B023
         ][seed % 5]()
         x, y, h = x + shift(), y + shift(), float(r.choice([8, 12, 14]))
-        items.append((k if seed % 7 else r.randrange(10), r.choice(["word", "營運", "a", "•", "", ""]), x, y, float(w), h, y + h))
+        items.append((k if seed % 7 else r.randrange(10), r.choice(["word", "營運", "a", "•", "", "\uf06c"]), x, y, float(w), h, y + h))
     for o in range(1, 1 + r.choice([0, 1, 2, 3, 4, 5, 8, 16])):
         x, y, w, h = (r.choice([0, 40, 500]), r.randrange(600), r.choice([480, 950]), r.randrange(30, 500)) if r.random() < 0.4 else (r.randrange(600), r.randrange(700), r.randrange(50, 400), r.randrange(30, 300))
         x, y = x + shift(), y + shift()
